@@ -11,7 +11,7 @@ Null text counts as empty, and empty text has no ids. The special token's string
 
 import gc
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Units (words with what clings to them) in either half of a worker's memo.
-MEMO_UNITS = 600_000
+#: Words in either half of a worker's memo.
+MEMO_WORDS = 300_000
 #: Texts that are encoded together.
 TOGETHER = 1000
 
@@ -58,20 +58,19 @@ class Vocabulary:
             self.merges.setdefault(pair, rank)
             self.made.setdefault(new, (rank, *pair))
         self.ranked = {rank: k for k, (rank, _, _) in self.made.items()}
-        self.rights = [self._edges(k, 2) for k in range(len(self.text))]
-        self.lefts = [self._edges(k, 1) for k in range(len(self.text))]
         self.tokens = {t: k for t, k in self.single.items()}
         for k in sorted(self.made, key=lambda k: self.made[k][0]):
             if self._merge_all(self.text[k]) == [k]:  # else no text is ever encoded as k
                 self.tokens[self.text[k]] = k
         self.size, self.le = [*map(len, self.text)], [k.to_bytes(4, "little") for k in range(len(self.text))]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.moves: dict[int, int] = {}
-        self.young, self.old = ({}, {}), ({}, {})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self._automaton()
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": {}, "moves": {}, "young": ({}, {}), "old": ({}, {})}
+        return self.__dict__ | {"pairs": {}, "moves": {}, "young": {}, "old": {}}
 
     def _edges(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens at one edge while ``token`` is being merged, each with the rank of the merge that ends it."""
@@ -93,24 +92,24 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` leaves just these two: no merge fits across the border at its time."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            merges, known = self.merges, True
-            for x, x_until in self.rights[a]:
-                for y, y_until in self.lefts[b]:
+            merges, known, lefts = self.merges, True, self._edges(b, 1)
+            for x, x_until in self._edges(a, 2):
+                for y, y_until in lefts:
                     rank = merges.get((x, y))
                     # At equal rank the leftmost merge comes first: one inside a before, one inside b after.
                     if rank is not None and rank < x_until and rank <= y_until:
                         known = False
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[a << 32 | b] = known
         return known
 
-    def encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Each word's ids, as little-endian 32-bit integers."""
         moves, ends, compatible, size, le, out = self.moves, self.ends, self.compatible, self.size, self.le, {}
-        if len(moves) > 1_000_000:
+        if len(moves) > 300_000:
             moves.clear()
         deep = 1 + max(map(len, words), default=0)
         last, states, path = [0] * deep, [0] * deep, b""  # of every prefix of the path
@@ -174,16 +173,9 @@ class Vocabulary:
 
 
 _WORDS = regex.compile(PATTERN)
-#: A single space between two characters that are no white space: a word always starts there, whatever surrounds it.
-_APART = regex.compile(r"(?<=\S) (?=\S)")
-_LOOSE = regex.compile(r"^\s|\s$| \s|\s ")
-
 
 class _Encoder:
-    """Texts to ids, a batch at a time. Texts fall into units at single spaces, a cut that depends on nothing around it.
-
-    The memo of units has a young and an old half, each for a text's first unit and for later ones, which follow a space.
-    """
+    """Texts to ids, a batch at a time. The memo of words has a young and an old half; words that come back stay."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -191,38 +183,26 @@ class _Encoder:
         self.special = regex.compile(f"({names})") if names else None
         self.le = {s: vocab.le[k] for s, k in vocab.specials.items()}
 
-    def learn(self, first: set[str], later: set[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         v = self.vocab
-        if sum(map(len, v.young)) + len(first) + len(later) > MEMO_UNITS:
-            v.young, v.old = ({}, {}), v.young
-        new = []
-        for k, units in enumerate((first, later)):
-            young, old = v.young[k], v.old[k]
-            for u in units:
-                if u not in young:
-                    if (ids := old.get(u)) is not None:
-                        young[u] = ids
-                    else:
-                        new.append((young, u, " " + u if k else u))
-        cut = [_WORDS.findall(text) for _, _, text in new]
-        words = {w: w.encode() for w in {w for ws in cut for w in ws}}
-        ids = v.encode_words(set(words.values()))
-        known = {w: ids[raw] for w, raw in words.items()}
-        for (young, u, _), ws in zip(new, cut):
-            young[u] = b"".join([known[w] for w in ws])
+        if len(v.young) + len(words) > MEMO_WORDS:
+            v.young, v.old = {}, v.young
+        young, old = v.young, v.old
+        words = words.difference(young)
+        young.update([(w, old[w]) for w in words.intersection(old)])
+        new = {w: w.encode() for w in words.difference(old)}
+        ids = v.encode_words(new.values())
+        young.update([(w, ids[raw]) for w, raw in new.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts, first, later = [], set(), set()
+        parts, every = [], set()
         for text in texts:
             pieces = self.special.split(text) if self.special and any(s in text for s in self.le) else [text]
-            parts.append([p if p in self.le else _APART.split(p) if _LOOSE.search(p) else p.split(" ") for p in pieces if p])
-            for p in parts[-1]:
-                if not isinstance(p, str):
-                    first.add(p[0])
-                    later.update(p[1:])
-        self.learn(first, later)
-        get_first, get_later = (d.__getitem__ for d in self.vocab.young)
-        return [b"".join([self.le[p] if isinstance(p, str) else get_first(p[0]) + b"".join(map(get_later, p[1:])) for p in ps]) for ps in parts]
+            parts.append([p if p in self.le else _WORDS.findall(p) for p in pieces])
+            every.update(*[p for p in parts[-1] if not isinstance(p, str)])
+        self.learn(every)
+        get = self.vocab.young.__getitem__
+        return [b"".join([self.le[p] if isinstance(p, str) else b"".join(map(get, p)) for p in ps]) for ps in parts]
 
 
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
