@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .shared import documents
+from . import bpe, mixing, simhash
+from .shared import WORD, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,12 +18,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = documents(spark, sf_dir).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    mixed = mixing.mix(cut(sized), measured=True)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op7_simhash": op7_simhash}
+    return {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
