@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash
-from .shared import WORD, cut, documents
+from . import bpe, mixing, simhash, toxicity
+from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,12 +24,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = crc_fold("doc_id", 5) == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op7_simhash": op7_simhash}
+    return {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
