@@ -24,9 +24,11 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words in either half of a worker's memo.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
+#: Pairs of tokens whose compatibility a worker remembers; the id of a token has 20 bits at most.
+PAIRS = 300_000
 #: Texts that are encoded together.
-TOGETHER = 1000
+TOGETHER = 500
 
 
 def byte_chars() -> dict[str, int]:
@@ -92,23 +94,21 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` leaves just these two: no merge fits across the border at its time."""
-        known = self.pairs.get(a << 32 | b)
-        if known is None:
-            merges, known, lefts = self.merges, True, self._edges(b, 1)
-            for x, x_until in self._edges(a, 2):
-                for y, y_until in lefts:
-                    rank = merges.get((x, y))
-                    # At equal rank the leftmost merge comes first: one inside a before, one inside b after.
-                    if rank is not None and rank < x_until and rank <= y_until:
-                        known = False
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[a << 32 | b] = known
+        merges, lefts, known = self.merges, self._edges(b, 1), True
+        for x, x_until in self._edges(a, 2):
+            for y, y_until in lefts:
+                rank = merges.get((x, y))
+                # At equal rank the leftmost merge comes first: one inside a before, one inside b after.
+                if rank is not None and rank < x_until and rank <= y_until:
+                    known = False
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        self.pairs[a << 20 | b] = known
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Each word's ids, as little-endian 32-bit integers."""
-        moves, ends, compatible, size, le, out = self.moves, self.ends, self.compatible, self.size, self.le, {}
+        moves, ends, pairs, compatible, size, le, out = self.moves, self.ends, self.pairs, self.compatible, self.size, self.le, {}
         if len(moves) > 300_000:
             moves.clear()
         deep = 1 + max(map(len, words), default=0)
@@ -129,9 +129,14 @@ class Vocabulary:
                 states[depth] = state
                 for token, start in ends[state]:  # the tokens that end here, the longest first
                     start += depth
-                    if not start or compatible(last[start], token):
-                        last[depth] = token
-                        break
+                    if start:
+                        fits = pairs.get(last[start] << 20 | token)
+                        if fits is None:
+                            fits = compatible(last[start], token)
+                        if not fits:
+                            continue
+                    last[depth] = token
+                    break
             path, ids = word, []
             while depth:
                 token = last[depth]
@@ -212,42 +217,59 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return batch.append_column(name, values)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(batches: Batches, vocab: Vocabulary, text_col: str, ids_col: str) -> Batches:
+    gc.disable()  # the memo has no cycles, and searching it for some takes longer than encoding
+    encoder = _Encoder(vocab)
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])
+            yield _with_column(part, ids_col, pa.array(ids, pa.binary()))
+
+
+def _decoded(batches: Batches, tokens: list[bytes], ids_col: str, text_col: str) -> Batches:
+    token = tokens.__getitem__
+    for batch in batches:
+        ids = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(ids_col).to_pylist()]
+        texts = [b"".join(map(token, x)).decode("utf-8", "replace") for x in ids]
+        yield _with_column(batch, text_col, pa.array(texts, pa.string()))
+
+
+def _schema(df: DataFrame, **added: T.DataType) -> T.StructType:
+    return T.StructType([f for f in df.schema if f.name not in added] + [T.StructField(*x) for x in added.items()])
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col``: the ids of each whole text as a BINARY of little-endian unsigned 32-bit integers.
 
     A column of that name is replaced; others stay.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
-    schema = T.StructType([f for f in docs.schema if f.name != ids_col] + [T.StructField(ids_col, T.BinaryType())])
-    names = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(vocab.value)
-        gc.disable()  # the memo has no cycles, and searching it for some takes longer than encoding
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])
-                yield _with_column(part, ids_col, pa.array(ids, pa.binary())).select(names)
-
-    return docs.mapInArrow(run, schema)
+    schema = _schema(docs, **{ids_col: T.BinaryType()})
+    return docs.mapInArrow(lambda batches: (b.select(schema.names) for b in _encoded(batches, vocab.value, text_col, ids_col)), schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``text_col``: its ids as text, special tokens included; bytes that are no UTF-8 become U+FFFD. Null ids: empty."""
-    spark = encoded.sparkSession
-    vocab = spark.sparkContext.broadcast(Vocabulary(tokenizer_path).text)
-    schema = T.StructType([f for f in encoded.schema if f.name != text_col] + [T.StructField(text_col, T.StringType())])
-    names = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocab.value.__getitem__
-        for batch in batches:
-            ids = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(ids_col).to_pylist()]
-            texts = [b"".join(map(token, x)).decode("utf-8", "replace") for x in ids]
-            yield _with_column(batch, text_col, pa.array(texts, pa.string())).select(names)
-
-    return encoded.mapInArrow(run, schema)
+    tokens = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path).text)
+    schema = _schema(encoded, **{text_col: T.StringType()})
+    return encoded.mapInArrow(lambda batches: (b.select(schema.names) for b in _decoded(batches, tokens.value, ids_col, text_col)), schema)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """What ``decode`` returns for what ``encode`` returns, with one Python worker for both."""
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
+    schema = _schema(docs, **{ids_col: T.BinaryType(), decoded_col: T.StringType()})
+
+    def run(batches: Batches) -> Batches:
+        encoded = _encoded(batches, vocab.value, text_col, ids_col)
+        for batch in _decoded(encoded, vocab.value.text, ids_col, decoded_col):
+            yield batch.select(schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def n_tokens(ids_col: str = "ids"):

@@ -13,8 +13,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
-    both = bpe.decode(ids, TOKENIZER)
+    both = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
