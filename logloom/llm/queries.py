@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, toxicity
+from . import bpe, brown, mixing, simhash, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = crc_fold("doc_id", 10) == 0
+    model, counts = brown.fit(docs.filter(~held))
+    scored = brown.score(docs, model, counts)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = crc_fold("doc_id", 5) == 0
@@ -35,7 +43,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash}
+    return {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
