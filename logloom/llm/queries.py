@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, mixing, simhash, toxicity
+from . import bpe, brown, mixing, simhash, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,29 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(rows, lambda vec_id: F.col(vec_id) % 100 == 0)
+
+
+# Ranks over whole tables: every hundredth vector against all others, in exact integers.
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     mixed = mixing.mix(cut(sized), measured=True)
@@ -43,8 +66,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash}
+    return {"op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk": OP3_SQL}
