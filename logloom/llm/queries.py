@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, mixing, simhash, topk, toxicity
+from . import bpe, brown, digest, mixing, simhash, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,8 +65,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.withColumns({"n_chars": F.length("text").cast("long"), "tie": F.xxhash64("text"), "fingerprint": digest.fingerprint(digest.canonical(F.col("text")))})
+    led = digest.with_next(rows, ["text", "fingerprint"], "doc_id", "tie")
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next.text", F.lit(1), half))
+    named = led.withColumn("edited", edited).withColumn("edited_fingerprint", digest.fingerprint(digest.canonical(F.col("edited"))))
+    alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
+    out = named.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next.fingerprint").alias("near_next"))
+    known = digest.classes(docs).withColumnsRenamed({"doc_id": "id", "fingerprint": "print"})
+    joined = out.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fingerprint") == F.col("print")), "left")
+    return joined.select(*out.columns, "class_id", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash}
+    return {"op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op9_digest": op9_digest}
 
 
 def oracle_sql() -> dict[str, str]:
