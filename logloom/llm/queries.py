@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, digest, mixing, simhash, topk, toxicity
+from . import bpe, brown, cdc, digest, mixing, simhash, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = cdc.dedupe(documents(spark, sf_dir).select("doc_id", "text"))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return deduped.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"), size("shared").alias("n_shared"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
     return both.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -80,7 +86,7 @@ def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op9_digest": op9_digest}
+    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op9_digest": op9_digest}
 
 
 def oracle_sql() -> dict[str, str]:
