@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, cdc, digest, mixing, simhash, topk, toxicity
+from . import bpe, brown, cdc, digest, mixing, simhash, token_counts, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir)).select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text after three edits that follow from it: a deletion, its beginning put into its middle, a piece in capitals near its end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda at, cut, put: F.struct(at.cast("int").alias("at"), F.lit(cut).alias("cut"), put.alias("put"))
+    edits = F.array(edit(F.floor(n / 3), 17, F.lit("")), edit(F.floor(n / 2), 0, F.substring("text", 1, 40)), edit(n - 30, 10, F.upper(F.substring("text", F.floor(n / 4).cast("int"), F.lit(12)))))
+    docs = documents(spark, sf_dir).select("doc_id", "text", edits.alias("edits"))
+    done = token_counts.build_and_apply(docs, TOKENIZER)
+    return done.select("doc_id", "n_tokens_before", "n_tokens", "n_words", "n_reencoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.withColumns({"n_chars": F.length("text").cast("long"), "tie": F.xxhash64("text"), "fingerprint": digest.fingerprint(digest.canonical(F.col("text")))})
@@ -86,7 +96,7 @@ def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op9_digest": op9_digest}
+    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest}
 
 
 def oracle_sql() -> dict[str, str]:
