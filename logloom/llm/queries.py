@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, cdc, digest, mixing, simhash, token_counts, topk, toxicity
+from . import bpe, brown, cdc, digest, mixing, simhash, suffix, token_counts, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,8 +95,14 @@ def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*out.columns, "class_id", "copies")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest}
+    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix}
 
 
 def oracle_sql() -> dict[str, str]:
