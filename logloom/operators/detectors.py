@@ -20,7 +20,7 @@ def sample_sessions(vectors: DataFrame, n: int = FIT_ROWS, seed: int = 0) -> Dat
 
 
 def _rows(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("session_id").agg(F.collect_list(F.struct(F.col("col").cast("int"), F.col("w").cast("double"))).alias("x"))
+    return vectors.groupBy("session_id").agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("w").cast("double").alias("w"))).alias("x"))
 
 
 def _dense(x: pd.Series, columns: dict[int, int]) -> np.ndarray:
