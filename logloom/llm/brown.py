@@ -229,7 +229,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     ends = docs.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = counts.filter(F.octet_length("word") <= LONGEST)
-    words = [(bytes(r.word), r.n) for r in short.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    # The least count that at most KNOWN words exceed, so that only these words are gathered.
+    least, many = 0, 0
+    for n, kinds_of_n in short.groupBy("n").count().orderBy(F.desc("n")).limit(KNOWN).collect():
+        many += kinds_of_n
+        if many > KNOWN:
+            least = n
+            break
+    words = sorted(((bytes(r.word), r.n) for r in short.filter(F.col("n") > least).collect()), key=lambda x: (-x[1], x[0]))
     frequent = {w: k for k, (w, _) in enumerate(words[:FREQUENT])}
     top = docs.sparkSession.sparkContext.broadcast(frequent)
 
