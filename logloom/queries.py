@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import detectors, drift, features, metrics, perf, sessions, store, templates
 from .plans import anomaly
-from .session import cut
+from .session import cut, shared_path
 from .sources import logs
+from .streaming import detect
 from .views import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -791,3 +792,30 @@ def rate_segments(spark: SparkSession, d: str) -> DataFrame:
 def held_over(spark: SparkSession, d: str) -> DataFrame:
     rows = perf.series_per_second(view(spark, d, "samples")).select("run", F.col("second").cast("double").alias("t"), "lag")
     return perf.held_over(rows, 2000, 2)
+
+
+# ---- streaming ---------------------------------------------------------------------------------------------------------
+
+def run_stream(events: DataFrame, scorer: detect.Scorer, min_lines: int, lateness: str, batches: int = 4) -> DataFrame:
+    """Alerts for ``events`` (key, col, log_t, event_time), written as files in order of time and read as a stream."""
+    spark = events.sparkSession
+    path = shared_path(spark)
+    events.repartitionByRange(batches, "log_t").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    found = detect.detect(stream, scorer, min_lines, lateness)
+    running = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    running.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out")
+
+
+@query()
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Incremental and age alerts of a stream of all log lines, by a model trained on the first sessions."""
+    rows, splits = _rows(spark, d), _splits(spark, d)
+    model = anomaly.train(rows, splits, "regex", "pca", header_tokens=HEADER)
+    named = rows.withColumn("term", S.mask(S.content(F.col("line"), HEADER))).join(model.columns, "term", "left")
+    typed = cut(named.select("session_id", "line_id", F.coalesce("col", F.lit(0)).cast("int").alias("col"), S.log_time(F.col("line")).alias("t"), "line"))
+    scores = cut(model.score_counts(model.counts(rows)).select("session_id", "score"))
+    anomaly.attach_early(model, sessions.sequences(typed), splits, scores, AGE, gate=GATE)
+    events = detect.event_time(typed.select(F.col("session_id").alias("key"), "col", "line")).drop("line")
+    return run_stream(events, detect.scorer(model), GATE, "2 hours")
