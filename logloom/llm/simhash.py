@@ -27,8 +27,8 @@ from .shared import cut
 BUCKET = 4096
 #: Mean rows of a bucket above which more and smaller blocks are taken.
 DENSE = 1024
-#: Node pairs that are taken down together.
-FRONTIER = 1 << 20
+#: Node pairs that are taken down together, and rows whose buckets are joined together; they bound a task's memory.
+FRONTIER, TOGETHER = 1 << 17, 100_000
 
 
 def _fingerprint(text: str | None, words: int) -> int:
@@ -163,7 +163,7 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
         for batch in batches:
             held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             size += batch.num_rows
-            if size > 500_000:  # rows arrive sorted by bucket: all but the last bucket are complete
+            if size > TOGETHER:  # rows arrive sorted by bucket: all but the last bucket are complete
                 table = np.concatenate(held)
                 end = len(table) - np.argmax((table[::-1, :3] != table[-1, :3]).any(axis=1))
                 if end < len(table):
