@@ -29,9 +29,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     grouped = cut(simhash.groups(keyed, WORDS, BITS, id_col="_row"))
     lost = grouped.filter("_row != component_id").select("_row").distinct()
     repeated = grouped.groupBy("_row").count().filter("count > 1").select("_row")
-    kept = cut(keyed.join(lost, "_row", "left_anti"))
-    once = kept.join(repeated, "_row", "left_anti").select(*COLUMNS)
-    return once.union(kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
+    gone = lost.union(repeated)
+    once = keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
+    again = keyed.join(repeated.join(lost, "_row", "left_anti"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.union(again.select(*COLUMNS))
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
