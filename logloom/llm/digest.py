@@ -15,6 +15,7 @@ from .shared import cut
 
 #: Rows of a range of ids in which neighbours are sought at once, and the most quantiles that ids are cut at.
 RANGE_ROWS, COARSE = 2000, 1000
+FILTER_BITS = 1 << 22
 
 
 def canonical(text: Column) -> Column:
@@ -29,17 +30,32 @@ def fingerprint(canonical_text: Column) -> Column:
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, fingerprint, class_id, copies LONG), distinct: the smallest id and the number of rows with the same canonical bytes."""
-    marked = docs.select(id_col, text_col, fingerprint(canonical(F.col(text_col))).alias("fingerprint"))
+    marked = docs.select(id_col, canonical(F.col(text_col)).alias("canonical")).withColumn("fingerprint", fingerprint(F.col("canonical")))
     prints = cut(marked.select(id_col, "fingerprint"))
-    lane = F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long")  # short, so that the table of those not alone stays small
-    many = prints.groupBy(lane.alias("lane")).count().filter("count > 1").select("lane")
-    texts = marked.withColumn("lane", lane).join(many, "lane", "left_semi").withColumn("canonical", canonical(F.col(text_col)))
+    lane = F.conv(F.substring("fingerprint", 1, 15), 16, 10).cast("long")
+    many = cut(prints.groupBy(lane.alias("lane")).count().filter("count > 1").select("lane"))
+    # A filter of fixed size lets only texts through that may not be alone, so that no others are shuffled.
+    texts = marked.filter(_held(lane, _filter(many)))
     # Grouping by the text itself compares bytes; a digest of another kind then stands for it.
     equal = texts.groupBy("fingerprint", "canonical").agg(F.min(id_col).alias("class_id"), F.count("*").alias("copies"))
     equal = equal.select("fingerprint", F.sha2("canonical", 256).alias("check"), "class_id", "copies")
-    grouped = texts.select(id_col, "fingerprint", F.sha2("canonical", 256).alias("check")).distinct()
-    alone = prints.withColumn("lane", lane).join(many, "lane", "left_anti").select(id_col, "fingerprint", F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("copies"))
-    return grouped.join(equal, ["fingerprint", "check"]).select(id_col, "fingerprint", "class_id", "copies").union(alone)
+    grouped = texts.select(id_col, "fingerprint", F.sha2("canonical", 256).alias("check")).join(equal, ["fingerprint", "check"]).select(id_col, "fingerprint", "class_id", "copies").distinct()
+    alone = prints.join(grouped.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    return grouped.union(alone.select(id_col, "fingerprint", F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("copies")))
+
+
+def _filter(lanes: DataFrame) -> DataFrame:
+    """One row with an array of ``FILTER_BITS`` bits, set where a lane's remainder is."""
+    bit = F.pmod("lane", F.lit(FILTER_BITS))
+    words = lanes.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(lane, {FILTER_BITS}) % 64 as int))")).alias("bits"))
+    every = lanes.sparkSession.range(FILTER_BITS // 64).join(words, F.col("id") == F.col("word"), "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("x")).select("x.bits")
+
+
+def _held(lane: Column, bits: DataFrame) -> Column:
+    at = F.pmod(lane, F.lit(FILTER_BITS))
+    word = F.element_at(bits.scalar(), (F.floor(at / 64) + 1).cast("int"))
+    return F.call_function("getbit", word, (at % 64).cast("int")) == 1
 
 
 def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) -> DataFrame:
