@@ -113,11 +113,11 @@ def _gains(left: np.ndarray, right: np.ndarray, own: float, at: int, table: np.n
     left, right = left.copy(), right.copy()
     left[at] -= own
     right[at] -= own
-    many, before, after = left.sum() + own, rest.sum(axis=0), rest.sum(axis=1)
+    follows, leads, before, after = left.sum() + own, right.sum() + own, rest.sum(axis=0) + right, rest.sum(axis=1) + left
     gain = (terms(rest + right) - terms(rest)).sum(axis=1) + (terms(rest + left[:, None]) - terms(rest)).sum(axis=0)
     d = np.diag(rest)
     gain += terms(d + left + right + own) - terms(d + left) - terms(d + right) + terms(d)
-    return gain - (terms(after + many) - terms(after)) - (terms(before + many) - terms(before))
+    return gain - (terms(after + leads) - terms(after)) - (terms(before + follows) - terms(before))
 
 
 def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
