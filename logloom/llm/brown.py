@@ -3,8 +3,7 @@
 Words are counted over all training texts. The ``FREQUENT`` most frequent words are items of their own; every other word, known
 or not, belongs to one of ``ENDINGS`` items by its last bytes, so that a word's item never has to be looked up. Exchange
 clustering then moves items between ``CLASSES`` classes: each item goes where the likelihood of the class bigrams grows most,
-half of the items in each round, by profiles of the classes beside it. An item's profile is one row, so rounds read a small
-table and shuffle nothing.
+by profiles of the classes beside it. An item's profile is one row, so rounds read a small table and shuffle nothing.
 
 The probability of a word after another is P(class | class before) * P(item | class) * P(word | item), mixed with the smoothed
 unigram ``(c + 0.1) / (N + 0.1 (V + 1))``. Within an item of rare words, words never seen get the share of those seen once.
@@ -26,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-FREQUENT, ENDINGS, CLASSES, ROUNDS = 8192, 512, 64, 8
+FREQUENT, ENDINGS, CLASSES, ROUNDS = 8192, 512, 64, 4
 KNOWN, LONGEST = 1 << 18, 64
 END = FREQUENT + ENDINGS
 ITEMS = END + 1
+#: While clustering: the class of items that have none yet; CLASSES is the end's.
+REST = CLASSES + 1
 #: Weight of the class model against the unigram.
 SHARE = 0.9
 TOKENS = 4_000_000
@@ -94,7 +95,15 @@ def item_bigrams(docs: DataFrame, frequent: dict[bytes, int], text_col: str = "t
 
 
 def _profile(others: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return np.bincount(classes[others], counts, minlength=CLASSES + 1)
+    return np.bincount(classes[others], counts, minlength=REST + 1)
+
+
+def _terms(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return float(_terms(table).sum() - _terms(table.sum(axis=0)).sum() - _terms(table.sum(axis=1)).sum())
 
 
 def _gains(left: np.ndarray, right: np.ndarray, own: float, at: int, table: np.ndarray) -> np.ndarray:
@@ -102,11 +111,7 @@ def _gains(left: np.ndarray, right: np.ndarray, own: float, at: int, table: np.n
 
     left, right: counts of classes before and after the item; own: counts of the item after itself, in both.
     """
-
-    def terms(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
-    rest = table.copy()
+    terms, rest = _terms, table.copy()
     rest[at] -= right
     rest[:, at] -= left
     rest[at, at] += own  # taken off twice
@@ -121,16 +126,20 @@ def _gains(left: np.ndarray, right: np.ndarray, own: float, at: int, table: np.n
 
 
 def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Each item's class, and the counts of class bigrams. The end is a class of its own, the last."""
+    """Each item's class, and the counts of class bigrams. The end is a class of its own, the last.
+
+    The most frequent items begin a class each. The others join in batches, each as large as all before it, where they raise
+    the likelihood most. Then a quarter of the items at a time may move on, as long as that raises the likelihood.
+    """
     sc = bigrams.sparkSession.sparkContext
     both = bigrams.select(F.col("item").alias("i"), F.struct(F.lit(0).alias("side"), F.col("before").alias("other"), "n").alias("x")).union(
         bigrams.select(F.col("before").alias("i"), F.struct(F.lit(1).alias("side"), F.col("item").alias("other"), "n").alias("x")))
     profiles = cut(both.groupBy("i").agg(F.sum(F.when(F.col("x.side") == 0, F.col("x.n"))).alias("many"), F.collect_list("x").alias("x"))
         .select("i", F.coalesce("many", F.lit(0).cast("bigint")).alias("many"), F.expr("transform(x, x -> x.side)").alias("side"), F.expr("transform(x, x -> x.other)").alias("other"), F.expr("transform(x, x -> x.n)").alias("n")))
-    classes = np.full(ITEMS, CLASSES, np.int64)
-    ranked = sorted(profiles.select("many", "i").filter(F.col("i") != END).collect(), key=lambda r: (-r[0], r[1]))
-    for rank, (_, i) in enumerate(ranked):
-        classes[i] = rank % CLASSES
+    ranked = [r[1] for r in sorted(profiles.select("many", "i").filter(F.col("i") != END).collect(), key=lambda r: (-r[0], r[1]))]
+    classes = np.full(ITEMS, REST, np.int64)
+    classes[END] = CLASSES
+    classes[ranked[:CLASSES]] = np.arange(len(ranked[:CLASSES]))
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         for k in range(batch.num_rows):
@@ -140,37 +149,51 @@ def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.n
         shared = sc.broadcast(classes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = np.zeros((CLASSES + 1, CLASSES + 1))
+            t = np.zeros((REST + 1, REST + 1))
             for batch in batches:
                 for i, side, other, n in rows(batch):
                     t[shared.value[i]] += _profile(other[side == 1], n[side == 1], shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([t.ravel().tolist()], pa.list_(pa.float64()))], ["t"])
 
-        return sum((np.array(r.t) for r in profiles.mapInArrow(run, "t array<double>").collect()), np.zeros((CLASSES + 1) ** 2)).reshape(CLASSES + 1, -1)
+        return sum((np.array(r.t) for r in profiles.mapInArrow(run, "t array<double>").collect()), np.zeros((REST + 1) ** 2)).reshape(REST + 1, -1)
 
-    for turn in range(rounds):
-        shared = sc.broadcast((classes, table(classes)))
+    def moves(classes: np.ndarray, t: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """The classes after each of ``who`` has gone where it raises the likelihood of table ``t`` most."""
+        shared = sc.broadcast((classes, t, who))
 
-        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            classes, t = shared.value  # noqa: B023
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            classes, t, who = shared.value
             moved = []
             for batch in batches:
                 for i, side, other, n in rows(batch):
-                    if i == END or (i * 2654435761 >> 8) % 2 == turn % 2:  # noqa: B023
-                        continue
-                    before, after = side == 0, side == 1
-                    gains = _gains(_profile(other[before], n[before], classes), _profile(other[after], n[after], classes), float(n[after & (other == i)].sum()), classes[i], t)[:CLASSES]
-                    if gains.max() > gains[classes[i]] + 1e-6:
-                        moved.append((i, int(gains.argmax())))
+                    if who[i]:
+                        before, after = side == 0, side == 1
+                        gains = _gains(_profile(other[before], n[before], classes), _profile(other[after], n[after], classes), float(n[after & (other == i)].sum()), classes[i], t)
+                        to = int(gains[:CLASSES].argmax())
+                        if classes[i] == REST or gains[to] > gains[classes[i]] + 1e-6:
+                            moved.append((i, to))
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in moved], pa.int32()) for k in (0, 1)], ["i", "to"])
 
-        moved = profiles.mapInArrow(move, "i int, to int").collect()
-        classes = classes.copy()
-        for i, to in moved:
-            classes[i] = to
-        if not moved and turn:
-            break
-    return classes, table(classes)
+        out = classes.copy()
+        for i, to in profiles.mapInArrow(run, "i int, to int").collect():
+            out[i] = to
+        return out
+
+    done = CLASSES
+    while done < len(ranked):
+        who = np.zeros(ITEMS, bool)
+        who[ranked[done : 2 * done]] = True
+        classes, done = moves(classes, table(classes), who), 2 * done
+    t = table(classes)
+    for turn in range(rounds):
+        who = (np.arange(ITEMS) * 2654435761 >> 8) % 4 == turn % 4
+        who[END] = False
+        tried = moves(classes, t, who & (classes != REST))
+        after = table(tried)
+        if _likelihood(after) > _likelihood(t):
+            classes, t = tried, after
+    classes[classes == REST] = 0  # items that never were in a bigram
+    return classes, t[: CLASSES + 1, : CLASSES + 1]
 
 
 class Model:

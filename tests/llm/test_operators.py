@@ -181,7 +181,7 @@ def test_brown_gain_is_the_change_in_likelihood():
     n, classes = rng.integers(0, 9, (12, 12)).astype(float), rng.integers(0, brown.CLASSES, 12)
 
     def table(c):
-        t = np.zeros((brown.CLASSES + 1,) * 2)
+        t = np.zeros((brown.REST + 1,) * 2)
         np.add.at(t, (c[:, None].repeat(12, 1), c[None].repeat(12, 0)), n)
         return t
 
@@ -190,7 +190,7 @@ def test_brown_gain_is_the_change_in_likelihood():
         return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
 
     i, t = 4, table(classes)
-    left, right = np.bincount(classes, n[:, i], brown.CLASSES + 1), np.bincount(classes, n[i], brown.CLASSES + 1)
+    left, right = np.bincount(classes, n[:, i], brown.REST + 1), np.bincount(classes, n[i], brown.REST + 1)
     gains = brown._gains(left, right, n[i, i], classes[i], t)
     for to in (0, 7, 63):
         moved = classes.copy()
