@@ -25,7 +25,8 @@ def canonical(text: Column) -> Column:
 
 
 def fingerprint(canonical_text: Column) -> Column:
-    return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(lane), canonical_text)), 16, "0") for lane in range(4)]))
+    lanes = F.transform(F.array(canonical_text), lambda t: F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(lane), t)), 16, "0") for lane in range(4)]))
+    return F.lower(F.element_at(lanes, 1))  # through an array, so that the text is made once
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -59,7 +60,7 @@ def _held(lane: Column, bits: DataFrame) -> Column:
 
 
 def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) -> DataFrame:
-    """``rows`` with ``next``, a struct of ``columns`` of the next row by descending id; after the last comes the first.
+    """``rows`` with next_<column> for ``columns`` of the next row by descending id; after the last comes the first.
 
     Ids are cut into ranges by quantiles and, between two of these, into even steps, about ``RANGE_ROWS`` rows each. The first
     row of a range is also sent to the range before it, so that rows are shuffled once, by range.
@@ -79,11 +80,11 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) ->
     lasts = tops.groupBy(F.col("_range.c").alias("c")).agg(F.min("_range").alias("low"))
     across = firsts.join(lasts, "c").select("_range", F.lead("low").over(Window.orderBy("c")).alias("over"), F.min("low").over(Window.partitionBy()).alias("bottom"))
     inside = tops.select("_range", "top", F.lead("_range").over(Window.partitionBy("_range.c").orderBy("_range.s")).alias("before"))
-    heads = inside.join(across, "_range", "left").select("top", F.coalesce("before", "over", "bottom").alias("to"))
+    heads = cut(inside.join(across, "_range", "left").select("top", F.coalesce("before", "over", "bottom").alias("to")))
 
     joined = ranged.join(heads, F.col(id_col).eqNullSafe(F.col("top.id")) & (F.col(tie_col) == -F.col("top.tie")))
     guests = joined.select(*rows.columns, F.col("to").alias("_range"), F.lit(1).alias("_guest"))
     every = ranged.withColumn("_guest", F.lit(0)).unionByName(guests)
     order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last(id_col), tie_col)
-    led = every.withColumn("next", F.lead(F.struct(*columns)).over(order))
+    led = every.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return led.filter("_guest = 0").drop("_guest", "_range")

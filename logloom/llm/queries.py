@@ -86,10 +86,10 @@ def op9_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.withColumns({"n_chars": F.length("text").cast("long"), "tie": F.xxhash64("text"), "fingerprint": digest.fingerprint(digest.canonical(F.col("text")))})
     led = digest.with_next(rows, ["text", "fingerprint"], "doc_id", "tie")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next.text", F.lit(1), half))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     named = led.withColumn("edited", edited).withColumn("edited_fingerprint", digest.fingerprint(digest.canonical(F.col("edited"))))
     alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    out = named.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next.fingerprint").alias("near_next"))
+    out = named.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"))
     known = digest.classes(docs).withColumnsRenamed({"doc_id": "id", "fingerprint": "print"})
     joined = out.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fingerprint") == F.col("print")), "left")
     return joined.select(*out.columns, "class_id", "copies")

@@ -304,7 +304,7 @@ def test_digest_classes_and_neighbours(docs, none, monkeypatch):
     order = sorted(led, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
     assert len(order) == docs.count()
     for k, r in enumerate(order):
-        assert (r.next.doc_id, r.next.text) == (order[(k + 1) % len(order)].doc_id, order[(k + 1) % len(order)].text)
+        assert (r.next_doc_id, r.next_text) == (order[(k + 1) % len(order)].doc_id, order[(k + 1) % len(order)].text)
     classes = {r.doc_id: r for r in digest.classes(docs).collect()}
     assert {classes[k].class_id for k in (0, 31, 32)} == {0} and classes[0].copies == 3
     assert {classes[k].class_id for k in (20, 21, 22)} == {20} and classes[3].copies == 3 and classes[5].copies == 1
