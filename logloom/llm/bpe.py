@@ -193,9 +193,9 @@ class _Encoder:
         if len(v.young) + len(words) > MEMO_WORDS:
             v.young, v.old = {}, v.young
         young, old = v.young, v.old
-        words = words.difference(young)
-        young.update([(w, old[w]) for w in words.intersection(old)])
-        new = {w: w.encode() for w in words.difference(old)}
+        words = [w for w in words if w not in young]
+        young.update([(w, old[w]) for w in words if w in old])
+        new = {w: w.encode() for w in words if w not in young}
         ids = v.encode_words(new.values())
         young.update([(w, ids[raw]) for w, raw in new.items()])
 
