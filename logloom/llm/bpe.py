@@ -9,7 +9,6 @@ words. Nothing is shuffled; memory is bounded by the vocabulary, one Arrow batch
 Null text counts as empty, and empty text has no ids. The special token's string in a text becomes its single id.
 """
 
-import gc
 import json
 from collections.abc import Iterable, Iterator
 
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import steady
+
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -221,7 +222,6 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def _encoded(batches: Batches, vocab: Vocabulary, text_col: str, ids_col: str) -> Batches:
-    gc.disable()  # the memo has no cycles, and searching it for some takes longer than encoding
     encoder = _Encoder(vocab)
     for batch in batches:
         for at in range(0, batch.num_rows, TOGETHER):
@@ -249,14 +249,14 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     """
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(docs, **{ids_col: T.BinaryType()})
-    return docs.mapInArrow(lambda batches: (b.select(schema.names) for b in _encoded(batches, vocab.value, text_col, ids_col)), schema)
+    return docs.mapInArrow(steady(lambda batches: (b.select(schema.names) for b in _encoded(batches, vocab.value, text_col, ids_col))), schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``text_col``: its ids as text, special tokens included; bytes that are no UTF-8 become U+FFFD. Null ids: empty."""
     tokens = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path).text)
     schema = _schema(encoded, **{text_col: T.StringType()})
-    return encoded.mapInArrow(lambda batches: (b.select(schema.names) for b in _decoded(batches, tokens.value, ids_col, text_col)), schema)
+    return encoded.mapInArrow(steady(lambda batches: (b.select(schema.names) for b in _decoded(batches, tokens.value, ids_col, text_col))), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -269,7 +269,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids
         for batch in _decoded(encoded, vocab.value.text, ids_col, decoded_col):
             yield batch.select(schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(steady(run), schema)
 
 
 def n_tokens(ids_col: str = "ids"):

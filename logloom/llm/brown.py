@@ -12,7 +12,6 @@ Scoring knows the ``KNOWN`` most frequent words by a broadcast of bounded size;
 counts. A null text counts as empty: its only token is the end. Rows with equal id and text get equal scores, each its row.
 """
 
-import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, steady
 
 FREQUENT, ENDINGS, CLASSES, ROUNDS = 8192, 512, 64, 4
 KNOWN, LONGEST = 1 << 18, 64
@@ -48,7 +47,6 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word BINARY, n LONG) over all texts, without the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         n: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -62,7 +60,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 n.clear()
         yield out()
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(steady(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def item_bigrams(docs: DataFrame, frequent: dict[bytes, int], text_col: str = "text") -> DataFrame:
@@ -70,7 +68,6 @@ def item_bigrams(docs: DataFrame, frequent: dict[bytes, int], text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         item, held, size = shared.value.get, [], 0
 
         def out() -> pa.RecordBatch:
@@ -90,7 +87,7 @@ def item_bigrams(docs: DataFrame, frequent: dict[bytes, int], text_col: str = "t
         if held:
             yield out()
 
-    rows = docs.select(text_col).mapInArrow(run, "before int, item int, n bigint")
+    rows = docs.select(text_col).mapInArrow(steady(run), "before int, item int, n bigint")
     return rows.groupBy("before", "item").agg(F.sum("n").alias("n"))
 
 
@@ -155,7 +152,7 @@ def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.n
                     t[shared.value[i]] += _profile(other[side == 1], n[side == 1], shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([t.ravel().tolist()], pa.list_(pa.float64()))], ["t"])
 
-        return sum((np.array(r.t) for r in profiles.mapInArrow(run, "t array<double>").collect()), np.zeros((REST + 1) ** 2)).reshape(REST + 1, -1)
+        return sum((np.array(r.t) for r in profiles.mapInArrow(steady(run), "t array<double>").collect()), np.zeros((REST + 1) ** 2)).reshape(REST + 1, -1)
 
     def moves(classes: np.ndarray, t: np.ndarray, who: np.ndarray) -> np.ndarray:
         """The classes after each of ``who`` has gone where it raises the likelihood of table ``t`` most."""
@@ -175,7 +172,7 @@ def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in moved], pa.int32()) for k in (0, 1)], ["i", "to"])
 
         out = classes.copy()
-        for i, to in profiles.mapInArrow(run, "i int, to int").collect():
+        for i, to in profiles.mapInArrow(steady(run), "i int, to int").collect():
             out[i] = to
         return out
 
@@ -274,7 +271,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(once[some])], ["g", "n", "once"])
 
-    groups = counts.mapInArrow(group, "g int, n bigint, once bigint").groupBy("g").agg(F.sum("n"), F.sum("once")).collect()
+    groups = counts.mapInArrow(steady(group), "g int, n bigint, once bigint").groupBy("g").agg(F.sum("n"), F.sum("once")).collect()
     classes, table = exchange(cut(item_bigrams(docs, frequent, text_col)))
     return Model(words, ends, total + ends, kinds + (ends > 0), {g: (n, once) for g, n, once in groups}, classes, table), counts
 
@@ -286,7 +283,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, weight: float = SHAR
     names = ["id", "hash", "sums", "word", "seen", "unseen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -298,7 +294,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, weight: float = SHAR
                     pa.array([*[None] * none, *words], pa.binary()), pa.array([*[None] * none, *seen.tolist()], pa.float64()), pa.array([*[None] * none, *unseen.tolist()], pa.float64()),
                 ], names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text_col).mapInArrow(run, f"id {kind}, hash bigint, sums array<double>, word binary, seen double, unseen double")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text_col).mapInArrow(steady(run), f"id {kind}, hash bigint, sums array<double>, word binary, seen double, unseen double")
     plain = F.lit((1 - weight) / model.size)
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     joined = rows.join(counts, "word", "left")

@@ -9,7 +9,6 @@ Null texts count as empty and have no chunks. A null id sorts first. Removal nev
 the bytes of a character that it would split. Repeated rows of an id and text are one text: they get the same result.
 """
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, steady
 
 WINDOW, BITS, LEAST, MOST, RUN = 32, 5, 16, 128, 100
 
@@ -68,7 +67,6 @@ def chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         table, digest = gear_table(), xxhash.xxh3_128_digest
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -85,7 +83,7 @@ def chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
                 index = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], ["id", "key", "start", "size", "high", "low"])
 
-    return docs.select(F.col(id_col).alias("id"), _key(id_col, text_col), text_col).mapInArrow(run, f"id {kind}, key bigint, start int, size int, high bigint, low bigint")
+    return docs.select(F.col(id_col).alias("id"), _key(id_col, text_col), text_col).mapInArrow(steady(run), f"id {kind}, key bigint, start int, size int, high bigint, low bigint")
 
 
 def copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -128,7 +126,6 @@ def dedupe(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     joined = keyed.join(copies(docs, text_col, id_col).withColumnsRenamed({"key": "_key", "found": "_found"}), "_key", "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for batch in batches:
             kept, spans, shared = [], [], []
             for text, found in zip(batch.column(text_col), batch.column("_found")):
@@ -150,4 +147,4 @@ def dedupe(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
             pairs = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(kept, pa.string()), pa.array([[[*s] for s in x] for x in spans], pairs), pa.array([[[*s] for s in x] for x in shared], pairs)], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(steady(run), schema)

@@ -11,7 +11,6 @@ A null text counts as empty; texts without words have the fingerprint 0, which l
 joined once, whatever their number. A null id takes part; a component's id is its smallest id that is not null.
 """
 
-import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, steady
 
 #: Rows of a bucket that one task joins; larger buckets are salted.
 BUCKET = 4096
@@ -51,13 +50,12 @@ def fingerprints(docs: DataFrame, words: int = 4, text_col: str = "text", id_col
     """(``id_col``, fp LONG): the 64-bit SimHash over shingles of ``words`` words, repeats included, of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for batch in batches:
             fps = [_fingerprint(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {kind}, fp bigint")
 
 
 def _tables(n: int, budget: int) -> list[int]:
@@ -172,7 +170,7 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
         if size:
             yield join(np.concatenate(held))
 
-    found = dealt.repartition("mask", "bits", "part").sortWithinPartitions("mask", "bits", "part").mapInArrow(run, "u bigint, v bigint")
+    found = dealt.repartition("mask", "bits", "part").sortWithinPartitions("mask", "bits", "part").mapInArrow(steady(run), "u bigint, v bigint")
     return found.distinct()
 
 

@@ -16,7 +16,6 @@ Anchors with more than ``GROUP`` contexts take another exact way: their strings
 A null text counts as empty; texts shorter than ``width`` have no strings. Matches never cross texts. Repeated rows repeat each other.
 """
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, steady
 
-WIDTH, GRAM, GROUP = 200, 32, 20_000
+WIDTH, GRAM, GROUP = 200, 32, 8000
 #: Bits of a position beside the hash in an anchor's order; longer texts are taken in overlapping pieces.
 PLACE = 26
 #: Phrases end where a hash of their last LOOK bytes has so many zero bits.
 LOOK, PHRASE_BITS = 4, 4
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 9) for b in range(256)], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -219,7 +218,6 @@ def _found(docs: DataFrame, width: int) -> DataFrame:
     """(key, start, strings INT, gram, high, low LONG): each context of each text, with its anchor's hash and its own digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -235,7 +233,7 @@ def _found(docs: DataFrame, width: int) -> DataFrame:
                 start, strings, _, gram = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int32()), pa.array(strings, pa.int32()), pa.array(gram, pa.int64()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], ["key", "start", "strings", *_KEYS])
 
-    return docs.select("key", "text").mapInArrow(run, "key bigint, start int, strings int, gram bigint, high bigint, low bigint")
+    return docs.select("key", "text").mapInArrow(steady(run), "key bigint, start int, strings int, gram bigint, high bigint, low bigint")
 
 
 def _bytes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -254,14 +252,13 @@ def _bytes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [*_KEYS, "many", "data"])
 
     schema = "gram bigint, high bigint, low bigint, many bigint, data binary"
-    return docs.join(listed, "key").select("text", "wanted").mapInArrow(run, schema).dropDuplicates(_KEYS)
+    return docs.join(listed, "key").select("text", "wanted").mapInArrow(steady(run), schema).dropDuplicates(_KEYS)
 
 
 def _grouped(contexts: DataFrame, width: int) -> DataFrame:
     """(gram, high, low, ranges ARRAY<INT>): the repeated strings of each context, all contexts of an anchor in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         held: list[tuple] = []
         size = 0
 
@@ -280,7 +277,7 @@ def _grouped(contexts: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram bigint, high bigint, low bigint, ranges array<int>")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(steady(run), "gram bigint, high bigint, low bigint, ranges array<int>")
 
 
 def _counted(contexts: DataFrame, width: int) -> DataFrame:
@@ -293,7 +290,7 @@ def _counted(contexts: DataFrame, width: int) -> DataFrame:
                 wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(row[4][k : k + width]) for k in range(n)]), ">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([*[pa.array([row[k]] * n, pa.int64()) for k in range(4)], pa.array(range(n), pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], [*_KEYS, "many", "nth", "a", "b"])
 
-    strings = cut(contexts.mapInArrow(run, "gram bigint, high bigint, low bigint, many bigint, nth int, a bigint, b bigint"))
+    strings = cut(contexts.mapInArrow(steady(run), "gram bigint, high bigint, low bigint, many bigint, nth int, a bigint, b bigint"))
     often = strings.groupBy("a", "b").agg(F.sum("many").alias("n")).filter("n > 1").select("a", "b")
     return strings.join(often, ["a", "b"]).groupBy(*_KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list("nth")), lambda k: F.array(k, k + 1))).alias("ranges"))
 
@@ -345,4 +342,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
                 removed.append(runs)
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.list_(pa.int32())))], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(steady(run), schema)

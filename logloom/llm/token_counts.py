@@ -9,7 +9,6 @@ Trees travel as their leaves: two 32-bit integers a word, its characters and its
 ordinary text. A null text counts as empty, and null edits as none. Positions outside the text are moved to its nearest end.
 """
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _WORDS, Vocabulary, _Encoder, _schema, _with_column
+from .shared import steady
 
 BLOCK = 32
 #: Characters before an edit that its change can reach: a word looks at two characters after it at most.
@@ -116,7 +116,6 @@ _EDITED = {"edited": T.StringType(), "leaves": T.BinaryType(), "n_tokens_before"
 
 
 def _built(batches: Batches, vocab: Vocabulary, text_col: str) -> Batches:
-    gc.disable()
     counter = _Counter(vocab)
     for batch in batches:
         for at in range(0, batch.num_rows, TOGETHER):
@@ -129,7 +128,6 @@ def _built(batches: Batches, vocab: Vocabulary, text_col: str) -> Batches:
 
 
 def _edited(batches: Batches, vocab: Vocabulary, text_col: str, edits_col: str) -> Batches:
-    gc.disable()
     counter = _Counter(vocab)
     for batch in batches:
         out = {k: [] for k in _EDITED}
@@ -151,7 +149,7 @@ def build(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataF
     """``docs`` with ``leaves``, the tree of each whole text, and n_tokens."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(docs, **_BUILT)
-    return docs.mapInArrow(lambda batches: (b.select(schema.names) for b in _built(batches, vocab.value, text_col)), schema)
+    return docs.mapInArrow(steady(lambda batches: (b.select(schema.names) for b in _built(batches, vocab.value, text_col))), schema)
 
 
 def apply(built: DataFrame, tokenizer_path: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -162,7 +160,7 @@ def apply(built: DataFrame, tokenizer_path: str, text_col: str = "text", edits_c
     """
     vocab = built.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(built, **_EDITED)
-    return built.mapInArrow(lambda batches: (b.select(schema.names) for b in _edited(batches, vocab.value, text_col, edits_col)), schema)
+    return built.mapInArrow(steady(lambda batches: (b.select(schema.names) for b in _edited(batches, vocab.value, text_col, edits_col))), schema)
 
 
 def build_and_apply(docs: DataFrame, tokenizer_path: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -174,7 +172,7 @@ def build_and_apply(docs: DataFrame, tokenizer_path: str, text_col: str = "text"
         for batch in _edited(_built(batches, vocab.value, text_col), vocab.value, text_col, edits_col):
             yield batch.select(schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(steady(run), schema)
 
 
 def with_edits(built: DataFrame, edits: DataFrame, id_col: str = "doc_id", order_col: str = "nth") -> DataFrame:
