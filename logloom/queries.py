@@ -17,6 +17,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Columns of sums of whole numbers.
+LONG_SUMS = {
+    "split_summary": "anomalies n_lines", "regex_topk": "freq", "column_counts": "cnt", "confusion": "tp fp fn tn", "early_rule": "tp fp fn", "metric_series": "open_sessions alerts",
+    "chunk_metrics": "tp fp", "alert_analysis": "true_alarms false_alarms", "run_rollup": "n_incremental",
+}
+
 HEADER = 4
 AGE, GATE = 86_400, 10
 
@@ -25,7 +31,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            # DuckDB sums whole numbers to 128 bits; Spark to 64.
+            names = LONG_SUMS.get(f.__name__, "").split()
+            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in names)}) FROM ({sql})" if names else sql
         return f
 
     return add
