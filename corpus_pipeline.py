@@ -7,13 +7,13 @@ texts are never toxic, count as empty texts and never enter the mix. An empty ta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, cdc, mixing, simhash, toxicity
+from logloom.llm import bpe, cdc, jaccard, mixing, toxicity
 from logloom.llm.queries import TOKENIZER
 from logloom.llm.shared import cut, documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates: shingles of five words; bits that two fingerprints may differ in.
-WORDS, BITS = 5, 6
+#: Words of a shingle; near duplicates share four fifths of their shingles or more.
+WORDS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates (a null id comes first); of repeated rows one stays."""
     keyed = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash")).alias("_row"))
-    grouped = cut(simhash.groups(keyed, WORDS, BITS, id_col="_row"))
+    grouped = cut(jaccard.groups(keyed, WORDS, id_col="_row"))
     lost = grouped.filter("_row != component_id").select("_row").distinct()
     repeated = grouped.groupBy("_row").count().filter("count > 1").select("_row")
     gone = lost.union(repeated)

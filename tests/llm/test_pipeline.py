@@ -34,6 +34,35 @@ def test_one_of_each_group_stays(spark, docs, sf):
     assert pipeline.drop_near_duplicates(spark, docs.limit(0), sf).count() == 0
 
 
+def test_near_duplicates_as_by_brute_force(spark, docs, sf):
+    def grams(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def edited(n, at):
+        w = [f"{at}w{k}" for k in range(n + 4)]
+        return " ".join(w), lambda m: " ".join(["x"] * m + w[m:])
+
+    rows, n = [], 9000
+    for at in range(8):  # changes at the beginning take one shingle each: similarity (100 - m) / (100 + m)
+        text, change = edited(100, f"t{at}")
+        for m in (0, 11, 12, 20)[: 2 + at % 3]:
+            rows.append((n, change(m), "en", "x", 0))
+            n += 1
+    rows += [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.filter("text is not null").limit(150).collect()]
+    sets = {r[0]: grams(r[1]) for r in rows}
+    root = {k: k for k in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    want = {k for k, v in root.items() if k == v}
+    kept = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
 def test_substrings_keep_all_rows(spark, docs, sf):
     out = pipeline.drop_repeated_substrings(spark, docs, sf)
     assert out.columns == docs.columns and out.count() == docs.count() and out.filter("n_chars != length(text)").count() == 0
