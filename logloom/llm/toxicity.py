@@ -1,8 +1,9 @@
 """Toxicity by a noisy channel: obfuscated spellings are restored, then the restored text is scored.
 
 A character trigram model is counted over all documents. A token that holds leetspeak, inner separators or a letter three
-times in a row, and any run of three or more single letters, becomes a lattice: each character can stand for the letters it
-may hide, for itself or, if it separates or repeats, for nothing. Viterbi finds the path that the channel and the character
+times in a row, of any length, and any run of three or more single characters that are letters or leetspeak, with any white
+space between them and a letter among them, becomes a lattice: each character can stand for the letters it may hide, for
+itself or, if it separates or repeats, for nothing. Viterbi finds the path that the channel and the character
 model like best. The restored tokens then give evidence: a word and its beginnings weigh their log odds between toxic and other
 documents, less ``Z`` standard errors. A document's strongest pieces of evidence enter a logistic model.
 
@@ -43,7 +44,8 @@ OTHER, BORDER, SYMBOLS = 26, 27, 28
 HIDDEN, DROPPED, DIGIT, REPEATED, SPACED, BROKEN = -1.0, -3.0, -9.0, -0.5, -0.2, -2.0
 
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_][ ]){2,}[^\W\d_](?!\S)")
+_SINGLE = rf"(?:[^\W\d_]|[{re.escape(''.join(LEET))}])"
+_SINGLES = re.compile(rf"(?<!\S)(?:{_SINGLE}\s++){{2,}}{_SINGLE}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGE = "\"#%&()*,-./:;<=>?[]^_`{}~'"
 
@@ -100,22 +102,33 @@ class Restorer:
         return out
 
     def restore(self, text: str) -> str:
-        best = {(BORDER, BORDER): (0.0, "")}
+        # A path is its last letter and the path before it, so that long texts stay linear.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(BORDER, BORDER): (0.0, None)}
         for at in range(len(text)):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             options = self._options(text, at)
             for (a, b), (score, out) in best.items():
                 row = self.cost[a][b]
                 for letter, p in options:
                     if letter:
                         s = BORDER if letter == " " else ord(letter) - 97 if "a" <= letter <= "z" else OTHER
-                        key, total, grown = (b, s), score + p + row[s], out + letter
+                        key, total, grown = (b, s), score + p + row[s], (letter, out)
                     else:
                         key, total, grown = (a, b), score + p, out
                     if key not in step or total > step[key][0]:
                         step[key] = (total, grown)
             best = step
-        return max((score + self.cost[a][b][BORDER], out) for (a, b), (score, out) in best.items())[1]
+        ends = [(score + self.cost[a][b][BORDER], out) for (a, b), (score, out) in best.items()]
+        most = max(score for score, _ in ends)
+        return max(self._spelled(out) for score, out in ends if score == most)
+
+    @staticmethod
+    def _spelled(path: tuple | None) -> str:
+        letters = []
+        while path:
+            letters.append(path[0])
+            path = path[1]
+        return "".join(reversed(letters))
 
 
 class Model:
@@ -138,7 +151,7 @@ class Model:
         if not core:
             return ()
         odd = not core.isalpha()
-        if not _LETTER.search(core) or len(core) > 40:
+        if not _LETTER.search(core):
             return (core,)
         if odd or _TRIPLE.search(core):
             core = self.restorer.restore(core)
@@ -149,7 +162,8 @@ class Model:
         text = text.lower()
         found = set(text.split())
         for run in _SINGLES.findall(text):
-            found.update(self.restorer.restore(run).split())
+            if _LETTER.search(run):
+                found.update(self.restorer.restore(" ".join(run.split())).split())
         words, out = self.words, set()
         if len(words) > MEMO:
             words.clear()

@@ -221,6 +221,17 @@ def test_toxicity_restores_and_learns(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_restores_long_tokens_and_mixed_spacing():
+    counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+    for word in ("grumbold", "snarkish", "vilewort"):
+        c = np.concatenate([[toxicity.BORDER] * 2, toxicity._codes(word), [toxicity.BORDER]])
+        np.add.at(counts, c[:-2] * toxicity.SYMBOLS**2 + c[1:-1] * toxicity.SYMBOLS + c[2:], 1000)
+    model = toxicity.Model(counts)
+    for text in ("gr" + "u" * 60 + "mbold", ".".join("grumbold" + "-" * 30), "g" + "._-" * 20_000 + "rumbold", "g r u m 8 0 l d", "g  r\tu\nm b  o l d"):
+        assert "grumbold" in model.tokens(text), text[:80]
+    assert model.tokens("1 2 3 4") == {"1", "2", "3", "4"}
+
+
 def brute_simhash(text: str | None) -> int:
     import xxhash
 
