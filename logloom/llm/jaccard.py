@@ -10,6 +10,7 @@ compared by its sets, and only pairs of 4/5 or more become links. Components abo
 A null text counts as empty. Texts of fewer words than a shingle have one shingle; equal sets are joined once.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import cut, steady
 from .simhash import _Forest, components
 
-SLOTS, CHUNK = 1 << 20, 1 << 14
+SLOTS, CHUNK = 1 << 22, 1 << 16
 #: Sets that one task compares, and texts whose prefixes are merged together.
 BUCKET, TOGETHER = 1024, 5000
 
@@ -101,7 +102,7 @@ def nodes(docs: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], [id_col, "node", "chunk", "counts"])
         if kind is not None:
             k = SLOTS // CHUNK
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([c.tobytes() for c in slots.reshape(k, CHUNK)], pa.binary())], [id_col, "node", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in slots.reshape(k, CHUNK)], pa.binary())], [id_col, "node", "chunk", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {kind}, node bigint, chunk int, counts binary")
@@ -114,7 +115,7 @@ def slot_counts(counted: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(c, np.int32)
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
 
     slots = np.zeros((SLOTS // CHUNK, CHUNK), np.int32)
@@ -162,15 +163,18 @@ def candidates(docs: DataFrame, slots: np.ndarray, words: int, text_col: str) ->
             yield from out()
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.column_stack([c.to_numpy() for c in batch.columns]) for batch in batches if batch.num_rows]
-        if held:
-            table = np.concatenate(held)
-            _, _, u, v = _chain(table[:, 0], table[:, 1])
+        heads, of = [], []
+        for batch in batches:
+            head = batch.filter(batch.column(0).is_valid())
+            heads.append(head.column(0).to_numpy())
+            of.append(head.column(1).to_numpy())
+            yield batch.filter(batch.column(2).is_valid()).select(["u", "v"])
+        if heads:
+            _, _, u, v = _chain(np.concatenate(heads), np.concatenate(of))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    both = cut(docs.select(text_col).mapInArrow(steady(near), "shingle bigint, u bigint, v bigint"))
-    across = both.filter("shingle is not null").select("shingle", "u").repartition("shingle").mapInArrow(steady(far), "u bigint, v bigint")
-    return both.filter("shingle is null").select("u", "v").union(across).distinct()
+    both = docs.select(text_col).mapInArrow(steady(near), "shingle bigint, u bigint, v bigint")
+    return both.repartition("shingle", "v").mapInArrow(steady(far), "u bigint, v bigint").distinct()
 
 
 def links(rows: DataFrame, words: int) -> DataFrame:
