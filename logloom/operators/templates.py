@@ -1,10 +1,13 @@
 """Message templates after He et al., Drain, 2017: greedy clusters of terms with equal length and first token."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WILD = "<*>"
+#: Terms of a leaf that one task clusters; larger leaves are dealt over parts.
+LEAF = 5000
 
 
 def _keys(term: Column) -> dict[str, Column]:
@@ -13,30 +16,56 @@ def _keys(term: Column) -> dict[str, Column]:
     return {"tokens": tokens, "n_tokens": F.size(tokens), "head": F.when(head.rlike(r"\d"), WILD).otherwise(head)}
 
 
+def _cluster(terms: pd.Series, similarity: float) -> tuple[list[list[str]], list[int]]:
+    """The templates of terms of one length, in order, and the position of the term that opened each."""
+    codes: dict[str, int] = {WILD: 0}
+    names, opened = [WILD], []
+    found = np.zeros((64, len(terms.iloc[0])), np.int64)
+    for at, tokens in enumerate(terms):
+        for t in tokens:
+            if t not in codes:
+                codes[t] = len(names)
+                names.append(t)
+        row, n = np.array([codes[t] for t in tokens]), len(opened)
+        if n:
+            wild = found[:n] == 0
+            equal = ((found[:n] == row) & ~wild).sum(axis=1)
+            k = int((equal * (len(row) + 1) + wild.sum(axis=1)).argmax())
+            if equal[k] / len(row) >= similarity:
+                found[k][found[k] != row] = 0
+                continue
+        if n == len(found):
+            found = np.concatenate([found, np.zeros_like(found)])
+        found[n] = row
+        opened.append(at)
+    return [[names[c] for c in row] for row in found[: len(opened)].tolist()], opened
+
+
 def fit_templates(freq: DataFrame, similarity: float = 0.4) -> DataFrame:
     """(n_tokens, head, nth, template ARRAY<STRING>) from (term, term_id, freq), most frequent terms first, ties by id.
 
     A term joins the most similar cluster of its leaf if the share of equal tokens reaches ``similarity``, else it opens one;
-    where tokens differ the template turns wild. Leaves are independent of each other, so Spark deals them out.
+    where tokens differ the template turns wild. Leaves are independent of each other, so Spark deals them out. Leaves of more
+    than ``LEAF`` terms are clustered in parts, by a hash of the terms' ids, and their templates once more by the same rule, in the
+    order of the terms that opened them. One greedy pass would do without the second step: it may put a term into another cluster.
     """
 
     def cluster(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[str]] = []
-        for tokens in df.sort_values(["freq", "term_id"], ascending=[False, True]).tokens:
-            best, chosen = (-1.0, -1), None
-            for t in found:
-                equal = sum(a == b and a != WILD for a, b in zip(t, tokens))
-                wild = sum(a == WILD for a in t)
-                if (equal / len(tokens), wild) > best:
-                    best, chosen = (equal / len(tokens), wild), t
-            if chosen is not None and best[0] >= similarity:
-                chosen[:] = [a if a == b else WILD for a, b in zip(chosen, tokens)]
-            else:
-                found.append([*tokens])
+        df = df.sort_values(["freq", "term_id"], ascending=[False, True])
+        found, opened = _cluster(df.tokens, similarity)
+        first = df.iloc[opened]
+        return pd.DataFrame({"n_tokens": key[0], "head": key[1], "parts": key[2], "freq": first.freq.to_numpy(), "term_id": first.term_id.to_numpy(), "template": found})
+
+    def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["freq", "term_id"], ascending=[False, True])
+        found = _cluster(df.template, similarity)[0] if key[2] > 1 else list(df.template)
         return pd.DataFrame({"n_tokens": key[0], "head": key[1], "nth": range(len(found)), "template": found})
 
-    rows = freq.filter("freq > 0").withColumns(_keys(F.col("term")))
-    return rows.select("n_tokens", "head", "tokens", "freq", "term_id").groupBy("n_tokens", "head").applyInPandas(cluster, "n_tokens int, head string, nth int, template array<string>")
+    rows = freq.filter("freq > 0").withColumns(_keys(F.col("term"))).select("n_tokens", "head", "tokens", F.col("freq").cast("long").alias("freq"), F.col("term_id").cast("long").alias("term_id"))
+    hot = rows.groupBy("n_tokens", "head").count().filter(F.col("count") > LEAF).select("n_tokens", "head", F.ceil(2 * F.col("count") / LEAF).cast("int").alias("parts"))
+    dealt = rows.join(hot, ["n_tokens", "head"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("term_id"), F.col("parts")))
+    parted = dealt.groupBy("n_tokens", "head", "parts", "part").applyInPandas(cluster, "n_tokens int, head string, parts int, freq long, term_id long, template array<string>")
+    return parted.groupBy("n_tokens", "head", "parts").applyInPandas(merge, "n_tokens int, head string, nth int, template array<string>")
 
 
 def match_templates(terms: DataFrame, templates: DataFrame) -> DataFrame:

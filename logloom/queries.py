@@ -389,7 +389,7 @@ def drain_templates(spark: SparkSession, d: str) -> DataFrame:
     """Templates of the masked lines of all documents, most frequent lines first."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
-    freq = lines.groupBy(S.mask(F.col("line")).alias("term")).agg(F.sum("n").alias("freq")).filter("freq > 1 and term <> ''").withColumn("term_id", F.xxhash64("term"))
+    freq = lines.groupBy(S.mask(F.col("line")).alias("term")).agg(F.sum("n").alias("freq")).filter("term <> ''").withColumn("term_id", F.xxhash64("term"))
     return templates.fit_templates(freq).select("n_tokens", "head", "nth", F.array_join("template", " ").alias("template"))
 
 

@@ -96,6 +96,18 @@ def test_columns_and_weights(spark):
     assert w["a", 1] == pytest.approx(x / math.hypot(x, y)) and w["c", 0] == pytest.approx(1)
 
 
+def test_templates_of_hot_leaves_and_single_lines(spark, tmp_path, monkeypatch):
+    from logloom import queries
+
+    text = "\n".join(f"send w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} to node" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (2, "only one line here once")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {"send <*> to node", "only one line here once"}
+    for leaf in (templates.LEAF, 5):
+        monkeypatch.setattr(templates, "LEAF", leaf)
+        assert [*sorted(r.template for r in queries.QUERIES["drain_templates"](spark, str(tmp_path)).collect())] == sorted(want)
+
+
 def test_templates(spark):
     freq = spark.createDataFrame([("send block <*> to node a", 50, 0), ("send block <*> to node b", 10, 1), ("delete file now", 5, 2), ("never seen here", 0, 3)], "term string, freq long, term_id long")
     columns, named = templates.template_columns(freq.select("term", "freq"), freq.select("term", "term_id"))
