@@ -804,11 +804,21 @@ def held_over(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- streaming ---------------------------------------------------------------------------------------------------------
 
+def write_in_order(events: DataFrame, path: str, batches: int) -> None:
+    """``events`` as a file for each range of log_t, one written after the other: the file source goes by modification time."""
+    events = cut(events)
+    marks = sorted(set(events.select(F.percentile_approx("log_t", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []))
+    at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col("log_t"))) if marks else F.lit(0)
+    ranged = events.withColumn("_at", F.when(F.col("log_t").isNull(), 0).otherwise(at))
+    for k in range(len(marks) + 1):
+        ranged.filter(F.col("_at") == k).drop("_at").repartition(1).write.mode("append").parquet(path)
+
+
 def run_stream(events: DataFrame, scorer: detect.Scorer, min_lines: int, lateness: str, batches: int = 4) -> DataFrame:
     """Alerts for ``events`` (key, col, log_t, event_time), written as files in order of time and read as a stream."""
     spark = events.sparkSession
     path = shared_path(spark)
-    events.repartitionByRange(batches, "log_t").write.parquet(f"{path}/in")
+    write_in_order(events, f"{path}/in", batches)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     found = detect.detect(stream, scorer, min_lines, lateness)
     running = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")

@@ -65,3 +65,11 @@ def test_model_tables_round_trip(spark, sf, tmp_path):
     again = anomaly.AnomalyModel.load(spark, str(tmp_path / "m"))
     a, b = ({r.session_id: (round(r.score, 9), r.flagged) for r in m.transform(rows).collect()} for m in (model, again))
     assert a == b and a
+
+
+def test_stream_files_rise_with_time(spark, tmp_path):
+    rows = [(f"k{n}", n % 3, float((n * 7919) % 20_000), "x" * (400 if (n * 7919) % 20_000 < 5000 else 1)) for n in range(20_000)] + [("odd", 1, None, "")]
+    base.write_in_order(spark.createDataFrame(rows, "key string, col int, log_t double, line string").repartition(4), f"{tmp_path}/in", 4)
+    files = sorted(tmp_path.glob("in/*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    spans = [spark.read.parquet(str(f)).selectExpr("min(log_t)", "max(log_t)", "count(*)").first() for f in files]
+    assert len(spans) == 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and sum(s[2] for s in spans) == len(rows)
