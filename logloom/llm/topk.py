@@ -8,7 +8,8 @@ query's largest coordinates with Cauchy-Schwarz on the rest, at a low one by len
 Blocks of queries meet blocks of candidates in a join on the block's number; no task holds more than one block of each.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Shorter vectors count as padded with zeros.
-Rows with the query's own id are not its candidates. Ties go to smaller ids; repeated rows of an id count each.
+Rows with the query's own id are not its candidates. Ties go to smaller ids; repeated rows of an id count each, as queries and
+as candidates, but are searched once for each distinct (id, vector), with their number.
 """
 
 from collections.abc import Callable, Iterator
@@ -40,7 +41,7 @@ def vectors(df: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vector
 
 def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each block, its vectors as one binary, the longest first."""
-    schema = ", ".join(f"{k} int" for k in keys) + ", ids binary, lengths binary, vectors binary, width int"
+    schema = ", ".join(f"{k} int" for k in keys) + ", ids binary, many binary, lengths binary, vectors binary, width int"
 
     def pack(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["length", "vec_id"], ascending=[False, True])
@@ -48,7 +49,7 @@ def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
         m = np.zeros((len(df), width))
         for k, v in enumerate(df.v):
             m[k, : len(v)] = v
-        return pd.DataFrame([[*key, df.vec_id.to_numpy("<i8").tobytes(), df.length.to_numpy("<f8").tobytes(), m.astype("<f8").tobytes(), width]], columns=[*keys, "ids", "lengths", "vectors", "width"])
+        return pd.DataFrame([[*key, df.vec_id.to_numpy("<i8").tobytes(), df.many.to_numpy("<i8").tobytes(), df.length.to_numpy("<f8").tobytes(), m.astype("<f8").tobytes(), width]], columns=[*keys, "ids", "many", "lengths", "vectors", "width"])
 
     return rows.groupBy(*keys).applyInPandas(pack, schema)
 
@@ -68,7 +69,7 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def search_block(q_ids: np.ndarray, q_lengths: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c_lengths: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, its id and the ids and scores of a block's candidates that may be among its k best, k at most."""
+    """For each query, its place and the places and scores of a block's candidates that may be among its k best, k at most."""
     longest = c_lengths[0] if len(c_lengths) else 0.0
     slack = 1e-9
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -97,38 +98,42 @@ def search_block(q_ids: np.ndarray, q_lengths: np.ndarray, q: np.ndarray, floors
                 kept.append((x, some, _products(q[x : x + 1], c[some])[0]))
     for x, some, scores in kept:
         ok = (c_ids[some] != q_ids[x]) & (scores >= floors[x])
-        ids, scores = c_ids[some][ok], scores[ok]
-        if len(ids) > k:
+        some, scores = some[ok], scores[ok]
+        if len(some) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            ids, scores = ids[scores >= least], scores[scores >= least]
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-        if len(ids):
-            yield q_ids[x], ids, scores
+            some, scores = some[scores >= least], scores[scores >= least]
+            order = np.lexsort((c_ids[some], -scores))[:k]
+            some, scores = some[order], scores[order]
+        if len(some):
+            yield int(x), some, scores
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of every block of queries against every block of candidates, k at most of each block."""
-    n = queries.count()
-    left = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    right = queries.select("q_block", *[F.col(x).alias(f"q_{x}") for x in ("ids", "lengths", "vectors", "width", "floors")])
+    """(query_id, vec_id, score, many) of every block of queries against every block of candidates, k at most of each block."""
+    n = (queries.agg(F.max("q_block")).first()[0] or 0) + 1
+    left = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = queries.select("q_block", *[F.col(x).alias(f"q_{x}") for x in ("ids", "many", "lengths", "vectors", "width", "floors")])
     pairs = left.repartition("q_block", "bucket", "block").join(right.hint("shuffle_hash") if n > 64 else F.broadcast(right), "q_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k_row in range(batch.num_rows):
                 row = {name: batch.column(name)[k_row].as_py() for name in batch.schema.names}
-                found = [*search_block(*_unpack(row, "q_"), np.frombuffer(row["q_floors"], "<f8"), *_unpack(row), k)]
+                q, c = _unpack(row, "q_"), _unpack(row)
+                found = [*search_block(*q, np.frombuffer(row["q_floors"], "<f8"), *c, k)]
                 if found:
-                    ids = np.repeat(np.array([f[0] for f in found]), [len(f[1]) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"])
+                    at = np.repeat(np.array([f[0] for f in found]), [len(f[1]) for f in found])
+                    some, scores = (np.concatenate([f[x] for f in found]) for x in (1, 2))
+                    many = np.minimum(np.frombuffer(row["q_many"], "<i8")[at].astype(float) * np.frombuffer(row["many"], "<i8")[some], k).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[0][at], c[0][some], scores, many)], ["query_id", "vec_id", "score", "many"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long, many long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The rows that hold each query's ranks up to ``k``: ``many`` of them, or as many as there is room for, after rank ``above``."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return found.withColumn("above", F.sum("many").over(order) - F.col("many")).filter(F.col("above") < k).withColumn("many", F.least("many", k - F.col("above")))
 
 
 def top_k(rows: DataFrame, is_query: Callable[[str], object], k: int = 10) -> DataFrame:
@@ -136,7 +141,7 @@ def top_k(rows: DataFrame, is_query: Callable[[str], object], k: int = 10) -> Da
 
     ``rows``: from ``vectors()``; ``is_query``: a condition on the id's column.
     """
-    rows = cut(rows)
+    rows = cut(rows.groupBy("vec_id", "v").agg(F.first("length").alias("length"), F.count("*").alias("many")))
     marks = rows.select(F.percentile_approx("length", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).first()[0] or []
     bounds = sorted(set(marks), reverse=True)
     bucket = F.aggregate(F.array(*[F.lit(float(b)) for b in bounds]), F.lit(0), lambda a, b: a + (F.col("length") < b).cast("int")) if bounds else F.lit(0)
@@ -146,7 +151,7 @@ def top_k(rows: DataFrame, is_query: Callable[[str], object], k: int = 10) -> Da
     candidates = cut(_pack(sized.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")), ["bucket", "block"]))
     asked = rows.filter(is_query("vec_id"))
     n = asked.count()
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // QUERIES)))).cast("int"))
+    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-n // QUERIES)))).cast("int"))
     queries = cut(_pack(asked, ["q_block"]))
 
     def floored(floors: DataFrame | None) -> DataFrame:
@@ -169,6 +174,8 @@ def top_k(rows: DataFrame, is_query: Callable[[str], object], k: int = 10) -> Da
 
     first = (F.col("bucket") == 0) & (F.col("block") == 0)
     start = cut(_best(_meet(floored(None), candidates.filter(first), k), k))
-    floors = start.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k)
+    floors = start.groupBy("query_id").agg(F.sum("many").alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k)
     rest = _meet(cut(floored(floors)), candidates.filter(~first), k)
-    return _best(start.select("query_id", "vec_id", "score").union(rest), k).select("query_id", "rank", "vec_id", "score")
+    best = _best(start.select("query_id", "vec_id", "score", "many").union(rest), k)
+    ranks = F.sequence((F.col("above") + 1).cast("int"), (F.col("above") + F.col("many")).cast("int"))
+    return best.select("query_id", F.explode(ranks).alias("rank"), "vec_id", "score")

@@ -99,6 +99,21 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(topk.vectors(df.limit(0)), lambda c: __import__("pyspark.sql.functions", fromlist=["col"]).col(c) % 100 == 0).count() == 0
 
 
+def test_topk_of_repeated_rows_as_sql(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    rng = random.Random(4)
+    rows = [(k, [float(rng.randint(-4, 4)) for _ in range(5)]) for k in (100, 200, 300, 1, 2, 3, 4, 5)]
+    rows += rows[:1] * 30 + rows[4:5] * 2 + [(200, [1.0] * 5)] * 3  # many copies of few ids: most numbers of blocks stay empty
+    got = topk.top_k(topk.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), lambda c: F.col(c) % 100 == 0).collect()
+    want = []
+    for q in (100, 200, 300):
+        best = sorted((-sum(int(a * 1024) * int(b * 1024) for a, b in zip(v, w)), i) for x, v in rows if x == q for i, w in rows if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_mixing_meets_targets(docs, none, spark):
     mixed = mixing.mix(docs.withColumnRenamed("lang", "target"), shards=4)
     rows = mixed.collect()
