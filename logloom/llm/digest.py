@@ -1,6 +1,7 @@
 """Exact document fingerprints: a wide digest of the canonical text; DataFrame functions only.
 
-Canonical means: Unicode compatibility composition (NFKC), lower case, runs of white space as one space, none at the ends. The
+Canonical means: Unicode compatibility composition (NFKC) before and after full case folding, runs of white space as one space,
+none at the ends. White space is U+0009-000D, U+001C-0020, U+0085 and the separators of Unicode's category Z. The
 fingerprint is four 64-bit xxhash values of the canonical text under different prefixes, 64 hexadecimal digits. Rows of equal
 fingerprint are grouped with their canonical text, so that bytes decide; only texts whose fingerprint is not alone are
 shuffled for that. As the digest is exact, two fingerprints are alike (1.0) or not (0.0).
@@ -19,9 +20,11 @@ FILTER_BITS = 1 << 22
 
 
 def canonical(text: Column) -> Column:
-    """ICU's composition, which Spark ships for collations, then case and white space."""
-    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\s\p{Z}]+", " "))
+    """ICU's composition and case folding, which Spark ships for collations, then white space."""
+    icu = lambda name, method, x: F.call_function("java_method", F.lit(f"com.ibm.icu.{name}"), F.lit(method), x, F.lit(True))
+    compose = lambda x: icu("text.Normalizer", "compose", x)
+    folded = compose(icu("lang.UCharacter", "foldCase", compose(F.coalesce(text, F.lit("")))))
+    return F.trim(F.regexp_replace(folded, r"[\s\x1C-\x1F\x85\p{Z}]+", " "))
 
 
 def fingerprint(canonical_text: Column) -> Column:

@@ -114,6 +114,13 @@ def test_topk_of_repeated_rows_as_sql(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_canonical_folds_case_and_all_white_space(spark):
+    pairs = [("STRASSE", "straße"), ("ΟΔΟΣ", "οδος"), ("a\u0085b", "a b"), ("a\x1c\x1d\x1e\x1fb", "a b"), ("ǰ", "J\u030c")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select(digest.canonical(df.a), digest.canonical(df.b)).collect():
+        assert r[0] == r[1]
+
+
 def test_mixing_meets_targets(docs, none, spark):
     mixed = mixing.mix(docs.withColumnRenamed("lang", "target"), shards=4)
     rows = mixed.collect()
