@@ -15,10 +15,13 @@ def local_session(cores: int = 8, **conf: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in ``spark.checkpoint.dir``, which all executors share; a local folder is set only where none is."""
+    """A new path in ``spark.checkpoint.dir``, which all executors share. A local folder is set where none is and the master is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="logloom-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
