@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text."""
-    both = bpe.round_trip(docs.select("doc_id", "source", "text"), TOKENIZER)
-    return both.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    done = bpe.checked(docs.select("doc_id", "source", "text"), TOKENIZER)
+    return done.select("doc_id", "source", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", "round_trip")
 
 
 STAGES = [

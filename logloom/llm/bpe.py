@@ -24,12 +24,12 @@ from .shared import steady
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words in either half of a worker's memo.
-MEMO_WORDS = 200_000
-#: Pairs of tokens whose compatibility a worker remembers; the id of a token has 20 bits at most.
-PAIRS = 300_000
-#: Texts that are encoded together.
-TOGETHER = 500
+#: Words in either half of a task's memo.
+MEMO_WORDS = 100_000
+#: Pairs of tokens whose compatibility a task remembers, and steps of the automaton; the id of a token has 20 bits at most.
+PAIRS, MOVES = 150_000, 150_000
+#: Texts that are encoded together: so many, or so many bytes and the text that goes beyond them.
+TOGETHER, BYTES = 500, 2_000_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -68,12 +68,14 @@ class Vocabulary:
         self.size, self.le = [*map(len, self.text)], [k.to_bytes(4, "little") for k in range(len(self.text))]
         self.pairs: dict[int, bool] = {}
         self.moves: dict[int, int] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self._automaton()
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": {}, "moves": {}, "young": {}, "old": {}}
+        return self.__dict__ | {"pairs": {}, "moves": {}}
+
+    def forget(self) -> None:
+        """Drops what was remembered, at the end of a task: the vocabulary itself outlives it in the worker."""
+        self.pairs, self.moves = {}, {}
 
     def _edges(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens at one edge while ``token`` is being merged, each with the rank of the merge that ends it."""
@@ -110,7 +112,7 @@ class Vocabulary:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Each word's ids, as little-endian 32-bit integers."""
         moves, ends, pairs, compatible, size, le, out = self.moves, self.ends, self.pairs, self.compatible, self.size, self.le, {}
-        if len(moves) > 300_000:
+        if len(moves) > MOVES:
             moves.clear()
         deep = 1 + max(map(len, words), default=0)
         last, states, path = [0] * deep, [0] * deep, b""  # of every prefix of the path
@@ -185,19 +187,20 @@ class _Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         names = "|".join(regex.escape(s) for s in sorted(vocab.specials, key=len, reverse=True))
         self.special = regex.compile(f"({names})") if names else None
         self.le = {s: vocab.le[k] for s, k in vocab.specials.items()}
 
     def learn(self, words: set[str]) -> None:
-        v = self.vocab
-        if len(v.young) + len(words) > MEMO_WORDS:
-            v.young, v.old = {}, v.young
-        young, old = v.young, v.old
+        if len(self.young) + len(words) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         words = [w for w in words if w not in young]
         young.update([(w, old[w]) for w in words if w in old])
         new = {w: w.encode() for w in words if w not in young}
-        ids = v.encode_words(new.values())
+        ids = self.vocab.encode_words(new.values())
         young.update([(w, ids[raw]) for w, raw in new.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -207,7 +210,7 @@ class _Encoder:
             parts.append([p if p in self.le else _WORDS.findall(p) for p in pieces])
             every.update(*[p for p in parts[-1] if not isinstance(p, str)])
         self.learn(every)
-        get = self.vocab.young.__getitem__
+        get = self.young.__getitem__
         return [b"".join([self.le[p] if isinstance(p, str) else b"".join(map(get, p)) for p in ps]) for ps in parts]
 
 
@@ -221,21 +224,38 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 Batches = Iterator[pa.RecordBatch]
 
 
+def slices(batch: pa.RecordBatch, text_col: str) -> Batches:
+    """The batch in parts of at most ``TOGETHER`` rows and about ``BYTES`` bytes of text."""
+    sizes = np.fromiter((len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column(text_col)), np.int64, batch.num_rows)
+    at, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        size += n
+        if k + 1 - at == TOGETHER or size > BYTES:
+            yield batch.slice(at, k + 1 - at)
+            at, size = k + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def _encoded(batches: Batches, vocab: Vocabulary, text_col: str, ids_col: str) -> Batches:
     encoder = _Encoder(vocab)
-    for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(at, TOGETHER)
-            ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])
-            yield _with_column(part, ids_col, pa.array(ids, pa.binary()))
+    try:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])
+                yield _with_column(part, ids_col, pa.array(ids, pa.binary()))
+    finally:
+        vocab.forget()
 
 
-def _decoded(batches: Batches, tokens: list[bytes], ids_col: str, text_col: str) -> Batches:
+def _texts(ids: pa.Array, tokens: list[bytes]) -> list[str]:
     token = tokens.__getitem__
+    return [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in ids.to_pylist()]
+
+
+def _decoded(batches: Batches, tokens: list[bytes], ids_col: str, text_col: str) -> Batches:
     for batch in batches:
-        ids = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(ids_col).to_pylist()]
-        texts = [b"".join(map(token, x)).decode("utf-8", "replace") for x in ids]
-        yield _with_column(batch, text_col, pa.array(texts, pa.string()))
+        yield _with_column(batch, text_col, pa.array(_texts(batch.column(ids_col), tokens), pa.string()))
 
 
 def _schema(df: DataFrame, **added: T.DataType) -> T.StructType:
@@ -272,5 +292,18 @@ def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids
     return docs.mapInArrow(steady(run), schema)
 
 
+def checked(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
+    """What ``encode`` returns, without the text, and whether ``decode`` gives it back: the decoded text never leaves the worker."""
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
+    schema = _schema(docs.drop(text_col), **{ids_col: T.BinaryType(), same_col: T.BooleanType()})
+
+    def run(batches: Batches) -> Batches:
+        for batch in _encoded(batches, vocab.value, text_col, ids_col):
+            same = [x == (t or "") for x, t in zip(_texts(batch.column(ids_col), vocab.value.text), batch.column(text_col).to_pylist())]
+            yield _with_column(batch, same_col, pa.array(same, pa.bool_())).select(schema.names)
+
+    return docs.mapInArrow(steady(run), schema)
+
+
 def n_tokens(ids_col: str = "ids"):
     return (F.octet_length(F.col(ids_col)) / 4).cast("long")

@@ -1,46 +1,28 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+"""Near-duplicate groups by the exact Jaccard similarity of word shingles, among the candidates that SimHash links.
 
-A text's shingles are a set of 64-bit hashes. Two sets of similarity 4/5 or more share one of the first
-``n - ceil(4 n / 5) + 1`` shingles of each, in any order that holds for all sets (prefix filter; Chaudhuri, Ganti, Kaushik,
-ICDE 2006). The order here is rarest first, by counts in a table of ``SLOTS`` slots; slots that share shingles cost time only.
-Sets that share a shingle of their prefixes are linked as candidates, merged inside the tasks, so that a shingle crosses the
-shuffle once for each task. Candidate components then hold every pair that can be similar; in them each pair not yet linked is
-compared by its sets, and only pairs of 4/5 or more become links. Components above ``BUCKET`` sets are salted into a grid.
+A text's shingles are a set of 64-bit hashes. ``simhash.similar_links`` proposes which sets may have a similarity of 4/5 or
+more; inside each component of its candidates sets are compared, and only pairs of 4/5 or more become links. So no link is
+wrong, and a pair of similarity s is missed with the chance that SimHash leaves it apart (``simhash.LOST`` just at 4/5).
+
+A component above ``BUCKET`` sets is dealt to parts, each with the same few pivots, drawn by a hash: what is linked inside its
+part or to a pivot needs no other comparison. Only the sets that are left outside the component's largest group meet all others.
 
 A null text counts as empty. Texts of fewer words than a shingle have one shingle; equal sets are joined once.
 """
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .shared import cut, steady
-from .simhash import _Forest, components
-
-SLOTS, CHUNK = 1 << 22, 1 << 16
-#: Sets that one task compares, and texts whose prefixes are merged together.
-BUCKET, TOGETHER = 1024, 5000
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    parts = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined, width = b" ".join(parts), min(words, len(parts))
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64))
+from .simhash import _Forest, components, shingles
 
-
-def _node(x: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 7)).view(np.int64))
+#: Sets that one task compares, and pivots of a larger component.
+BUCKET, PIVOTS = 1024, 64
 
 
 def _prefix(n: int) -> int:
@@ -58,7 +40,10 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def forest(sets: list[np.ndarray]) -> np.ndarray:
-    """The root of each set, after linking all pairs of similarity 4/5 or more."""
+    """The root of each set, after linking all pairs of similarity 4/5 or more.
+
+    Two such sets share one of the first ``n - ceil(4 n / 5) + 1`` members of each, in any order that holds for all sets.
+    """
     found, n, tested = _Forest(len(sets)), len(sets), set()
     sizes = np.fromiter(map(len, sets), np.int64, n)
     rows = np.repeat(np.arange(n), sizes)
@@ -86,105 +71,8 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
     return found.root
 
 
-def nodes(docs: DataFrame, words: int, text_col: str, id_col: str) -> DataFrame:
-    """(``id_col``, node LONG) of each text; and rows without node, with (chunk, counts BINARY) of the slots of all shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.zeros(SLOTS, np.int32)
-        kind = None
-        for batch in batches:
-            out, kind = [], batch.column(0).type
-            for t in batch.column(1):
-                x = shingles(t.as_py(), words)
-                out.append(_node(x))
-                np.add.at(slots, (x % np.uint64(SLOTS)).astype(np.int64), 1)
-            none = len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], [id_col, "node", "chunk", "counts"])
-        if kind is not None:
-            k = SLOTS // CHUNK
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in slots.reshape(k, CHUNK)], pa.binary())], [id_col, "node", "chunk", "counts"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {kind}, node bigint, chunk int, counts binary")
-
-
-def slot_counts(counted: DataFrame) -> np.ndarray:
-    """The counts of all tasks, added up."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
-
-    slots = np.zeros((SLOTS // CHUNK, CHUNK), np.int32)
-    for k, c in counted.select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        slots[k] = np.frombuffer(c, np.int32)
-    return slots.ravel()
-
-
-def _chain(shingle: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each shingle and its smallest node; links (u, v) that join the nodes of every shingle, as a spanning forest."""
-    order = np.lexsort((node, shingle))
-    shingle, node = shingle[order], node[order]
-    names, at = np.unique(node, return_inverse=True)
-    same = shingle[1:] == shingle[:-1]
-    found = _Forest(len(names))
-    found.merge(at[1:][same], at[:-1][same])
-    led = np.flatnonzero(found.root != np.arange(len(names)))
-    first = np.concatenate([[True], ~same])[: len(node)]
-    return shingle[first], node[first], names[led], names[found.root[led]]
-
-
-def candidates(docs: DataFrame, slots: np.ndarray, words: int, text_col: str) -> DataFrame:
-    """(u LONG, v LONG): links between the nodes whose prefixes share a shingle."""
-    shared = docs.sparkSession.sparkContext.broadcast(slots)
-    names = ["shingle", "u", "v"]
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, heads, of = shared.value, [], []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            shingle, node, u, v = _chain(np.concatenate(heads).view(np.int64), np.repeat(np.array([o[0] for o in of]), [o[1] for o in of]))
-            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node), pa.nulls(len(node), pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], names)
-
-        for batch in batches:
-            for t in batch.column(0):
-                x = shingles(t.as_py(), words)
-                if n := _prefix(len(x)):
-                    heads.append(x[np.lexsort((x, slots[(x % np.uint64(SLOTS)).astype(np.int64)]))[:n]])
-                    of.append((_node(x), n))
-            if len(of) > TOGETHER:
-                yield from out()
-                heads, of = [], []
-        if of:
-            yield from out()
-
-    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, of = [], []
-        for batch in batches:
-            head = batch.filter(batch.column(0).is_valid())
-            heads.append(head.column(0).to_numpy())
-            of.append(head.column(1).to_numpy())
-            yield batch.filter(batch.column(2).is_valid()).select(["u", "v"])
-        if heads:
-            _, _, u, v = _chain(np.concatenate(heads), np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    both = docs.select(text_col).mapInArrow(steady(near), "shingle bigint, u bigint, v bigint")
-    return both.repartition("shingle", "v").mapInArrow(steady(far), "u bigint, v bigint").distinct()
-
-
-def links(rows: DataFrame, words: int) -> DataFrame:
-    """(u LONG, v LONG): similar pairs among ``rows`` (root, node, text) of the same candidate component, as spanning forests."""
-    hot = rows.groupBy("root").count().filter(F.col("count") > BUCKET).select("root", F.ceil(2 * F.col("count") / BUCKET).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("node", F.lit(7)), F.col("salts")).cast("int")
-    parts = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: k != salt), lambda k: F.least(k, salt) * F.col("salts") + F.greatest(k, salt))
-    )
-    dealt = rows.join(hot, "root", "left").withColumn("part", F.explode(parts)).select("root", "part", "node", "text")
+def _compared(dealt: DataFrame, words: int) -> DataFrame:
+    """(u LONG, v LONG): links among the rows (root, part, node, text) of equal root and part, as a spanning forest of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -196,29 +84,59 @@ def links(rows: DataFrame, words: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names[led]), pa.array(names[root[led]])], ["u", "v"])
 
         for batch in batches:  # sorted by part
-            for root, part, node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, part) != key:
+            for root, part, node, text in zip(*(batch.column(c) for c in ("root", "part", "node", "text"))):
+                at = (root.as_py(), part.as_py())
+                if at != key:
                     if len(held) > 1:
                         yield out()
-                    key, held = (root, part), {}
-                if node not in held:
-                    held[node] = shingles(text, words)
+                    key, held = at, {}
+                if (name := node.as_py()) not in held:
+                    held[name] = shingles(text.as_py(), words)
         if len(held) > 1:
             yield out()
 
     return dealt.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(steady(run), "u bigint, v bigint").distinct()
 
 
+def _draw(seed: int, below: Column) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), below)
+
+
+def links(rows: DataFrame, words: int) -> DataFrame:
+    """(u LONG, v LONG): links among ``rows`` (root, node, text) of equal root that join all sets joined by similar pairs."""
+    rows = rows.select("root", "node", "text")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("size"))
+    hot = cut(sizes.filter(F.col("size") > BUCKET).select("root", "size", F.ceil(F.col("size") / BUCKET).alias("parts")))
+    if hot.isEmpty():
+        return _compared(rows.withColumn("part", F.lit(0).cast("bigint")), words)
+    known = rows.join(hot, "root", "left").select("root", "node", "text", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("parts", F.lit(1)).cast("bigint").alias("parts"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    pivot = (F.col("parts") > 1) & (_draw(3, F.col("size")) < PIVOTS)
+    dealt = known.withColumn("part", F.explode(F.when(pivot, every).otherwise(F.array(_draw(7, F.col("parts"))))))
+    found = cut(_compared(dealt, words))
+    joined = cut(rows.select("root", "node").join(hot, "root").join(components(found).withColumnRenamed("root", "sub"), "node", "left").select("root", "node", "parts", F.coalesce("sub", "node").alias("sub")))
+    main = joined.groupBy("root", "sub").count().groupBy("root").agg(F.max_by("sub", F.struct("count", "sub")).alias("main"))
+    rest = cut(joined.join(main, "root").filter("sub != main").select("root", "node", "parts"))
+    if rest.isEmpty():
+        return found
+    blocks = rest.groupBy("root").agg(F.ceil(F.count("*") / BUCKET).alias("blocks"))
+    parted = rows.join(hot.select("root", "parts"), "root").join(blocks, "root").join(rest.select("node", F.lit(1).alias("left")), "node", "left")
+    cell = lambda block, part: block * F.col("parts") + part
+    mine = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: cell(k, _draw(7, F.col("parts"))))
+    asked = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: cell(_draw(5, F.col("blocks")), k))
+    cells = F.when(F.col("left").isNull(), mine).otherwise(F.array_union(mine, asked))
+    return found.union(_compared(parted.withColumn("part", F.explode(cells)).select("root", "part", "node", "text"), words))
+
+
 def groups(docs: DataFrame, words: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, component_id): the smallest id that each row reaches by links of similarity 4/5 or more."""
-    made = cut(nodes(docs, words, text_col, id_col))
-    known = made.filter("node is not null").select(id_col, "node")
-    maybe = components(candidates(docs, slot_counts(made.filter("chunk is not null")), words, text_col))
+    known = cut(simhash.wide_fingerprints(docs, words, text_col, id_col))
+    least = cut(known.groupBy("node").agg(F.min(id_col).alias("least"), F.first("a").alias("a"), F.first("b").alias("b")))
+    maybe = components(simhash.similar_links(least))
     maybe = cut(maybe.union(maybe.select("root", "root").distinct()))
-    least = cut(known.groupBy("node").agg(F.min(id_col).alias("least")))
     asked = least.join(maybe, "node").select(F.col("least").alias(id_col), "node", "root")
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(asked, id_col).select("root", "node", "text")
     roots = components(links(cut(texts), words)).withColumnRenamed("root", "_root")
     rooted = least.join(roots, "node", "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(rooted.join(smallest, "root").select("node", "component_id"), "node").select(id_col, "component_id")
+    return known.select(id_col, "node").join(rooted.join(smallest, "root").select("node", "component_id"), "node").select(id_col, "component_id")

@@ -1,14 +1,15 @@
 """What the operators of this subpackage share."""
 
+import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut as cut
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,21 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local one is set only where none is."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: the lineage ends there and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
@@ -42,7 +28,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def steady(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` without searches for cyclic garbage, which take long among millions of small objects; they are on again afterwards."""
+    """``run`` without searches for cyclic garbage, which take long among millions of small objects.
+
+    They are on again afterwards, and what the task held goes back to the system: workers are used again by other stages.
+    """
 
     def steadied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -50,5 +39,11 @@ def steady(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             yield from run(batches)
         finally:
             gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
     return steadied

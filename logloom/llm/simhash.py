@@ -7,11 +7,17 @@ they exceed the budget, and two single fingerprints are compared at once. Links
 spanning forest and never all pairs of a group. Buckets above ``BUCKET`` rows are salted into a grid of smaller ones, in which
 any two rows still meet. Links then become components by alternating large and small stars.
 
+For a similarity of shingle sets instead of a budget, ``similar_links`` takes 128 bits, of which a share of
+``acos(2 s / (1 + s)) / pi`` differs at similarity s. No exact choice of buckets reaches that many bits, so buckets are equal
+random bits instead, in as many tables as leave a pair of similarity s apart with a chance of ``LOST``. Its links are
+candidates, to be compared by their sets.
+
 A null text counts as empty; texts without words have the fingerprint 0, which links like any other. Equal fingerprints are
 joined once, whatever their number. A null id takes part; a component's id is its smallest id that is not null.
 """
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +34,10 @@ BUCKET = 4096
 DENSE = 1024
 #: Node pairs that are taken down together, and rows whose buckets are joined together; they bound a task's memory.
 FRONTIER, TOGETHER = 1 << 17, 100_000
+#: The chance that a pair just at the similarity shares no bucket, and rows of a bucket of random bits on average.
+LOST, MEAN = 0.001, 32
+#: Rows whose equal buckets are linked before the shuffle.
+LOCAL = 50_000
 
 
 def _fingerprint(text: str | None, words: int) -> int:
@@ -38,14 +48,57 @@ def _fingerprint(text: str | None, words: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())]
+    return _majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
-        part = np.array(hashes[at : at + 4096], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Other hashes from hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined, width = b" ".join(parts), min(words, len(parts))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64))
+
+
+def node_of(x: np.ndarray) -> int:
+    """One signed number for a set of hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 7)).view(np.int64))
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, node, a, b LONG): each text's set of shingles, hashed, and the 128 bits of its SimHash over that set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                x = shingles(t.as_py(), words)
+                out.append((node_of(x), _majority(x), _majority(_mixed(x))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3))], [id_col, "node", "a", "b"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {kind}, node bigint, a bigint, b bigint")
+
+
 def fingerprints(docs: DataFrame, words: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, fp LONG): the 64-bit SimHash over shingles of ``words`` words, repeats included, of each whole text."""
 
@@ -92,15 +145,26 @@ class _Forest:
                 root[up] = root[root[up]]
 
 
-def trie_links(fps: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
+def trie_links(fps: np.ndarray, starts: np.ndarray, budget: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The root of each row, after linking rows of one bucket at most ``budget`` bits apart.
 
-    ``fps``: unsigned, sorted inside buckets; ``starts``: where buckets begin, with the end.
+    ``fps``: unsigned, sorted inside buckets; ``starts``: where buckets begin, with the end; ``near``: what else decides on two
+    rows within the budget. Pairs of nodes whose rows are all linked to each other already are not taken down.
     """
     forest = _Forest(len(fps))
+
+    def meets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(fps[x] ^ fps[y]) <= budget
+        return ok if near is None else ok & near(x, y)
+
     lo, hi = starts[:-1], starts[1:]
     many = hi - lo > 1
-    stack = [(63, lo[many], hi[many], lo[many], hi[many], np.zeros(many.sum(), np.int8))]
+    lo, hi = lo[many], hi[many]
+    # Most rows of a dense bucket are near its first.
+    rows, first = np.concatenate([np.zeros(0, np.int64), *map(np.arange, lo, hi)]).astype(np.int64), np.repeat(lo, hi - lo)
+    ok = meets(rows, first)
+    forest.merge(rows[ok], first[ok])
+    stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, a, az, b, bz, diff = stack.pop()
@@ -108,11 +172,14 @@ def trie_links(fps: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
             half = len(a) // 2
             stack += [(bit, *(x[s] for x in (a, az, b, bz, diff))) for s in (slice(half), slice(half, None))]
             continue
+        changes = np.concatenate([[0], np.cumsum(forest.root[1:] != forest.root[:-1])])
+        apart = (changes[az - 1] != changes[a]) | (changes[bz - 1] != changes[b]) | (forest.root[a] != forest.root[b])
+        a, az, b, bz, diff = (v[apart] for v in (a, az, b, bz, diff))
         leaf = (az - a == 1) & (bz - b == 1)
         if leaf.any():
             x, y = a[leaf], b[leaf]
-            near = (x != y) & (np.bitwise_count(fps[x] ^ fps[y]) <= budget)
-            forest.merge(x[near], y[near])
+            ok = (x != y) & meets(x, y)
+            forest.merge(x[ok], y[ok])
             a, az, b, bz, diff = (v[~leaf] for v in (a, az, b, bz, diff))
         if not len(a):
             continue
@@ -134,6 +201,23 @@ def trie_links(fps: np.ndarray, starts: np.ndarray, budget: int) -> np.ndarray:
     return forest.root
 
 
+def _whole_buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
+    """Rows that come sorted by their first ``keys`` columns, some ``TOGETHER`` at a time and never a bucket in two."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+        size += batch.num_rows
+        if size > TOGETHER:
+            table = np.concatenate(held)
+            end = len(table) - np.argmax((table[::-1, :keys] != table[-1, :keys]).any(axis=1))
+            held, size = [table], len(table)
+            if end < len(table):
+                yield table[:end]
+                held, size = [table[end:]], len(table) - end
+    if size:
+        yield np.concatenate(held)
+
+
 def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     """(u LONG, v LONG): links between distinct values of ``fps.fp`` at most ``budget`` bits apart, as a spanning forest of each bucket."""
     n = fps.count()
@@ -147,33 +231,80 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     dealt = rows.join(hot, ["mask", "bits"], "left").withColumn("part", F.explode(pairs)).select("mask", "bits", "part", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def join(table: np.ndarray) -> pa.RecordBatch:
+        for table in _whole_buckets(batches, 3):
             keys, fp = table[:, :3], table[:, 3].view(np.uint64)
             order = np.lexsort((fp, keys[:, 2], keys[:, 1], keys[:, 0]))
             keys, fp = keys[order], fp[order]
             starts = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)), [len(fp)]])
             root = trie_links(fp, starts, budget)
             led = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (led, root[led])], ["u", "v"])
-
-        for batch in batches:
-            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
-            size += batch.num_rows
-            if size > TOGETHER:  # rows arrive sorted by bucket: all but the last bucket are complete
-                table = np.concatenate(held)
-                end = len(table) - np.argmax((table[::-1, :3] != table[-1, :3]).any(axis=1))
-                if end < len(table):
-                    yield join(table[:end])
-                    held, size = [table[end:]], len(table) - end
-        if size:
-            yield join(np.concatenate(held))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (led, root[led])], ["u", "v"])
 
     found = dealt.repartition("mask", "bits", "part").sortWithinPartitions("mask", "bits", "part").mapInArrow(steady(run), "u bigint, v bigint")
     return found.distinct()
 
 
+def _random_tables(n: int, apart: float) -> list[tuple[int, int]]:
+    """Masks over 128 bits: so many that two rows of which a share of ``apart`` bits differs agree in one, save for a chance of LOST."""
+    bits = max(8, math.ceil(math.log2(max(1, n) / MEAN)))
+    tables = math.ceil(math.log(LOST) / math.log(1 - (1 - apart) ** bits))
+    rng = np.random.default_rng(1)
+    masks = [sum(1 << int(b) for b in rng.choice(128, bits, replace=False)) for _ in range(tables)]
+    return [(m & ((1 << 64) - 1), m >> 64) for m in masks]
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(u LONG, v LONG): links between the rows of ``nodes`` (node, a, b) whose sets may have the Jaccard ``similarity``.
+
+    Of rows that a task has linked before the shuffle, one stands for all in a bucket, so that no bucket grows with a group.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    masks = _random_tables(nodes.count(), apart)
+    within = lambda bits: math.floor(bits * apart + 3.1 * math.sqrt(bits * apart * (1 - apart)))
+    budget, both = within(64), within(128)
+    names = ["key", "node", "a", "b", "u", "v"]
+
+    def forest_rows(node: np.ndarray, root: np.ndarray) -> list[pa.Array]:
+        led = np.flatnonzero(root != np.arange(len(node)))
+        return [pa.array(node[led]), pa.array(node[root[led]])]
+
+    def near(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[x] ^ a[y]).astype(np.int16) + np.bitwise_count(b[x] ^ b[y]) <= both
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LOCAL):
+                node, a, b = (batch.column(k).slice(at, LOCAL).to_numpy(zero_copy_only=False) for k in range(3))
+                a, b = a.view(np.uint64), b.view(np.uint64)
+                forest = _Forest(len(node))
+                for nth, (p, q) in enumerate(masks):
+                    key = _mixed(_mixed((a & np.uint64(p)) + np.uint64(nth + 1)) ^ (b & np.uint64(q)))
+                    order = np.argsort(key, kind="stable")
+                    sort = key[order]
+                    new = np.concatenate([[True], sort[1:] != sort[:-1]])
+                    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                    led = (first != order) & near(first, order, a, b)
+                    forest.merge(order[led], first[led])
+                    stay = order[~led]
+                    none = pa.nulls(len(stay), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[stay].view(np.int64)) for x in (key, node, a, b)), none, none], names)
+                u, v = forest_rows(node, forest.root)
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, u, v], names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_buckets(batches, 1):
+            key, node, a, b = table[:, 0], table[:, 1], table[:, 2].view(np.uint64), table[:, 3].view(np.uint64)
+            order = np.lexsort((a, key))
+            key, node, a, b = key[order], node[order], a[order], b[order]
+            starts = np.concatenate([[0], 1 + np.flatnonzero(key[1:] != key[:-1]), [len(key)]])
+            yield pa.RecordBatch.from_arrays(forest_rows(node, trie_links(a, starts, budget, lambda x, y: near(x, y, a, b))), ["u", "v"])
+
+    made = cut(nodes.select("node", "a", "b").mapInArrow(steady(spread), "key bigint, node bigint, a bigint, b bigint, u bigint, v bigint"))
+    met = made.filter("key is not null").select(names[:4]).repartition("key").sortWithinPartitions("key").mapInArrow(steady(join), "u bigint, v bigint")
+    return met.union(made.filter("key is null").select("u", "v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node LONG, root LONG): the smallest node that each node of ``edges`` (u, v) reaches, without the roots themselves."""
     # After Kiveris et al., Connected Components in MapReduce and Beyond, 2014.

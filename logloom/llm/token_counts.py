@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _WORDS, Vocabulary, _Encoder, _schema, _with_column
+from .bpe import _WORDS, Vocabulary, _Encoder, _schema, _with_column, slices
 from .shared import steady
 
 BLOCK = 32
 #: Characters before an edit that its change can reach: a word looks at two characters after it at most.
 CONTEXT = 3
-TOGETHER = 500
 
 
 class Tree:
@@ -76,13 +75,13 @@ class _Counter:
     """Token counts of words by the trie encoder."""
 
     def __init__(self, vocab: Vocabulary):
-        self.encoder, self.vocab = _Encoder(vocab), vocab
+        self.encoder = _Encoder(vocab)
 
     def counts(self, texts: list[list[str]]) -> list[list[int]]:
         every: set[str] = set()
         every.update(*texts)
         self.encoder.learn(every)
-        ids = self.vocab.young.__getitem__
+        ids = self.encoder.young.__getitem__
         return [[n // 4 for n in map(len, map(ids, words))] for words in texts]
 
     def edit(self, text: str, tree: Tree, at: int, cut: int, put: str) -> tuple[str, int]:
@@ -118,8 +117,7 @@ _EDITED = {"edited": T.StringType(), "leaves": T.BinaryType(), "n_tokens_before"
 def _built(batches: Batches, vocab: Vocabulary, text_col: str) -> Batches:
     counter = _Counter(vocab)
     for batch in batches:
-        for at in range(0, batch.num_rows, TOGETHER):
-            part = batch.slice(at, TOGETHER)
+        for part in slices(batch, text_col):
             words = [_WORDS.findall(t or "") for t in part.column(text_col).to_pylist()]
             counts = counter.counts(words)
             leaves = [np.array([[*map(len, w)], c], "<u4").T.tobytes() for w, c in zip(words, counts)]
