@@ -1,10 +1,14 @@
 """Message templates after He et al., Drain, 2017: greedy clusters of terms with equal length and first token."""
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 WILD = "<*>"
 #: Terms of a leaf that one task clusters; larger leaves are dealt over parts.
 LEAF = 5000
@@ -16,17 +20,13 @@ def _keys(term: Column) -> dict[str, Column]:
     return {"tokens": tokens, "n_tokens": F.size(tokens), "head": F.when(head.rlike(r"\d"), WILD).otherwise(head)}
 
 
-def _cluster(terms: pd.Series, similarity: float) -> tuple[list[list[str]], list[int]]:
+def _cluster(terms: list[list[str]], similarity: float) -> tuple[list[list[str]], list[int]]:
     """The templates of terms of one length, in order, and the position of the term that opened each."""
     codes: dict[str, int] = {WILD: 0}
-    names, opened = [WILD], []
-    found = np.zeros((64, len(terms.iloc[0])), np.int64)
+    opened: list[int] = []
+    found = np.zeros((4, len(terms[0])), np.int64)
     for at, tokens in enumerate(terms):
-        for t in tokens:
-            if t not in codes:
-                codes[t] = len(names)
-                names.append(t)
-        row, n = np.array([codes[t] for t in tokens]), len(opened)
+        row, n = np.array([codes.setdefault(t, len(codes)) for t in tokens]), len(opened)
         if n:
             wild = found[:n] == 0
             equal = ((found[:n] == row) & ~wild).sum(axis=1)
@@ -38,9 +38,39 @@ def _cluster(terms: pd.Series, similarity: float) -> tuple[list[list[str]], list
             found = np.concatenate([found, np.zeros_like(found)])
         found[n] = row
         opened.append(at)
+    names = list(codes)
     return [[names[c] for c in row] for row in found[: len(opened)].tolist()], opened
 
 
+_LEAF_ROWS = "n_tokens int, head string, parts int, part int, freq long, term_id long, tokens array<string>"
+
+
+def _clustered(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``_LEAF_ROWS`` that opened a cluster, with its template in the place of their tokens, part by part."""
+    names = [c.split()[0] for c in _LEAF_ROWS.split(", ")]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            found, opened = _cluster([r[6] for r in held], similarity)
+            rows = [(*held[k][:6], template) for k, template in zip(opened, found)]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
+        for batch in batches:  # sorted by part
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held and row[:4] != held[0][:4]:
+                    yield out()
+                    held = []
+                held.append(row)
+        if held:
+            yield out()
+
+    leaf = names[:4]
+    return rows.select(*names).repartition(*leaf).sortWithinPartitions(*leaf, F.desc("freq"), "term_id").mapInArrow(run, _LEAF_ROWS)
+
+
 def fit_templates(freq: DataFrame, similarity: float = 0.4) -> DataFrame:
     """(n_tokens, head, nth, template ARRAY<STRING>) from (term, term_id, freq), most frequent terms first, ties by id.
 
@@ -49,23 +79,14 @@ def fit_templates(freq: DataFrame, similarity: float = 0.4) -> DataFrame:
     than ``LEAF`` terms are clustered in parts, by a hash of the terms' ids, and their templates once more by the same rule, in the
     order of the terms that opened them. One greedy pass would do without the second step: it may put a term into another cluster.
     """
-
-    def cluster(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["freq", "term_id"], ascending=[False, True])
-        found, opened = _cluster(df.tokens, similarity)
-        first = df.iloc[opened]
-        return pd.DataFrame({"n_tokens": key[0], "head": key[1], "parts": key[2], "freq": first.freq.to_numpy(), "term_id": first.term_id.to_numpy(), "template": found})
-
-    def merge(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["freq", "term_id"], ascending=[False, True])
-        found = _cluster(df.template, similarity)[0] if key[2] > 1 else list(df.template)
-        return pd.DataFrame({"n_tokens": key[0], "head": key[1], "nth": range(len(found)), "template": found})
-
     rows = freq.filter("freq > 0").withColumns(_keys(F.col("term"))).select("n_tokens", "head", "tokens", F.col("freq").cast("long").alias("freq"), F.col("term_id").cast("long").alias("term_id"))
     hot = rows.groupBy("n_tokens", "head").count().filter(F.col("count") > LEAF).select("n_tokens", "head", F.ceil(2 * F.col("count") / LEAF).cast("int").alias("parts"))
-    dealt = rows.join(hot, ["n_tokens", "head"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("term_id"), F.col("parts")))
-    parted = dealt.groupBy("n_tokens", "head", "parts", "part").applyInPandas(cluster, "n_tokens int, head string, parts int, freq long, term_id long, template array<string>")
-    return parted.groupBy("n_tokens", "head", "parts").applyInPandas(merge, "n_tokens int, head string, nth int, template array<string>")
+    dealt = rows.join(hot, ["n_tokens", "head"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("term_id"), F.col("parts")).cast("int"))
+    parted = cut(_clustered(dealt, similarity))
+    merged = _clustered(parted.filter("parts > 1").withColumn("part", F.lit(0)), similarity)
+    order = Window.partitionBy("n_tokens", "head").orderBy(F.desc("freq"), "term_id")
+    nth = (F.row_number().over(order) - 1).alias("nth")
+    return parted.filter("parts = 1").unionByName(merged).select("n_tokens", "head", nth, F.col("tokens").alias("template"))
 
 
 def match_templates(terms: DataFrame, templates: DataFrame) -> DataFrame:

@@ -45,24 +45,38 @@ class AnomalyModel:
         return self.score_counts(self.counts(rows)).withColumn("flagged", F.col("score") >= self.threshold)
 
     def save(self, path: str) -> None:
-        self.columns.write.mode("overwrite").parquet(f"{path}/columns")
-        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
+        tables = {"columns": self.columns, "idf": self.idf}
+        spec = {"parser": self.parser, "header_tokens": self.header_tokens, "threshold": self.threshold, "meta": self.meta, **_detector_spec(self.detector)}
         if self.templates is not None:
-            self.templates.write.mode("overwrite").parquet(f"{path}/templates")
-        kind = next(k for k, v in detectors.MODELS.items() if isinstance(self.detector, v))
-        values = {k: _plain(v) for k, v in vars(self.detector).items()}
-        spec = {"parser": self.parser, "header_tokens": self.header_tokens, "threshold": self.threshold, "meta": self.meta, "kind": kind, "detector": values}
+            tables["templates"] = self.templates
+        if self.early is not None:
+            tables["early_idf"] = self.early.idf
+            spec["early"] = {"age_s": self.early.age_s, "threshold": self.early.threshold, **_detector_spec(self.early.detector)}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.columns.sparkSession
         spark.createDataFrame([(json.dumps(spec),)], "spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "AnomalyModel":
         spec = json.loads(spark.read.parquet(f"{path}/spec").first()[0])
-        detector = detectors.MODELS[spec["kind"]]()
-        for k, v in spec["detector"].items():
-            setattr(detector, k, _value(v))
-        tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("columns", "idf", *(("templates",) if spec["parser"] == "drain" else ()))}
-        return AnomalyModel(spec["parser"], spec["header_tokens"], tables["columns"], tables.get("templates"), tables["idf"], detector, spec["threshold"], spec["meta"])
+        table = lambda name: spark.read.parquet(f"{path}/{name}")
+        early = spec.get("early")
+        check = early and EarlyCheck(early["age_s"], table("early_idf"), _read_detector(early), early["threshold"])
+        templates = table("templates") if spec["parser"] == "drain" else None
+        return AnomalyModel(spec["parser"], spec["header_tokens"], table("columns"), templates, table("idf"), _read_detector(spec), spec["threshold"], spec["meta"], check or None)
+
+
+def _detector_spec(detector: detectors.Detector) -> dict:
+    kind = next(k for k, v in detectors.MODELS.items() if isinstance(detector, v))
+    return {"kind": kind, "detector": {k: _plain(v) for k, v in vars(detector).items()}}
+
+
+def _read_detector(spec: dict) -> detectors.Detector:
+    detector = detectors.MODELS[spec["kind"]]()
+    for k, v in spec["detector"].items():
+        setattr(detector, k, _value(v))
+    return detector
 
 
 def _plain(v: object) -> object:

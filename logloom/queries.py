@@ -45,6 +45,7 @@ def r6(c: Column | str) -> Column:
 
 # ---- SQL fragments --------------------------------------------------------------------------------------
 
+# The mask's patterns, told again for an engine without lookbehind.
 LEXER = r"blk_-?\d+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b|\b0x[0-9a-fA-F]+\b|[A-Za-z][0-9-]?|-?\d+(?:\.\d+)?|(?s:.)"
 MASKED = r"blk_-?\d+|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?"
 
@@ -76,8 +77,12 @@ idf AS (SELECT col, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM allcols
 TFIDF = """raw AS (SELECT session_id, b.col, (1 + ln(cnt)) * idf AS x FROM bycol b JOIN idf i ON b.col = i.col),
 tfidf AS (SELECT session_id, col, x / sqrt(sum(x * x) OVER (PARTITION BY session_id)) AS w FROM raw)"""
 SEQ = "seq AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line_id) - 1 AS pos, t - first_value(t) OVER (PARTITION BY session_id ORDER BY line_id) AS dt FROM typed)"
-CURVE = """grouped AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored GROUP BY s),
+def curve_sql(s: str) -> str:
+    return f"""grouped AS (SELECT {s} AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored GROUP BY {s}),
 curve AS (SELECT s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, pos, neg, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM grouped WINDOW w AS (ORDER BY s DESC))"""
+
+
+CURVE = curve_sql("s")
 F1 = "CASE WHEN 2 * tp + fp + (p - tp) > 0 THEN 2.0 * tp / (2 * tp + fp + (p - tp)) ELSE 0 END"
 
 
@@ -205,11 +210,12 @@ def pause_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(duck("""SELECT run, session_key, arrival, round((ingested_ns - nullif(t_send_ns, 0)) / 1e6, 6) AS ingest_lag_ms FROM
-(SELECT *, row_number() OVER (PARTITION BY run, session_key ORDER BY arrival) AS rn FROM alerts WHERE arrival % 2 = 1) a
+(SELECT *, row_number() OVER (PARTITION BY run, session_key ORDER BY arrival) AS rn FROM alerts WHERE arrival % 10 <> 0) a
 WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM alerts b WHERE b.arrival % 10 = 0 AND b.run = a.run AND b.session_key = a.session_key)""", "alerts"))
 def alert_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth alert is stored already; all others arrive."""
     alerts = view(spark, d, "alerts")
-    out = store.insert_alerts(alerts.filter("arrival % 10 = 0"), alerts.filter("arrival % 2 = 1"))
+    out = store.insert_alerts(alerts.filter("arrival % 10 = 0"), alerts.filter("arrival % 10 <> 0"))
     return out.select("run", "session_key", "arrival", r6("ingest_lag_ms").alias("ingest_lag_ms"))
 
 
@@ -336,7 +342,18 @@ def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
     return features.prefix_counts(_seq(spark, d)).select("session_id", F.col("pos").cast("long").alias("pos"), "dt", "col", F.col("cnt").cast("long").alias("cnt"))
 
 
-@query()
+def _crc_sql(x: str) -> str:
+    """CRC-32 of an ASCII text: a table of 256 numbers from the polynomial, then a step for each byte."""
+    table = "SELECT i, i AS x FROM (SELECT unnest(range(256)) AS i)"
+    for _ in range(8):
+        table = f"SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM ({table})"
+    bytes_ = f"list_concat([4294967295], list_transform(string_split({x}, ''), lambda c: CAST(ord(c) AS BIGINT)))"
+    step = "xor(a >> 8, t[1 + (xor(a, b) & 255)])"
+    return f"crc_table AS ({table}), crc AS (SELECT *, xor(list_reduce({bytes_}, lambda a, b: {step}), 4294967295) AS crc FROM lines, (SELECT list(x ORDER BY i) AS t FROM crc_table))"
+
+
+@query(duck(f"""WITH lines AS (SELECT k AS session_id, {content_sql("line", HEADER)} AS text FROM loglines), {_crc_sql("text")}
+SELECT session_id, CAST(crc % {S.BUCKETS} AS INT) AS bucket, count(*) AS cnt FROM crc GROUP BY ALL""", "loglines"))
 def hash_buckets(spark: SparkSession, d: str) -> DataFrame:
     return features.bucket_counts(_rows(spark, d), HEADER)
 
@@ -426,10 +443,12 @@ def roc_ap(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ranking_metrics(_scored(spark, d)).select(*[r6(c).alias(c) for c in ("roc_auc", "average_precision")])
 
 
-@query(duck(f"WITH {CURVE} SELECT s AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall FROM curve", "scored"))
+@query(duck(f"""WITH {curve_sql("snap")}, i AS (SELECT *, row_number() OVER (ORDER BY s) - 1 AS nth, count(*) OVER () AS t FROM curve),
+keep AS (SELECT DISTINCT (k * (t - 1)) // greatest(least(t, 200) - 1, 1) AS nth FROM (SELECT max(t) AS t FROM i), (SELECT unnest(range(200)) AS k) WHERE k < least(t, 200))
+SELECT s AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall FROM i WHERE nth IN (SELECT nth FROM keep)""", "scored"))
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct threshold: the operator's own sampling starts beyond the number asked for here."""
-    return metrics.sampled_curve(_scored(spark, d), 1 << 40).select("threshold", *[r6(c).alias(c) for c in ("precision", "recall")])
+    """200 of the thresholds, evenly by index: the operator's own sampling."""
+    return metrics.sampled_curve(_scored(spark, d), 200, s="snap").select("threshold", *[r6(c).alias(c) for c in ("precision", "recall")])
 
 
 @query(duck("""WITH d AS (SELECT DISTINCT snap FROM scored), n AS (SELECT snap, row_number() OVER (ORDER BY snap) - 1 AS rn, count(*) OVER () AS n FROM d),
@@ -729,11 +748,14 @@ def normal_bins(spark: SparkSession, d: str) -> DataFrame:
     return perf.normal_bins(runs, cut(perf.excursions(rows)))
 
 
-@query(duck("""WITH seg AS (SELECT run, s AS segment, s * 300.0 AS low, s * 300.0 + 200.0 AS high FROM (SELECT DISTINCT run FROM slow), (SELECT unnest(range(8)) AS s))
+@query(duck("""WITH ends AS (SELECT run, CAST(floor(max(t) / 300) AS BIGINT) AS final FROM slow GROUP BY run),
+seg AS (SELECT run, s AS segment, s * 300.0 AS low, s * 300.0 + 200.0 AS high FROM (SELECT run, unnest(range(final + 1)) AS s FROM ends))
 SELECT a.run, segment, count(*) AS n, round(quantile_cont(ms, 0.99), 6) AS p99 FROM slow a JOIN seg ON seg.run = a.run AND t BETWEEN low AND high GROUP BY ALL""", "slow"))
 def windowed_p99(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of 200 seconds every 300, up to the end of each run."""
     rows = view(spark, d, "slow")
-    segments = rows.select("run").distinct().withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("run", F.col("segment").cast("long").alias("segment"), (F.col("segment") * 300.0).alias("low"), (F.col("segment") * 300.0 + 200.0).alias("high"))
+    ends = rows.groupBy("run").agg(F.floor(F.max("t") / 300).alias("final"))
+    segments = ends.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("final")))).select("run", "segment", (F.col("segment") * 300.0).alias("low"), (F.col("segment") * 300.0 + 200.0).alias("high"))
     return perf.windowed_p99(rows, segments).withColumn("p99", r6("p99"))
 
 
@@ -790,13 +812,21 @@ def good_runs(spark: SparkSession, d: str) -> DataFrame:
     return perf.good_runs(rows, rows.filter("run = 'run2'").select("run").distinct()).groupBy("run").agg(F.count("*").alias("n"))
 
 
-@query(duck("""SELECT CASE WHEN event_id < 2000 THEN 'before' WHEN event_id < 12000 THEN 'spike' ELSE 'after' END AS segment, count(*) AS n FROM ev WHERE event_id < 14000 GROUP BY 1"""))
+@query(duck("""WITH n AS (SELECT max(event_id) + 1 AS n FROM ev), p AS (SELECT CAST(n * 40 // 280 AS BIGINT) AS a, CAST(n * 240 // 280 AS BIGINT) AS b FROM n)
+SELECT CASE WHEN event_id < a THEN 'before' WHEN event_id < b THEN 'spike' ELSE 'after' END AS segment, count(*) AS n FROM ev, p GROUP BY 1"""))
 def rate_segments(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one run of 40 % before, 20 % at ten times the rate and 40 % after: 40, 200 and 40 of 280 parts."""
     rows = view(spark, d, "ev").select(F.col("event_id").alias("at"))
-    return perf.assign_segments(rows, perf.plan_segments(50, 100, 10)).groupBy("segment").agg(F.count("*").alias("n"))
+    n = (rows.agg(F.max("at")).first()[0] or 0) + 1
+    ends = [n * 40 // 280, n * 240 // 280, n]
+    return perf.assign_segments(rows, [(name, b - a) for name, a, b in zip(("before", "spike", "after"), [0, *ends], ends)]).groupBy("segment").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(duck(f"""WITH RECURSIVE {_SERIES}, o AS (SELECT run, CAST(second AS DOUBLE) AS t, lag > 2000 AS above FROM series),
+i AS (SELECT *, sum(CASE WHEN above THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY t) AS island FROM o),
+h AS (SELECT run, t FROM (SELECT *, min(t) OVER (PARTITION BY run, island) AS since FROM i WHERE above) WHERE t - since >= 2),
+pick AS (SELECT run, min(t) AS t, 1 AS k FROM h GROUP BY run UNION ALL SELECT p.run, min(h.t), p.k + 1 FROM pick p JOIN h ON h.run = p.run AND h.t >= p.t + 10 WHERE p.k < 3 GROUP BY p.run, p.k)
+SELECT run, t FROM pick""", "samples"))
 def held_over(spark: SparkSession, d: str) -> DataFrame:
     rows = perf.series_per_second(view(spark, d, "samples")).select("run", F.col("second").cast("double").alias("t"), "lag")
     return perf.held_over(rows, 2000, 2)
@@ -821,8 +851,7 @@ def run_stream(events: DataFrame, scorer: detect.Scorer, min_lines: int, latenes
     write_in_order(events, f"{path}/in", batches)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     found = detect.detect(stream, scorer, min_lines, lateness)
-    running = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
-    running.awaitTermination()
+    detect.start(found, f"{path}/state", once=True, path=f"{path}/out").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{path}/out")
 
 
@@ -836,4 +865,4 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     scores = cut(model.score_counts(model.counts(rows)).select("session_id", "score"))
     anomaly.attach_early(model, sessions.sequences(typed), splits, scores, AGE, gate=GATE)
     events = detect.event_time(typed.select(F.col("session_id").alias("key"), "col", "line")).drop("line")
-    return run_stream(events, detect.scorer(model), GATE, "2 hours")
+    return detect.payload(run_stream(events, detect.scorer(model), GATE, "2 hours"), "run0", "pca").drop("sent_ns")

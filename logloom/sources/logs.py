@@ -77,9 +77,13 @@ def file_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
+# The fields of a message.
+WIRE = "i long, t long, l string, eos int"
+
+
 def decode_wire(raw: DataFrame) -> DataFrame:
     """(key, i, t, line) of JSON values {i, t, l}; end markers and values without a line are dropped."""
-    parsed = raw.withColumn("v", F.from_json("value", "i long, t long, l string, eos int"))
+    parsed = raw.withColumn("v", F.from_json("value", WIRE))
     return parsed.filter("v.l is not null and v.eos is null").select("key", F.col("v.i").alias("i"), F.col("v.t").alias("t"), F.col("v.l").alias("line"))
 
 
@@ -101,14 +105,25 @@ def encode_alerts(alerts: DataFrame, key: str = "session_key") -> DataFrame:
     return alerts.select(F.col(key).alias("key"), F.to_json(F.struct(*alerts.columns)).alias("value"))
 
 
+# How the JVM's unified log writes a time, a collector's pause and a safepoint.
+PAUSE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"
+PAUSE_STAMP, GC_MARK, SAFEPOINT_MARK = r"^\[([0-9T:.+-]{28})\]", "Pause ", 'Safepoint "'
+
+
 def parse_pauses(lines: DataFrame) -> DataFrame:
-    """(t, ms, kind) of garbage-collector and safepoint log lines; the collector's pattern is tried first."""
-    stamp = F.regexp_extract("line", r"^\[(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}[+-]\d{4})\]", 1)
-    gc_kind, gc_ms = (F.regexp_extract("line", r"Pause (\w+).*?(\d+(?:\.\d+)?)ms\s*$", k) for k in (1, 2))
-    sp_kind, sp_ns = (F.regexp_extract("line", r'Safepoint "(\w+)".*Total: (\d+) ns', k) for k in (1, 2))
-    rows = lines.select(stamp.alias("stamp"), gc_kind.alias("gk"), gc_ms.alias("gm"), sp_kind.alias("sk"), sp_ns.alias("sn")).filter("stamp <> '' and (gk <> '' or sk <> '')")
-    t = F.unix_micros(F.to_timestamp("stamp", "yyyy-MM-dd'T'HH:mm:ss.SSSZ")) / 1e6
-    return rows.select(t.alias("t"), F.when(F.col("gk") != "", F.col("gm").try_cast("double")).otherwise(F.col("sn").try_cast("double") / 1e6).alias("ms"), F.when(F.col("gk") != "", F.concat(F.lit("gc:"), "gk")).otherwise(F.concat(F.lit("safepoint:"), "sk")).alias("kind"))
+    """(t, ms, kind) of garbage-collector and safepoint log lines; a line that has both marks is the collector's.
+
+    A collector's pause is the number before the line's last ``ms``; a safepoint's time is the number of nanoseconds after ``Total:``.
+    """
+    line = F.rtrim("line")
+    stamp = F.to_timestamp(F.nullif(F.regexp_extract("line", PAUSE_STAMP, 1), F.lit("")), PAUSE_TIME)
+    word = lambda text: F.nullif(F.regexp_extract(text, r"^[A-Za-z0-9_]+", 0), F.lit(""))
+    after = lambda mark: F.when(F.instr("line", mark) > 0, F.substring_index(F.col("line"), mark, -1))
+    gc = F.struct(F.concat(F.lit("gc:"), word(after(GC_MARK))).alias("kind"), F.when(line.endswith("ms"), F.regexp_extract(line, r"([0-9.]+)ms$", 1)).try_cast("double").alias("ms"))
+    ns = F.element_at(F.split(F.trim(after("Total:")), " "), 1).try_cast("double")
+    safe = F.struct(F.concat(F.lit("safepoint:"), word(after(SAFEPOINT_MARK))).alias("kind"), (ns / 1e6).alias("ms"))
+    found = F.when(gc["kind"].isNotNull() & gc["ms"].isNotNull(), gc).when(safe["kind"].isNotNull() & safe["ms"].isNotNull(), safe)
+    return lines.select((F.unix_micros(stamp) / 1e6).alias("t"), found.alias("found")).filter("t is not null and found is not null").select("t", "found.ms", "found.kind")
 
 
 def read_runs(spark: SparkSession, pattern: str) -> DataFrame:

@@ -1,23 +1,29 @@
 """Online detection with keyed state: at most one alert per session, by its lines so far or by its age.
 
-The state of a session is one row of packed counts. In each micro-batch a touched session is scored; it alerts if the score
-reaches the threshold and it has ``min_lines`` lines. Once event time has passed its first line by more than ``age_s``, the
-snapshot of lines up to that age is scored once. Lines count however late they are, within ``lateness`` of the watermark.
+A micro-batch is first summed up for each session: its span of times and its lines by column, in all and within ``age_s`` of
+the session's first time. The sums are added to those of the state, so the order of rows in a batch makes no difference. Then
+one rule decides: a session alerts if it has ``min_lines`` lines and their score reaches the threshold, and, once, when the
+watermark has passed its first time by more than ``age_s``, if the score of its early lines reaches theirs. A session without
+new lines is woken for the second by a timer. An earlier first time in a later batch moves the due time, but does not take
+early lines back. Lines count however late they are, within ``lateness`` of the watermark; a line without a time counts as
+one at the session's last time.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as S
 
-ALERT = "session_key string, kind string, score double, n_lines long, evidence_s long, threshold double"
-STATE = "counts binary, snap binary, n long, first long, last long, alerted boolean, checked boolean"
+ALERT = "session_key string, kind string, score double, n_lines long, evidence_s long, threshold double, sent_ns long"
+#: lines: rows of (column, lines, early lines) as 32-bit integers.
+STATE = "lines binary, first long, last long, sent_ns long, alerted boolean, looked boolean"
 
 
 @dataclass
@@ -57,12 +63,60 @@ def scorer(model) -> Scorer:
     return out
 
 
-def _pack(counts: dict[int, int]) -> bytes:
-    return np.array([*counts.items()], "<i4").tobytes()
-
-
-def _unpack(data: bytes | None) -> dict[int, int]:
-    return dict(np.frombuffer(data or b"", "<i4").reshape(-1, 2).tolist())
+@dataclass
+class Session:
+    """What is known of a session; the fields are those of ``STATE``."""
+
+    lines: dict[int, tuple[int, int]] = field(default_factory=dict)
+    first: int | None = None
+    last: int | None = None
+    sent_ns: int | None = None
+    alerted: bool = False
+    looked: bool = False
+
+    @staticmethod
+    def read(state: tuple) -> "Session":
+        table = np.frombuffer(state[0], "<i4").reshape(-1, 3).tolist()
+        return Session({col: (n, early) for col, n, early in table}, *state[1:])
+
+    def stored(self) -> tuple:
+        table = np.array([(col, *n) for col, n in self.lines.items()], "<i4")
+        return table.tobytes(), self.first, self.last, self.sent_ns, self.alerted, self.looked
+
+    def add(self, cols: np.ndarray, times: np.ndarray, sent: np.ndarray, age_s: int | None) -> None:
+        """The lines of a batch: whole columns, times with NaN where a line has none."""
+        timed = times[~np.isnan(times)]
+        if len(timed):
+            low, high = int(timed.min()), int(timed.max())
+            self.first, self.last = (low, high) if self.first is None else (min(self.first, low), max(self.last, high))
+        ages = np.where(np.isnan(times), (self.last or 0) - (self.first or 0), times - (self.first or 0))
+        early = np.zeros(len(cols), bool) if age_s is None else ages <= age_s
+        names, at = np.unique(cols, return_inverse=True)
+        for col, n, m in zip(names.tolist(), np.bincount(at).tolist(), np.bincount(at, early).astype(int).tolist()):
+            had = self.lines.get(col, (0, 0))
+            self.lines[col] = had[0] + n, had[1] + m
+        sent = sent[~np.isnan(sent)]
+        if len(sent):
+            self.sent_ns = max(self.sent_ns or 0, int(sent.max()))
+
+    def due(self, age_s: int | None) -> int | None:
+        """The millisecond of event time from which on the early lines may be looked at; none if that is done or not wanted."""
+        return None if age_s is None or self.looked or self.first is None else (self.first + age_s + 1) * 1000
+
+    def judge(self, model: Scorer, min_lines: int, now_ms: int) -> tuple[str, float, float] | None:
+        """(kind, score, threshold) of an alert that is due now; marks what has been done."""
+        whole = {c: n for c, (n, _) in self.lines.items()}
+        found = []
+        if not self.alerted and sum(whole.values()) >= min_lines:
+            found.append(("incremental", model.full(whole), model.threshold))
+        due = self.due(model.age_s)
+        if due is not None and due <= now_ms:
+            self.looked = True
+            if not self.alerted:
+                found.append(("deadline", model.snapshot({c: m for c, (_, m) in self.lines.items() if m}), model.snap_threshold))
+        alert = next((x for x in found if x[1] >= x[2]), None)
+        self.alerted = self.alerted or alert is not None
+        return alert
 
 
 def event_time(lines: DataFrame) -> DataFrame:
@@ -71,47 +125,40 @@ def event_time(lines: DataFrame) -> DataFrame:
 
 
 def detect(events: DataFrame, model: Scorer, min_lines: int = 10, lateness: str = "2 hours") -> DataFrame:
-    """Alerts of a stream of (key, col, log_t, event_time); append mode."""
+    """Alerts of a stream of (key, col, log_t, event_time), with sent_ns if the events have it; append mode."""
     shared = events.sparkSession.sparkContext.broadcast(model)
+    if "sent_ns" not in events.columns:
+        events = events.withColumn("sent_ns", F.lit(None).cast("long"))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m: Scorer = shared.value
-        s = dict(zip(("counts", "snap", "n", "first", "last", "alerted", "checked"), state.get)) if state.exists else {"counts": b"", "snap": b"", "n": 0, "first": None, "last": None, "alerted": False, "checked": False}
-        counts, snap, out = _unpack(s["counts"]), _unpack(s["snap"]), []
-
-        def alert(kind: str, score: float, threshold: float) -> None:
-            s["alerted"] = True
-            out.append((key[0], kind, score, s["n"], (s["last"] or 0) - (s["first"] or 0), threshold))
-
-        if not state.hasTimedOut:
-            for df in frames:
-                for col, t in zip(df.col, df.log_t):
-                    t = s["last"] if pd.isna(t) else int(t)  # a malformed time means no progress
-                    if s["first"] is None:
-                        s["first"] = t
-                    counts[col] = counts.get(col, 0) + 1
-                    if m.age_s is not None and (t or 0) - (s["first"] or 0) <= m.age_s:
-                        snap[col] = snap.get(col, 0) + 1
-                    s["n"] += 1
-                    s["last"] = t
-            score = m.full(counts)
-            if not s["alerted"] and s["n"] >= min_lines and score >= m.threshold:
-                alert("incremental", score, m.threshold)
-        elif not s["checked"]:
-            s["checked"] = True
-            score = m.snapshot(snap)
-            if not s["alerted"] and score >= m.snap_threshold:
-                alert("deadline", score, m.snap_threshold)
-        state.update((_pack(counts), _pack(snap), s["n"], s["first"], s["last"], s["alerted"], s["checked"]))
-        if m.age_s is not None and not s["checked"] and s["first"] is not None:
-            due = (s["first"] + m.age_s + 1) * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
+        known = Session.read(state.get) if state.exists else Session()
+        parts = [] if state.hasTimedOut else [df[["col", "log_t", "sent_ns"]] for df in frames]
+        if parts:
+            rows = {c: np.concatenate([p[c].to_numpy(float, na_value=np.nan) for p in parts]) for c in parts[0]}
+            known.add(rows["col"].astype(int), rows["log_t"], rows["sent_ns"], shared.value.age_s)
+        alert = known.judge(shared.value, min_lines, state.getCurrentWatermarkMs())
+        state.update(known.stored())
+        due = known.due(shared.value.age_s)
+        if due is not None:
+            state.setTimeoutTimestamp(due)
+        rows = [(key[0], alert[0], alert[1], sum(n for n, _ in known.lines.values()), (known.last or 0) - (known.first or 0), alert[2], known.sent_ns)] if alert else []
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALERT.split(", ")]).astype({"sent_ns": "Int64"})
 
     keyed = events.withWatermark("event_time", lateness).groupBy("key")
     return keyed.applyInPandasWithState(update, ALERT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def payload(alerts: DataFrame, run: str, model: str) -> DataFrame:
+    """``alerts`` as they are sent: with an id that is the same in every attempt, the run and the model's name."""
+    return alerts.select(F.concat_ws(":", F.lit(run), "session_key").alias("id"), F.lit(run).alias("run"), F.lit(model).alias("model"), *alerts.columns)
+
+
+def start(alerts: DataFrame, checkpoint: str, format: str = "parquet", once: bool = False, **options: str) -> StreamingQuery:
+    """Writes a stream of alerts to files or a Kafka topic; ``once``: what is there now, then it ends."""
+    writer = alerts.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint).options(**options)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def finalise(scores: DataFrame, snapshots: DataFrame, alerts: DataFrame, snap_threshold: float) -> DataFrame:
     """(session_id, score, kind, alert_score): every session's final score with its alert; checks still open at the end fire as deadline_eos.
 
@@ -131,3 +178,18 @@ def summarise(final: DataFrame, labels: DataFrame, offline: DataFrame) -> DataFr
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return joined.agg(F.count("*").alias("sessions"), n(y.isNull()).alias("unlabelled"), n(hit & (y == 1)).alias("tp"), n(hit & (y == 0)).alias("fp"), n(~hit & (y == 1)).alias("fn"),
                       F.avg((diff < 1e-6).cast("double")).alias("same"), F.percentile(diff, 0.5).alias("diff_median"), F.max(diff).alias("diff_max"))
+
+
+def run_report(alerts: DataFrame, labels: DataFrame, sizes: DataFrame, expected: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: coverage, alerts by kind, and quantiles of true alerts' evidence and of the part of its lines that a session had.
+
+    ``alerts``: (session_key, kind, evidence_s, n_lines); ``sizes``: (session_id, n); ``expected``, ``scored``: (session_id).
+    """
+    known = alerts.withColumnRenamed("session_key", "session_id").join(labels, "session_id", "left").join(sizes, "session_id", "left")
+    kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("incremental", "deadline", "deadline_eos")]
+    delay = F.percentile(F.when(F.col("label") == 1, F.col("evidence_s")), F.array(F.lit(0.5), F.lit(0.95)))
+    part = F.percentile(F.col("n_lines") / F.col("n"), F.array(F.lit(0.5), F.lit(0.95)))
+    both = expected.agg(F.count("*").alias("sessions")).crossJoin(expected.join(scored, "session_id", "left_semi").agg(F.count("*").alias("scored")))  # one row each
+    out = both.crossJoin(known.agg(F.count("*").alias("alerts"), *kinds, delay.alias("_d"), part.alias("_p")))
+    return out.select("sessions", "scored", F.when(F.col("sessions") > 0, F.col("scored") / F.col("sessions")).alias("coverage"), "alerts", *[f"n_{k}" for k in ("incremental", "deadline", "deadline_eos")],
+                      F.col("_d")[0].alias("evidence_p50"), F.col("_d")[1].alias("evidence_p95"), F.col("_p")[0].alias("lines_p50"), F.col("_p")[1].alias("lines_p95"))

@@ -54,4 +54,5 @@ def duck(sql: str, *views: str) -> str:
     """``sql`` for DuckDB behind the views it reads."""
     named = [f"ev AS ({EV_DUCK})", *[f"{v} AS ({VIEWS[v].format(ev='ev')})" for v in views]]
     rest = sql.strip()
-    return f"WITH {', '.join(named)}" + (f", {rest[5:]}" if rest.upper().startswith("WITH ") else f" {rest}")
+    word = "WITH RECURSIVE " if rest.startswith("WITH RECURSIVE ") else "WITH "
+    return f"{word}{', '.join(named)}" + (f", {rest[len(word):]}" if rest.startswith(word) else f" {rest}")

@@ -40,11 +40,56 @@ def test_stream_alerts_once_and_as_in_batch(spark):
         rows += [("good", 1, 1000 + t), ("odd", 2, 1000 + t)]
     rows += [("short", 2, 1001), ("short", 2, 1002), ("end", 1, 3000), ("end", 1, 9000)]
     events = spark.createDataFrame(rows, "key string, col int, log_t long").withColumn("event_time", F.timestamp_seconds("log_t"))
-    for batches in (1, 4):
+    for batches in (1, 4, 4):
+        events = events.repartition(batches + 2)  # rows of a batch come in any order
         got = {(r.session_key, r.kind) for r in base.run_stream(events, scorer, 5, "1 second", batches).collect()}
         assert got == {("odd", "incremental"), ("short", "deadline")}
 
 
+def test_session_is_the_same_in_any_order_of_rows():
+    import numpy as np
+
+    cols, times, sent = np.array([1, 2, 1, 3]), np.array([50.0, 10.0, np.nan, 21.0]), np.full(4, np.nan)
+    stored = []
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        s = detect.Session()
+        s.add(cols[order], times[order], sent, 10)
+        s.add(np.array([4]), np.array([15.0]), np.array([7.0]), 10)
+        stored.append((sorted(s.lines.items()), s.first, s.last, s.sent_ns))
+        assert detect.Session.read(s.stored()) == s
+    assert stored[0] == stored[1] == stored[2] == ([(1, (2, 0)), (2, (1, 1)), (3, (1, 0)), (4, (1, 1))], 10, 50, 7)
+
+
+def test_stream_scores_equal_batch_scores(spark, sf):
+    from logloom.plans import anomaly
+
+    rows, splits = base._rows(spark, sf), base._splits(spark, sf)
+    model = anomaly.train(rows, splits, "regex", "pca", max_events=3)
+    scorer, counts = detect.scorer(model), {}
+    for r in model.counts(rows).collect():
+        counts.setdefault(r.session_id, {})[r.col] = r.cnt
+    for r in model.score_counts(model.counts(rows)).collect():
+        assert abs(scorer.full(counts[r.session_id]) - r.score) < 1e-6
+
+
+def test_payload_and_report(spark):
+    alerts = spark.createDataFrame([("a", "incremental", 0.7, 3, 5, 0.5, None), ("b", "deadline", 0.9, 2, 9, 0.5, 1)], detect.ALERT)
+    sent = {r.id: (r.run, r.model, r.session_key) for r in detect.payload(alerts, "r1", "m").collect()}
+    assert sent == {"r1:a": ("r1", "m", "a"), "r1:b": ("r1", "m", "b")}
+    ids = spark.createDataFrame([("a", 1, 6), ("b", 0, 2), ("c", 0, 4)], "session_id string, label int, n long")
+    r = detect.run_report(alerts, ids.drop("n"), ids.drop("label"), ids.select("session_id"), ids.filter("label = 0").select("session_id")).first()
+    assert (r.sessions, r.scored, r.alerts, r.n_incremental, r.n_deadline, r.evidence_p50, r.lines_p50) == (3, 2, 2, 1, 1, 5.0, 0.75)
+
+
+def test_pause_lines(spark):
+    from logloom.sources import logs
+
+    stamp = "[2024-01-02T03:04:05.678+0000]"
+    lines = [f"{stamp} GC(1) Pause Young (Normal) 4M->2M(9M) 1.25ms", f'{stamp} Safepoint "Cleanup", Time since last: 1 ns, Total: 2500000 ns', "Pause Young 1ms", f"{stamp} other", f"{stamp} Pause Full 3 s"]
+    got = logs.parse_pauses(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert sorted((round(r.t, 3), r.ms, r.kind) for r in got) == [(1704164645.678, 1.25, "gc:Young"), (1704164645.678, 2.5, "safepoint:Cleanup")]
+
+
 def test_finalise_and_summary(spark):
     scores = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.2)], "session_id string, score double")
     snaps = spark.createDataFrame([("b", 0.8), ("c", 0.0)], "session_id string, score double")
@@ -61,10 +106,12 @@ def test_model_tables_round_trip(spark, sf, tmp_path):
 
     rows, splits = base._rows(spark, sf), base._splits(spark, sf)
     model = anomaly.train(rows, splits, "drain", "pca")
+    model.early = anomaly.EarlyCheck(60, model.idf, model.detector, 0.25)
     model.save(str(tmp_path / "m"))
     again = anomaly.AnomalyModel.load(spark, str(tmp_path / "m"))
     a, b = ({r.session_id: (round(r.score, 9), r.flagged) for r in m.transform(rows).collect()} for m in (model, again))
     assert a == b and a
+    assert (again.early.age_s, again.early.threshold) == (60, 0.25) and detect.scorer(again).snap_idf == detect.scorer(model).snap_idf
 
 
 def test_stream_files_rise_with_time(spark, tmp_path):
