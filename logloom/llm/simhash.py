@@ -293,16 +293,26 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none, none, none, none, u, v], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_buckets(batches, 1):
+        linked: list[pa.RecordBatch] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.column(0).null_count:
+                    linked.append(batch.filter(batch.column(0).is_null()).select(["u", "v"]))
+                yield batch.filter(batch.column(0).is_valid()).select(names[:4])
+
+        for table in _whole_buckets(rows(), 1):
             key, node, a, b = table[:, 0], table[:, 1], table[:, 2].view(np.uint64), table[:, 3].view(np.uint64)
             order = np.lexsort((a, key))
             key, node, a, b = key[order], node[order], a[order], b[order]
             starts = np.concatenate([[0], 1 + np.flatnonzero(key[1:] != key[:-1]), [len(key)]])
             yield pa.RecordBatch.from_arrays(forest_rows(node, trie_links(a, starts, budget, lambda x, y: near(x, y, a, b))), ["u", "v"])
+            while linked:
+                yield linked.pop()
+        yield from linked
 
-    made = cut(nodes.select("node", "a", "b").mapInArrow(steady(spread), "key bigint, node bigint, a bigint, b bigint, u bigint, v bigint"))
-    met = made.filter("key is not null").select(names[:4]).repartition("key").sortWithinPartitions("key").mapInArrow(steady(join), "u bigint, v bigint")
-    return met.union(made.filter("key is null").select("u", "v")).distinct()
+    made = nodes.select("node", "a", "b").mapInArrow(steady(spread), "key bigint, node bigint, a bigint, b bigint, u bigint, v bigint")
+    return made.repartition(F.coalesce("key", "u")).sortWithinPartitions("key").mapInArrow(steady(join), "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ The contexts' phrases are one sequence of numbers, whose suffix array is built b
 out grouped by their first number; groups are taken in descending order, and previous-smaller pointers lead from the members to the
 suffixes whose Lyndon prefix they extend, which form new groups right above their old ones. A last pass in ascending order puts each
 suffix at the next free place of its group; nothing is renamed or sorted again. Neighbours in the array tell how far the
-phrases at a place repeat. That proves or refutes most strings; those that end inside phrases are compared byte by byte.
+phrases at a place repeat, which proves most strings. Those that begin or end inside phrases are equal to others of the same
+stretch of the array, where all suffixes share the string's whole phrases, if the bytes before and behind these are the same.
 
-Anchors with more than ``GROUP`` contexts take another exact way: their strings are counted by 128-bit digests.
+Anchors with more than ``GROUP`` contexts are split by the bytes around them: strings whose anchors stand in the same ``STEPS``
+places also share the bytes that all of them cover, so that their key grows, up to the whole string, until groups are small.
 
 A null text counts as empty; texts shorter than ``width`` have no strings. Matches never cross texts. Repeated rows repeat each other.
 """
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 
 from .shared import cut, steady
 
-WIDTH, GRAM, GROUP = 200, 32, 8000
+WIDTH, GRAM, GROUP = 200, 32, 4000
+STEPS = (42, 10, 1)
 #: Bits of a position beside the hash in an anchor's order; longer texts are taken in overlapping pieces.
 PLACE = 26
 #: Phrases end where a hash of their last LOOK bytes has so many zero bits.
@@ -136,8 +139,8 @@ def suffix_array(s: list[int]) -> np.ndarray:
     return np.array(order)
 
 
-def _repeated_phrases(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many bytes of whole phrases from each phrase on are found elsewhere as well."""
+def _shared_phrases(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and how many phrases neighbours in it share."""
     order = suffix_array(symbols.tolist())
     a, b = order[:-1], order[1:]
     same, alive = np.zeros(len(a), np.int64), np.arange(len(a))
@@ -145,10 +148,7 @@ def _repeated_phrases(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         x, y = a[alive] + same[alive], b[alive] + same[alive]
         alive = alive[symbols[x] == symbols[y]]
         same[alive] += 1
-    far = np.zeros(len(symbols), np.int64)
-    np.maximum.at(far, a, starts[a + same] - starts[a])
-    np.maximum.at(far, b, starts[b + same] - starts[b])
-    return far
+    return order, same
 
 
 def repeats(groups: np.ndarray, texts: list[bytes], many: np.ndarray, width: int) -> list[np.ndarray]:
@@ -172,36 +172,40 @@ def repeats(groups: np.ndarray, texts: list[bytes], many: np.ndarray, width: int
     closes = np.flatnonzero(np.diff(np.concatenate([text, [len(texts)]]))) + 1
     symbols = np.insert(np.array(names) + len(texts), closes, len(texts) - 1 - np.arange(len(texts)))
     starts = np.insert(firsts, closes, ends)
-    far = _repeated_phrases(symbols, starts)
+    order, shared = _shared_phrases(symbols)
+    far = np.zeros(len(symbols), np.int64)  # bytes of whole phrases from each phrase on that are found elsewhere as well
+    for at in (order[:-1], order[1:]):
+        np.maximum.at(far, at, starts[at + shared] - starts[at])
     windows = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(begins, ends)])
     owner = np.repeat(np.arange(len(texts)), sizes - width + 1)
     phrase = np.searchsorted(starts, windows, side="right") - 1  # the phrase that the string starts in
-    sure = far[phrase] >= windows + width - starts[phrase]
-    # The borders that the string's own bytes make are in every string equal to it: what lies between them must repeat.
+    sure = (far[phrase] >= windows + width - starts[phrase]) | (many > 1)[owner]
+    # The borders that the string's own bytes make are in every string equal to it, and so are the phrases between them.
     bounded = np.concatenate([[-1], natural, [len(data) + 1]])
     first = bounded[np.searchsorted(bounded, windows + LOOK)]
     last = bounded[np.searchsorted(bounded, windows + width, side="right") - 1]
+    inside = last > first
     whole = np.minimum(np.searchsorted(starts, first), len(starts) - 1)
-    may = (last <= first) | (far[whole] >= last - first)
-    sure |= (many > 1)[owner]
-    check = np.flatnonzero(may | sure)
-    open_ = np.flatnonzero(may & ~sure)
-    if len(open_):
-        powers = np.cumprod(np.full(len(data), _ODD, np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * powers)])
-        inverse = pow(int(_ODD), -1, 1 << 64)
-        back = np.cumprod(np.full(len(data), np.uint64(inverse)))
-        w = windows[check]
-        digest = (sums[w + width] - sums[w]) * back[w]
-        order = np.lexsort((digest, groups[owner[check]]))
-        rank = check[order]
-        pair = (digest[order][1:] == digest[order][:-1]) & (groups[owner[rank[1:]]] == groups[owner[rank[:-1]]])
-        left, right = rank[:-1][pair], rank[1:][pair]
-        view = np.lib.stride_tricks.sliding_window_view(data, width)
-        for k in range(0, len(left), 20_000):
-            x, y = left[k : k + 20_000], right[k : k + 20_000]
-            equal = (view[windows[x]] == view[windows[y]]).all(axis=1)
-            sure[x[equal]] = sure[y[equal]] = True
+    phrases = np.where(inside, np.searchsorted(starts, last) - whole, 0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    stretch = -1 - groups[owner]  # without whole phrases the group is all that is known
+    for n in np.unique(phrases[inside]).tolist():
+        mine = np.flatnonzero(inside & (phrases == n))
+        stretch[mine] = np.concatenate([[0], np.cumsum(shared < n)])[rank[whole[mine]]]
+    head = np.where(inside, first - windows, 0)
+    order = np.lexsort((head, stretch, phrases))
+    new = np.concatenate([[True], (phrases[order][1:] != phrases[order][:-1]) | (stretch[order][1:] != stretch[order][:-1]) | (head[order][1:] != head[order][:-1])])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    asked = np.flatnonzero((np.bincount(kind) > 1)[kind] & (np.bincount(kind, ~sure) > 0)[kind])
+    ahead = np.where(inside, first, windows + width)
+    behind = np.where(inside, last, windows + width)
+    before: dict[tuple[int, bytes, bytes], int] = {}
+    for k, name, w, x, y in zip(asked.tolist(), kind[asked].tolist(), windows[asked].tolist(), ahead[asked].tolist(), behind[asked].tolist()):
+        other = before.setdefault((name, raw[w:x], raw[y : w + width]), k)
+        if other != k:
+            sure[k] = sure[other] = True
     return np.split(sure, np.cumsum(sizes - width + 1)[:-1])
 
 
@@ -216,6 +220,7 @@ _KEYS = ["gram", "high", "low"]
 
 def _found(docs: DataFrame, width: int) -> DataFrame:
     """(key, start, strings INT, gram, high, low LONG): each context of each text, with its anchor's hash and its own digest."""
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -233,7 +238,7 @@ def _found(docs: DataFrame, width: int) -> DataFrame:
                 start, strings, _, gram = zip(*found) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int32()), pa.array(strings, pa.int32()), pa.array(gram, pa.int64()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], ["key", "start", "strings", *_KEYS])
 
-    return docs.select("key", "text").mapInArrow(steady(run), "key bigint, start int, strings int, gram bigint, high bigint, low bigint")
+    return docs.select("key", "text").mapInArrow(steady(run), f"key {kind}, start int, strings int, gram bigint, high bigint, low bigint")
 
 
 def _bytes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -280,36 +285,55 @@ def _grouped(contexts: DataFrame, width: int) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(steady(run), "gram bigint, high bigint, low bigint, ranges array<int>")
 
 
-def _counted(contexts: DataFrame, width: int) -> DataFrame:
-    """What ``_grouped`` returns, for any number of contexts: strings are counted by their digests."""
+def _split(contexts: DataFrame, width: int, step: int) -> DataFrame:
+    """Parts of ``contexts`` whose anchors stand in the same ``step`` places: (gram, high, low, many, data, of STRUCT, at INT).
+
+    The new gram stands for the bytes that all strings of such places cover; ``of`` names the context, ``at`` where the part begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                n = len(row[4]) - width + 1
-                wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(row[4][k : k + width]) for k in range(n)]), ">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([*[pa.array([row[k]] * n, pa.int64()) for k in range(4)], pa.array(range(n), pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1])], [*_KEYS, "many", "nth", "a", "b"])
-
-    strings = cut(contexts.mapInArrow(steady(run), "gram bigint, high bigint, low bigint, many bigint, nth int, a bigint, b bigint"))
-    often = strings.groupBy("a", "b").agg(F.sum("many").alias("n")).filter("n > 1").select("a", "b")
-    return strings.join(often, ["a", "b"]).groupBy(*_KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list("nth")), lambda k: F.array(k, k + 1))).alias("ranges"))
+            out = []
+            for gram, high, low, many, data in zip(*(batch.column(c).to_pylist() for c in (*_KEYS, "many", "data"))):
+                ((_, strings, anchor, _),) = contexts_of(data, width)
+                for x in range(0, width - GRAM + 1, step):  # places x .. x + step - 1
+                    low_at, high_at = max(0, anchor - x - step + 1), min(strings, anchor - x + 1)
+                    if low_at < high_at:
+                        span = data[anchor - x : anchor - x - step + 1 + width]
+                        key = xxhash.xxh3_64_intdigest(span, (gram + x) & ((1 << 64) - 1)) - (1 << 63)
+                        part = data[low_at : high_at + width - 1]
+                        wide = np.frombuffer(xxhash.xxh3_128_digest(part, anchor - low_at), ">i8").tolist()
+                        out.append((key, *wide, many, part, {"gram": gram, "high": high, "low": low}, low_at))
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.struct([(k, pa.int64()) for k in _KEYS]), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], [*_KEYS, "many", "data", "of", "at"])
+
+    return contexts.select(*_KEYS, "many", "data").mapInArrow(steady(run), "gram bigint, high bigint, low bigint, many bigint, data binary, of struct<gram: bigint, high: bigint, low: bigint>, at int")
+
+
+def _solved(contexts: DataFrame, width: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """(gram, high, low, ranges ARRAY<INT>): the repeated strings of each of the distinct ``contexts`` (gram, high, low, many, data)."""
+    huge = cut(contexts.groupBy("gram").count().filter(F.col("count") > GROUP).select("gram"))
+    if huge.isEmpty() or not steps:
+        return _grouped(contexts, width)
+    parts = cut(_split(contexts.join(huge, "gram", "left_semi"), width, steps[0]))
+    distinct = cut(parts.groupBy(*_KEYS).agg(F.sum("many").alias("many"), F.first("data").alias("data")))
+    found = cut(_solved(distinct, width, steps[1:]).filter(F.size("ranges") > 0))
+    moved = parts.select(*_KEYS, "of", "at").join(found, _KEYS).select("of", F.transform("ranges", lambda r: r + F.col("at")).alias("ranges"))
+    back = moved.groupBy("of").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).select("of.*", "ranges")
+    return _grouped(contexts.join(huge, "gram", "left_anti"), width).union(back)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(key, spans ARRAY<STRUCT<start, ranges>>) for ``docs`` (key LONG, text): where its repeated strings start."""
+    """(key, spans ARRAY<STRUCT<start, ranges>>) for ``docs`` (key, text): where its repeated strings start."""
     found = _found(docs, width)
-    twice = found.groupBy("gram").count().filter("count > 1").select("gram")
+    # Joins read written tables alone, so that Spark can split the rows of a hot key.
+    twice = cut(found.groupBy("gram").count().filter("count > 1").select("gram"))
     found = cut(found.join(twice, "gram"))
     contexts = cut(found.groupBy(*_KEYS).agg(F.count("*").alias("many"), F.min(F.struct("key", "start", "strings")).alias("one")).select(*_KEYS, "many", "one.key", "one.start", "one.strings"))
-    sizes = contexts.groupBy("gram").agg(F.count("*").alias("contexts"))
-    several = contexts.join(sizes.filter("contexts > 1"), "gram")
-    alone = contexts.join(sizes.filter("contexts = 1"), "gram", "left_semi").select(*_KEYS, F.array(F.lit(0), F.col("strings")).alias("ranges"))
-    huge = cut(sizes.filter(F.col("contexts") > GROUP).select("gram"))
-    fetched = cut(_bytes(docs, several, width))
-    solved = _grouped(fetched.join(huge, "gram", "left_anti"), width)
-    if not huge.isEmpty():
-        solved = solved.union(_counted(fetched.join(huge, "gram", "left_semi"), width))
-    solved = cut(solved.filter(F.size("ranges") > 0)).union(alone)
+    sizes = cut(contexts.groupBy("gram").agg(F.count("*").alias("contexts")))
+    several = contexts.join(sizes.filter("contexts > 1").select("gram"), "gram", "left_semi")
+    alone = contexts.join(sizes.filter("contexts = 1").select("gram"), "gram", "left_semi").select(*_KEYS, F.array(F.lit(0), F.col("strings")).alias("ranges"))
+    solved = cut(_solved(cut(_bytes(docs, several, width)), width).filter(F.size("ranges") > 0).union(alone))
     spans = found.select("key", "start", *_KEYS).join(solved, _KEYS)
     return spans.groupBy("key").agg(F.collect_list(F.struct("start", "ranges")).alias("spans"))
 
@@ -322,7 +346,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
     added = {"kept": T.BinaryType(), "removed": T.ArrayType(T.ArrayType(T.IntegerType()))}
     names = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(*x) for x in added.items()])
-    keyed = docs.select(*names, F.xxhash64(id_col, text_col).alias("_key"))
+    keyed = docs.select(*names, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("_key"))
     spans = repeated_spans(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text")), width)
     joined = keyed.join(spans.withColumnsRenamed({"key": "_key", "spans": "_spans"}), "_key", "left").drop("_key")
 
