@@ -1,15 +1,18 @@
 """Language-model scores from Brown's class-based bigrams.
 
-Words are counted over all training texts. The ``FREQUENT`` most frequent words are items of their own; every other word, known
-or not, belongs to one of ``ENDINGS`` items by its last bytes, so that a word's item never has to be looked up. Exchange
-clustering then moves items between ``CLASSES`` classes: each item goes where the likelihood of the class bigrams grows most,
-by profiles of the classes beside it. An item's profile is one row, so rounds read a small table and shuffle nothing.
-
-The probability of a word after another is P(class | class before) * P(item | class) * P(word | item), mixed with the smoothed
-unigram ``(c + 0.1) / (N + 0.1 (V + 1))``. Within an item of rare words, words never seen get the share of those seen once.
-
-Scoring knows the ``KNOWN`` most frequent words by a broadcast of bounded size; every other token is joined with the table of
-counts. A null text counts as empty: its only token is the end. Rows with equal id and text get equal scores, each its row.
+Words are counted over all training texts. The ``KNOWN`` most frequent words are items of their own, and go to tasks by a
+broadcast of bounded size; every other word, known or not, belongs to one of ``ENDINGS`` items by its last bytes, so that its
+class never has to be looked up. Exchange clustering puts items into ``CLASSES`` classes, in two tiers. The ``FREQUENT`` most
+frequent words and the endings are moved where the likelihood of the class bigrams grows most, by profiles of the items beside
+them; a profile is one row, so rounds read a small table and shuffle nothing. Then each other known word leaves the class of its
+ending for the one that its own neighbours' classes make likeliest, all in one more pass over the texts.
+
+The probability of a word after another is P(class | class before) * P(word | class), mixed with the smoothed unigram
+``(c + 0.1) / (N + 0.1 (V + 1))``. In its class a word counts ``c + 0.5``; a class sets aside 0.5 for as many unseen words of
+an ending as were seen once, and one.
+
+Tokens outside the broadcast are joined with the table of counts. A null text counts as empty: its only token is the end. Rows
+with equal id and text get equal scores, each its row.
 """
 
 import zlib
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from .shared import cut, steady
 
 FREQUENT, ENDINGS, CLASSES, ROUNDS = 8192, 512, 64, 4
-KNOWN, LONGEST = 1 << 18, 64
+#: Words of the broadcast, their bytes in all, and the longest of them.
+KNOWN, KNOWN_BYTES, LONGEST = 1 << 18, 16_000_000, 1 << 16
 END = FREQUENT + ENDINGS
 ITEMS = END + 1
 #: While clustering: the class of items that have none yet; CLASSES is the end's.
@@ -182,47 +186,130 @@ def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.n
         who[ranked[done : 2 * done]] = True
         classes, done = moves(classes, table(classes), who), 2 * done
     t = table(classes)
+    idle = 0
     for turn in range(rounds):
         who = (np.arange(ITEMS) * 2654435761 >> 8) % 4 == turn % 4
         who[END] = False
         tried = moves(classes, t, who & (classes != REST))
-        after = table(tried)
-        if _likelihood(after) > _likelihood(t):
-            classes, t = tried, after
+        moved = np.flatnonzero(tried != classes)
+        while len(moved):  # what is too much at once is halved
+            after = table(tried)
+            if _likelihood(after) > _likelihood(t):
+                classes, t = tried, after
+                break
+            tried = tried.copy()
+            tried[moved[::2]] = classes[moved[::2]]
+            moved = moved[1::2]
+        idle = 0 if len(moved) else idle + 1
+        if idle == 4:
+            break
     classes[classes == REST] = 0  # items that never were in a bigram
     return classes, t[: CLASSES + 1, : CLASSES + 1]
 
 
+def own_classes(docs: DataFrame, known: dict[bytes, int], classes: np.ndarray, table: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The class of each of the ``known`` words (numbered by rank), and the counts of class bigrams after the words' moves.
+
+    Words beyond ``FREQUENT`` are moved by the classes beside them before anyone moves; counts between two that move follow each once.
+    """
+    first = np.array([k if k < FREQUENT else _ending(w) for w, k in known.items()] + [END])
+    at = classes[first]
+    width = CLASSES + 2  # the last: the word itself
+    shared = docs.sparkSession.sparkContext.broadcast((known, at, classes, table))
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, classes, _ = shared.value
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((codes // (2 * width)).astype(np.int32)), pa.array((codes % (2 * width)).astype(np.int32)), pa.array(n)], ["w", "slot", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = _words(text.as_py())
+                ids = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+                mine = np.flatnonzero(ids >= FREQUENT)
+                if len(mine):
+                    cls = at[ids]
+                    rare = np.flatnonzero(ids < 0)
+                    cls[rare] = classes[[_ending(words[k]) for k in rare.tolist()]]
+                    around, names = np.concatenate([[CLASSES], cls, [CLASSES]]), np.concatenate([[-2], ids, [-2]])
+                    for side, step in ((0, 0), (1, 2)):
+                        beside = np.where(names[mine + step] == ids[mine], CLASSES + 1, around[mine + step])
+                        held.append(ids[mine] * (2 * width) + side * width + beside)
+                    size += 2 * len(mine)
+                if size > TOKENS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, at, _, table = shared.value
+        delta, moved = np.zeros_like(table), []
+        word, row = -1, np.zeros(2 * width)
+
+        def settle() -> None:
+            left, right = row[: CLASSES + 1].copy(), row[width : width + CLASSES + 1].copy()
+            own, here = row[CLASSES + 1], at[word]
+            left[here] += own
+            right[here] += own
+            gains = _gains(left, right, own, here, table)[:CLASSES]
+            to = int(gains.argmax())
+            if gains[to] > gains[here] + 1e-6:
+                moved.append((word, to))
+                for line, counts in ((delta[:, here], -left), (delta[:, to], left), (delta[here], -right), (delta[to], right)):
+                    line += counts
+
+        for batch in batches:  # sorted by word
+            for w, slot, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if w != word:
+                    if word >= 0:
+                        settle()
+                    word, row = w, np.zeros(2 * width)
+                row[slot] += n
+        if word >= 0:
+            settle()
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in moved], pa.int32()) for k in (0, 1)] + [pa.nulls(len(moved), pa.list_(pa.float64()))], ["w", "to", "delta"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([delta.ravel().tolist()], pa.list_(pa.float64()))], ["w", "to", "delta"])
+
+    if len(known) <= FREQUENT:
+        return at, table
+    rows = docs.select(text_col).mapInArrow(steady(profile), "w int, slot int, n bigint")
+    at, table = at.copy(), table.copy()
+    for w, to, delta in rows.repartition("w").sortWithinPartitions("w").mapInArrow(steady(move), "w int, to int, delta array<double>").collect():  # KNOWN rows and one of each task
+        if delta is None:
+            at[w] = to
+        else:
+            table += np.array(delta).reshape(table.shape)
+    return at, np.maximum(table, 0)
+
+
 class Model:
     """All a task needs to score: tables of bounded size, and the most frequent words with their counts."""
 
-    def __init__(self, words: list[tuple[bytes, int]], ends: int, total: int, kinds: int, groups: dict[int, tuple[int, int]], classes: np.ndarray, table: np.ndarray):
+    def __init__(self, words: list[tuple[bytes, int]], ends: int, total: int, kinds: int, groups: dict[int, tuple[int, int, int]], classes: np.ndarray, own: np.ndarray, table: np.ndarray):
+        """groups: of each ending, its tokens and words outside ``words``, and how many words with it were seen once."""
         self.known = {w: k for k, (w, _) in enumerate(words)}
         self.total, self.size = total, total + 0.1 * (kinds + 1)
         counts = np.array([n for _, n in words] + [ends], float)  # the end comes last
-        items = np.array([k if k < FREQUENT else _ending(w) for k, (w, _) in enumerate(words)] + [END])
-        of_item = np.zeros(ITEMS)
-        of_item[: min(FREQUENT, len(words))] = counts[:-1][:FREQUENT]
-        of_item[END] = ends
-        unseen = np.full(ITEMS, 0.5)
-        for g, (n, once) in groups.items():
-            of_item[g], unseen[g] = n, (once + 0.5) / (n + 1)
-        self.classes = classes
-        in_class = np.bincount(classes, of_item + 0.5, minlength=CLASSES + 1)
-        emit = (of_item + 0.5) / in_class[classes]
+        self.classes, self.cls = classes, own
+        self.in_class = np.bincount(own, counts + 0.5, minlength=CLASSES + 1)
+        for g in range(FREQUENT, END):
+            tokens, others, once = groups.get(g, (0, 0, 0))
+            self.in_class[classes[g]] += tokens + 0.5 * others + 0.5 * (once + 1)
         after = table.sum(axis=0) + 1
         self.trans = (table + 50 * after / after.sum()) / (table.sum(axis=1, keepdims=True) + 50)
-        self.emit_known = np.where(items < FREQUENT, 1.0, (1 - unseen[items]) * counts / np.maximum(of_item[items], 1))
-        self.emit_known[-1] = 1.0
-        self.emit_known *= emit[items]
-        self.cls = classes[items]
+        self.emit = (counts + 0.5) / self.in_class[own]
         self.unigram = (counts + 0.1) / self.size
         self.is_known = counts > 0
-        self.rare_seen = emit * (1 - unseen) / np.maximum(of_item, 1)
-        self.rare_unseen = emit * unseen
 
-    def score(self, texts: list[str | None], weight: float) -> tuple[np.ndarray, list[int], list[bytes], np.ndarray, np.ndarray]:
-        """For each text (tokens, known, base, score) over its known words; then for each other token its text, word and factors."""
+    def score(self, texts: list[str | None], weight: float) -> tuple[np.ndarray, list[int], list[bytes], np.ndarray]:
+        """For each text (tokens, known, base, score) over its known words; then for each other token its text, word and factor.
+
+        The factor times c + 0.5 is the class model's part of a token's probability.
+        """
         words, last = [_words(t) for t in texts], len(self.known)
         sizes = np.array([len(w) + 1 for w in words])
         ends = np.cumsum(sizes)
@@ -230,17 +317,16 @@ class Model:
         ids = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         ids[ends - 1] = last
         rare = np.flatnonzero(ids < 0)
-        endings = np.array([_ending(flat[k]) for k in rare], np.int64)
         cls = self.cls[ids]
-        cls[rare] = self.classes[endings]
+        cls[rare] = self.classes[np.array([_ending(flat[k]) for k in rare], np.int64)]
         before = np.concatenate([[CLASSES], cls[:-1]])  # a text begins after an end
         trans = weight * self.trans[before, cls]
-        p = trans * self.emit_known[ids] + (1 - weight) * self.unigram[ids]
+        p = trans * self.emit[ids] + (1 - weight) * self.unigram[ids]
         base, score, known = np.log10(self.unigram[ids]), np.log10(p), self.is_known[ids].astype(float)
         for x in (base, score, known):
             x[rare] = 0
         sums = np.column_stack([sizes, *(np.add.reduceat(x, ends - sizes) for x in (known, base, score))])
-        return sums, np.searchsorted(ends, rare, side="right").tolist(), [flat[k] for k in rare], trans[rare] * self.rare_seen[endings], trans[rare] * self.rare_unseen[endings]
+        return sums, np.searchsorted(ends, rare, side="right").tolist(), [flat[k] for k in rare], trans[rare] / self.in_class[cls[rare]]
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -249,59 +335,62 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     ends = docs.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = counts.filter(F.octet_length("word") <= LONGEST)
-    # The least count that at most KNOWN words exceed, so that only these words are gathered.
-    least, many = 0, 0
-    for n, kinds_of_n in short.groupBy("n").count().orderBy(F.desc("n")).limit(KNOWN).collect():
-        many += kinds_of_n
-        if many > KNOWN:
+    # The least count that so few words exceed, so that only these words are gathered.
+    least, many, size = 0, 0, 0
+    for n, words_of_n, bytes_of_n in short.groupBy("n").agg(F.count("*"), F.sum(F.octet_length("word"))).orderBy(F.desc("n")).limit(KNOWN + 1).collect():
+        many, size = many + words_of_n, size + bytes_of_n
+        if many > KNOWN or size > KNOWN_BYTES:
             least = n
             break
     words = sorted(((bytes(r.word), r.n) for r in short.filter(F.col("n") > least).collect()), key=lambda x: (-x[1], x[0]))
-    frequent = {w: k for k, (w, _) in enumerate(words[:FREQUENT])}
-    top = docs.sparkSession.sparkContext.broadcast(frequent)
+    known = {w: k for k, (w, _) in enumerate(words)}
+    top = docs.sparkSession.sparkContext.broadcast(known)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, once = np.zeros(ITEMS, np.int64), np.zeros(ITEMS, np.int64)
+        n = np.zeros((3, ITEMS), np.int64)
         for batch in batches:
             for word, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                g = _ending(word)
                 if word not in top.value:
-                    g = _ending(word)
-                    n[g] += many
-                    once[g] += many == 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(once[some])], ["g", "n", "once"])
+                    n[:2, g] += many, 1
+                n[2, g] += many == 1
+        some = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x[some]) for x in n)], ["g", "n", "others", "once"])
 
-    groups = counts.mapInArrow(steady(group), "g int, n bigint, once bigint").groupBy("g").agg(F.sum("n"), F.sum("once")).collect()
-    classes, table = exchange(cut(item_bigrams(docs, frequent, text_col)))
-    return Model(words, ends, total + ends, kinds + (ends > 0), {g: (n, once) for g, n, once in groups}, classes, table), counts
+    groups = counts.mapInArrow(steady(group), "g int, n bigint, others bigint, once bigint").groupBy("g").agg(F.sum("n"), F.sum("others"), F.sum("once")).collect()
+    classes, table = exchange(cut(item_bigrams(docs, {w: k for w, k in known.items() if k < FREQUENT}, text_col)))
+    own, table = own_classes(docs, known, classes, table, text_col)
+    return Model(words, ends, total + ends, kinds + (ends > 0), {g: tuple(n) for g, *n in groups}, classes, own, table), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, weight: float = SHARE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(``id_col``, n_tokens, n_known LONG, base_score, score DOUBLE) of each whole text: log10 probabilities."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "hash", "sums", "word", "seen", "unseen"]
+    names = ["id", "hash", "sums", "word", "factor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sums, of, words, seen, unseen = shared.value.score(part.column(2).to_pylist(), weight)
+                sums, of, words, factors = shared.value.score(part.column(2).to_pylist(), weight)
                 none = part.num_rows
                 index = pa.array([*range(none), *of], pa.int64())
+                # A text's own row goes through the join under a name that no word has, so that these rows spread.
+                own = [b" " + h.to_bytes(8, "little", signed=True) for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(index), part.column(1).take(index), pa.array([*sums.tolist(), *[None] * len(of)], pa.list_(pa.float64())),
-                    pa.array([*[None] * none, *words], pa.binary()), pa.array([*[None] * none, *seen.tolist()], pa.float64()), pa.array([*[None] * none, *unseen.tolist()], pa.float64()),
+                    pa.array([*own, *words], pa.binary()), pa.array([*[None] * none, *factors.tolist()], pa.float64()),
                 ], names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text_col).mapInArrow(steady(run), f"id {kind}, hash bigint, sums array<double>, word binary, seen double, unseen double")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text_col).mapInArrow(steady(run), f"id {kind}, hash bigint, sums array<double>, word binary, factor double")
     plain = F.lit((1 - weight) / model.size)
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     joined = rows.join(counts, "word", "left")
-    token = F.col("word").isNotNull()
+    token = F.col("factor").isNotNull()
     known = F.when(token, F.col("n").isNotNull().cast("double")).otherwise(F.col("sums")[1])
     base = F.when(token, F.log10((c + 0.1) / model.size)).otherwise(F.col("sums")[2])
-    mixed = F.when(token, F.log10(F.when(F.col("n").isNull(), F.col("unseen")).otherwise(F.col("seen") * c) + plain * (c + 0.1))).otherwise(F.col("sums")[3])
+    mixed = F.when(token, F.log10(F.col("factor") * (c + 0.5) + plain * (c + 0.1))).otherwise(F.col("sums")[3])
     out = joined.select("id", "hash", F.col("sums")[0].alias("n_tokens"), known.alias("n_known"), base.alias("base"), mixed.alias("score")).groupBy("id", "hash").agg(
         F.count("n_tokens").alias("rows"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     each = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))

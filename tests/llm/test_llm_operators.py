@@ -192,10 +192,58 @@ def test_brown_classes_beat_the_unigram(spark):
     assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.3  # log10 3 is 0.477
 
 
-def test_brown_words_outside_the_broadcast_get_the_same_base(docs, monkeypatch):
-    whole = {(r.doc_id, round(r.base_score, 6)) for r in brown.score(docs, *brown.fit(docs)).collect()}
-    monkeypatch.setattr(brown, "KNOWN", 5)
-    assert {(r.doc_id, round(r.base_score, 6)) for r in brown.score(docs, *brown.fit(docs)).collect()} == whole
+@pytest.mark.parametrize("known", [1 << 18, 5])
+def test_brown_score_follows_its_formula(docs, monkeypatch, known):
+    """Every token by its class, from the model's classes and table alone, whether its word is in the broadcast or joined."""
+    monkeypatch.setattr(brown, "KNOWN", known)
+    model, counts = brown.fit(docs)
+    c = {bytes(r.word): r.n for r in counts.collect()}
+    ends, once = docs.count(), Counter()
+    total = sum(c.values()) + ends
+    size = total + 0.1 * (len(c) + 2)
+
+    def class_of(w):
+        return model.cls[model.known[w]] if w in model.known else model.classes[brown._ending(w)]
+
+    room = np.zeros(brown.CLASSES + 1)
+    room[brown.CLASSES] = ends + 0.5
+    for w, n in c.items():
+        room[class_of(w)] += n + 0.5
+        once[brown._ending(w)] += n == 1
+    for g in range(brown.FREQUENT, brown.END):
+        room[model.classes[g]] += 0.5 * (once[g] + 1)
+    assert model.trans.sum(axis=1) == pytest.approx(1) and len(model.known) <= known
+    got = {}
+    for r in brown.score(docs.withColumnRenamed("lang", "score"), model, counts).collect():
+        got.setdefault(r.doc_id, r)
+    for r in docs.collect():
+        words, before, want, base = (r.text or "").encode().lower().split(), brown.CLASSES, 0.0, 0.0
+        for w in [*words, None]:
+            at, n = (brown.CLASSES, ends) if w is None else (class_of(w), c.get(w, 0))
+            base += math.log10((n + 0.1) / size)
+            want += math.log10(brown.SHARE * model.trans[before, at] * (n + 0.5) / room[at] + (1 - brown.SHARE) * (n + 0.1) / size)
+            before = at
+        assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].base_score == pytest.approx(base)
+
+
+def test_brown_words_of_the_second_tier_go_where_their_neighbours_say(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrst"
+    often = [[f"{k}{x}{y}" for x in letters for y in letters[:5]] for k in "xyz"]
+    seldom = [[f"{a}{b}{c}{k % 7}" for n, (a, b, c) in enumerate((a, b, c) for a in letters for b in letters for c in letters) if n % 3 == k][:2900] for k in range(3)]
+    rng.shuffle(seldom)
+    say = lambda kind, at: rng.choice(seldom[kind]) if at % 4 == 3 else rng.choice(often[kind])
+    rows = [(k, " ".join(say(n % 3, n + k) for n in range(60))) for k in range(4000)]
+    model, counts = brown.fit(spark.createDataFrame(rows[:3800], "doc_id long, text string").repartition(4))
+    assert len(model.known) > brown.FREQUENT
+    kind_of = {w: k for k, words in enumerate(seldom) for w in words}
+    classes = {}
+    for w, k in model.known.items():
+        if k >= brown.FREQUENT and w.decode() in kind_of:
+            classes.setdefault(int(model.cls[k]), Counter())[kind_of[w.decode()]] += 1
+    assert sum(max(c.values()) for c in classes.values()) > 0.9 * sum(sum(c.values()) for c in classes.values())
+    out = brown.score(spark.createDataFrame(rows[3800:], "doc_id long, text string"), model, counts).collect()
+    assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.3  # log10 3 is 0.477
 
 
 def test_brown_gain_is_the_change_in_likelihood():
@@ -360,6 +408,23 @@ def test_suffix_array_by_grouping():
         assert suffix.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda k: s[k:])
 
 
+def test_repeats_are_those_of_brute_force():
+    rng = random.Random(8)
+    for turn in range(60):
+        width, letters = 40, rng.choice([b"ab", b"abcdefgh", bytes(range(256))])
+        pieces = [bytes(rng.choice(letters) for _ in range(rng.randint(20, 70))) for _ in range(4)]
+        texts = [b"".join(rng.choice(pieces) for _ in range(rng.randint(2, 4))).ljust(width, b"x") for _ in range(rng.randint(1, 8))]
+        groups, many = np.array(sorted(rng.randrange(3) for _ in texts)), np.array([rng.choice([1, 1, 1, 2]) for _ in texts])
+        _, groups = np.unique(groups, return_inverse=True)
+        seen = Counter()
+        for g, t, m in zip(groups.tolist(), texts, many.tolist()):
+            for k in range(len(t) - width + 1):
+                seen[g, t[k : k + width]] += m
+        got = suffix.repeats(groups, texts, many, width)
+        for g, t, flags in zip(groups.tolist(), texts, got):
+            assert flags.tolist() == [seen[g, t[k : k + width]] > 1 for k in range(len(t) - width + 1)], turn
+
+
 @pytest.mark.parametrize("group", [4000, 2, 0])
 def test_repeats_removed(docs, none, monkeypatch, group):
     monkeypatch.setattr(suffix, "GROUP", group)
