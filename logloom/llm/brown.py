@@ -5,7 +5,7 @@ broadcast of bounded size; every other word, known or not, belongs to one of ``E
 class never has to be looked up. Exchange clustering puts items into ``CLASSES`` classes, in two tiers. The ``FREQUENT`` most
 frequent words and the endings are moved where the likelihood of the class bigrams grows most, by profiles of the items beside
 them; a profile is one row, so rounds read a small table and shuffle nothing. Then each other known word leaves the class of its
-ending for the one that its own neighbours' classes make likeliest, all in one more pass over the texts.
+ending for the one that its own neighbours' classes make likeliest (to first order), all in one more pass over the texts.
 
 The probability of a word after another is P(class | class before) * P(word | class), mixed with the smoothed unigram
 ``(c + 0.1) / (N + 0.1 (V + 1))``. In its class a word counts ``c + 0.5``; a class sets aside 0.5 for as many unseen words of
@@ -126,6 +126,21 @@ def _gains(left: np.ndarray, right: np.ndarray, own: float, at: int, table: np.n
     return gain - (terms(after + leads) - terms(after)) - (terms(before + follows) - terms(before))
 
 
+def _first_order(left: np.ndarray, right: np.ndarray, here: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For items of few counts (a row each in ``left`` and ``right``): the part of the log likelihood that a class would give them.
+
+    That is the change in likelihood to first order; the class that an item is in is seen without the item's own counts.
+    """
+    log = np.log(table + 0.5)
+    before, after = np.log(table.sum(axis=0) + 0.5), np.log(table.sum(axis=1) + 0.5)
+    lefts, rights = left.sum(axis=1), right.sum(axis=1)
+    gains = left @ log + right @ log.T - np.outer(lefts, before) - np.outer(rights, after)
+    rest = lambda whole, own: np.log(np.maximum(whole - own, 0) + 0.5)
+    gains[np.arange(len(here)), here] = ((left * rest(table[:, here].T, left)).sum(axis=1) + (right * rest(table[here], right)).sum(axis=1)
+        - lefts * rest(table.sum(axis=0)[here], lefts) - rights * rest(table.sum(axis=1)[here], rights))
+    return gains
+
+
 def exchange(bigrams: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Each item's class, and the counts of class bigrams. The end is a class of its own, the last.
 
@@ -247,31 +262,38 @@ def own_classes(docs: DataFrame, known: dict[bytes, int], classes: np.ndarray, t
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at, _, table = shared.value
-        delta, moved = np.zeros_like(table), []
-        word, row = -1, np.zeros(2 * width)
-
-        def settle() -> None:
-            left, right = row[: CLASSES + 1].copy(), row[width : width + CLASSES + 1].copy()
-            own, here = row[CLASSES + 1], at[word]
-            left[here] += own
-            right[here] += own
-            gains = _gains(left, right, own, here, table)[:CLASSES]
-            to = int(gains.argmax())
-            if gains[to] > gains[here] + 1e-6:
-                moved.append((word, to))
-                for line, counts in ((delta[:, here], -left), (delta[:, to], left), (delta[here], -right), (delta[to], right)):
-                    line += counts
-
+        delta = np.zeros_like(table)
+
+        def settle(rows: np.ndarray) -> pa.RecordBatch:
+            words, nth = np.unique(rows[:, 0], return_inverse=True)
+            counts = np.zeros((len(words), 2 * width))
+            np.add.at(counts, (nth, rows[:, 1]), rows[:, 2])
+            here, k = at[words], np.arange(len(words))
+            left, right = counts[:, : CLASSES + 1].copy(), counts[:, width : width + CLASSES + 1].copy()
+            own = counts[:, CLASSES + 1]
+            left[k, here] += own
+            right[k, here] += own
+            gains = _first_order(left, right, here, table)[:, :CLASSES]
+            to = gains.argmax(axis=1)
+            moved = np.flatnonzero(gains[k, to] > gains[k, here] + 1e-6)
+            for place, sign in ((here, -1), (to, 1)):
+                np.add.at(delta.T, place[moved], sign * left[moved])
+                np.add.at(delta, place[moved], sign * right[moved])
+            return pa.RecordBatch.from_arrays([pa.array(words[moved].astype(np.int32)), pa.array(to[moved].astype(np.int32)), pa.nulls(len(moved), pa.list_(pa.float64()))], ["w", "to", "delta"])
+
+        held, size = [np.zeros((0, 3), np.int64)], 0
         for batch in batches:  # sorted by word
-            for w, slot, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if w != word:
-                    if word >= 0:
-                        settle()
-                    word, row = w, np.zeros(2 * width)
-                row[slot] += n
-        if word >= 0:
-            settle()
-        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in moved], pa.int32()) for k in (0, 1)] + [pa.nulls(len(moved), pa.list_(pa.float64()))], ["w", "to", "delta"])
+            held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            size += batch.num_rows
+            if size > 200_000:
+                rows = np.concatenate(held)
+                end = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                if end:
+                    yield settle(rows[:end])
+                held, size = [rows[end:]], len(rows) - end
+        rows = np.concatenate(held)
+        if len(rows):
+            yield settle(rows)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([delta.ravel().tolist()], pa.list_(pa.float64()))], ["w", "to", "delta"])
 
     if len(known) <= FREQUENT:
