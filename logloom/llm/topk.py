@@ -5,9 +5,11 @@ most ``BLOCK`` rows, sorted by length. Every query first meets a few blocks of t
 product is a floor under its result. A bucket can then beat the floor only at a cosine of at least
 floor / (|query| * longest length): above 1 the bucket is left out, at a high threshold candidates are pruned by a few of the
 query's largest coordinates with Cauchy-Schwarz on the rest, at a low one by length alone. What remains is multiplied out.
-Blocks of queries meet blocks of candidates in a join on the block's number; no task holds more than one block of each.
+A small table has the bounds of all blocks, and only pairs of blocks that can beat a floor are sent to each other, in joins on
+the blocks' numbers; no task holds more than one block of each.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Shorter vectors count as padded with zeros.
+Components and scores beyond 64 bits are held to that range.
 Rows with the query's own id are not its candidates. Ties go to smaller ids; repeated rows of an id count each, as queries and
 as candidates, but are searched once for each distinct (id, vector), with their number.
 """
@@ -41,7 +43,7 @@ def vectors(df: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vector
 
 def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each block, its vectors as one binary, the longest first."""
-    schema = ", ".join(f"{k} int" for k in keys) + ", ids binary, many binary, lengths binary, vectors binary, width int"
+    schema = ", ".join(f"{k} int" for k in keys) + ", ids binary, many binary, lengths binary, vectors binary, width int, longest double"
 
     def pack(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["length", "vec_id"], ascending=[False, True])
@@ -49,7 +51,7 @@ def _pack(rows: DataFrame, keys: list[str]) -> DataFrame:
         m = np.zeros((len(df), width))
         for k, v in enumerate(df.v):
             m[k, : len(v)] = v
-        return pd.DataFrame([[*key, df.vec_id.to_numpy("<i8").tobytes(), df.many.to_numpy("<i8").tobytes(), df.length.to_numpy("<f8").tobytes(), m.astype("<f8").tobytes(), width]], columns=[*keys, "ids", "many", "lengths", "vectors", "width"])
+        return pd.DataFrame([[*key, df.vec_id.to_numpy("<i8").tobytes(), df.many.to_numpy("<i8").tobytes(), df.length.to_numpy("<f8").tobytes(), m.astype("<f8").tobytes(), width, float(df.length.max())]], columns=[*keys, "ids", "many", "lengths", "vectors", "width", "longest"])
 
     return rows.groupBy(*keys).applyInPandas(pack, schema)
 
@@ -65,7 +67,9 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     q, c = q[:, :width], c[:, :width]
     if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width < WHOLE:
         return (q @ c.T).astype(np.int64)
-    return (q.astype(object) @ c.T.astype(object)).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    product = np.asarray(whole(q) @ whole(c).T, object)
+    return np.minimum(np.maximum(product, -(1 << 63)), (1 << 63) - 1).astype(np.int64)
 
 
 def search_block(q_ids: np.ndarray, q_lengths: np.ndarray, q: np.ndarray, floors: np.ndarray, c_ids: np.ndarray, c_lengths: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -109,11 +113,10 @@ def search_block(q_ids: np.ndarray, q_lengths: np.ndarray, q: np.ndarray, floors
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, many) of every block of queries against every block of candidates, k at most of each block."""
-    n = (queries.agg(F.max("q_block")).first()[0] or 0) + 1
-    left = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """(query_id, vec_id, score, many) of the blocks of queries against the blocks of candidates that can win, k at most of each block."""
+    bounds = cut(candidates.select("bucket", "block", "longest").join(queries.select("q_block", "need"), F.col("need") <= F.col("longest") * (1 + 1e-9)))  # a row for each pair of blocks
     right = queries.select("q_block", *[F.col(x).alias(f"q_{x}") for x in ("ids", "many", "lengths", "vectors", "width", "floors")])
-    pairs = left.repartition("q_block", "bucket", "block").join(right.hint("shuffle_hash") if n > 64 else F.broadcast(right), "q_block")
+    pairs = candidates.join(bounds.select("bucket", "block", "q_block"), ["bucket", "block"]).join(right, "q_block").repartition("q_block", "bucket", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,20 +160,23 @@ def top_k(rows: DataFrame, is_query: Callable[[str], object], k: int = 10) -> Da
     def floored(floors: DataFrame | None) -> DataFrame:
         """``queries`` with the floor of each, a product that k candidates reach."""
         if floors is None:
-            return queries.withColumn("floors", F.expr("unhex(repeat('000000000000F0FF', cast(octet_length(ids) / 8 as int)))"))  # minus infinity
+            every = queries.withColumn("floors", F.expr("unhex(repeat('000000000000F0FF', cast(octet_length(ids) / 8 as int)))"))  # minus infinity
+            return every.withColumn("need", F.lit(float("-inf")))
         listed = floors.join(asked.select(F.col("vec_id").alias("query_id"), "q_block").distinct(), "query_id").groupBy("q_block").agg(F.collect_list(F.struct("query_id", "floor")).alias("f"))
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for ids, f in zip(batch.column("ids").to_pylist(), batch.column("f").to_pylist()):
+                out, needs = [], []
+                for ids, lengths, f in zip(*(batch.column(c).to_pylist() for c in ("ids", "lengths", "f"))):
                     known = {x["query_id"]: x["floor"] for x in f or ()}
-                    out.append(np.array([known.get(i, -np.inf) for i in np.frombuffer(ids, "<i8").tolist()], "<f8").tobytes())
-                batch = batch.drop_columns(["f"]).append_column("floors", pa.array(out, pa.binary()))
-                yield batch
+                    mine, lengths = np.array([known.get(i, -np.inf) for i in np.frombuffer(ids, "<i8").tolist()], "<f8"), np.frombuffer(lengths, "<f8")
+                    out.append(mine.tobytes())
+                    # The least length that can reach a floor; a floor under zero needs none.
+                    needs.append(float(np.where(mine > 0, mine / np.maximum(lengths, 1e-300), -np.inf).min()))
+                yield batch.drop_columns(["f"]).append_column("floors", pa.array(out, pa.binary())).append_column("need", pa.array(needs, pa.float64()))
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
-        return queries.join(listed, "q_block", "left").mapInArrow(fill, f"{kinds}, floors binary")
+        return queries.join(listed, "q_block", "left").mapInArrow(fill, f"{kinds}, floors binary, need double")
 
     first = (F.col("bucket") == 0) & (F.col("block") == 0)
     start = cut(_best(_meet(floored(None), candidates.filter(first), k), k))

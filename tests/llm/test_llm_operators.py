@@ -114,6 +114,14 @@ def test_topk_of_repeated_rows_as_sql(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_holds_huge_scores_to_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(100, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 5.0]), (3, [2.0, 2.0])]
+    got = topk.top_k(topk.vectors(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, length string")), lambda c: F.col(c) % 100 == 0).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got)] == [(1, 1), (2, 3), (3, 2)] and max(r.score for r in got) == (1 << 63) - 1 and min(r.score for r in got) == -(1 << 63)
+
+
 def test_canonical_folds_case_and_all_white_space(spark):
     pairs = [("STRASSE", "straße"), ("ΟΔΟΣ", "οδος"), ("a\u0085b", "a b"), ("a\x1c\x1d\x1e\x1fb", "a b"), ("ǰ", "J\u030c")]
     df = spark.createDataFrame(pairs, "a string, b string")
