@@ -148,16 +148,17 @@ def update_run(runs: DataFrame, run: str, **changes: object) -> DataFrame:
 
 def to_delete(rows: DataFrame, keep_newest: int | None = None, older_than_ns: int | None = None, ids: list | None = None, protected: Column | None = None, created: str = "created_ns") -> DataFrame:
     """The rows to delete: by id, beyond the newest so many, or before a time; never protected ones."""
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.orderBy(F.desc(created), F.desc("id")))) if keep_newest is not None else rows
-    wanted = F.lit(False)
+    wanted, place = F.lit(False), F.struct(created, "id")
     if ids is not None:
         wanted = wanted | F.col("id").isin(ids)
     if keep_newest is not None:
-        wanted = wanted | (F.col("_rn") > keep_newest)
+        # One row: the oldest of those that stay, if there are so many.
+        edge = rows.select(place.alias("_place")).orderBy(F.desc("_place")).limit(keep_newest).agg(F.count("*").alias("_n"), F.min("_place").alias("_edge"))
+        rows = rows.crossJoin(F.broadcast(edge))
+        wanted = wanted | (F.col("_n") == keep_newest) & F.coalesce(place < F.col("_edge"), F.lit(keep_newest == 0))
     if older_than_ns is not None:
         wanted = wanted | (F.col(created) < older_than_ns)
-    out = ranked.filter(wanted) if protected is None else ranked.filter(wanted & ~protected)
-    return out.drop("_rn")
+    return rows.filter(wanted if protected is None else wanted & ~protected).drop("_n", "_edge")
 
 
 def delete_with(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

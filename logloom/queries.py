@@ -100,9 +100,14 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
     return cut(sessions.split(view(spark, d, "sessions")))
 
 
+def _firsts(counts: DataFrame) -> DataFrame:
+    """(term, term_id): what orders terms as their numbers would, without numbering them all."""
+    return counts.groupBy("term").agg(F.min("first_line").alias("first_line")).select("term", F.struct("first_line", "term").alias("term_id"))
+
+
 def _columns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     counts, splits = cut(_counts(spark, d)), _splits(spark, d)
-    columns = cut(features.top_terms(features.train_frequency(counts, splits), features.vocabulary(counts), 3))
+    columns = cut(features.top_terms(features.train_frequency(counts, splits), _firsts(counts), 3))
     return cut(features.to_columns(counts, columns)), splits, columns
 
 
@@ -305,7 +310,7 @@ def frequent_terms(spark: SparkSession, d: str) -> DataFrame:
 def regex_topk(spark: SparkSession, d: str) -> DataFrame:
     counts = cut(_counts(spark, d))
     freq = features.train_frequency(counts, _splits(spark, d))
-    return features.top_terms(freq, features.vocabulary(counts), 3).join(freq, "term").select("term", "freq", F.col("col").cast("long").alias("col"))
+    return features.top_terms(freq, _firsts(counts), 3).join(freq, "term").select("term", "freq", F.col("col").cast("long").alias("col"))
 
 
 @query(duck(f"WITH {TERMS}, {SPLITS}, {COLS} SELECT session_id, col, cnt FROM bycol", "loglines", "sessions"))
