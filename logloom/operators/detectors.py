@@ -11,7 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ranking import with_rank
+
 FIT_ROWS = 20_000
+#: Tasks that add up products of columns of a fit sample.
+FIT_PARTS = 16
 
 
 def sample_sessions(vectors: DataFrame, n: int = FIT_ROWS, seed: int = 0) -> DataFrame:
@@ -56,12 +61,6 @@ class Detector:
     def score(self, vectors: DataFrame) -> DataFrame:
         return _score_with(vectors, self)
 
-    def _matrix(self, vectors: DataFrame, n: int, seed: int) -> np.ndarray:
-        """The fit sample, at most ``n`` rows, as a matrix on the driver."""
-        sample = vectors.join(sample_sessions(vectors, n, seed), "session_id")
-        self.columns = {c: k for k, c in enumerate(sorted(r[0] for r in sample.select("col").distinct().collect()))}
-        return _dense(_rows(sample).toPandas().x, self.columns)
-
 
 @dataclass
 class PCADetector(Detector):
@@ -76,20 +75,30 @@ class PCADetector(Detector):
     loadings: np.ndarray | None = None
 
     def fit(self, vectors: DataFrame) -> "PCADetector":
-        """Sums of products of columns that meet in a session are added up by Spark; only the columns' matrix reaches the driver."""
-        chosen = sample_sessions(vectors, self.max_fit_rows, self.seed)
+        """Tasks add up products of columns, row by row of the matrix; the driver gets one array for each column."""
+        chosen = cut(sample_sessions(vectors, self.max_fit_rows, self.seed))
         n = chosen.count()
-        x = vectors.join(chosen, "session_id").select("session_id", "col", "w")
-        sums = dict(x.groupBy("col").agg(F.sum("w")).collect())
-        products = x.join(x.select("session_id", F.col("col").alias("col2"), F.col("w").alias("w2")), "session_id").groupBy("col", "col2").agg(F.sum(F.col("w") * F.col("w2")).alias("p"))
-        self.columns = {c: k for k, c in enumerate(sorted(sums))}
-        d = len(self.columns)
-        self.mean, gram = np.zeros(d), np.zeros((d, d))
-        for c, s in sums.items():
-            self.mean[self.columns[c]] = s / max(n, 1)
-        for a, b, p in products.collect():
-            gram[self.columns[a], self.columns[b]] = p
-        cov = gram / max(n, 1) - np.outer(self.mean, self.mean)
+        sample = vectors.join(chosen, "session_id").repartition(FIT_PARTS, "session_id")
+        self.columns = columns = {c: k for k, c in enumerate(sorted(r[0] for r in vectors.join(chosen, "session_id").select("col").distinct().collect()))}
+        d = len(columns)
+
+        def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((d + 1, d))  # the last row: plain sums
+            for df in frames:
+                x = _dense(df.x, columns)
+                sums[:d] += x.T @ x
+                sums[d] += x.sum(axis=0)
+            for k in np.flatnonzero(sums.any(axis=1)):
+                yield pd.DataFrame({"k": [int(k)], "v": [sums[k].tobytes()]})
+
+        def add(df: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": df.k[:1], "v": [sum(np.frombuffer(v) for v in df.v).tobytes()]})
+
+        sums = np.zeros((d + 1, d))
+        for row in _rows(sample).mapInPandas(products, "k int, v binary").groupBy("k").applyInPandas(add, "k int, v binary").collect():
+            sums[row.k] = np.frombuffer(row.v)
+        self.mean = sums[d] / max(n, 1)
+        cov = sums[:d] / max(n, 1) - np.outer(self.mean, self.mean)
         values, axes = np.linalg.eigh(cov)
         values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
         share = np.cumsum(values) / values.sum() if values.sum() > 0 else np.ones(d)
@@ -138,34 +147,43 @@ class IForestDetector(Detector):
     size: int = 0
 
     def fit(self, vectors: DataFrame) -> "IForestDetector":
-        """The sample is broadcast, and each task grows some of the trees."""
+        """Each tree draws its rows from the numbered sample and grows in a group of its own, of ``subsample`` rows."""
         spark = vectors.sparkSession
-        x = self._matrix(vectors, self.max_fit_rows, self.seed)
-        self.size = min(self.subsample, len(x))
-        shared, size, seed = spark.sparkContext.broadcast(x), self.size, self.seed
+        chosen = sample_sessions(vectors, self.max_fit_rows, self.seed).withColumn("_draw", F.xxhash64(F.lit(self.seed), "session_id"))
+        numbered = cut(with_rank(chosen, F.col("_draw"), F.col("session_id"), rank="k").select("session_id", "k"))
+        n, seed = numbered.count(), self.seed
+        self.size = size = min(self.subsample, n)
 
-        def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in frames:
                 for tree in df.id:
-                    rng = np.random.default_rng([seed, int(tree)])
-                    x, nodes = shared.value, []
-                    todo = [(rng.choice(len(x), size, replace=False), 0)]
-                    while todo:
-                        rows, depth = todo.pop(0)
-                        part = x[rows]
-                        low, high = part.min(axis=0), part.max(axis=0)
-                        some = np.flatnonzero(high > low)
-                        if len(rows) < 2 or depth >= np.ceil(np.log2(max(2, size))) or not len(some):
-                            nodes.append((-1, 0.0, -1, depth + float(_average_path(len(rows)))))
-                            continue
-                        f = int(rng.choice(some))
-                        at = float(rng.uniform(low[f], high[f]))
-                        nodes.append((f, at, len(nodes) + len(todo) + 1, 0.0))  # children come next to each other
-                        left = part[:, f] <= at
-                        todo += [(rows[left], depth + 1), (rows[~left], depth + 1)]
-                    yield pd.DataFrame([(int(tree), k, *n) for k, n in enumerate(nodes)], columns=["tree", "node", "feature", "at", "child", "path"])
-
-        got = spark.range(self.n_estimators).repartition(8).mapInPandas(grow, "tree long, node int, feature int, at double, child int, path double").toPandas()
+                    yield pd.DataFrame({"tree": int(tree), "k": np.random.default_rng([seed, int(tree)]).choice(n, size, replace=False)})
+
+        def grow(df: pd.DataFrame) -> pd.DataFrame:
+            df = df.sort_values("k")
+            tree = int(df.tree.iloc[0])
+            names = np.array(sorted({e["col"] for row in df.x for e in row}))
+            x = _dense(df.x, {c: k for k, c in enumerate(names.tolist())})
+            rng, nodes, todo = np.random.default_rng([seed, tree, 1]), [], [(np.arange(len(x)), 0)]
+            while todo:
+                rows, depth = todo.pop(0)
+                part = x[rows]
+                some = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else np.zeros(0, int)
+                if depth >= np.ceil(np.log2(max(2, size))) or not len(some):
+                    nodes.append((tree, len(nodes), -1, 0.0, -1, depth + float(_average_path(len(rows)))))
+                    continue
+                f = int(rng.choice(some))
+                at = float(rng.uniform(part[:, f].min(), part[:, f].max()))
+                nodes.append((tree, len(nodes), int(names[f]), at, len(nodes) + len(todo) + 1, 0.0))  # children come next to each other
+                left = part[:, f] <= at
+                todo += [(rows[left], depth + 1), (rows[~left], depth + 1)]
+            return pd.DataFrame(nodes, columns=["tree", "node", "feature", "at", "child", "path"])
+
+        dealt = spark.range(self.n_estimators if n else 0).mapInPandas(deal, "tree long, k long")
+        rows = _rows(vectors.join(numbered, "session_id")).join(numbered, "session_id").select("k", "x")
+        got = dealt.join(rows, "k").groupBy("tree").applyInPandas(grow, "tree long, node int, feature int, at double, child int, path double").toPandas()
+        self.columns = {int(c): k for k, c in enumerate(sorted(set(got.feature[got.feature >= 0])))}
+        got["feature"] = got.feature.map(self.columns).fillna(-1).astype(int)
         self.trees = [tuple(t.sort_values("node")[c].to_numpy() for c in ("feature", "at", "child", "path")) for _, t in got.groupby("tree")]
         return self
 

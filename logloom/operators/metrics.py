@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ranking import with_rank
+from .ranking import quantiles, with_rank
 
 INFINITY = float("inf")
 
@@ -21,7 +21,7 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 def percentile_threshold(scores: DataFrame, q: float = 0.99, s: str = "s") -> DataFrame:
     """(threshold): linear between ranks."""
-    return scores.agg(F.percentile(s, q).alias("threshold"))
+    return quantiles(scores, [], s, [q]).select(F.col("q")[0].alias("threshold"))
 
 
 def three_sigma(scores: DataFrame, s: str = "s") -> DataFrame:
@@ -113,14 +113,12 @@ def prevalence(rows: DataFrame, by: list[str], y: str = "y") -> DataFrame:
 
 def cell_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by``, median, min, max and n of the values that are not null."""
-    return rows.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
+    return quantiles(rows, by, value, [0.5]).select(*by, F.col("q")[0].alias("median"), F.col("low").alias("min"), F.col("high").alias("max"), "n")
 
 
 def percentile_table(rows: DataFrame, by: list[str], value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """``by``, n and one column for each percentile, p50 p95 p99 p99_9; null where there is no value."""
-    p = F.percentile(value, F.array(*map(F.lit, points)))
-    grouped = rows.groupBy(*by).agg(F.count(value).alias("n"), p.alias("_p"))
-    return grouped.select(*by, "n", *[F.col("_p")[k].alias(f"p{100 * x:g}".replace(".", "_")) for k, x in enumerate(points)])
+    return quantiles(rows, by, value, points).select(*by, "n", *[F.col("q")[k].alias(f"p{100 * x:g}".replace(".", "_")) for k, x in enumerate(points)])
 
 
 def pick_first(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -137,7 +135,7 @@ def early_rule(rows: DataFrame, age: int, threshold: float) -> DataFrame:
     delay = F.least(F.coalesce("inc_delay", F.lit(INFINITY)), F.when(F.col("snap") >= threshold, F.lit(float(age))).otherwise(INFINITY))
     timed = rows.withColumn("delay", delay)
     counts = confusion(timed, F.col("delay") < INFINITY)
-    delays = timed.filter((F.col("y") == 1) & (F.col("delay") < INFINITY)).agg(F.percentile("delay", 0.5).alias("delay_p50"), F.percentile("delay", 0.95).alias("delay_p95"))
+    delays = quantiles(timed.filter((F.col("y") == 1) & (F.col("delay") < INFINITY)), [], "delay", [0.5, 0.95]).select(F.col("q")[0].alias("delay_p50"), F.col("q")[1].alias("delay_p95"))
     return counts.crossJoin(delays)  # one row each
 
 

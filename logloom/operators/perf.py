@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import metrics
+from .ranking import quantiles
 
 STAGES = ("producer_to_broker", "broker_to_consumer", "engine_update", "scoring", "alert_publish", "total")
 
@@ -28,7 +29,7 @@ def series_per_second(samples: DataFrame) -> DataFrame:
 
 def busy_rate(series: DataFrame, lag: float = 1000) -> DataFrame:
     """(run, busy_rate): median rate of the seconds with a backlog."""
-    return series.filter(F.col("lag") > lag).groupBy("run").agg(F.percentile("rate_eps", 0.5).alias("busy_rate"))
+    return quantiles(series.filter(F.col("lag") > lag), ["run"], "rate_eps", [0.5]).select("run", F.col("q")[0].alias("busy_rate"))
 
 
 def keeps_up(achieved: Column, offered: Column, drain_s: Column, p99_ms: Column) -> Column:
@@ -46,8 +47,7 @@ def upper_median_saturation(rows: DataFrame, by: list[str]) -> DataFrame:
     """``saturation`` of the upper medians of each rate's repeats; a missing p99 counts as 0."""
     filled = rows.withColumn("p99_ms", F.coalesce("p99_ms", F.lit(0.0)))
     keys = [*by, "offered"]
-    medians = [filled.select(*keys, c).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(c))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-               .filter(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(*keys, c) for c in ("achieved", "drain_s", "p99_ms")]
+    medians = [quantiles(filled, keys, c, [0.5]).select(*keys, F.col("above")[0].alias(c)) for c in ("achieved", "drain_s", "p99_ms")]
     return saturation(medians[0].join(medians[1], keys).join(medians[2], keys), by)
 
 
@@ -91,9 +91,9 @@ def range_join(points: DataFrame, spans: DataFrame, t: str, low: str, high: str,
 
 
 def windowed_p99(alerts: DataFrame, segments: DataFrame) -> DataFrame:
-    """(run, segment, n, p99): latency of the alerts sent in each segment [low, high]."""
+    """(run, segment, n, p99): alerts with a latency, and the quantile of it, of those sent in each segment [low, high]."""
     hit = range_join(alerts, segments, "t", "low", "high", ["run"])
-    return hit.groupBy("run", "segment").agg(F.count("*").alias("n"), F.percentile("ms", 0.99).alias("p99"))
+    return quantiles(hit, ["run", "segment"], "ms", [0.99]).select("run", "segment", "n", F.col("q")[0].alias("p99"))
 
 
 def pooled_latency(alerts: DataFrame, by: list[str]) -> DataFrame:
@@ -142,7 +142,7 @@ def compare_windows(normal: DataFrame, slow: DataFrame, features: list[str]) ->
     """(feature, p50, p95, p99, slow_median, slow_max): a row per feature."""
     long = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])))
     a = metrics.percentile_table(long(normal), ["feature"], "v").drop("n")
-    b = long(slow).groupBy("feature").agg(F.percentile("v", 0.5).alias("slow_median"), F.max("v").alias("slow_max"))
+    b = quantiles(long(slow), ["feature"], "v", [0.5]).select("feature", F.col("q")[0].alias("slow_median"), F.col("high").alias("slow_max"))
     return a.join(b, "feature", "full")
 
 
@@ -158,7 +158,7 @@ def merge_runs(original: DataFrame, repeats: DataFrame) -> DataFrame:
 def against_baseline(rows: DataFrame, by: list[str], value: str, baseline: Column) -> DataFrame:
     """``by``, median, min, max, n and ratio of each cell's median to the baseline cell's."""
     cells = metrics.cell_stats(rows, by, value)
-    base = rows.filter(baseline).agg(F.percentile(value, 0.5).alias("_base"))  # one row
+    base = quantiles(rows.filter(baseline), [], value, [0.5]).select(F.col("q")[0].alias("_base"))  # one row
     return cells.crossJoin(base).withColumn("ratio", F.when(F.col("_base") != 0, F.col("median") / F.col("_base"))).drop("_base")
 
 
@@ -173,7 +173,7 @@ def alert_analysis(alerts: DataFrame, labels: DataFrame) -> DataFrame:
     live = alerts.filter(F.col("kind") != "deadline_eos")
     sessions = live.select("session_key").distinct().join(labels, F.col("session_key") == F.col("session_id"), "left")
     counts = sessions.agg(F.count("*").alias("sessions"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0)).alias("true_alarms")).withColumn("false_alarms", F.col("sessions") - F.col("true_alarms"))
-    p = live.filter("kind = 'incremental'").agg(F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_p"))
+    p = quantiles(live.filter("kind = 'incremental'"), [], "ms", [0.5, 0.95, 0.99]).select(F.col("q").alias("_p"))
     n = live.agg(F.count("*").alias("live_alerts"))
     return n.crossJoin(counts).crossJoin(p).select("live_alerts", "sessions", "true_alarms", "false_alarms", *[F.col("_p")[k].alias(x) for k, x in enumerate(("p50", "p95", "p99"))])  # one row each
 

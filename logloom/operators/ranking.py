@@ -1,5 +1,7 @@
 """Global ranks and running sums without putting all rows in one task."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +33,37 @@ def with_rank(df: DataFrame, *order: Column, rank: str = "rank", total: str | No
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_part", "_local", "_before", "_total", *[f"_off_{new}" for new in sums])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, points: Sequence[float], parts: int | None = None) -> DataFrame:
+    """``by``, n (values that are not null), low and high (the least and greatest), q and above: arrays with the exact quantile for
+    each of ``points``, linear between ranks, and the value at the next rank from it on (for one half, the upper median).
+
+    Values are counted first. Distinct ones are range-partitioned by group and value, so that a group of any size spreads over
+    tasks; each task adds up its own counts, and one row per task and group carries the offset. Groups without a value have nulls;
+    without ``by`` there is always one row.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_v"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = named.groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    ranged = cut(counted.repartitionByRange(parts, *keys, "_v").withColumn("_part", F.spark_partition_id()))
+    own = ranged.groupBy("_part", *keys).agg(F.sum("_n").alias("_own"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_own").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per task and group
+    offsets = own.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"{k}o") for k in keys], before.alias("_before"), F.sum("_own").over(group).alias("_total"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}o"))
+    inside = Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_end", F.sum("_n").over(inside)).join(offsets, same)
+    end = F.col("_end") + F.col("_before")
+    start, last = end - F.col("_n"), F.col("_total") - 1
+    at = lambda rank: F.max(F.when((start <= rank) & (rank < end), F.col("_v")))
+    found = [f(F.lit(float(p)) * last) for p in points for f in (F.floor, F.ceil)]
+    ends = placed.groupBy(*keys).agg(F.coalesce(F.max("_total"), F.lit(0)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), *[at(r).alias(f"_q{i}") for i, r in enumerate(found)])
+    q = []
+    for i, p in enumerate(points):
+        place, low, high = F.lit(float(p)) * (F.col("n") - 1), F.col(f"_q{2 * i}").cast("double"), F.col(f"_q{2 * i + 1}").cast("double")
+        q.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    return ends.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", "low", "high", F.array(*q).alias("q"), F.array(*[F.col(f"_q{2 * i + 1}") for i in range(len(points))]).alias("above"))

@@ -51,6 +51,28 @@ def test_rank_is_the_same_for_any_partitioning(spark):
     assert ranking.with_rank(df.limit(0), F.col("v")).count() == 0
 
 
+def test_quantiles_of_groups_and_of_all_rows(spark):
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = [(g, rng.choice([None, rng.randrange(9), rng.random()])) for g in ["hot"] * 300 + ["a", "b", None] * 7] + [("empty", None)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double")
+    points = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {r.g: r for r in ranking.quantiles(df, ["g"], "v", points, parts=7).collect()}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert got[g].n == len(v)
+        if v:
+            assert got[g].q == pytest.approx(np.percentile(v, [100 * p for p in points])) and (got[g].low, got[g].high) == (v[0], v[-1])
+            assert got[g].above[2] == v[len(v) // 2]
+        else:
+            assert got[g].q == [None] * 5 and got[g].low is None
+    whole = ranking.quantiles(df, [], "v", [0.5], parts=3).collect()
+    assert len(whole) == 1 and whole[0].q == df.agg(F.array(F.percentile("v", 0.5))).first()[0]
+    none = ranking.quantiles(df.limit(0), [], "v", [0.5]).collect()
+    assert [(r.n, r.q) for r in none] == [(0, [None])] and ranking.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
 def test_sessions_share_lines(spark):
     lines = spark.createDataFrame([(0, "a blk_1"), (1, "b blk_1 blk_2"), (2, "c blk_9"), (3, "d blk_2 blk_2"), (4, "e blk_1")], "line_id long, line string")
     labels = spark.createDataFrame([("blk_1", 1), ("blk_2", 0)], "session_id string, label int")
