@@ -62,6 +62,13 @@ def tfidf(counts: DataFrame, idf: DataFrame, kind: str = "tfidf") -> DataFrame:
     return raw.select("session_id", "col", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("w"))
 
 
+def vectors(counts: DataFrame, idf: DataFrame, kind: str = "tfidf") -> DataFrame:
+    """(session_id, col, w): tfidf and plain as ``tfidf``; counts and binary as they are, without idf and length."""
+    if kind in ("tfidf", "plain"):
+        return tfidf(counts, idf, kind)
+    return counts.filter("cnt > 0").select("session_id", "col", S.weight(F.col("cnt"), kind).alias("w"))
+
+
 def snapshot_counts(seq: DataFrame, age: int) -> DataFrame:
     """(session_id, col, cnt) of the lines up to ``age`` seconds after a session's first."""
     return seq.filter(F.col("dt") <= age).groupBy("session_id", "col").agg(F.count("*").alias("cnt"))

@@ -127,6 +127,11 @@ def pick_first(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
 
 
+def shortest_age(rows: DataFrame, reference_f1: float, slack: float = 0.01) -> DataFrame:
+    """The row (.., age, val_f1) of the shortest age whose F1 is at most ``slack`` below the reference, ties to the best F1; none if there is none."""
+    return rows.filter(F.col("val_f1") >= reference_f1 - slack).orderBy("age", F.desc("val_f1")).limit(1)
+
+
 def early_rule(rows: DataFrame, age: int, threshold: float) -> DataFrame:
     """(precision, recall, f1, delay_p50, delay_p95, tp ..) for rows (inc_delay, snap, y): an alert by lines, or at ``age`` by its snapshot.
 

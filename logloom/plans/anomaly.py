@@ -4,16 +4,20 @@
 """
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detectors, features, metrics, store, templates
+from ..operators import detectors, drift, features, metrics, store, templates
 from ..session import cut
 
+INFINITY = float("inf")
 THRESHOLDS = ("percentile", "three_sigma", "tuned")
+POLICIES = ("static_tuned", "static_p99", "periodic", "triggered", "oracle")
 
 
 @dataclass
@@ -27,6 +31,7 @@ class AnomalyModel:
     threshold: float = float("inf")
     meta: dict = field(default_factory=dict)
     early: "EarlyCheck | None" = None
+    weighting: str = "tfidf"
 
     def counts(self, rows: DataFrame) -> DataFrame:
         """(session_id, col, cnt) of any rows, by the columns of the train strings."""
@@ -38,7 +43,7 @@ class AnomalyModel:
 
     def score_counts(self, counts: DataFrame) -> DataFrame:
         """(session_id, score)."""
-        return self.detector.score(features.tfidf(counts, self.idf))
+        return self.detector.score(features.vectors(counts, self.idf, self.weighting))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """(session_id, score, flagged)."""
@@ -46,7 +51,7 @@ class AnomalyModel:
 
     def save(self, path: str) -> None:
         tables = {"columns": self.columns, "idf": self.idf}
-        spec = {"parser": self.parser, "header_tokens": self.header_tokens, "threshold": self.threshold, "meta": self.meta, **_detector_spec(self.detector)}
+        spec = {"parser": self.parser, "header_tokens": self.header_tokens, "threshold": self.threshold, "meta": self.meta, "weighting": self.weighting, **_detector_spec(self.detector)}
         if self.templates is not None:
             tables["templates"] = self.templates
         if self.early is not None:
@@ -64,7 +69,7 @@ class AnomalyModel:
         early = spec.get("early")
         check = early and EarlyCheck(early["age_s"], table("early_idf"), _read_detector(early), early["threshold"])
         templates = table("templates") if spec["parser"] == "drain" else None
-        return AnomalyModel(spec["parser"], spec["header_tokens"], table("columns"), templates, table("idf"), _read_detector(spec), spec["threshold"], spec["meta"], check or None)
+        return AnomalyModel(spec["parser"], spec["header_tokens"], table("columns"), templates, table("idf"), _read_detector(spec), spec["threshold"], spec["meta"], check or None, spec["weighting"])
 
 
 def _detector_spec(detector: detectors.Detector) -> dict:
@@ -105,7 +110,7 @@ class EarlyCheck:
     threshold: float
 
 
-def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: str = "pca", rule: str = "percentile", header_tokens: int = 4, max_events: int = 5000, **params: object) -> AnomalyModel:
+def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: str = "pca", rule: str = "percentile", header_tokens: int = 4, max_events: int = 5000, weighting: str = "tfidf", similarity: float = 0.4, **params: object) -> AnomalyModel:
     """Frequencies, columns, weights, detector and threshold, in this order; ``rule`` tuned reads the validation split."""
     normal = sessions.filter("split = 'train' AND label = 0")
     counts = cut(features.message_counts(rows, header_tokens))
@@ -113,17 +118,17 @@ def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: st
     freq = cut(features.train_frequency(counts, normal))
     named = None
     if parser == "drain":
-        columns, named = templates.template_columns(freq, vocab)
+        columns, named = templates.template_columns(freq, vocab, similarity)
         named = cut(named)
     else:
         columns = features.top_terms(freq, vocab, max_events)
     columns = cut(columns)
     by_column = cut(features.to_columns(counts, columns))
     idf = cut(features.fit_idf(by_column, normal, columns))
-    vectors = cut(features.tfidf(by_column, idf))
+    vectors = cut(features.vectors(by_column, idf, weighting))
     fit_on = vectors.join(normal.select("session_id"), "session_id", "left_semi")
     detector = detectors.MODELS[model](**params).fit(fit_on)
-    out = AnomalyModel(parser, header_tokens, columns, named, idf, detector)
+    out = AnomalyModel(parser, header_tokens, columns, named, idf, detector, weighting=weighting)
     scores = cut(detector.score(vectors).join(sessions, "session_id"))
     chosen = scores.filter("split = 'train' AND label = 0").select(F.col("score").alias("s"))
     if rule == "percentile":
@@ -137,16 +142,21 @@ def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: st
     return out
 
 
+def _fit_snapshot(model: AnomalyModel, seq: DataFrame, sessions: DataFrame, age_s: int, kind: str, **params: object) -> tuple[DataFrame, detectors.Detector, DataFrame]:
+    """Weights and a detector for the first ``age_s`` seconds of normal train sessions, and all sessions' vectors at that age."""
+    snapshot = cut(features.snapshot_counts(seq, age_s))
+    normal = sessions.filter("split = 'train' AND label = 0")
+    idf = cut(features.fit_idf(snapshot, normal, model.columns))
+    vectors = cut(features.tfidf(snapshot, idf))
+    return idf, detectors.MODELS[kind](**params).fit(vectors.join(normal.select("session_id"), "session_id", "left_semi")), vectors
+
+
 def attach_early(model: AnomalyModel, seq: DataFrame, sessions: DataFrame, scores: DataFrame, age_s: int, kind: str = "pca", gate: int = 13, **params: object) -> EarlyCheck:
     """Fit a detector on the first ``age_s`` seconds of normal train sessions; its threshold goes best with the incremental rule.
 
     ``seq``: (session_id, pos, dt, col); ``scores``: (session_id, score) of whole sessions.
     """
-    snapshot = cut(features.snapshot_counts(seq, age_s))
-    normal = sessions.filter("split = 'train' AND label = 0")
-    idf = cut(features.fit_idf(snapshot, normal, model.columns))
-    vectors = cut(features.tfidf(snapshot, idf))
-    detector = detectors.MODELS[kind](**params).fit(vectors.join(normal.select("session_id"), "session_id", "left_semi"))
+    idf, detector, vectors = _fit_snapshot(model, seq, sessions, age_s, kind, **params)
     n = seq.groupBy("session_id").agg(F.count("*").alias("n"))
     val = detector.score(vectors).withColumnRenamed("score", "snap").join(sessions.filter("split = 'val'"), "session_id").join(scores, "session_id").join(n, "session_id")
     rows = val.select(((F.col("n") >= gate) & (F.col("score") >= model.threshold)).alias("inc"), "snap", F.col("label").alias("y"))
@@ -170,16 +180,51 @@ def incremental_alerts(seq: DataFrame, model: AnomalyModel, gate: int = 13, long
     return hits.groupBy("session_id").agg(F.min("at").alias("dt"))
 
 
-def grid(rows: DataFrame, sessions: DataFrame, parsers: list[str], models: list[str], seeds: list[int], header_tokens: int = 4) -> DataFrame:
-    """(parser, model, seed, threshold, tp .. f1, roc_auc, average_precision) on the test split, a fit for each cell."""
+def early_study(model: AnomalyModel, seq: DataFrame, sessions: DataFrame, scores: DataFrame, ages: Iterable[int], kinds: Iterable[str] = ("pca",), gate: int = 13, longest: int = 64) -> DataFrame:
+    """(rule, kind, age, threshold, val_f1, tp .. f1, delay_p50, delay_p95, selected) on the test split, a row for each rule.
+
+    lines: the incremental rule alone; short: or fewer than ``gate`` lines at the age, without a model; snapshot: or a detector of
+    its own for the age, at the threshold of the best F1 on the validation split. ``selected`` by validation alone: the shortest
+    age whose F1 is at most 0.01 below that of whole sessions. ``seq``, ``scores`` as for ``attach_early``.
+    """
+    fired = cut(incremental_alerts(seq, model, gate, longest))
+    named = cut(sessions.filter("split in ('val', 'test')").select("session_id", "split", F.col("label").alias("y")).join(fired.withColumnRenamed("dt", "inc_delay"), "session_id", "left"))
+    test, val = named.filter("split = 'test'"), named.filter("split = 'val'")
+    whole = metrics.confusion(scores.join(val, "session_id"), F.col("score") >= model.threshold).first()["f1"]
+
+    def row(rule: str, kind: str | None, age: int | None, threshold: float, snap: DataFrame, val_f1: float | None) -> DataFrame:
+        told = metrics.early_rule(test.join(snap, "session_id", "left"), age or 0, threshold)
+        values = {"rule": (rule, "string"), "kind": (kind, "string"), "age": (age, "int"), "threshold": (threshold, "double"), "val_f1": (val_f1, "double")}
+        return told.select(*[F.lit(v).cast(t).alias(c) for c, (v, t) in values.items()], *told.columns)
+
+    nothing = seq.select("session_id", F.lit(None).cast("double").alias("snap")).limit(0)
+    out = [row("lines", None, None, INFINITY, nothing, None)]
+    for age in ages:
+        lines = seq.groupBy("session_id").agg(F.sum((F.col("dt") <= age).cast("int")).alias("n"))
+        out.append(row("short", None, age, 0.5, lines.select("session_id", (F.col("n") < gate).cast("double").alias("snap")), None))
+        for kind in kinds:
+            _, detector, vectors = _fit_snapshot(model, seq, sessions, age, kind)
+            snap = cut(detector.score(vectors).select("session_id", F.col("score").alias("snap")))
+            best = metrics.union_rule(cut(val.join(snap, "session_id").select(F.col("inc_delay").isNotNull().alias("inc"), "snap", "y"))).first()
+            out.append(row("snapshot", kind, age, INFINITY if best["threshold"] is None else best["threshold"], snap, best["f1"]))
+    rows = cut(metrics.union_all(out))
+    pick = metrics.shortest_age(rows, whole).select("kind", "age").first()
+    return rows.withColumn("selected", F.coalesce((F.col("kind") == pick["kind"]) & (F.col("age") == pick["age"]), F.lit(False)) if pick else F.lit(False))
+
+
+def grid(rows: DataFrame, sessions: DataFrame, axes: dict[str, list], header_tokens: int = 4) -> DataFrame:
+    """A row for each combination of ``axes``: their values, threshold, tp .. f1, roc_auc, average_precision on the test split.
+
+    Axes are parameters of ``train``: parser, model, seed, weighting, similarity (of templates), max_events, variance (PCA),
+    bottleneck (autoencoder), rule; one fit after the other.
+    """
     out = []
-    for parser in parsers:
-        for model in models:
-            for seed in seeds:
-                fitted = train(rows, sessions, parser, model, header_tokens=header_tokens, seed=seed)
-                test = cut(fitted.transform(rows).join(sessions.filter("split = 'test'"), "session_id").select(F.col("score").alias("s"), F.col("label").alias("y"), "flagged"))
-                cell = metrics.confusion(test, F.col("flagged")).crossJoin(metrics.ranking_metrics(test))  # one row each
-                out.append(cell.select(F.lit(parser).alias("parser"), F.lit(model).alias("model"), F.lit(seed).alias("seed"), F.lit(fitted.threshold).alias("threshold"), "*"))
+    for values in product(*axes.values()):
+        cell = dict(zip(axes, values))
+        fitted = train(rows, sessions, header_tokens=header_tokens, **cell)
+        test = cut(fitted.transform(rows).join(sessions.filter("split = 'test'"), "session_id").select(F.col("score").alias("s"), F.col("label").alias("y"), "flagged"))
+        found = metrics.confusion(test, F.col("flagged")).crossJoin(metrics.ranking_metrics(test))  # one row each
+        out.append(found.select(*[F.lit(v).alias(k) for k, v in cell.items()], F.lit(fitted.threshold).alias("threshold"), *found.columns))
     return metrics.union_all(out)
 
 
@@ -189,21 +234,58 @@ def retrain_with_feedback(rows: DataFrame, sessions: DataFrame, alerts: DataFram
     return train(rows, folded, **params) if matched >= least else None
 
 
-def drift_policies(counts: DataFrame, sessions: DataFrame, policies: list[str], drift_at: int, unk: DataFrame) -> DataFrame:
-    """(policy, chunk, fit_from, fit_to): which chunks each policy's model of a chunk is fitted on.
+def _fit_window(counts: DataFrame, vocab: DataFrame, fit_on: DataFrame, window: DataFrame, model: str, max_events: int, **params: object) -> AnomalyModel:
+    """Columns, weights and detector from the sessions ``fit_on``, the threshold from all scores of ``window``, which holds them."""
+    on = cut(fit_on.select("session_id", F.lit("train").alias("split")))
+    columns = cut(features.top_terms(features.train_frequency(counts, on), vocab, max_events))
+    by_column = cut(features.to_columns(counts.join(window.select("session_id"), "session_id", "left_semi"), columns))
+    idf = cut(features.fit_idf(by_column, on, columns))
+    vectors = cut(features.tfidf(by_column, idf))
+    detector = detectors.MODELS[model](**params).fit(vectors.join(on, "session_id", "left_semi"))
+    threshold = metrics.percentile_threshold(detector.score(vectors), s="score").first()[0]
+    return AnomalyModel("regex", 0, columns, None, idf, detector, INFINITY if threshold is None else threshold)
 
-    static: the first half only; periodic: the two chunks before; triggered: these if the chunk before had over 5 % unknown
-    lines, else the last fit; oracle: as periodic, without anomalies. ``unk``: (chunk, unk_share), a row per chunk.
-    """
-    shares = dict(unk.collect())
-    out = []
-    for policy in policies:
-        fit = (0, drift_at - 1)
-        for chunk in range(drift_at, 1 + max(shares, default=-1)):
-            recent = (max(0, chunk - 2), chunk - 1)
-            if policy in ("periodic", "oracle") or policy == "triggered" and shares.get(chunk - 1, 0.0) > 0.05:
-                fit = recent
-            out.append((policy, chunk, *fit))
-    return counts.sparkSession.createDataFrame(out, "policy string, chunk int, fit_from int, fit_to int")
 
+def drift_study(counts: DataFrame, sessions: DataFrame, model: str = "pca", window: int = 2, trigger: float = 0.05, max_events: int = 5000, **params: object) -> DataFrame:
+    """(policy, chunk, fit_from, fit_to, threshold, unk_share, tp .. roc_auc): retraining policies over the chunks of the test sessions.
 
+    ``counts`` (session_id, term, first_line, cnt) as they read in their chunk; ``sessions`` (session_id, label, split, chunk from 0).
+    static: the fit on normal train sessions, at the best threshold of the validation split or at the 99th percentile; periodic:
+    on the ``window`` chunks before; oracle: on these without anomalies, at the threshold of all of them; triggered: on these if the chunk before
+    had a larger share than ``trigger`` of lines that its model does not know, else as the chunk before. Chunk 0 is always static.
+    Policies are taken chunk by chunk, a fit at a time; what one fit reads is a window.
+    """
+    counts, sessions = cut(counts), cut(sessions)
+    vocab = cut(features.vocabulary(counts))
+    test = sessions.filter("split = 'test'")
+    of = lambda some: counts.join(some.select("session_id"), "session_id", "left_semi")
+    fit = lambda fit_on, all_: _fit_window(counts, vocab, fit_on, all_, model, max_events, **params)
+    known = lambda m, some: drift.unknown_share(features.to_columns(of(some), m.columns), []).first()[0]
+    normal = sessions.filter("split = 'train' AND label = 0")
+    static = fit(normal, normal)
+    val = sessions.filter("split = 'val'").select("session_id", F.col("label").alias("y"))
+    tuned = metrics.best_threshold(cut(static.score_counts(features.to_columns(of(val), static.columns)).join(val, "session_id").select(F.col("score").alias("s"), "y"))).first()[0]
+    last = test.agg(F.max("chunk")).first()[0] or 0
+    held, out = (static, static.threshold, None, None), []
+    for chunk in range(last + 1):
+        first = max(0, chunk - window)
+        arms = dict.fromkeys(POLICIES, (static, static.threshold, None, None)) | {"static_tuned": (static, tuned, None, None)}
+        if chunk:
+            recent = test.filter(F.col("chunk").between(first, chunk - 1))
+            periodic = fit(recent, recent)
+            arms["periodic"] = (periodic, periodic.threshold, first, chunk - 1)
+            pure = fit(recent.filter("label = 0"), recent)
+            arms["oracle"] = (pure, pure.threshold, first, chunk - 1)
+            if (known(held[0], test.filter(F.col("chunk") == chunk - 1)) or 0.0) > trigger:
+                held = arms["periodic"]
+            arms["triggered"] = held
+        now, scored = cut(test.filter(F.col("chunk") == chunk).select("session_id", "chunk", F.col("label").alias("y"))), {}
+        for policy, (fitted, threshold, fit_from, fit_to) in arms.items():
+            if id(fitted) not in scored:
+                by_column = features.to_columns(of(now), fitted.columns)
+                scored[id(fitted)] = cut(fitted.score_counts(by_column).join(now, "session_id").select("chunk", F.col("score").alias("s"), "y")), known(fitted, now)
+            rows, unknown = scored[id(fitted)]
+            told = drift.chunk_metrics(rows, threshold)
+            values = {"policy": (policy, "string"), "fit_from": (fit_from, "int"), "fit_to": (fit_to, "int"), "threshold": (threshold, "double"), "unk_share": (unknown, "double")}
+            out.append(told.select(*[F.lit(v).cast(t).alias(c) for c, (v, t) in values.items()], *told.columns))
+    return metrics.union_all(out)

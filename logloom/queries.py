@@ -839,35 +839,62 @@ def held_over(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- streaming ---------------------------------------------------------------------------------------------------------
 
-def write_in_order(events: DataFrame, path: str, batches: int) -> None:
-    """``events`` as a file for each range of log_t, one written after the other: the file source goes by modification time."""
+def in_order(events: DataFrame, batches: int) -> list[DataFrame]:
+    """``events`` in ranges of log_t, ascending, each to be a batch of the stream; rows without a time come first."""
     events = cut(events)
     marks = sorted(set(events.select(F.percentile_approx("log_t", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []))
     at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col("log_t"))) if marks else F.lit(0)
     ranged = events.withColumn("_at", F.when(F.col("log_t").isNull(), 0).otherwise(at))
-    for k in range(len(marks) + 1):
-        ranged.filter(F.col("_at") == k).drop("_at").repartition(1).write.mode("append").parquet(path)
+    return [ranged.filter(F.col("_at") == k).drop("_at") for k in range(len(marks) + 1)]
 
 
 def run_stream(events: DataFrame, scorer: detect.Scorer, min_lines: int, lateness: str, batches: int = 4) -> DataFrame:
-    """Alerts for ``events`` (key, col, log_t, event_time), written as files in order of time and read as a stream."""
+    """Alerts for ``events`` (key, col, log_t, event_time): each range of time is written by all tasks, then the stream takes it as a batch."""
     spark = events.sparkSession
     path = shared_path(spark)
-    write_in_order(events, f"{path}/in", batches)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    found = detect.detect(stream, scorer, min_lines, lateness)
-    detect.start(found, f"{path}/state", once=True, path=f"{path}/out").awaitTermination()
+    events.limit(0).write.parquet(f"{path}/in")  # the folder, for the reader
+    found = detect.detect(spark.readStream.schema(events.schema).parquet(f"{path}/in"), scorer, min_lines, lateness)
+    for part in in_order(events, batches):
+        part.write.mode("append").parquet(f"{path}/in")
+        detect.start(found, f"{path}/state", once=True, path=f"{path}/out").awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{path}/out")
 
 
-@query()
-def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """Incremental and age alerts of a stream of all log lines, by a model trained on the first sessions."""
+def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, anomaly.AnomalyModel, DataFrame]:
+    """All lines with their columns, splits, a model trained on the first sessions, and its scores."""
     rows, splits = _rows(spark, d), _splits(spark, d)
     model = anomaly.train(rows, splits, "regex", "pca", header_tokens=HEADER)
     named = rows.withColumn("term", S.mask(S.content(F.col("line"), HEADER))).join(model.columns, "term", "left")
     typed = cut(named.select("session_id", "line_id", F.coalesce("col", F.lit(0)).cast("int").alias("col"), S.log_time(F.col("line")).alias("t"), "line"))
     scores = cut(model.score_counts(model.counts(rows)).select("session_id", "score"))
+    return typed, splits, model, scores
+
+
+@query()
+def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Incremental and age alerts of a stream of all log lines, by a model trained on the first sessions."""
+    typed, splits, model, scores = _trained(spark, d)
     anomaly.attach_early(model, sessions.sequences(typed), splits, scores, AGE, gate=GATE)
     events = detect.event_time(typed.select(F.col("session_id").alias("key"), "col", "line")).drop("line")
     return detect.payload(run_stream(events, detect.scorer(model), GATE, "2 hours"), "run0", "pca").drop("sent_ns")
+
+
+@query()
+def early_study(spark: SparkSession, d: str) -> DataFrame:
+    """Rules for early alerts on the test sessions: by lines, or also at an age, with and without a model."""
+    typed, splits, model, scores = _trained(spark, d)
+    return anomaly.early_study(model, sessions.sequences(typed), splits, scores, [AGE], gate=GATE)
+
+
+@query()
+def drift_study(spark: SparkSession, d: str) -> DataFrame:
+    """Retraining policies over four chunks of the test sessions; the five terms of most lines are reworded from the third on."""
+    counts, splits = cut(_counts(spark, d)), _splits(spark, d)
+    test = drift.chunks(splits.filter("split = 'test'"), 4).select("session_id", "chunk")
+    named = cut(splits.join(test, "session_id", "left"))
+    lines = counts.agg(F.sum("cnt").alias("lines"))  # one row
+    share = counts.groupBy("term").agg(F.sum("cnt").alias("n")).crossJoin(lines).select("term", (F.col("n") / F.col("lines")).alias("share"))
+    mapping = drift.drift_map(features.vocabulary(counts), share, 5)
+    firsts = counts.groupBy("session_id").agg(F.min("first_line").alias("first_line"))
+    drifted = drift.apply_drift(counts, mapping, named.select("session_id", F.coalesce("chunk", F.lit(0)).alias("chunk")), 2).join(firsts, "session_id")
+    return anomaly.drift_study(drifted, named)

@@ -114,9 +114,66 @@ def test_model_tables_round_trip(spark, sf, tmp_path):
     assert (again.early.age_s, again.early.threshold) == (60, 0.25) and detect.scorer(again).snap_idf == detect.scorer(model).snap_idf
 
 
-def test_stream_files_rise_with_time(spark, tmp_path):
+def test_stream_batches_rise_with_time(spark):
     rows = [(f"k{n}", n % 3, float((n * 7919) % 20_000), "x" * (400 if (n * 7919) % 20_000 < 5000 else 1)) for n in range(20_000)] + [("odd", 1, None, "")]
-    base.write_in_order(spark.createDataFrame(rows, "key string, col int, log_t double, line string").repartition(4), f"{tmp_path}/in", 4)
-    files = sorted(tmp_path.glob("in/*.parquet"), key=lambda p: p.stat().st_mtime_ns)
-    spans = [spark.read.parquet(str(f)).selectExpr("min(log_t)", "max(log_t)", "count(*)").first() for f in files]
+    parts = base.in_order(spark.createDataFrame(rows, "key string, col int, log_t double, line string").repartition(4), 4)
+    spans = [p.selectExpr("min(log_t)", "max(log_t)", "count(*)").first() for p in parts]
     assert len(spans) == 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and sum(s[2] for s in spans) == len(rows)
+
+
+def _study(spark, n=60):
+    """Sessions of the terms a and b, twenty for training; from two thirds on a is reworded to c; every tenth has x instead."""
+    rows, sess = [], []
+    for k in range(n):
+        odd = k % 10 == 9
+        split, chunk = ("train", None) if k < n // 3 else ("val", None) if k < n // 2 else ("test", 0 if k < 2 * n // 3 else 1 if k < 5 * n // 6 else 2)
+        for term in ["x"] * 5 if odd else ["c" if k >= 2 * n // 3 else "a"] * 3 + ["b"] * (1 + k % 3):
+            rows.append((f"s{k}", term, k))
+        if not (odd and split == "train"):
+            sess.append((f"s{k}", int(odd), split, chunk))
+    return spark.createDataFrame(rows, "session_id string, term string, line_id long"), spark.createDataFrame(sess, "session_id string, label int, split string, chunk int")
+
+
+def test_drift_policies_fit_and_score(spark):
+    from logloom.plans import anomaly
+
+    rows, sess = _study(spark)
+    counts = rows.groupBy("session_id", "term").agg(F.count("*").alias("cnt"), F.min("line_id").alias("first_line"))
+    got = {(r.policy, r.chunk): r for r in anomaly.drift_study(counts, sess, window=1, trigger=0.2).collect()}
+    assert set(got) == {(p, c) for p in anomaly.POLICIES for c in range(3)}
+    assert all(got[p, 0].fit_from is None and (p == "static_tuned" or got[p, 0].threshold == got["static_p99", 0].threshold) for p in anomaly.POLICIES)
+    assert [(got["periodic", c].fit_from, got["periodic", c].fit_to) for c in (1, 2)] == [(0, 0), (1, 1)]
+    # Chunk 0 knows its terms but the odd session's; chunk 1 is reworded, so that chunk 2 has a new fit.
+    assert got["static_p99", 0].unk_share < 0.2 < got["static_p99", 1].unk_share
+    assert got["triggered", 1].fit_from is None and got["triggered", 2].fit_from == 1
+    assert got["triggered", 2].threshold == got["periodic", 2].threshold and got["periodic", 2].unk_share == 0
+    assert got["oracle", 2].unk_share > 0  # anomalies, and so their terms, are not among its sessions
+    assert all(r.tp + r.fn == 1 and r.fp + r.tn == 9 for r in got.values())
+
+
+def test_early_rules_and_selection(spark):
+    from logloom.operators import metrics
+    from logloom.plans import anomaly
+
+    lines, sess = _study(spark)
+    rows = lines.select("session_id", "line_id", F.concat(F.lit("h "), "term").alias("line"))
+    model = anomaly.train(rows, sess, "regex", "pca", header_tokens=1, rule="tuned", weighting="binary")
+    assert model.weighting == "binary"
+    order = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("session_id").orderBy("term")
+    seq = lines.join(model.columns, "term", "left").select("session_id", (F.row_number().over(order) - 1).alias("pos"), F.coalesce("col", F.lit(0)).alias("col")).withColumn("dt", F.col("pos") * 10)
+    scores = model.score_counts(model.counts(rows)).select("session_id", "score")
+    got = anomaly.early_study(model, seq, sess, scores, [15, 100], gate=5).collect()
+    assert sorted((r.rule, r.age or 0) for r in got) == [("lines", 0), ("short", 15), ("short", 100), ("snapshot", 15), ("snapshot", 100)]
+    by = {(r.rule, r.age): r for r in got}
+    assert all(r.tp + r.fn == 3 for r in got)
+    assert by["lines", None].tp == 3 and by["lines", None].delay_p50 == 40  # the fifth line
+    assert by["short", 15].tp == 3 and by["short", 15].fp == 27 and by["short", 15].delay_p50 == 15
+    # At 15 s only one term is known, which one component spans: the detector sees nothing, and validation tells so.
+    val = {r.session_id: r.label for r in sess.filter("split = 'val'").collect()}
+    flags = [(r.score >= model.threshold, val[r.session_id]) for r in scores.collect() if r.session_id in val]
+    whole = 2 * sum(f and y for f, y in flags) / (sum(f for f, _ in flags) + sum(y for _, y in flags))
+    fits = [r for r in got if r.val_f1 is not None and r.val_f1 >= whole - 0.01]
+    assert whole == 1.0 and by["snapshot", 100].val_f1 == 1.0 and by["snapshot", 100].fp == 0
+    assert [(r.age, r.kind) for r in got if r.selected] == [min((r.age, r.kind) for r in fits)]
+    ages = spark.createDataFrame([(5, 0.5), (10, 0.9), (10, 0.95), (20, 1.0), (1, None)], "age int, val_f1 double")
+    assert metrics.shortest_age(ages, 0.91).first() == (10, 0.95) and metrics.shortest_age(ages, 2.0).count() == 0
