@@ -87,15 +87,16 @@ def chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
 
 def copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(key LONG, shared, spans ARRAY<STRUCT<start, end>>): the runs of chunks of each text that come before or elsewhere as well.
+    """(key STRUCT<id, key LONG>, found ARRAY<STRUCT<start, size, copy>>): the chunks of each text that occur more than once.
 
-    ``spans`` has the runs of copied chunks, ``shared`` the runs of chunks that have or are copies.
+    ``copy`` marks all but the first. Texts are told apart by their id and a hash of it and the text.
     """
     found = chunks(docs, text_col, id_col)
     firsts = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("first")).filter("n > 1")
-    firsts = cut(firsts.select("high", "low", F.col("first.key").alias("first_key"), F.col("first.start").alias("first_start")))
-    again = found.drop("id").join(firsts, ["high", "low"]).select("key", "start", "size", ((F.col("key") != F.col("first_key")) | (F.col("start") != F.col("first_start"))).alias("copy"))
-    return again.groupBy("key").agg(F.array_distinct(F.collect_list(F.struct("start", "size", "copy"))).alias("found"))
+    firsts = cut(firsts.select("high", "low", "first"))
+    again = found.join(firsts, ["high", "low"]).select("id", "key", "start", "size", (F.struct("id", "key", "start") != F.col("first")).alias("copy"))
+    grouped = again.groupBy("id", "key").agg(F.array_distinct(F.collect_list(F.struct("start", "size", "copy"))).alias("found"))
+    return grouped.select(F.struct("id", "key").alias("key"), "found")
 
 
 def _runs(pieces: list[tuple[int, int]], data: bytes) -> list[tuple[int, int]]:
@@ -122,7 +123,7 @@ def dedupe(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     added = {"kept": T.StringType(), "spans": T.ArrayType(T.ArrayType(T.IntegerType())), "shared": T.ArrayType(T.ArrayType(T.IntegerType()))}
     names = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(*x) for x in added.items()])
-    keyed = docs.select(*names, _key(id_col, text_col).alias("_key"))
+    keyed = docs.select(*names, F.struct(F.col(id_col).alias("id"), _key(id_col, text_col)).alias("_key"))
     joined = keyed.join(copies(docs, text_col, id_col).withColumnsRenamed({"key": "_key", "found": "_found"}), "_key", "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,7 +77,7 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) ->
     step = F.floor((F.col(id_col) - low) / F.greatest(high - low, F.lit(1)) * steps)
     ranged = rows.withColumn("_range", F.when(F.col(id_col).isNull(), F.struct(F.lit(-1).alias("c"), F.lit(0).cast("bigint").alias("s"))).otherwise(F.struct(at.alias("c"), F.coalesce(step, F.lit(0)).cast("bigint").alias("s"))))
 
-    tops = cut(ranged.groupBy("_range").agg(F.max(F.struct(F.col(id_col).alias("id"), (-F.col(tie_col)).alias("tie"))).alias("top")))
+    tops = cut(ranged.groupBy("_range").agg(F.max(F.struct(F.col(id_col).alias("id"), F.bitwise_not(tie_col).alias("tie"))).alias("top")))
     firsts = tops.groupBy(F.col("_range.c").alias("c")).agg(F.max("_range").alias("_range"))
     # The range before another one: inside a quantile by its steps, across quantiles (COARSE rows at most) by their last steps.
     lasts = tops.groupBy(F.col("_range.c").alias("c")).agg(F.min("_range").alias("low"))
@@ -85,7 +85,7 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) ->
     inside = tops.select("_range", "top", F.lead("_range").over(Window.partitionBy("_range.c").orderBy("_range.s")).alias("before"))
     heads = cut(inside.join(across, "_range", "left").select("top", F.coalesce("before", "over", "bottom").alias("to")))
 
-    joined = ranged.join(heads, F.col(id_col).eqNullSafe(F.col("top.id")) & (F.col(tie_col) == -F.col("top.tie")))
+    joined = ranged.join(heads, F.col(id_col).eqNullSafe(F.col("top.id")) & (F.col(tie_col) == F.bitwise_not("top.tie")))
     guests = joined.select(*rows.columns, F.col("to").alias("_range"), F.lit(1).alias("_guest"))
     every = ranged.withColumn("_guest", F.lit(0)).unionByName(guests)
     order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last(id_col), tie_col)

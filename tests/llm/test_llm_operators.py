@@ -73,6 +73,18 @@ def test_cdc_finds_shared_passages(docs, none, spark):
     assert len(by_id(cdc.dedupe(moved))[2].kept) < 200
 
 
+def test_cdc_tells_texts_of_equal_hash_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, f"{passage} of no id"), (1, f"{passage} one"), (2, " ".join(f"other{k}" for k in range(60))), (3, f"three {passage}"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = by_id(cdc.dedupe(docs))
+    monkeypatch.setattr(cdc, "_key", lambda id_col, text_col: F.lit(0).cast("bigint").alias("key"))
+    assert by_id(cdc.dedupe(docs)) == expected
+    assert not expected[None].spans and expected[1].spans and expected[3].spans and not expected[2].spans
+
+
 def test_gear_hash_follows_its_recurrence():
     data, table, h, out = random.Random(1).randbytes(500), cdc.gear_table(), 0, []
     for b in data:
@@ -394,6 +406,8 @@ def test_digest_classes_and_neighbours(docs, none, monkeypatch):
     assert len(order) == docs.count()
     for k, r in enumerate(order):
         assert (r.next_doc_id, r.next_text) == (order[(k + 1) % len(order)].doc_id, order[(k + 1) % len(order)].text)
+    least = rows.drop("text").withColumn("tie", F.lit(-(2**63)))  # the least tie there is
+    assert sorted(str(r.next_doc_id) for r in digest.with_next(least, ["doc_id"], "doc_id", "tie").collect()) == sorted(str(r.doc_id) for r in least.collect())
     classes = {r.doc_id: r for r in digest.classes(docs).collect()}
     assert {classes[k].class_id for k in (0, 31, 32)} == {0} and classes[0].copies == 3
     assert {classes[k].class_id for k in (20, 21, 22)} == {20} and classes[3].copies == 3 and classes[5].copies == 1
