@@ -20,6 +20,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as S
+from ..operators import ranking
+from ..session import cut
 
 ALERT = "session_key string, kind string, score double, n_lines long, evidence_s long, threshold double, sent_ns long"
 #: lines: rows of (column, lines, early lines) as 32-bit integers.
@@ -174,10 +176,11 @@ def summarise(final: DataFrame, labels: DataFrame, offline: DataFrame) -> DataFr
     """(sessions, unlabelled, tp, fp, fn, same, diff_median, diff_max): alerts against labels, final scores against offline ones."""
     joined = final.join(labels, "session_id", "left").join(offline.select("session_id", F.col("score").alias("_off")), "session_id", "left")
     hit, y = F.col("kind").isNotNull(), F.col("label")
-    diff = F.abs(F.col("score") - F.col("_off"))
+    joined = cut(joined.withColumn("_diff", F.abs(F.col("score") - F.col("_off"))))
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    spread = ranking.quantiles(joined, [], "_diff", [0.5]).select(F.col("q")[0].alias("diff_median"), F.col("high").alias("diff_max"))
     return joined.agg(F.count("*").alias("sessions"), n(y.isNull()).alias("unlabelled"), n(hit & (y == 1)).alias("tp"), n(hit & (y == 0)).alias("fp"), n(~hit & (y == 1)).alias("fn"),
-                      F.avg((diff < 1e-6).cast("double")).alias("same"), F.percentile(diff, 0.5).alias("diff_median"), F.max(diff).alias("diff_max"))
+                      F.avg((F.col("_diff") < 1e-6).cast("double")).alias("same")).crossJoin(spread)  # one row each
 
 
 def run_report(alerts: DataFrame, labels: DataFrame, sizes: DataFrame, expected: DataFrame, scored: DataFrame) -> DataFrame:
@@ -187,9 +190,9 @@ def run_report(alerts: DataFrame, labels: DataFrame, sizes: DataFrame, expected:
     """
     known = alerts.withColumnRenamed("session_key", "session_id").join(labels, "session_id", "left").join(sizes, "session_id", "left")
     kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("incremental", "deadline", "deadline_eos")]
-    delay = F.percentile(F.when(F.col("label") == 1, F.col("evidence_s")), F.array(F.lit(0.5), F.lit(0.95)))
-    part = F.percentile(F.col("n_lines") / F.col("n"), F.array(F.lit(0.5), F.lit(0.95)))
+    known = cut(known.withColumns({"_delay": F.when(F.col("label") == 1, F.col("evidence_s")), "_part": F.col("n_lines") / F.col("n")}))
+    delay, part = (ranking.quantiles(known, [], c, [0.5, 0.95]).select(F.col("q").alias(name)) for c, name in (("_delay", "_d"), ("_part", "_p")))
     both = expected.agg(F.count("*").alias("sessions")).crossJoin(expected.join(scored, "session_id", "left_semi").agg(F.count("*").alias("scored")))  # one row each
-    out = both.crossJoin(known.agg(F.count("*").alias("alerts"), *kinds, delay.alias("_d"), part.alias("_p")))
+    out = both.crossJoin(known.agg(F.count("*").alias("alerts"), *kinds)).crossJoin(delay).crossJoin(part)
     return out.select("sessions", "scored", F.when(F.col("sessions") > 0, F.col("scored") / F.col("sessions")).alias("coverage"), "alerts", *[f"n_{k}" for k in ("incremental", "deadline", "deadline_eos")],
                       F.col("_d")[0].alias("evidence_p50"), F.col("_d")[1].alias("evidence_p95"), F.col("_p")[0].alias("lines_p50"), F.col("_p")[1].alias("lines_p95"))
