@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, cdc, digest, mixing, simhash, suffix, token_counts, topk, toxicity
+from . import bpe, brown, cdc, digest, mixing, pieces, simhash, suffix, token_counts, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +102,13 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pieces.round_trip(documents(spark, sf_dir).select("doc_id", "text"), PIECES)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.decimal(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix}
+    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix, "op11_pieces": op11_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

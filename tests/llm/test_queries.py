@@ -9,10 +9,11 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from logloom.llm import cdc
-from logloom.llm.queries import TOKENIZER, queries
+from logloom.llm.queries import PIECES, TOKENIZER, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, key string, node string, kept string, score string, ids string, word string, hash string, edits string"
 
@@ -230,3 +231,9 @@ def test_op10(spark, folder, rows):
         kept = bytes(np.frombuffer(d, np.uint8)[np.frombuffer(bytes(covered), np.uint8) == 0])
         want.append((i, len(d), sum(covered), sum(1 for x in bytes(covered).split(b"\0") if x), sha(kept)))
     check(spark, "op10_suffix", folder, want)
+
+
+def test_op11(spark, folder, rows):
+    model = SentencePieceProcessor(model_file=PIECES)
+    ids = [model.encode(t or "", add_eos=True) for _, t in rows]
+    check(spark, "op11_pieces", folder, [(i, len(x), sha(" ".join(map(str, x)).encode()), sha(model.decode(x).encode())) for (i, _), x in zip(rows, ids)])
