@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, cdc, digest, mixing, pieces, simhash, suffix, token_counts, topk, toxicity
+from . import alignment, bpe, brown, cdc, digest, mixing, pieces, simhash, suffix, token_counts, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,8 +107,14 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.decimal(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = alignment.index(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, PIECES)
+    scored = alignment.scores(indexed, alignment.pairs(indexed))
+    return scored.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix, "op11_pieces": op11_pieces}
+    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix, "op11_pieces": op11_pieces, "op12_alignment": op12_alignment}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from logloom.llm import cdc
+from logloom.llm.bpe import byte_chars
 from logloom.llm.queries import PIECES, TOKENIZER, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, fp string, key string, node string, kept string, score string, ids string, word string, hash string, edits string"
@@ -237,3 +238,37 @@ def test_op11(spark, folder, rows):
     model = SentencePieceProcessor(model_file=PIECES)
     ids = [model.encode(t or "", add_eos=True) for _, t in rows]
     check(spark, "op11_pieces", folder, [(i, len(x), sha(" ".join(map(str, x)).encode()), sha(model.decode(x).encode())) for (i, _), x in zip(rows, ids)])
+
+
+def plain_alignment(texts):
+    """Each text's counts, links of ids and groups, one byte at a time."""
+    tok, model, chars = Tokenizer.from_file(TOKENIZER), SentencePieceProcessor(model_file=PIECES), byte_chars()
+    tok.encode_special_tokens = True
+    out = []
+    for t in texts:
+        a, b = (tok.encode(" " + t, add_special_tokens=False).ids, model.encode(t)) if t else ([], [])
+        raw_a = [bytes(chars[c] for c in tok.id_to_token(k)) for k in a]
+        raw_b = [bytes([int(model.id_to_piece(k)[3:5], 16)]) if model.is_byte(k) else model.id_to_piece(k).replace("▁", " ").encode() for k in b]
+        whole = (" " + t).encode() if t else b""
+        if b"".join(raw_a) != whole or b"".join(raw_b) != whole:
+            a = b = []
+            raw_a = raw_b = []
+        owner_a, owner_b = ([k for k, x in enumerate(raw) for _ in x] for raw in (raw_a, raw_b))
+        links = [(a[i], b[j]) for i, j in sorted(set(zip(owner_a, owner_b)))]
+        groups, i, j = [], 0, 0
+        for at in range(len(owner_a)):
+            if at + 1 == len(owner_a) or owner_a[at] != owner_a[at + 1] and owner_b[at] != owner_b[at + 1]:
+                groups.append(",".join(map(str, a[i : owner_a[at] + 1])) + "|" + ",".join(map(str, b[j : owner_b[at] + 1])))
+                i, j = owner_a[at] + 1, owner_b[at] + 1
+        out.append((len(a), len(b), len(groups), links, ";".join(groups)))
+    return out
+
+
+def test_op12(spark, folder, rows):
+    plain = plain_alignment([t for _, t in rows])
+    counts = Counter(x for p in plain for x in p[3])
+    most = Counter()
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    want = [(i, p[0], p[1], p[2], len(p[3]), sum(counts[x] == most[x[1]] for x in p[3]), sum(counts[x] for x in p[3]), sha(p[4].encode()) if p[4] else "") for (i, _), p in zip(rows, plain)]
+    check(spark, "op12_alignment", folder, want)
