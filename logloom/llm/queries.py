@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, brown, cdc, digest, mixing, pieces, simhash, suffix, token_counts, topk, toxicity
+from . import alignment, bpe, brown, cdc, digest, mixing, phrases, pieces, simhash, suffix, token_counts, topk, toxicity
 from .shared import WORD, crc_fold, cut, documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,9 +113,42 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
+# All phrases of one to three words, counted by language, in whole numbers of 128 bits.
+OP13_SQL = """
+WITH p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w
+  FROM (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece FROM documents)
+), g AS MATERIALIZED (
+  SELECT lang, k, phrase, lang || chr(9) || phrase AS key, count(*) AS c FROM (
+    SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p
+  ) GROUP BY ALL
+), c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND c >= 10),
+x AS (
+  SELECT c.lang, c.phrase, c.a, 1 AS k1, l.c AS l, r.c AS r FROM c
+  JOIN g l ON l.key = c.lang || chr(9) || c.w[1] JOIN g r ON r.key = c.lang || chr(9) || array_to_string(c.w[2:], ' ')
+  UNION ALL SELECT c.lang, c.phrase, c.a, 2, l.c, r.c FROM c
+  JOIN g l ON l.key = c.lang || chr(9) || array_to_string(c.w[:2], ' ') JOIN g r ON r.key = c.lang || chr(9) || c.w[3] WHERE c.k = 3
+), s AS (SELECT *, 1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS score FROM x),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k1) AS best FROM s),
+d AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+o AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM b LEFT JOIN d ON d.lang = b.lang AND d.part = b.phrase WHERE best = 1 AND (most IS NULL OR 100 * most < 50 * a)
+)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix, "op11_pieces": op11_pieces, "op12_alignment": op12_alignment}
+    return {"op1_cdc": op1_cdc, "op2_bpe": op2_bpe, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_brown": op5_brown, "op6_toxicity": op6_toxicity, "op7_simhash": op7_simhash, "op8_token_counts": op8_token_counts, "op9_digest": op9_digest, "op10_suffix": op10_suffix, "op11_pieces": op11_pieces, "op12_alignment": op12_alignment, "op13_phrases": op13_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op3_topk": OP3_SQL, "op13_phrases": OP13_SQL}
