@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,6 +187,7 @@ class Counter:
                 yield from self.spill(PHRASES // 2)
 
     def spill(self, least: int) -> Iterator[pa.RecordBatch]:
+        self.named = pa.array([lang for lang, _ in self.words], pa.string()), pa.array([w for _, w in self.words], pa.binary())
         for keys, many in self.trie.spilled(least):
             for k in range(0, len(keys), 50_000):
                 yield self._run(keys[k : k + 50_000], many[k : k + 50_000])
@@ -193,10 +195,11 @@ class Counter:
             self._reset()
 
     def _run(self, keys: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-        mask, words = (1 << WORD_BITS) - 1, self.words
-        columns = [[words[x - 1] for x in (keys >> WORD_BITS * k & mask).tolist()] for k in range(self.n - 1, -1, -1)]
-        phrases = [b" ".join([w for _, w in parts]).decode() for parts in zip(*columns)]
-        return pa.RecordBatch.from_pydict({"lang": pa.array([lang for lang, _ in columns[0]], pa.string()), "phrase": pa.array(phrases, pa.string()), "n": pa.array(many)})
+        mask, (langs, words) = (1 << WORD_BITS) - 1, self.named
+        places = [(keys >> WORD_BITS * k & mask) - 1 for k in range(self.n - 1, -1, -1)]
+        parts = [words.take(pa.array(x)) for x in places]
+        phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if self.n > 1 else parts[0]
+        return pa.RecordBatch.from_pydict({"lang": langs.take(pa.array(places[0])), "phrase": phrases.cast(pa.string()), "n": pa.array(many)})
 
 
 def runs(docs: DataFrame, n: int, frequent: Filter | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
