@@ -185,8 +185,8 @@ _WORDS = regex.compile(PATTERN)
 class _Encoder:
     """Texts to ids, a batch at a time. The memo of words has a young and an old half; words that come back stay."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+    def __init__(self, vocab: Vocabulary, memo: int = MEMO_WORDS):
+        self.vocab, self.memo = vocab, memo
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         names = "|".join(regex.escape(s) for s in sorted(vocab.specials, key=len, reverse=True))
@@ -194,7 +194,7 @@ class _Encoder:
         self.le = {s: vocab.le[k] for s, k in vocab.specials.items()}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > MEMO_WORDS:
+        if len(self.young) + len(words) > self.memo:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         words = [w for w in words if w not in young]

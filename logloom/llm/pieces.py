@@ -115,25 +115,22 @@ class Pieces:
 class Encoder:
     """Texts to ids, a slice at a time. The memo of words has a young and an old half; words that come back stay."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.automaton = pieces, pieces.automaton()
+    def __init__(self, pieces: Pieces, memo: int = MEMO_WORDS):
+        self.pieces, self.automaton, self.memo = pieces, pieces.automaton(), memo
         self.other = len(pieces.units)  # any character that no unit has: it merges with nothing
         self.single = np.full(0x110000, self.other, np.int32)
         for unit, k in pieces.number.items():
             if len(unit) == 1:
                 self.single[ord(unit)] = k
-        self.le = [self._bytes(u) for u in pieces.units]
+        #: The id of each unit that is a piece; characters that are none have no single id.
+        self.first_id = np.array([pieces.ids.get(u, 0) for u in pieces.units] + [0], np.int32)
+        self.n_ids = np.array([int(u in pieces.ids) for u in pieces.units] + [0], np.int64)
         self.keys = np.full(1 << PAIRS, -1, np.int64)
         self.fitting = np.zeros(1 << PAIRS, bool)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words = re.compile(f"{MARK}+[^{MARK}]*" if pieces.whole_words else "(?s:.+)")
 
-    def _bytes(self, unit: str) -> bytes:
-        """The id of a piece, or those of the bytes of a character that is none, as little-endian 32-bit integers."""
-        ids = self.pieces.ids
-        return b"".join(k.to_bytes(4, "little") for k in ([ids[unit]] if unit in ids else [self.pieces.byte_ids[b] for b in unit.encode()]))
-
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the joined text of each two units gives just these two; a table of fixed size remembers pairs."""
         keys = left.astype(np.int64) << 32 | right
@@ -193,20 +190,37 @@ class Encoder:
         return self._collected(words, text, ending)
 
     def _collected(self, words: list[str], text: str, ending: np.ndarray) -> list[bytes]:
-        """The units of each word, from its end back to its start."""
-        le, other, lengths, taken, out, start = self.le, self.other, self.pieces.lengths.tolist(), ending.tolist(), [], 0
-        for word in words:
-            at, ids = start + len(word), []
-            while at > start:
-                unit = taken[at]
-                at -= lengths[unit]
-                ids.append(le[unit] if unit != other else self._bytes(text[at]))
-            out.append(b"".join(ids[::-1]))
-            start += len(word) + 1
+        """The ids of each word: all stretches go back from their ends at once and mark the places where their units end."""
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.append(0, stops[:-1] + 1)
+        taken, at, low = np.zeros(len(text) + 1, bool), stops, starts
+        while len(at):
+            taken[at] = True
+            at = at - self.pieces.lengths[ending[at]]
+            going = at > low
+            at, low = at[going], low[going]
+        ends = np.flatnonzero(taken)
+        units = ending[ends]
+        of = np.searchsorted(stops, ends)
+        many = self.n_ids[units]
+        spelled = np.flatnonzero(many != 1)  # characters that are no pieces
+        ids = self.first_id[units]
+        if len(spelled):
+            codes = [[self.pieces.byte_ids[b] for b in text[k - 1].encode()] for k in ends[spelled].tolist()]
+            many[spelled] = [*map(len, codes)]
+            ids = np.repeat(ids, many)
+            at = np.cumsum(many) - many
+            for k, some in zip(at[spelled].tolist(), codes):
+                ids[k : k + len(some)] = some
+        sizes = 4 * np.cumsum(np.bincount(of, many, len(words)).astype(np.int64))
+        raw, out, at = ids.astype("<i4").tobytes(), [], 0
+        for stop in sizes.tolist():
+            out.append(raw[at:stop])
+            at = stop
         return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > MEMO_WORDS:
+        if len(self.young) + len(words) > self.memo:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         words = [w for w in words if w not in young]
