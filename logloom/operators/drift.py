@@ -1,11 +1,11 @@
 """Drift: reworded terms, chunks in time, unknown share, chunk metrics, and penalties against a control."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import metrics
-from .ranking import with_rank
+from .ranking import Scan, with_rank
 
 
 def drift_map(vocab: DataFrame, share: DataFrame, k: int, suffix: str = " status=ok") -> DataFrame:
@@ -44,9 +44,9 @@ def chunk_metrics(scores: DataFrame, threshold: float) -> DataFrame:
     n = F.col("fp") + F.col("tn")
     rated = base.withColumns({"fpr": F.when(n > 0, F.col("fp") / n).otherwise(0.0), "alert_rate": (F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))})
     grouped = scores.groupBy("chunk", "s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("all")).withColumn("neg", F.col("all") - F.col("pos"))
-    below = Window.partitionBy("chunk").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    area = grouped.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0))).groupBy("chunk").agg(
-        F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).otherwise(float("nan")).alias("roc_auc"))
+    ranked = Scan(grouped, ["chunk"], ["s"]).running(_upto=("sum", "neg")).done()
+    area = ranked.groupBy("chunk").agg(
+        F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum(F.col("pos") * (F.col("_upto") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).otherwise(float("nan")).alias("roc_auc"))
     return rated.join(area, "chunk")
 
 

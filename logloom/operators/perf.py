@@ -1,12 +1,12 @@
 """Latency and throughput tables over run records."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import cut
 from . import metrics
-from .ranking import quantiles
+from .ranking import Scan, quantiles
 
 STAGES = ("producer_to_broker", "broker_to_consumer", "engine_update", "scoring", "alert_publish", "total")
 
@@ -54,29 +54,24 @@ def upper_median_saturation(rows: DataFrame, by: list[str]) -> DataFrame:
 def held_over(samples: DataFrame, threshold: float, hold_s: float, cooldown_s: float = 10.0, most: int = 4, start: int = 1) -> DataFrame:
     """(run, t): when a backlog above the threshold has lasted ``hold_s``, at most once a cooldown and up to ``most`` workers.
 
-    A run's samples are its seconds; what depends on earlier decisions is taken one after the other inside the run.
+    Every further worker takes one aggregation, the first held second after the last decision's cooldown.
     """
-    order = Window.partitionBy("run").orderBy("t")
-    over = samples.withColumn("over", F.col("lag") > threshold)
-    island = F.sum((~F.col("over")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    timed = over.withColumn("island", island).filter("over").withColumn("since", F.min("t").over(Window.partitionBy("run", "island")))
-    held = timed.filter(F.col("t") - F.col("since") >= hold_s).select("run", "t")
-
-    def decide(df: pd.DataFrame) -> pd.DataFrame:
-        out, last, workers = [], float("-inf"), start
-        for t in sorted(df.t):
-            if workers < most and t - last >= cooldown_s:
-                out.append(t)
-                last, workers = t, workers + 1
-        return pd.DataFrame({"run": df.run.iloc[0], "t": out})
-
-    return held.groupBy("run").applyInPandas(decide, "run string, t double")
+    steps = Scan(samples.select("run", "t", (F.col("lag") > threshold).alias("_over")), ["run"], ["t"]).lag(_was="_over")
+    steps.derive(_since=F.when(F.col("_over") & ~F.coalesce("_was", F.lit(False)), F.col("t"))).running(_since=("max", "_since"))
+    held = cut(steps.done().filter(F.col("_over") & (F.col("t") - F.col("_since") >= hold_s)).select("run", "t"))
+    taken = []
+    for _ in range(most - start):
+        left = held if not taken else held.join(taken[-1].select("run", F.col("t").alias("_last")), "run").filter(F.col("t") - F.col("_last") >= cooldown_s)
+        taken.append(cut(left.groupBy("run").agg(F.min("t").alias("t"))))
+    out = held.limit(0)
+    for one in taken:
+        out = out.unionByName(one)
+    return out.select("run", F.col("t").cast("double").alias("t"))
 
 
 def recovery_seconds(series: DataFrame, spike_end: str = "spike_end", base: str = "base_lag") -> DataFrame:
     """(run, recovery_s): from the spike's end to the first second from which no backlog exceeds max(1000, base)."""
-    later = F.max("lag").over(Window.partitionBy("run").orderBy("t").rowsBetween(0, Window.unboundedFollowing))
-    rows = series.filter(F.col("t") >= F.col(spike_end)).withColumn("_later", later)
+    rows = Scan(series.filter(F.col("t") >= F.col(spike_end)), ["run"], ["t"]).later(_later=("max", "lag")).done()
     return rows.filter(F.col("_later") <= F.greatest(F.lit(1000.0), F.col(base))).groupBy("run").agg(F.min(F.col("t") - F.col(spike_end)).alias("recovery_s"))
 
 
@@ -104,17 +99,21 @@ def pooled_latency(alerts: DataFrame, by: list[str]) -> DataFrame:
 
 def aligned_curve(series: DataFrame, runs: int) -> DataFrame:
     """(offset, median, min, max, n) of the backlog at seconds since each run's start, where max(2, runs // 2) runs have one."""
-    start = F.min("second").over(Window.partitionBy("run"))
-    rows = series.withColumn("offset", F.col("second") - start)
+    starts = series.groupBy("run").agg(F.min("second").alias("_start"))
+    rows = series.join(starts, "run").withColumn("offset", F.col("second") - F.col("_start"))
     return metrics.cell_stats(rows, ["offset"], "lag").filter(F.col("n") >= max(2, runs // 2))
 
 
 def excursions(alerts: DataFrame, slow_ms: float = 300.0, gap_s: float = 1.0) -> DataFrame:
-    """(run, nth, low, high, until, n, max_ms): slow alerts (run, t, ms) in clusters of at most ``gap_s`` between them."""
-    order = Window.partitionBy("run").orderBy("t")
-    slow = alerts.filter(F.col("ms") >= slow_ms).withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(order) > gap_s).cast("int"), F.lit(1)))
-    marked = slow.withColumn("nth", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return marked.groupBy("run", "nth").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max(F.col("t") + F.col("ms") / 1000).alias("until"), F.count("*").alias("n"), F.max("ms").alias("max_ms"))
+    """(run, nth, low, high, until, n, max_ms): slow alerts (run, t, ms) in clusters of at most ``gap_s`` between them.
+
+    With stages (see ``STAGES``) in columns of those names, also the mean of each over the cluster's alerts, as <stage>_mean.
+    """
+    steps = Scan(alerts.filter(F.col("ms") >= slow_ms), ["run"], ["t"]).lag(_before="t")
+    steps.derive(_new=F.coalesce((F.col("t") - F.col("_before") > gap_s).cast("int"), F.lit(1))).running(nth=("sum", "_new"))
+    means = [F.avg(c).alias(f"{c}_mean") for c in STAGES if c in alerts.columns]
+    marked = steps.done().withColumn("nth", F.col("nth").cast("int"))
+    return marked.groupBy("run", "nth").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max(F.col("t") + F.col("ms") / 1000).alias("until"), F.count("*").alias("n"), F.max("ms").alias("max_ms"), *means)
 
 
 def interval_features(samples: DataFrame, pauses: DataFrame, spans: DataFrame) -> DataFrame:
@@ -186,9 +185,9 @@ def side_by_side(a: DataFrame, b: DataFrame, on: str = "rate") -> DataFrame:
 
 def counter_utilisation(samples: DataFrame) -> DataFrame:
     """``samples`` (run, core, t, busy, total) with util, busy over total since the core's last sample; 0 if no time has passed."""
-    order = Window.partitionBy("run", "core").orderBy("t")
-    busy, total = (F.col(c) - F.lag(c).over(order) for c in ("busy", "total"))
-    return samples.withColumn("util", F.when(total.isNull(), F.lit(None)).when(total > 0, busy / total).otherwise(0.0))
+    rows = Scan(samples, ["run", "core"], ["t"]).lag(_busy="busy", _total="total").done()
+    busy, total = F.col("busy") - F.col("_busy"), F.col("total") - F.col("_total")
+    return rows.withColumn("util", F.when(total.isNull(), F.lit(None)).when(total > 0, busy / total).otherwise(0.0)).drop("_busy", "_total")
 
 
 def plan_segments(rate: float, seconds: float, spike: float | None = None) -> list[tuple[str, int]]:

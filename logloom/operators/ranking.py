@@ -1,8 +1,8 @@
 """Global ranks and running sums without putting all rows in one task."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -67,3 +67,73 @@ def quantiles(df: DataFrame, by: list[str], value: str, points: Sequence[float],
         place, low, high = F.lit(float(p)) * (F.col("n") - 1), F.col(f"_q{2 * i}").cast("double"), F.col(f"_q{2 * i + 1}").cast("double")
         q.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
     return ends.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", "low", "high", F.array(*q).alias("q"), F.array(*[F.col(f"_q{2 * i + 1}") for i in range(len(points))]).alias("above"))
+
+
+class Scan:
+    """Windows over groups of any size: rows are range-partitioned once by group and order, and a group may lie in many tasks.
+
+    Each method adds columns. A task works on its own rows of a group, and one row for each task and group carries what the
+    others must know: the last row, or the sum, least or greatest value of the tasks before it or behind it. Rows of equal order
+    are in one task and count as one another's peers; ``lag`` takes them in any order. Null groups are groups like others.
+    """
+
+    FUNCTIONS = {"sum": F.sum, "min": F.min, "max": F.max}
+
+    def __init__(self, df: DataFrame, by: list[str], order: list[str], parts: int | None = None):
+        self.by, self.order = by, order
+        parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Written, as a second run of the sampling behind a range partitioning could draw other borders.
+        self.rows = cut(df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+
+    def _carry(self, carried: dict[str, Column], over: dict[str, Callable[[Column, WindowSpec], Column]]) -> DataFrame:
+        """The rows with ``carried``, aggregates of each task's part of a group, as ``over`` takes them from the group's other parts."""
+        keys = [f"_by{k}" for k in range(len(self.by))]
+        own = self.rows.groupBy(F.col("_part").alias("_at"), *[F.col(c).alias(k) for c, k in zip(self.by, keys)]).agg(*[c.alias(n) for n, c in carried.items()])
+        group = Window.partitionBy(*keys).orderBy("_at")  # a row for each task and group
+        moved = own.select("_at", *keys, *[f(F.col(n), group).alias(n) for n, f in over.items()])
+        same = F.col("_part") == F.col("_at")
+        for c, k in zip(self.by, keys):
+            same = same & F.col(c).eqNullSafe(F.col(k))
+        return self.rows.join(moved, same).drop("_at", *keys)
+
+    def _local(self) -> WindowSpec:
+        return Window.partitionBy("_part", *self.by).orderBy(*self.order)
+
+    def lag(self, **new: str) -> "Scan":
+        """``new`` columns with the value of the row before it in its group, null in the first."""
+        names = {f"_end_{n}": c for n, c in new.items()}
+        last = F.struct(*self.order)
+        joined = self._carry({n: F.max_by(F.struct(c), last) for n, c in names.items()}, {n: lambda c, w: F.lag(c).over(w) for n in names})
+        first = F.row_number().over(self._local()) == 1
+        self.rows = joined.withColumns({n: F.when(first, F.col(f"_end_{n}")[c]).otherwise(F.lag(c).over(self._local())) for n, c in new.items()}).drop(*names)
+        return self
+
+    def _accumulated(self, forward: bool, new: dict[str, tuple[str, str]]) -> "Scan":
+        names = {f"_rest_{n}": f for n, f in new.items()}
+        here = self._local().rangeBetween(*((Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)))
+        rest = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
+        joined = self._carry({n: self.FUNCTIONS[f](c) for n, (f, c) in names.items()}, {n: lambda c, w, f=f: self.FUNCTIONS[f](c).over(w.rowsBetween(*rest)) for n, (f, _) in names.items()})
+
+        def both(name: str, how: str, col: str) -> Column:
+            own, other = self.FUNCTIONS[how](col).over(here), F.col(f"_rest_{name}")
+            if how == "sum":
+                return F.when(own.isNull(), other).otherwise(own + F.coalesce(other, F.lit(0)))
+            return (F.least if how == "min" else F.greatest)(own, other)
+
+        self.rows = joined.withColumns({n: both(n, *f) for n, f in new.items()}).drop(*names)
+        return self
+
+    def running(self, **new: tuple[str, str]) -> "Scan":
+        """``new`` columns with (function, column) over a row, its peers and all before them; functions are sum, min and max."""
+        return self._accumulated(True, new)
+
+    def later(self, **new: tuple[str, str]) -> "Scan":
+        """``new`` columns with (function, column) over a row, its peers and all behind them."""
+        return self._accumulated(False, new)
+
+    def derive(self, **new: Column) -> "Scan":
+        self.rows = self.rows.withColumns(new)
+        return self
+
+    def done(self) -> DataFrame:
+        return self.rows.drop("_part")

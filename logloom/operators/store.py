@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranking import quantiles
 
 # The moves that an alert's status may make.
 MOVES = {"open": ["acknowledged", "resolved", "false_positive"], "acknowledged": ["open", "resolved", "false_positive"], "resolved": ["open"], "false_positive": ["open"]}
@@ -59,9 +60,7 @@ def change_status(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by`` and upper_median: the value at index n // 2 of the sorted ones, nulls left out."""
-    some = rows.filter(F.col(value).isNotNull())
-    ranked = some.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    return ranked.filter(F.col("_rn") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col(value).alias("upper_median"))
+    return quantiles(rows.filter(F.col(value).isNotNull()), by, value, [0.5]).select(*by, F.col("above")[0].alias("upper_median"))
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

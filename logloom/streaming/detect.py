@@ -7,6 +7,11 @@ watermark has passed its first time by more than ``age_s``, if the score of its
 new lines is woken for the second by a timer. An earlier first time in a later batch moves the due time, but does not take
 early lines back. Lines count however late they are, within ``lateness`` of the watermark; a line without a time counts as
 one at the session's last time.
+
+State is a map of a session's columns, of which a batch writes those that it changes, and a few values. A session that has alerted
+gives its columns up and keeps the values, so that it does not alert again. All of it ends when the watermark has passed the session's last
+time by ``keep_s`` (a session without any time: by the watermark when it was first seen); a line of its key that comes after that begins another session.
+So the state holds live sessions alone, however long the stream runs. It is kept in RocksDB, not in the executors' heaps.
 """
 
 from collections.abc import Iterator
@@ -17,15 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scalars as S
 from ..operators import ranking
 from ..session import cut
 
 ALERT = "session_key string, kind string, score double, n_lines long, evidence_s long, threshold double, sent_ns long"
-#: lines: rows of (column, lines, early lines) as 32-bit integers.
-STATE = "lines binary, first long, last long, sent_ns long, alerted boolean, looked boolean"
+#: The values of a session besides its map of columns; ``timer``: whether the timer of its end is set.
+KNOWN = "first long, last long, sent_ns long, alerted boolean, looked boolean, timer boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass
@@ -67,7 +73,7 @@ def scorer(model) -> Scorer:
 
 @dataclass
 class Session:
-    """What is known of a session; the fields are those of ``STATE``."""
+    """What is known of a session; lines by column are (in all, early)."""
 
     lines: dict[int, tuple[int, int]] = field(default_factory=dict)
     first: int | None = None
@@ -76,25 +82,17 @@ class Session:
     alerted: bool = False
     looked: bool = False
 
-    @staticmethod
-    def read(state: tuple) -> "Session":
-        table = np.frombuffer(state[0], "<i4").reshape(-1, 3).tolist()
-        return Session({col: (n, early) for col, n, early in table}, *state[1:])
-
-    def stored(self) -> tuple:
-        table = np.array([(col, *n) for col, n in self.lines.items()], "<i4")
-        return table.tobytes(), self.first, self.last, self.sent_ns, self.alerted, self.looked
-
-    def add(self, cols: np.ndarray, times: np.ndarray, sent: np.ndarray, age_s: int | None) -> None:
-        """The lines of a batch: whole columns, times with NaN where a line has none."""
+    def add(self, cols: np.ndarray, times: np.ndarray, sent: np.ndarray, age_s: int | None, many: np.ndarray | None = None) -> None:
+        """The lines of a batch: whole columns, times with NaN where a line has none, and how often each row stands."""
         timed = times[~np.isnan(times)]
         if len(timed):
             low, high = int(timed.min()), int(timed.max())
             self.first, self.last = (low, high) if self.first is None else (min(self.first, low), max(self.last, high))
         ages = np.where(np.isnan(times), (self.last or 0) - (self.first or 0), times - (self.first or 0))
-        early = np.zeros(len(cols), bool) if age_s is None else ages <= age_s
+        many = np.ones(len(cols), np.int64) if many is None else many
+        early = many * (np.zeros(len(cols), bool) if age_s is None else ages <= age_s)
         names, at = np.unique(cols, return_inverse=True)
-        for col, n, m in zip(names.tolist(), np.bincount(at).tolist(), np.bincount(at, early).astype(int).tolist()):
+        for col, n, m in zip(names.tolist(), np.bincount(at, many).astype(int).tolist(), np.bincount(at, early).astype(int).tolist()):
             had = self.lines.get(col, (0, 0))
             self.lines[col] = had[0] + n, had[1] + m
         sent = sent[~np.isnan(sent)]
@@ -126,28 +124,103 @@ def event_time(lines: DataFrame) -> DataFrame:
     return lines.withColumn("log_t", S.log_time(F.col("line"))).withColumn("event_time", F.timestamp_seconds("log_t"))
 
 
-def detect(events: DataFrame, model: Scorer, min_lines: int = 10, lateness: str = "2 hours") -> DataFrame:
-    """Alerts of a stream of (key, col, log_t, event_time), with sent_ns if the events have it; append mode."""
-    shared = events.sparkSession.sparkContext.broadcast(model)
+def _summed(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns, times, times of sending and numbers of the distinct rows of ``frames``, added up frame by frame."""
+    held = np.zeros((0, 4))
+    for df in frames:
+        rows = np.column_stack([df[c].to_numpy(float, na_value=np.nan) for c in ("col", "log_t", "sent_ns")] + [np.ones(len(df))])
+        held = np.concatenate([held, rows])
+        # A session's last time of sending is all that is needed of them, so rows differ by column and time alone.
+        order = np.lexsort((held[:, 1], held[:, 0]))
+        held = held[order]
+        same = (held[1:, 0] == held[:-1, 0]) & ((held[1:, 1] == held[:-1, 1]) | np.isnan(held[1:, 1]) & np.isnan(held[:-1, 1]))
+        starts = np.flatnonzero(np.append(True, ~same))
+        held = np.column_stack([held[starts, 0], held[starts, 1], np.fmax.reduceat(held[:, 2], starts), np.add.reduceat(held[:, 3], starts)])
+    return held[:, 0].astype(int), held[:, 1], held[:, 2], held[:, 3].astype(np.int64)
+
+
+class Sessions(StatefulProcessor):
+    """The state of each session, its alert, its timer of age and its end."""
+
+    def __init__(self, model, min_lines: int, keep_s: int):
+        self.model, self.min_lines, self.keep_s = model, min_lines, keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lines = handle.getMapState("lines", "col int", "n long, early long")
+        self.known = handle.getValueState("known", KNOWN)
+
+    def _read(self) -> tuple[Session, bool]:
+        if not self.known.exists():
+            return Session(), False
+        *values, timer = self.known.get()
+        return Session({} if values[3] else {k[0]: (v[0], v[1]) for k, v in self.lines.iterator()}, *values), timer
+
+    def _after(self, key: tuple, session: Session, before: dict, had_timer: bool, now_ms: int) -> Iterator[pd.DataFrame]:
+        """Judges the session, stores what has changed and sets its timers."""
+        model = self.model.value
+        done = session.alerted
+        alert = session.judge(model, self.min_lines, now_ms)
+        if session.alerted:
+            if not done and before:
+                self.lines.clear()
+        else:
+            for col, n in session.lines.items():
+                if before.get(col) != n:
+                    self.lines.updateValue((col,), n)
+        end = self._end(session, now_ms)
+        if not had_timer:
+            self.handle.registerTimer(end)
+        due = session.due(model.age_s)
+        if due is not None and not session.alerted and due < end:
+            self.handle.registerTimer(due)
+        self.known.update((session.first, session.last, session.sent_ns, session.alerted, session.looked, True))
+        if alert:
+            rows = [(key[0], alert[0], alert[1], sum(n for n, _ in session.lines.values()), (session.last or 0) - (session.first or 0), alert[2], session.sent_ns)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALERT.split(", ")]).astype({"sent_ns": "Int64"})
+
+    def _end(self, session: Session, now_ms: int) -> int:
+        return (session.last + self.keep_s + 1) * 1000 if session.last is not None else now_ms + (self.keep_s + 1) * 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        session, timer = self._read()
+        before = dict(session.lines)
+        cols, times, sent, many = _summed(rows)
+        session.add(cols, times, sent, self.model.value.age_s, many)
+        yield from self._after(key, session, before, timer, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        session, _ = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        ended = session.last is None or self._end(session, now) <= now
+        # A timer of age comes with its own time; that of the end is set anew if the session has gone on.
+        if session.due(self.model.value.age_s) is not None or not ended:
+            yield from self._after(key, session, dict(session.lines), not self._is_end(expiredTimerInfo, session), now)
+        if ended:
+            self.lines.clear()
+            self.known.clear()
+
+    def _is_end(self, info, session: Session) -> bool:
+        """Whether the timer that has run out is not that of the session's age."""
+        due = session.due(self.model.value.age_s)
+        return due is None or info.getExpiryTimeInMs() != due
+
+    def close(self) -> None:
+        pass
+
+
+def detect(events: DataFrame, model: Scorer, min_lines: int = 10, lateness: str = "2 hours", keep_s: int = 86_400) -> DataFrame:
+    """Alerts of a stream of (key, col, log_t, event_time), with sent_ns if the events have it; append mode.
+
+    The session's state store is set to RocksDB, which this operator needs.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    shared = spark.sparkContext.broadcast(model)
     if "sent_ns" not in events.columns:
         events = events.withColumn("sent_ns", F.lit(None).cast("long"))
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = Session.read(state.get) if state.exists else Session()
-        parts = [] if state.hasTimedOut else [df[["col", "log_t", "sent_ns"]] for df in frames]
-        if parts:
-            rows = {c: np.concatenate([p[c].to_numpy(float, na_value=np.nan) for p in parts]) for c in parts[0]}
-            known.add(rows["col"].astype(int), rows["log_t"], rows["sent_ns"], shared.value.age_s)
-        alert = known.judge(shared.value, min_lines, state.getCurrentWatermarkMs())
-        state.update(known.stored())
-        due = known.due(shared.value.age_s)
-        if due is not None:
-            state.setTimeoutTimestamp(due)
-        rows = [(key[0], alert[0], alert[1], sum(n for n, _ in known.lines.values()), (known.last or 0) - (known.first or 0), alert[2], known.sent_ns)] if alert else []
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALERT.split(", ")]).astype({"sent_ns": "Int64"})
-
     keyed = events.withWatermark("event_time", lateness).groupBy("key")
-    return keyed.applyInPandasWithState(update, ALERT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.transformWithStateInPandas(Sessions(shared, min_lines, keep_s), ALERT, "append", "eventTime")
 
 
 def payload(alerts: DataFrame, run: str, model: str) -> DataFrame:

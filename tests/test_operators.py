@@ -73,6 +73,34 @@ def test_quantiles_of_groups_and_of_all_rows(spark):
     assert [(r.n, r.q) for r in none] == [(0, [None])] and ranking.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_scan_equals_windows_over_whole_groups(spark, parts):
+    """A group with most rows, small ones, one without a name; ties, nulls among values; and no window over a whole group."""
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), rng.choice(["x", None]), rng.randrange(60), rng.choice([None, 1, 2, -3]), k) for k in range(400)] + [("c", "x", 5, None, 400)]
+    df = spark.createDataFrame(rows, "g string, h string, t int, v int, k int").repartition(3)
+    scan = ranking.Scan(df, ["g", "h"], ["t"], parts=parts).running(total=("sum", "v"), low=("min", "v")).later(rest=("sum", "v"), high=("max", "v"))
+    got = {r.k: (r.total, r.low, r.rest, r.high) for r in scan.done().collect()}
+    for g, h, t, _, k in rows:
+        mine = [r for r in rows if r[:2] == (g, h) and r[3] is not None]
+        upto, after = [r[3] for r in mine if r[2] <= t], [r[3] for r in mine if r[2] >= t]
+        assert got[k] == (sum(upto) if upto else None, min(upto, default=None), sum(after) if after else None, max(after, default=None)), (g, h, t)
+    lags = ranking.Scan(df, ["g", "h"], ["t", "k"], parts=parts).lag(before="v", at="k").done()
+    order = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[4])):
+        order.setdefault(r[:2], []).append(r)
+    want = {r[4]: (p[3], p[4]) if p else (None, None) for g in order.values() for p, r in zip([None, *g], g)}
+    assert {r.k: (r.before, r.at) for r in lags.collect()} == want
+    for done in (scan.done(), lags):
+        for line in done._jdf.queryExecution().analyzed().toString().split("\n"):
+            assert "windowspecdefinition(g#" not in line
+
+
+def test_no_rows_to_scan(spark):
+    df = spark.createDataFrame([], "g string, t int, v int")
+    assert ranking.Scan(df, ["g"], ["t"]).lag(a="v").running(b=("sum", "v")).later(c=("max", "v")).done().count() == 0
+
+
 def test_sessions_share_lines(spark):
     lines = spark.createDataFrame([(0, "a blk_1"), (1, "b blk_1 blk_2"), (2, "c blk_9"), (3, "d blk_2 blk_2"), (4, "e blk_1")], "line_id long, line string")
     labels = spark.createDataFrame([("blk_1", 1), ("blk_2", 0)], "session_id string, label int")
@@ -269,6 +297,25 @@ def test_excursions_and_recovery(spark):
     assert perf.recovery_seconds(series).first().recovery_s == 3
 
 
+def test_stage_means_of_excursions(spark):
+    rows = [("r", 1.0, 400.0, 10.0), ("r", 1.5, 500.0, 20.0), ("r", 1.7, 100.0, 999.0), ("r", 9.0, 301.0, None), ("s", 1.2, 300.0, 7.0)]
+    out = perf.excursions(spark.createDataFrame(rows, "run string, t double, ms double, scoring double")).collect()
+    assert sorted((r.run, r.nth, r.low, r.high, r.n, r.max_ms, r.scoring_mean) for r in out) == [("r", 1, 1.0, 1.5, 2, 500.0, 15.0), ("r", 2, 9.0, 9.0, 1, 301.0, None), ("s", 1, 1.2, 1.2, 1, 300.0, 7.0)]
+
+
+def test_utilisation_between_samples(spark):
+    rows = [("r", 0, 1, 10.0, 100.0), ("r", 0, 2, 30.0, 150.0), ("r", 0, 3, 30.0, 150.0), ("r", 1, 1, 0.0, 0.0), ("r", 1, 5, 8.0, 16.0)]
+    out = perf.counter_utilisation(spark.createDataFrame(rows, "run string, core int, t int, busy double, total double")).collect()
+    assert sorted((r.core, r.t, r.util) for r in out if r.util is not None) == [(0, 2, 0.4), (0, 3, 0.0), (1, 5, 0.5)]
+    assert sorted((r.core, r.t) for r in out if r.util is None) == [(0, 1), (1, 1)]
+
+
+def test_upper_median(spark):
+    rows = [("a", v) for v in (5, 1, 3, 9)] + [("b", 7), ("b", None), (None, 2), (None, 4)]
+    got = store.upper_median(spark.createDataFrame(rows, "run string, v int"), ["run"], "v")
+    assert {r.run: r.upper_median for r in got.collect()} == {"a": 5, "b": 7, None: 4}
+
+
 def test_tolerant_decode(spark):
     values = ['{"id": "a", "score": 1.5}', '{"id": "b", "score": "2"}', '{"score": 1}', '{"id": "c", "score": "x"}', "[1]", "oops"]
     good, bad = logs.decode_alerts(spark.createDataFrame([(v,) for v in values], "value string"))
