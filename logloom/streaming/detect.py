@@ -10,23 +10,27 @@ one at the session's last time.
 
 State is a map of a session's columns, of which a batch writes those that it changes, and a few values. A session that has alerted
 gives its columns up and keeps the values, so that it does not alert again. All of it ends when the watermark has passed the session's last
-time by ``keep_s`` (a session without any time: by the watermark when it was first seen); a line of its key that comes after that begins another session.
+time by ``keep_s`` (a session without any time: by the watermark when it was first seen); lines of its key that come or are dated after that begin another session.
 So the state holds live sessions alone, however long the stream runs. It is kept in RocksDB, not in the executors' heaps.
 """
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scalars as S
 from ..operators import ranking
-from ..session import cut
+from ..session import cut, shared_path
 
 ALERT = "session_key string, kind string, score double, n_lines long, evidence_s long, threshold double, sent_ns long"
 #: The values of a session besides its map of columns; ``timer``: whether the timer of its end is set.
@@ -139,17 +143,41 @@ def _summed(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.
     return held[:, 0].astype(int), held[:, 1], held[:, 2], held[:, 3].astype(np.int64)
 
 
+def ship(spark: SparkSession, model: Scorer) -> str:
+    """Writes the model into the shared folder and has Spark fetch it to every executor; the name that ``_shipped`` takes.
+
+    A broadcast does not do: Spark's driver asks the processor for its state's schema in a Python process that has none.
+    """
+    path = f"{shared_path(spark)}/scorer-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    out.write(pickle.dumps(model))
+    out.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+@lru_cache(maxsize=2)
+def _shipped(name: str) -> Scorer:
+    with open(SparkFiles.get(name), "rb") as f:
+        return pickle.load(f)
+
+
 class Sessions(StatefulProcessor):
     """The state of each session, its alert, its timer of age and its end."""
 
-    def __init__(self, model, min_lines: int, keep_s: int):
-        self.model, self.min_lines, self.keep_s = model, min_lines, keep_s
+    def __init__(self, name: str, min_lines: int, keep_s: int):
+        self.name, self.min_lines, self.keep_s = name, min_lines, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.lines = handle.getMapState("lines", "col int", "n long, early long")
         self.known = handle.getValueState("known", KNOWN)
 
+    def model(self) -> Scorer:
+        return _shipped(self.name)
+
     def _read(self) -> tuple[Session, bool]:
         if not self.known.exists():
             return Session(), False
@@ -158,8 +186,7 @@ class Sessions(StatefulProcessor):
 
     def _after(self, key: tuple, session: Session, before: dict, had_timer: bool, now_ms: int) -> Iterator[pd.DataFrame]:
         """Judges the session, stores what has changed and sets its timers."""
-        model = self.model.value
-        done = session.alerted
+        model, done = self.model(), session.alerted
         alert = session.judge(model, self.min_lines, now_ms)
         if session.alerted:
             if not done and before:
@@ -184,9 +211,12 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         session, timer = self._read()
-        before = dict(session.lines)
         cols, times, sent, many = _summed(rows)
-        session.add(cols, times, sent, self.model.value.age_s, many)
+        if session.last is not None and np.nanmin(np.append(times, np.inf)) > session.last + self.keep_s:  # it had ended before these lines
+            session = Session()
+            self.lines.clear()
+        before = dict(session.lines)
+        session.add(cols, times, sent, self.model().age_s, many)
         yield from self._after(key, session, before, timer, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
@@ -194,7 +224,7 @@ class Sessions(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         ended = session.last is None or self._end(session, now) <= now
         # A timer of age comes with its own time; that of the end is set anew if the session has gone on.
-        if session.due(self.model.value.age_s) is not None or not ended:
+        if session.due(self.model().age_s) is not None or not ended:
             yield from self._after(key, session, dict(session.lines), not self._is_end(expiredTimerInfo, session), now)
         if ended:
             self.lines.clear()
@@ -202,7 +232,7 @@ class Sessions(StatefulProcessor):
 
     def _is_end(self, info, session: Session) -> bool:
         """Whether the timer that has run out is not that of the session's age."""
-        due = session.due(self.model.value.age_s)
+        due = session.due(self.model().age_s)
         return due is None or info.getExpiryTimeInMs() != due
 
     def close(self) -> None:
@@ -216,11 +246,10 @@ def detect(events: DataFrame, model: Scorer, min_lines: int = 10, lateness: str
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    shared = spark.sparkContext.broadcast(model)
     if "sent_ns" not in events.columns:
         events = events.withColumn("sent_ns", F.lit(None).cast("long"))
     keyed = events.withWatermark("event_time", lateness).groupBy("key")
-    return keyed.transformWithStateInPandas(Sessions(shared, min_lines, keep_s), ALERT, "append", "eventTime")
+    return keyed.transformWithStateInPandas(Sessions(ship(spark, model), min_lines, keep_s), ALERT, "append", "eventTime")
 
 
 def payload(alerts: DataFrame, run: str, model: str) -> DataFrame:

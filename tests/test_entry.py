@@ -46,6 +46,34 @@ def test_stream_alerts_once_and_as_in_batch(spark):
         assert got == {("odd", "incremental"), ("short", "deadline")}
 
 
+def test_state_ends_with_its_sessions(spark, tmp_path):
+    """Three waves of sessions: the state holds the last ones alone, an ended key begins anew, an alerted one stays silent until then."""
+    model = detectors.PCADetector()
+    model.columns, model.mean = {1: 0, 2: 1}, __import__("numpy").array([1.0, 0.0])
+    model.loadings = __import__("numpy").array([[1.0, 0.0]])
+    scorer = detect.Scorer({1: 1.0, 2: 1.0}, model, threshold=0.5, age_s=10, snap_threshold=0.3)
+    waves = []
+    for wave in range(3):
+        t0 = 1000 + 5000 * wave
+        rows = [(f"good{wave}-{k}", 1, t0 + j) for k in range(20) for j in range(4)]
+        rows += [("odd", 2, t0 + j) for j in range(6)] + [("odd", 2, t0 + 400)]  # alerts once a wave
+        waves.append(rows + [(f"clock{wave}", 1, t0 + 500)])
+    schema = "key string, col int, log_t long, event_time timestamp"
+    path, state = str(tmp_path / "in"), []
+    spark.createDataFrame([], schema).write.parquet(path)
+    found = detect.detect(spark.readStream.schema(schema).parquet(path), scorer, 5, "1 second", keep_s=1000)
+    for rows in waves:
+        df = spark.createDataFrame(rows, "key string, col int, log_t long").withColumn("event_time", F.timestamp_seconds("log_t"))
+        df.repartition(2).write.mode("append").parquet(path)
+        query = detect.start(found, str(tmp_path / "state"), once=True, path=str(tmp_path / "out"))
+        query.awaitTermination()
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    alerts = spark.read.parquet(str(tmp_path / "out")).filter("session_key = 'odd'").collect()
+    assert [(r.kind, r.n_lines) for r in alerts] == [("incremental", 7)] * 3
+    assert {r.session_key for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"odd"}
+    assert state[1] <= state[0] + 2 and state[2] <= state[0] + 2  # it does not grow with the waves
+
+
 def test_session_is_the_same_in_any_order_of_rows():
     import numpy as np
 
