@@ -145,6 +145,15 @@ def compare_windows(normal: DataFrame, slow: DataFrame, features: list[str]) ->
     return a.join(b, "feature", "full")
 
 
+def overlap_shares(normal: DataFrame, slow: DataFrame, pause: str = "pause_max") -> DataFrame:
+    """(slow, slow_paused, slow_share, normal, normal_paused, normal_share): windows of either sort that overlap a pause; one row, null shares of none."""
+    def share(rows: DataFrame, name: str) -> DataFrame:
+        n, hit = F.count("*"), F.coalesce(F.sum((F.col(pause) > 0).cast("long")), F.lit(0))
+        return rows.agg(n.alias(name), hit.alias(f"{name}_paused"), F.when(n > 0, hit / n).alias(f"{name}_share"))
+
+    return share(slow, "slow").crossJoin(share(normal, "normal"))
+
+
 def good_runs(runs: DataFrame, excluded: DataFrame) -> DataFrame:
     """Complete and warm runs that are not excluded."""
     return runs.filter(F.col("complete") & ~F.col("cold")).join(excluded, "run", "left_anti")

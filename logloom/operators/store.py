@@ -1,5 +1,7 @@
 """The alert, metric and model store: inserts, lifecycle and queries on snapshots held as DataFrames."""
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,12 +139,27 @@ def promote(source: DataFrame, target: DataFrame, name: str, version: int, activ
     return out
 
 
-def update_run(runs: DataFrame, run: str, **changes: object) -> DataFrame:
-    """Set columns of one run; only these may change."""
-    allowed = {"status", "summary", "finished_ns", "params"}
-    if bad := set(changes) - allowed:
-        raise ValueError(f"no such run column to update: {sorted(bad)}")
-    return runs.withColumns({c: F.when(F.col("id") == run, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()})
+# Fixed value: what a caller may change of a run.
+RUN_COLUMNS = ("status", "summary", "model_id", "pid")
+
+
+def update_run(runs: DataFrame, run: str, now_ns: int, **changes: object) -> DataFrame:
+    """``runs`` with columns of one run set, and its updated_ns; only ``RUN_COLUMNS`` may change. A summary is kept as JSON."""
+    if bad := set(changes) - {*RUN_COLUMNS}:
+        raise KeyError(f"no such run column to update: {sorted(bad)}")
+    plain = {c: json.dumps(v) if c == "summary" and v is not None else v for c, v in changes.items()} | {"updated_ns": now_ns}
+    hit = F.col("id") == run
+    return runs.withColumns({c: F.when(hit, F.lit(v).cast(runs.schema[c].dataType)).otherwise(F.col(c)) for c, v in plain.items()})
+
+
+def list_runs(runs: DataFrame, kind: str | None = None) -> DataFrame:
+    """Runs, of one kind if given, the newest first; of equal times the greater id."""
+    return (runs if kind is None else runs.filter(F.col("kind") == kind)).orderBy(F.desc("created_ns"), F.desc("id"))
+
+
+def list_models(registry: DataFrame, dataset: str | None = None) -> DataFrame:
+    """Registered models, of one dataset if given, by name and version."""
+    return (registry if dataset is None else registry.filter(F.col("dataset") == dataset)).orderBy("name", "version")
 
 
 def to_delete(rows: DataFrame, keep_newest: int | None = None, older_than_ns: int | None = None, ids: list | None = None, protected: Column | None = None, created: str = "created_ns") -> DataFrame:

@@ -1,126 +1,164 @@
-"""Message templates after He et al., Drain, 2017: greedy clusters of terms with equal length and first token."""
+"""Message templates after He et al., Drain, 2017: greedy clusters of terms with equal length and first tokens.
+
+A leaf of the tree is a length and the first ``depth`` - 3 tokens, those with digits being wild. Leaves are independent of each
+other, so Spark deals them out; inside a leaf terms come one after the other, the most frequent first, and the task holds no more than the
+leaf's templates. A greater depth splits hot leaves. Other than in the paper a node has children without bound.
+"""
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranking import with_rank
 
 WILD = "<*>"
-#: Terms of a leaf that one task clusters; larger leaves are dealt over parts.
-LEAF = 5000
+#: Bytes of templates up to which all tasks get a trie of them; beyond, terms and templates are joined by leaf.
+TRIE_BYTES = 16_000_000
 
 
-def _keys(term: Column) -> dict[str, Column]:
+def _keys(term: Column, depth: int) -> dict[str, Column]:
     tokens = F.split(F.trim(term), r"\s+")
-    head = F.element_at(tokens, 1)
-    return {"tokens": tokens, "n_tokens": F.size(tokens), "head": F.when(head.rlike(r"\d"), WILD).otherwise(head)}
+    first = F.transform(F.slice(tokens, 1, depth - 3), lambda t: F.when(t.rlike(r"\d"), WILD).otherwise(t))
+    return {"tokens": tokens, "n_tokens": F.size(tokens), "head": F.array_join(first, " ")}
+
 
+class Leaf:
+    """The templates of terms of one length, as rows of token numbers of which 0 is wild."""
 
-def _cluster(terms: list[list[str]], similarity: float) -> tuple[list[list[str]], list[int]]:
-    """The templates of terms of one length, in order, and the position of the term that opened each."""
-    codes: dict[str, int] = {WILD: 0}
-    opened: list[int] = []
-    found = np.zeros((4, len(terms[0])), np.int64)
-    for at, tokens in enumerate(terms):
-        row, n = np.array([codes.setdefault(t, len(codes)) for t in tokens]), len(opened)
+    def __init__(self, length: int, similarity: float):
+        self.similarity, self.n = similarity, 0
+        self.codes: dict[str, int] = {WILD: 0}
+        self.found = np.zeros((4, length), np.int64)
+
+    def add(self, tokens: list[str]) -> None:
+        """A term joins the most similar template, of equals the one with the most wild tokens and then the first; or it opens one."""
+        row, n = np.array([self.codes.setdefault(t, len(self.codes)) for t in tokens]), self.n
         if n:
-            wild = found[:n] == 0
-            equal = ((found[:n] == row) & ~wild).sum(axis=1)
+            wild = self.found[:n] == 0
+            equal = ((self.found[:n] == row) & ~wild).sum(axis=1)
             k = int((equal * (len(row) + 1) + wild.sum(axis=1)).argmax())
-            if equal[k] / len(row) >= similarity:
-                found[k][found[k] != row] = 0
-                continue
-        if n == len(found):
-            found = np.concatenate([found, np.zeros_like(found)])
-        found[n] = row
-        opened.append(at)
-    names = list(codes)
-    return [[names[c] for c in row] for row in found[: len(opened)].tolist()], opened
+            if equal[k] / len(row) >= self.similarity:
+                self.found[k][self.found[k] != row] = 0
+                return
+        if n == len(self.found):
+            self.found = np.concatenate([self.found, np.zeros_like(self.found)])
+        self.found[n] = row
+        self.n += 1
 
+    def templates(self) -> list[list[str]]:
+        names = list(self.codes)
+        return [[names[c] for c in row] for row in self.found[: self.n].tolist()]
 
-_LEAF_ROWS = "n_tokens int, head string, parts int, part int, freq long, term_id long, tokens array<string>"
 
+_TEMPLATES = "n_tokens int, head string, nth int, template array<string>"
 
-def _clustered(rows: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``_LEAF_ROWS`` that opened a cluster, with its template in the place of their tokens, part by part."""
-    names = [c.split()[0] for c in _LEAF_ROWS.split(", ")]
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+
+def fit_templates(freq: DataFrame, similarity: float = 0.4, depth: int = 4) -> DataFrame:
+    """(n_tokens, head, nth, template ARRAY<STRING>) from (term, term_id, freq), most frequent terms first, ties by id.
+
+    A term joins the most similar cluster of its leaf if the share of equal tokens reaches ``similarity``, else it opens one;
+    where tokens differ the template turns wild. ``depth`` is at least 3, which leaves leaves of all terms of a length.
+    """
+    rows = freq.filter("freq > 0").withColumns(_keys(F.col("term"), depth)).select("n_tokens", "head", F.col("freq").cast("long").alias("freq"), F.col("term_id").cast("long").alias("term_id"), "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        key, leaf = None, None
 
         def out() -> pa.RecordBatch:
-            found, opened = _cluster([r[6] for r in held], similarity)
-            rows = [(*held[k][:6], template) for k, template in zip(opened, found)]
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
-
-        for batch in batches:  # sorted by part
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                if held and row[:4] != held[0][:4]:
-                    yield out()
-                    held = []
-                held.append(row)
-        if held:
+            found = leaf.templates()
+            return pa.RecordBatch.from_pydict({"n_tokens": pa.array([key[0]] * len(found), pa.int32()), "head": pa.array([key[1]] * len(found), pa.string()), "nth": pa.array(range(len(found)), pa.int32()), "template": pa.array(found, pa.list_(pa.string()))})
+
+        for batch in batches:  # sorted by leaf, so that one is held at a time
+            for *here, tokens in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "head", "tokens"))):
+                if here != key:
+                    if leaf:
+                        yield out()
+                    key, leaf = here, Leaf(here[0], similarity)
+                leaf.add(tokens)
+        if leaf:
             yield out()
 
-    leaf = names[:4]
-    return rows.select(*names).repartition(*leaf).sortWithinPartitions(*leaf, F.desc("freq"), "term_id").mapInArrow(run, _LEAF_ROWS)
+    return rows.repartition("n_tokens", "head").sortWithinPartitions("n_tokens", "head", F.desc("freq"), "term_id").mapInArrow(run, _TEMPLATES)
 
 
-def fit_templates(freq: DataFrame, similarity: float = 0.4) -> DataFrame:
-    """(n_tokens, head, nth, template ARRAY<STRING>) from (term, term_id, freq), most frequent terms first, ties by id.
+class Trie:
+    """Templates by their leaf and token after token, a wild child beside the others."""
 
-    A term joins the most similar cluster of its leaf if the share of equal tokens reaches ``similarity``, else it opens one;
-    where tokens differ the template turns wild. Leaves are independent of each other, so Spark deals them out. Leaves of more
-    than ``LEAF`` terms are clustered in parts, by a hash of the terms' ids, and their templates once more by the same rule, in the
-    order of the terms that opened them. One greedy pass would do without the second step: it may put a term into another cluster.
-    """
-    rows = freq.filter("freq > 0").withColumns(_keys(F.col("term"))).select("n_tokens", "head", "tokens", F.col("freq").cast("long").alias("freq"), F.col("term_id").cast("long").alias("term_id"))
-    hot = rows.groupBy("n_tokens", "head").count().filter(F.col("count") > LEAF).select("n_tokens", "head", F.ceil(2 * F.col("count") / LEAF).cast("int").alias("parts"))
-    dealt = rows.join(hot, ["n_tokens", "head"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("term_id"), F.col("parts")).cast("int"))
-    parted = cut(_clustered(dealt, similarity))
-    merged = _clustered(parted.filter("parts > 1").withColumn("part", F.lit(0)), similarity)
-    order = Window.partitionBy("n_tokens", "head").orderBy(F.desc("freq"), "term_id")
-    nth = (F.row_number().over(order) - 1).alias("nth")
-    return parted.filter("parts = 1").unionByName(merged).select("n_tokens", "head", nth, F.col("tokens").alias("template"))
+    def __init__(self, rows: list[tuple[int, str, int, list[str]]]):
+        self.leaves: dict[tuple[int, str], dict] = {}
+        for n, head, nth, template in rows:
+            node = self.leaves.setdefault((n, head), {})
+            for token in template:
+                node = node.setdefault(token, {})
+            node[None] = min(nth, node.get(None, nth))
+
+    def match(self, head: str, tokens: list[str]) -> int | None:
+        """The nth of the matching template with the fewest wild tokens, of equals the first.
+
+        All ways through the trie are followed at once, token by token; each keeps how many wild tokens it has passed.
+        """
+        ways = [(self.leaves.get((len(tokens), head)), 0)]
+        if ways[0][0] is None:
+            return None
+        for token in tokens:
+            ways = [(node[t], wild + (t == WILD)) for node, wild in ways for t in {token, WILD} if t in node]
+        return min(((wild, node[None]) for node, wild in ways), default=(0, None))[1]
 
 
-def match_templates(terms: DataFrame, templates: DataFrame) -> DataFrame:
-    """``terms`` with n_tokens, head, nth: the matching template with the fewest wild tokens, or nulls.
+def match_templates(terms: DataFrame, templates: DataFrame, depth: int = 4, trie_bytes: int | None = None) -> DataFrame:
+    """``terms`` with n_tokens, head, nth: the matching template with the fewest wild tokens, of equals the first, or nulls.
 
-    A template matches if it equals the term token for token but where it is wild.
+    A template matches if it equals the term token for token but where it is wild. Templates of at most ``trie_bytes``
+    (``TRIE_BYTES``), which is measured first, go to all tasks as a trie; more are joined with the terms by leaf. Both give the same.
     """
-    rows = terms.withColumns(_keys(F.col("term"))).withColumnRenamed("head", "_head")
-    # A template's head may have turned wild, but it stays in the leaf of its first token.
+    limit = TRIE_BYTES if trie_bytes is None else trie_bytes
+    templates = templates.select("n_tokens", "head", "nth", "template")
+    size = templates.agg(F.coalesce(F.sum(F.length("head") + F.aggregate("template", F.lit(64), lambda n, t: n + F.length(t) + 8)), F.lit(0))).first()[0]
+    rows = terms.withColumns(_keys(F.col("term"), depth))
+    if size <= limit:
+        trie = terms.sparkSession.sparkContext.broadcast(Trie([tuple(r) for r in templates.collect()]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            match = trie.value.match
+            for batch in batches:
+                found = [None if t is None else match(h, t) for h, t in zip(batch.column("head").to_pylist(), batch.column("tokens").to_pylist())]
+                yield batch.drop_columns(["tokens"]).append_column("nth", pa.array(found, pa.int32()))
+
+        matched = rows.mapInArrow(run, rows.drop("tokens").withColumn("nth", F.lit(None).cast("int")).schema)
+        hit = F.col("nth").isNotNull()
+        return matched.withColumns({c: F.when(hit, F.col(c)) for c in ("n_tokens", "head")})
+    rows = rows.withColumnRenamed("head", "_head")
+    # A template's first tokens may have turned wild, but it stays in the leaf of its first term.
     both = rows.join(templates.withColumnsRenamed({"head": "_head", "n_tokens": "_n"}), ["_head"]).filter("n_tokens = _n")
     fits = both.filter(F.forall(F.arrays_zip("template", "tokens"), lambda x: (x["template"] == WILD) | (x["template"] == x["tokens"])))
     wild = F.size(F.filter("template", lambda t: t == WILD))
-    best = fits.withColumn("_rn", F.row_number().over(Window.partitionBy("term").orderBy(wild, "nth"))).filter("_rn = 1")
-    return terms.join(best.select("term", F.col("_n").alias("n_tokens"), F.col("_head").alias("head"), "nth"), "term", "left")
+    best = fits.groupBy("term").agg(F.min(F.struct(wild.alias("wild"), "nth", F.col("_n").alias("n_tokens"), F.col("_head").alias("head"))).alias("best"))
+    return terms.join(best.select("term", "best.n_tokens", "best.head", "best.nth"), "term", "left")
 
 
-def template_columns(freq: DataFrame, vocab: DataFrame, similarity: float = 0.4) -> tuple[DataFrame, DataFrame]:
+def template_columns(freq: DataFrame, vocab: DataFrame, similarity: float = 0.4, depth: int = 4, max_events: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((term, col from 1) of all vocabulary terms that match, templates with col): columns by train strings alone.
 
-    Templates that no train term ends up in have no column; their terms are unknown.
+    Templates that no train term ends up in have no column; their terms are unknown. With ``max_events`` only that many templates
+    have one, those of the most frequent terms.
     """
     seen = freq.join(vocab, "term")
-    templates = fit_templates(seen, similarity)
-    trained = match_templates(seen.filter("freq > 0"), templates).filter("nth is not null")
+    templates = cut(fit_templates(seen, similarity, depth))
+    trained = match_templates(seen.filter("freq > 0"), templates, depth).filter("nth is not null")
     firsts = trained.groupBy("n_tokens", "head", "nth").agg(F.max(F.struct("freq", -F.col("term_id"))).alias("_first"))
-    order = Window.orderBy(F.desc("_first"))  # a row per template
-    numbered = firsts.withColumn("col", F.row_number().over(order)).select("n_tokens", "head", "nth", "col")
-    named = templates.join(numbered, ["n_tokens", "head", "nth"])
-    columns = match_templates(vocab.select("term"), templates).join(numbered, ["n_tokens", "head", "nth"]).select("term", "col")
+    numbered = with_rank(firsts, F.desc("_first"), rank="_rank").select("n_tokens", "head", "nth", (F.col("_rank") + 1).cast("int").alias("col"))
+    numbered = cut(numbered if max_events is None else numbered.filter(F.col("col") <= max_events))
+    named = cut(templates.join(numbered, ["n_tokens", "head", "nth"]))
+    columns = match_templates(vocab.select("term"), templates, depth).join(numbered, ["n_tokens", "head", "nth"]).select("term", "col")
     return columns, named
 
 
-def serve_columns(terms: DataFrame, columns: DataFrame, named: DataFrame) -> DataFrame:
+def serve_columns(terms: DataFrame, columns: DataFrame, named: DataFrame, depth: int = 4) -> DataFrame:
     """(term, col): known terms by lookup, new ones by matching templates, the rest 0."""
     known = terms.join(columns, "term", "left")
-    new = match_templates(known.filter("col is null").select("term"), named.drop("col")).join(named.select("n_tokens", "head", "nth", "col"), ["n_tokens", "head", "nth"], "left")
+    new = match_templates(known.filter("col is null").select("term"), named, depth).join(named.select("n_tokens", "head", "nth", "col"), ["n_tokens", "head", "nth"], "left")
     return known.filter("col is not null").select("term", "col").union(new.select("term", F.coalesce("col", F.lit(0))))

@@ -32,13 +32,14 @@ class AnomalyModel:
     meta: dict = field(default_factory=dict)
     early: "EarlyCheck | None" = None
     weighting: str = "tfidf"
+    depth: int = 4  # of the tree of templates
 
     def counts(self, rows: DataFrame) -> DataFrame:
         """(session_id, col, cnt) of any rows, by the columns of the train strings."""
         counts = features.message_counts(rows, self.header_tokens)
         columns = self.columns
         if self.templates is not None:
-            columns = templates.serve_columns(counts.select("term").distinct(), self.columns, self.templates)
+            columns = templates.serve_columns(counts.select("term").distinct(), self.columns, self.templates, self.depth)
         return features.to_columns(counts, columns)
 
     def score_counts(self, counts: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ class AnomalyModel:
 
     def save(self, path: str) -> None:
         tables = {"columns": self.columns, "idf": self.idf}
-        spec = {"parser": self.parser, "header_tokens": self.header_tokens, "threshold": self.threshold, "meta": self.meta, "weighting": self.weighting, **_detector_spec(self.detector)}
+        spec = {"parser": self.parser, "header_tokens": self.header_tokens, "threshold": self.threshold, "meta": self.meta, "weighting": self.weighting, "depth": self.depth, **_detector_spec(self.detector)}
         if self.templates is not None:
             tables["templates"] = self.templates
         if self.early is not None:
@@ -69,7 +70,7 @@ class AnomalyModel:
         early = spec.get("early")
         check = early and EarlyCheck(early["age_s"], table("early_idf"), _read_detector(early), early["threshold"])
         templates = table("templates") if spec["parser"] == "drain" else None
-        return AnomalyModel(spec["parser"], spec["header_tokens"], table("columns"), templates, table("idf"), _read_detector(spec), spec["threshold"], spec["meta"], check or None, spec["weighting"])
+        return AnomalyModel(spec["parser"], spec["header_tokens"], table("columns"), templates, table("idf"), _read_detector(spec), spec["threshold"], spec["meta"], check or None, spec["weighting"], spec.get("depth", 4))
 
 
 def _detector_spec(detector: detectors.Detector) -> dict:
@@ -110,7 +111,7 @@ class EarlyCheck:
     threshold: float
 
 
-def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: str = "pca", rule: str = "percentile", header_tokens: int = 4, max_events: int = 5000, weighting: str = "tfidf", similarity: float = 0.4, **params: object) -> AnomalyModel:
+def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: str = "pca", rule: str = "percentile", header_tokens: int = 4, max_events: int = 5000, weighting: str = "tfidf", similarity: float = 0.4, depth: int = 4, **params: object) -> AnomalyModel:
     """Frequencies, columns, weights, detector and threshold, in this order; ``rule`` tuned reads the validation split."""
     normal = sessions.filter("split = 'train' AND label = 0")
     counts = cut(features.message_counts(rows, header_tokens))
@@ -118,8 +119,7 @@ def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: st
     freq = cut(features.train_frequency(counts, normal))
     named = None
     if parser == "drain":
-        columns, named = templates.template_columns(freq, vocab, similarity)
-        named = cut(named)
+        columns, named = templates.template_columns(freq, vocab, similarity, depth, max_events)
     else:
         columns = features.top_terms(freq, vocab, max_events)
     columns = cut(columns)
@@ -128,7 +128,7 @@ def train(rows: DataFrame, sessions: DataFrame, parser: str = "regex", model: st
     vectors = cut(features.vectors(by_column, idf, weighting))
     fit_on = vectors.join(normal.select("session_id"), "session_id", "left_semi")
     detector = detectors.MODELS[model](**params).fit(fit_on)
-    out = AnomalyModel(parser, header_tokens, columns, named, idf, detector, weighting=weighting)
+    out = AnomalyModel(parser, header_tokens, columns, named, idf, detector, weighting=weighting, depth=depth)
     scores = cut(detector.score(vectors).join(sessions, "session_id"))
     chosen = scores.filter("split = 'train' AND label = 0").select(F.col("score").alias("s"))
     if rule == "percentile":
@@ -215,7 +215,7 @@ def early_study(model: AnomalyModel, seq: DataFrame, sessions: DataFrame, scores
 def grid(rows: DataFrame, sessions: DataFrame, axes: dict[str, list], header_tokens: int = 4) -> DataFrame:
     """A row for each combination of ``axes``: their values, threshold, tp .. f1, roc_auc, average_precision on the test split.
 
-    Axes are parameters of ``train``: parser, model, seed, weighting, similarity (of templates), max_events, variance (PCA),
+    Axes are parameters of ``train``: parser, model, seed, weighting, similarity and depth (of templates), max_events, variance (PCA),
     bottleneck (autoencoder), rule; one fit after the other.
     """
     out = []

@@ -415,6 +415,12 @@ def drain_templates(spark: SparkSession, d: str) -> DataFrame:
     return templates.fit_templates(freq).select("n_tokens", "head", "nth", F.array_join("template", " ").alias("template"))
 
 
+@query()
+def template_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity and depth of the templates against threshold and accuracy of a model of their columns."""
+    return anomaly.grid(_rows(spark, d), _splits(spark, d), {"parser": ["drain"], "similarity": [0.4, 0.7], "depth": [3, 5]}, header_tokens=HEADER)
+
+
 # ---- thresholds and evaluation ----------------------------------------------------------------------------------
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

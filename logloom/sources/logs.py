@@ -1,11 +1,17 @@
 """Log and label scans, stream decoding and sinks."""
 
+import json
+from collections import deque
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalars as S
+from ..operators.ranking import quantiles
 from ..session import cut
 
 
@@ -43,9 +49,7 @@ def read_sessions(spark: SparkSession, path: str, split: str | None = None) -> D
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, built and written first if it is not there."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         build().write.parquet(path)
     return spark.read.parquet(path)
 
@@ -148,29 +152,110 @@ def to_markdown(rows: DataFrame, limit: int = 200) -> str:
     return "\n".join(out + ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows.limit(limit).collect()])
 
 
-def store_batch(insert: Callable[[DataFrame, DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends what ``insert`` returns for the store at ``path`` and the batch; replays add nothing."""
+#: Buckets of a store's keys.
+BUCKETS = 64
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Hadoop knows them."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.exists(place)
+
+
+def read_store(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that ``store_batch`` has written to ``path``, with ``schema``; none if there is no store yet."""
+    rows = f"{path}/rows"
+    full = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    return spark.read.schema(full).parquet(rows) if exists(spark, rows) else spark.createDataFrame([], full)
+
+
+def store_batch(insert: Callable[[DataFrame, DataFrame], DataFrame], path: str, query: str, keys: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends what ``insert`` returns for the store at ``path`` and the batch, each row once.
+
+    The store is partitioned by a hash of ``keys``, so that a batch is compared with its own buckets only; a null key is a key.
+    When its rows are written, a batch leaves an empty file named after ``query`` and its number. A batch that is replayed after that
+    is left out without reading anything; one that was stopped before it finds the rows that it has written, as ``insert`` lets no key in twice.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            store = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            store = spark.createDataFrame([], batch.schema)
-        cut(insert(store, batch)).write.mode("append").parquet(path)
+        done = f"{path}/batches/{query}/{batch_id}"
+        if exists(spark, done):
+            return
+        fresh = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        store = read_store(spark, path, batch.schema).filter(F.col("bucket").isin(touched))
+        out = cut(insert(store.drop("bucket"), fresh.drop("bucket")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        out.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
+        fs, place = _place(spark, done)
+        fs.create(place).close()
 
     return write
 
 
+PROGRESS = "query string, batch_id long, ts timestamp, rows long, duration_s double, watermark timestamp, lag_s double, state_rows long, state_bytes long, late_rows long, offsets_behind long"
+
+
+def progress_row(p: dict) -> tuple:
+    """A row of ``PROGRESS`` from what a query reports of a batch; ``lag_s``: from the newest event back to the watermark."""
+    time = lambda s: datetime.fromisoformat(s.replace("Z", "+00:00")) if s else None
+    event, state = p.get("eventTime") or {}, p.get("stateOperators") or []
+    mark, newest = time(event.get("watermark")), time(event.get("max"))
+    behind = [int(float(m["maxOffsetsBehindLatest"])) for m in (s.get("metrics") or {} for s in p.get("sources") or []) if m.get("maxOffsetsBehindLatest") is not None]
+    total = lambda k: sum(int(s.get(k) or 0) for s in state)
+    return (str(p.get("runId") or p.get("id") or ""), p["batchId"], time(p.get("timestamp")), p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000, mark,
+            (newest - mark).total_seconds() if newest and mark else None, total("numRowsTotal"), total("memoryUsedBytes"), total("numRowsDroppedByWatermark"), max(behind, default=None))
+
+
 def progress_rows(spark: SparkSession, progress: list[dict]) -> DataFrame:
-    """(batch_id, rows, duration_s, rows_per_s, watermark): a streaming query's recent progress as a table."""
-    rows = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0) / 1000, p.get("eventTime", {}).get("watermark")) for p in progress]
-    df = spark.createDataFrame(rows, "batch_id long, rows long, duration_s double, watermark string")
+    """A streaming query's recent progress as a table, see ``PROGRESS``, with rows_per_s."""
+    df = spark.createDataFrame([progress_row(p) for p in progress], PROGRESS)
     return df.withColumn("rows_per_s", F.when(F.col("duration_s") > 0, F.col("rows") / F.col("duration_s")))
 
 
+class Metrics(StreamingQueryListener):
+    """Keeps the last ``most`` batches of all queries of a session: ``spark.streams.addListener(Metrics())``."""
+
+    def __init__(self, most: int = 3600):
+        self.progress: deque[dict] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.progress.append(json.loads(event.progress.json))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return progress_rows(spark, [*self.progress])
+
+
+def per_second(progress: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(second, rows, rows_per_s, batches, state_rows, lag_s, alerts, p50_ms, p95_ms, p99_ms): seconds in which a batch or an alert (ts, ms) was.
+
+    A batch counts for the second in which it started; state and lag are the last batch's. Latencies are exact quantiles.
+    """
+    second = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000).alias("second")
+    newest = lambda c: F.max_by(c, "ts").alias(c)
+    batches = progress.groupBy(second("ts")).agg(F.sum("rows").alias("rows"), F.sum("duration_s").alias("_busy"), F.count("*").alias("batches"), newest("state_rows"), newest("lag_s"))
+    timed = quantiles(alerts.select(second("ts"), "ms"), ["second"], "ms", [0.5, 0.95, 0.99])
+    points = [F.col("q")[k].alias(c) for k, c in enumerate(("p50_ms", "p95_ms", "p99_ms"))]
+    both = batches.join(alerts.groupBy(second("ts")).agg(F.count("*").alias("alerts")).join(timed.select("second", *points), "second"), "second", "full")
+    rate = F.when(F.col("_busy") > 0, F.col("rows") / F.col("_busy")).alias("rows_per_s")
+    return both.select("second", F.coalesce("rows", F.lit(0)).alias("rows"), rate, F.coalesce("batches", F.lit(0)).alias("batches"), "state_rows", "lag_s", F.coalesce("alerts", F.lit(0)).alias("alerts"), "p50_ms", "p95_ms", "p99_ms")
+
+
 def capacity(progress: DataFrame) -> DataFrame:
     """(rows, busy_s, capacity): rows over the seconds of batches that had rows."""
     busy = progress.filter("rows > 0")

@@ -31,6 +31,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import scalars as S
 from ..operators import ranking
 from ..session import cut, shared_path
+from ..sources import logs
 
 ALERT = "session_key string, kind string, score double, n_lines long, evidence_s long, threshold double, sent_ns long"
 #: The values of a session besides its map of columns; ``timer``: whether the timer of its end is set.
@@ -263,6 +264,17 @@ def start(alerts: DataFrame, checkpoint: str, format: str = "parquet", once: boo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def send(alerts: DataFrame, checkpoint: str, run: str, model: str, format: str = "kafka", once: bool = False, **options: str) -> StreamingQuery:
+    """Writes a stream of alerts as messages, (key, value) with the session's key and a JSON object, to a Kafka topic or files."""
+    return start(logs.encode_alerts(payload(alerts, run, model)), checkpoint, format, once, **options)
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, first, last, sent_ns, alerted, looked) of the sessions that a stream's state holds, read from its checkpoint."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "known").load()
+    return rows.select("key.key", "value.first", "value.last", "value.sent_ns", "value.alerted", "value.looked")
+
+
 def finalise(scores: DataFrame, snapshots: DataFrame, alerts: DataFrame, snap_threshold: float) -> DataFrame:
     """(session_id, score, kind, alert_score): every session's final score with its alert; checks still open at the end fire as deadline_eos.
 

@@ -52,7 +52,7 @@ def test_state_ends_with_its_sessions(spark, tmp_path):
     model.columns, model.mean = {1: 0, 2: 1}, __import__("numpy").array([1.0, 0.0])
     model.loadings = __import__("numpy").array([[1.0, 0.0]])
     scorer = detect.Scorer({1: 1.0, 2: 1.0}, model, threshold=0.5, age_s=10, snap_threshold=0.3)
-    waves = []
+    waves, live = [], []
     for wave in range(3):
         t0 = 1000 + 5000 * wave
         rows = [(f"good{wave}-{k}", 1, t0 + j) for k in range(20) for j in range(4)]
@@ -68,9 +68,11 @@ def test_state_ends_with_its_sessions(spark, tmp_path):
         query = detect.start(found, str(tmp_path / "state"), once=True, path=str(tmp_path / "out"))
         query.awaitTermination()
         state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        live.append(sorted(r.key for r in detect.open_sessions(spark, str(tmp_path / "state")).collect()))
     alerts = spark.read.parquet(str(tmp_path / "out")).filter("session_key = 'odd'").collect()
     assert [(r.kind, r.n_lines) for r in alerts] == [("incremental", 7)] * 3
     assert {r.session_key for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"odd"}
+    assert live == [sorted({r[0] for r in rows}) for rows in waves]
     assert state[1] <= state[0] + 2 and state[2] <= state[0] + 2  # it does not grow with the waves
 
 

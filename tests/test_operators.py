@@ -146,16 +146,54 @@ def test_columns_and_weights(spark):
     assert w["a", 1] == pytest.approx(x / math.hypot(x, y)) and w["c", 0] == pytest.approx(1)
 
 
-def test_templates_of_hot_leaves_and_single_lines(spark, tmp_path, monkeypatch):
+def test_templates_of_hot_leaves_and_single_lines(spark, tmp_path):
     from logloom import queries
 
     text = "\n".join(f"send w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} to node" for k in range(40))
     docs = spark.createDataFrame([(1, text), (2, "only one line here once")], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = {"send <*> to node", "only one line here once"}
-    for leaf in (templates.LEAF, 5):
-        monkeypatch.setattr(templates, "LEAF", leaf)
-        assert [*sorted(r.template for r in queries.QUERIES["drain_templates"](spark, str(tmp_path)).collect())] == sorted(want)
+    assert [*sorted(r.template for r in queries.QUERIES["drain_templates"](spark, str(tmp_path)).collect())] == sorted(want)
+
+
+def _greedy(terms, similarity, layers):
+    """Drain's pass over terms in order, one leaf after the other."""
+    leaves = {}
+    for term in terms:
+        tokens = term.split()
+        head = " ".join("<*>" if any(c.isdigit() for c in t) else t for t in tokens[:layers])
+        mine = leaves.setdefault((len(tokens), head), [])
+        equal = lambda t: sum(a == b != "<*>" for a, b in zip(t, tokens))
+        best = max(mine, key=lambda t: (equal(t), t.count("<*>")), default=None)
+        if best is not None and equal(best) / len(tokens) >= similarity:
+            best[:] = [a if a == b else "<*>" for a, b in zip(best, tokens)]
+        else:
+            mine.append(tokens)
+    return {(n, head, k, *t) for (n, head), ts in leaves.items() for k, t in enumerate(ts)}
+
+
+def _terms(n, seed):
+    rng = random.Random(seed)
+    words = ["get", "put", "node", "block", "to", "<*>", "a7", "x", "y"]
+    return list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(n)))
+
+
+@pytest.mark.parametrize("depth", [3, 4, 5, 9])
+def test_templates_are_one_greedy_pass(spark, depth):
+    terms = _terms(500, depth)
+    freq = spark.createDataFrame([(t, len(terms) - k, k) for k, t in enumerate(terms)], "term string, freq long, term_id long").repartition(4)
+    got = templates.fit_templates(freq, 0.5, depth).collect()
+    assert {(r.n_tokens, r.head, r.nth, *r.template) for r in got} == _greedy(terms, 0.5, depth - 3)
+
+
+def test_trie_equals_the_join(spark):
+    terms = _terms(600, 1)
+    freq = spark.createDataFrame([(t, 1, k) for k, t in enumerate(terms[:200])], "term string, freq long, term_id long")
+    for depth in (3, 4, 5):
+        fitted = templates.cut(templates.fit_templates(freq, 0.5, depth))
+        asked = spark.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, k int").repartition(3)
+        trie, joined = (sorted(map(tuple, templates.match_templates(asked, fitted, depth, size).select("k", "term", "n_tokens", "head", "nth").collect())) for size in (None, -1))
+        assert trie == joined and 200 <= sum(r[-1] is not None for r in trie) < len(terms)
 
 
 def test_templates(spark):
