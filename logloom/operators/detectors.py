@@ -3,11 +3,13 @@
 Fits read at most ``FIT_ROWS`` sessions, drawn by a seeded hash; scores read all. Models are plain values of bounded size.
 """
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..session import cut
 from .ranking import with_rank
 
 FIT_ROWS = 20_000
+#: Steps of an autoencoder's task between two averages.
+LOCAL_STEPS = 10
 #: Tasks that add up products of columns of a fit sample.
 FIT_PARTS = 16
 
@@ -37,14 +41,62 @@ def _dense(x: pd.Series, columns: dict[int, int]) -> np.ndarray:
     return out
 
 
+#: Numbers that a task holds at once while it scores, at most or one row's.
+CELLS = 2_000_000
+
+
+@dataclass
+class Sparse:
+    """Rows of a matrix by their entries: row k has those from ``starts[k]`` up to ``starts[k + 1]``."""
+
+    starts: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @staticmethod
+    def read(x: pa.ListArray, columns: dict[int, int]) -> "Sparse":
+        """Entries of columns that are not among ``columns`` are left out."""
+        entries, lengths = x.flatten(), x.value_lengths().fill_null(0).to_numpy()
+        names = entries.field("col").to_numpy(zero_copy_only=False)
+        known, place = (np.array([*side], np.int64) for side in (columns.keys(), columns.values()))
+        order = np.argsort(known)
+        found = np.minimum(np.searchsorted(known, names, sorter=order), max(0, len(known) - 1))
+        held = known[order[found]] == names if len(known) else np.zeros(len(names), bool)
+        row = np.repeat(np.arange(len(lengths)), lengths)[held]
+        starts = np.append(0, np.cumsum(np.bincount(row, minlength=len(lengths))))
+        at = place[order[found[held]]] if len(known) else np.zeros(0, np.int64)
+        return Sparse(starts, at, entries.field("w").to_numpy(zero_copy_only=False)[held], len(columns))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def part(self, low: int, high: int) -> "Sparse":
+        a, b = self.starts[low], self.starts[high]
+        return Sparse(self.starts[low : high + 1] - a, self.at[a:b], self.values[a:b], self.width)
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self), self.width))
+        out[self.rows(), self.at] = self.values
+        return out
+
+    def sums(self, of: np.ndarray) -> np.ndarray:
+        """The sum of each row's entries of ``of``."""
+        return np.bincount(self.rows(), of, len(self))
+
+
 def _score_with(vectors: DataFrame, model: "Detector") -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            yield pd.DataFrame({"session_id": df.session_id, "score": shared.value.score_matrix(_dense(df.x, shared.value.columns))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.score_sparse(Sparse.read(batch.column("x"), shared.value.columns))
+            yield pa.RecordBatch.from_arrays([batch.column("session_id"), pa.array(scores, pa.float64())], ["session_id", "score"])
 
-    return _rows(vectors).mapInPandas(run, "session_id string, score double")
+    return _rows(vectors).mapInArrow(run, "session_id string, score double")
 
 
 class Detector:
@@ -58,6 +110,12 @@ class Detector:
     def score_matrix(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def score_sparse(self, x: Sparse) -> np.ndarray:
+        """The scores of ``score_matrix``, a few rows at a time, so that memory does not grow with the number of columns."""
+        step = max(1, CELLS // max(1, x.width))
+        parts = [self.score_matrix(x.part(k, min(len(x), k + step)).dense()) for k in range(0, len(x), step)]
+        return np.concatenate([np.zeros(0), *parts])
+
     def score(self, vectors: DataFrame) -> DataFrame:
         return _score_with(vectors, self)
 
@@ -110,6 +168,15 @@ class PCADetector(Detector):
         c = x - self.mean
         return np.maximum(0, (c**2).sum(axis=1) - ((c @ self.loadings.T) ** 2).sum(axis=1))
 
+    def score_sparse(self, x: Sparse) -> np.ndarray:
+        """|x|^2 - 2 x m + |m|^2 - |V x - V m|^2 by entries: the columns that a session lacks cost nothing."""
+        loads, shift = np.ascontiguousarray(self.loadings.T), self.loadings @ self.mean
+        own = x.sums(x.values**2 - 2 * x.values * self.mean[x.at]) + self.mean @ self.mean
+        inside = np.zeros(len(x))
+        for k, v in enumerate(loads.T):
+            inside += (x.sums(x.values * v[x.at]) - shift[k]) ** 2
+        return np.maximum(0, own - inside)
+
 
 def pca_residual(vectors: DataFrame, mean: DataFrame, loadings: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session_id, score) as joins and sums: ``mean`` (col, m), ``loadings`` (comp, col, v), ``sessions`` all ids to score.
@@ -141,16 +208,15 @@ class IForestDetector(Detector):
     n_estimators: int = 200
     seed: int = 0
     subsample: int = 256
-    max_fit_rows: int = FIT_ROWS
     columns: dict[int, int] = field(default_factory=dict)
     trees: list[tuple[np.ndarray, ...]] = field(default_factory=list)
     size: int = 0
 
     def fit(self, vectors: DataFrame) -> "IForestDetector":
-        """Each tree draws its rows from the numbered sample and grows in a group of its own, of ``subsample`` rows."""
+        """Each tree draws its rows from all sessions, which are numbered, and grows in a group of its own, of ``subsample`` rows."""
         spark = vectors.sparkSession
-        chosen = sample_sessions(vectors, self.max_fit_rows, self.seed).withColumn("_draw", F.xxhash64(F.lit(self.seed), "session_id"))
-        numbered = cut(with_rank(chosen, F.col("_draw"), F.col("session_id"), rank="k").select("session_id", "k"))
+        every = vectors.select("session_id").distinct().withColumn("_draw", F.xxhash64(F.lit(self.seed), "session_id"))
+        numbered = cut(with_rank(every, F.col("_draw"), F.col("session_id"), rank="k").select("session_id", "k"))
         n, seed = numbered.count(), self.seed
         self.size = size = min(self.subsample, n)
 
@@ -179,8 +245,9 @@ class IForestDetector(Detector):
                 todo += [(rows[left], depth + 1), (rows[~left], depth + 1)]
             return pd.DataFrame(nodes, columns=["tree", "node", "feature", "at", "child", "path"])
 
-        dealt = spark.range(self.n_estimators if n else 0).mapInPandas(deal, "tree long, k long")
-        rows = _rows(vectors.join(numbered, "session_id")).join(numbered, "session_id").select("k", "x")
+        dealt = cut(spark.range(self.n_estimators if n else 0).mapInPandas(deal, "tree long, k long"))
+        drawn = cut(numbered.join(dealt.select("k").distinct(), "k"))
+        rows = _rows(vectors.join(drawn, "session_id", "left_semi")).join(drawn, "session_id").select("k", "x")
         got = dealt.join(rows, "k").groupBy("tree").applyInPandas(grow, "tree long, node int, feature int, at double, child int, path double").toPandas()
         self.columns = {int(c): k for k, c in enumerate(sorted(set(got.feature[got.feature >= 0])))}
         got["feature"] = got.feature.map(self.columns).fillna(-1).astype(int)
@@ -200,7 +267,11 @@ class IForestDetector(Detector):
 
 @dataclass
 class AEDetector(Detector):
-    """Autoencoder with one narrow layer; scores are mean squared errors. Gradients are summed by Spark, Adam steps run on the driver."""
+    """Autoencoder with one narrow layer; scores are mean squared errors.
+
+    Fitting goes in rounds. In each, every task takes ``LOCAL_STEPS`` Adam steps on its own rows from the same weights, and
+    the driver averages what they come to, weighed by rows: one job a round.
+    """
 
     bottleneck: int = 16
     max_fit_rows: int = FIT_ROWS
@@ -226,36 +297,42 @@ class AEDetector(Detector):
                 delta = (delta @ self.layers[k][:-1].T) * (acts[k] > 0)
         return grads[::-1]
 
+    def _stepped(self, x: np.ndarray) -> list[np.ndarray]:
+        """The layers after ``LOCAL_STEPS`` Adam steps on the rows of ``x``."""
+        m, v = ([np.zeros_like(w) for w in self.layers] for _ in range(2))
+        for step in range(1, LOCAL_STEPS + 1):
+            for k, g in enumerate(self._gradient(x)):
+                g = g / len(x)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+                self.layers[k] = self.layers[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        return self.layers
+
     def fit(self, vectors: DataFrame) -> "AEDetector":
         sc = vectors.sparkSession.sparkContext
-        sample = vectors.join(sample_sessions(vectors, self.max_fit_rows, self.seed), "session_id")
-        rows = _rows(sample).persist()
+        sample = vectors.join(sample_sessions(vectors, self.max_fit_rows, self.seed), "session_id").repartition(FIT_PARTS, "session_id")
+        rows = cut(_rows(sample).withColumn("part", F.pmod(F.xxhash64("session_id"), F.lit(FIT_PARTS))))
         self.columns = {c: k for k, c in enumerate(sorted(r[0] for r in sample.select("col").distinct().collect()))}
-        d, n = len(self.columns), rows.count()
+        d = len(self.columns)
         hidden = min(128, max(32, d // 2))
         rng, sizes = np.random.default_rng(self.seed), [d, hidden, self.bottleneck, hidden, d]
         self.layers = [np.vstack([rng.normal(0, np.sqrt(2 / max(1, a)), (a, b)), np.zeros((1, b))]) for a, b in zip(sizes, sizes[1:])]
-        m, v = ([np.zeros_like(w) for w in self.layers] for _ in range(2))
-        for step in range(1, self.max_iter * self.steps + 1):
+        for _ in range(-(-self.max_iter * self.steps // LOCAL_STEPS)):
             shared = sc.broadcast(self)
 
-            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                total = None
-                for df in frames:
-                    g = np.concatenate([x.ravel() for x in shared.value._gradient(_dense(df.x, shared.value.columns))])  # noqa: B023
-                    total = g if total is None else total + g
-                if total is not None:
-                    yield pd.DataFrame({"g": [total.tolist()]})
+            def run(part: pa.Table) -> pa.Table:
+                model = pickle.loads(pickle.dumps(shared.value))  # noqa: B023
+                x = Sparse.read(part.column("x").combine_chunks(), model.columns).dense()
+                return pa.table({"n": [len(x)], "w": [np.concatenate([w.ravel() for w in model._stepped(x)]).tobytes()]})
 
-            flat = sum(np.array(r.g) for r in rows.mapInPandas(run, "g array<double>").collect()) / max(1, n)
+            got = rows.groupBy("part").applyInArrow(run, "n long, w binary").collect()  # at most ``FIT_PARTS`` rows
             shared.unpersist()
-            at = 0
+            total, at = sum(r.n for r in got), 0
+            if not total:
+                break
+            flat = sum(np.frombuffer(r.w) * (r.n / total) for r in got)
             for k, w in enumerate(self.layers):
-                g = flat[at : at + w.size].reshape(w.shape)
+                self.layers[k] = flat[at : at + w.size].reshape(w.shape)
                 at += w.size
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                self.layers[k] = w - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        rows.unpersist()
         return self
 
     def score_matrix(self, x: np.ndarray) -> np.ndarray:

@@ -247,6 +247,49 @@ def test_detectors_tell_anomalies(spark):
         assert metrics.ranking_metrics(out, "score").first()[0] > 0.8, name
 
 
+def _vectors(spark, n, d, seed=0):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(f"s{k}", c, rng.random()) for k in range(n) for c in rng.sample(range(d), rng.randint(1, 5))], "session_id string, col int, w double").repartition(3)
+
+
+@pytest.mark.parametrize("kind", ["pca", "iforest", "autoencoder"])
+def test_sparse_scores_equal_those_of_the_matrix(spark, kind, monkeypatch):
+    """Also for sessions with unknown columns alone, and a few rows at a time."""
+    import numpy as np
+
+    vectors = _vectors(spark, 120, 30)
+    model = detectors.MODELS[kind](**({"n_estimators": 20} if kind == "iforest" else {"max_iter": 2} if kind == "autoencoder" else {})).fit(vectors.filter("col < 25"))
+    odd = vectors.union(spark.createDataFrame([("none", 999, 1.0), ("none", -3, 2.0)], vectors.schema))
+    rows = {}
+    for r in odd.collect():
+        rows.setdefault(r.session_id, {})[r.col] = r.w
+    dense = np.array([[row.get(c, 0.0) for c in model.columns] for row in rows.values()])
+    want = dict(zip(rows, model.score_matrix(dense)))
+    got = {r.session_id: r.score for r in model.score(odd).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1e-9 * max(1, abs(want[k])) for k in want)
+    lists = __import__("pyarrow").array([[{"col": c, "w": w} for c, w in row.items()] for row in rows.values()])
+    monkeypatch.setattr(detectors, "CELLS", 100)
+    assert model.score_sparse(detectors.Sparse.read(lists, model.columns)) == pytest.approx([*want.values()], rel=1e-9, abs=1e-9)
+    assert len(model.score_sparse(detectors.Sparse.read(lists[:0], model.columns))) == 0
+
+
+def test_trees_draw_from_all_sessions(spark, monkeypatch):
+    """No sample of the sessions stands before that of each tree."""
+    monkeypatch.setattr(detectors, "FIT_ROWS", 5)
+    monkeypatch.setattr(detectors, "sample_sessions", None)
+    model = detectors.IForestDetector(n_estimators=10, subsample=16).fit(_vectors(spark, 100, 10))
+    assert model.size == 16 and len(model.trees) == 10
+
+
+def test_sampled_sessions(spark):
+    """Exactly so many, the same for any partitioning, others for another seed; all if there are fewer."""
+    vectors = _vectors(spark, 50, 10)
+    pick = lambda df, n, seed: sorted(r[0] for r in detectors.sample_sessions(df, n, seed).collect())
+    one = pick(vectors, 20, 1)
+    assert len(one) == len(set(one)) == 20 and one == pick(vectors.repartition(7), 20, 1) != pick(vectors, 20, 2)
+    assert pick(vectors, 80, 1) == sorted(f"s{k}" for k in range(50))
+
+
 def test_pca_as_joins_equals_the_matrix_form(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(f"s{k}", c, rng.random()) for k in range(30) for c in range(6) if rng.random() < 0.7], "session_id string, col int, w double")
@@ -386,3 +429,69 @@ def test_session_files_are_pruned_by_split(spark, tmp_path):
     for _ in range(2):
         assert logs.load_or_build(spark, f"{tmp_path}/t", build).count() == 2
     assert made == [1]
+
+
+def test_listing_and_update_of_runs(spark):
+    runs = spark.createDataFrame([("a", "stream", 5, "running", None, None, None, 5), ("b", "grid", 9, "running", None, None, None, 9), ("c", "stream", 7, "done", None, None, None, 7)],
+                                 "id string, kind string, created_ns long, status string, summary string, model_id int, pid int, updated_ns long")
+    assert [r.id for r in store.list_runs(runs).collect()] == ["b", "c", "a"] and [r.id for r in store.list_runs(runs, "stream").collect()] == ["c", "a"]
+    after = {r.id: r for r in store.update_run(runs, "a", 11, status="finished", summary={"n": 3}, model_id=4).collect()}
+    assert (after["a"].status, after["a"].summary, after["a"].model_id, after["a"].updated_ns) == ("finished", '{"n": 3}', 4, 11)
+    assert (after["b"].status, after["b"].updated_ns, after["c"].summary) == ("running", 9, None)
+    with pytest.raises(KeyError):
+        store.update_run(runs, "a", 11, created_ns=1)
+
+
+def test_listing_of_models(spark):
+    models = spark.createDataFrame([("m", 2, "x"), ("m", 1, "x"), ("k", 1, "y")], "name string, version int, dataset string")
+    assert [(r.name, r.version) for r in store.list_models(models).collect()] == [("k", 1), ("m", 1), ("m", 2)]
+    assert [(r.name, r.version) for r in store.list_models(models, "x").collect()] == [("m", 1), ("m", 2)]
+
+
+def test_pause_shares_and_compared_windows(spark):
+    df = lambda rows: spark.createDataFrame(rows, "pause_max double, cpu_max double")
+    slow, normal = df([(5.0, 90.0), (0.0, 70.0), (1.0, 80.0)]), df([(0.0, 10.0), (0.0, 20.0), (2.0, 30.0), (0.0, 40.0)])
+    assert perf.overlap_shares(normal, slow).first() == (3, 2, pytest.approx(2 / 3), 4, 1, 0.25)
+    assert perf.overlap_shares(normal, slow.limit(0)).first()[:3] == (0, 0, None)
+    row = perf.compare_windows(normal, slow, ["cpu_max"]).first()
+    assert (row.feature, row.p50, row.slow_median, row.slow_max) == ("cpu_max", 25.0, 80.0, 90.0)
+
+
+def test_scaling_against_one_worker(spark):
+    rows = spark.createDataFrame([(1, 10.0), (1, 12.0), (1, 11.0), (2, 20.0), (2, 24.0), (4, 22.0)], "workers int, rate double")
+    got = {r.workers: (r.median, r.speedup, r.efficiency) for r in perf.scaling(rows, "rate").collect()}
+    assert got == {1: (11.0, 1.0, 1.0), 2: (22.0, 2.0, 1.0), 4: (22.0, 2.0, 0.5)}
+
+
+def test_merged_and_imported_runs(spark):
+    runs, more = spark.createDataFrame([("a", 1)], "id string, n int"), spark.createDataFrame([("b", "x")], "id string, note string")
+    assert sorted(map(tuple, perf.merge_runs(runs, more).collect())) == [("a", 1, None), ("b", None, "x")]
+    known = spark.createDataFrame([("a", "running")], "id string, status string")
+    new = spark.createDataFrame([("a", 3.0), ("b", 4.0), ("b", 4.0)], "id string, p99 double")
+    assert sorted(map(tuple, logs.import_runs(known, new).collect())) == [("a", "running", None), ("b", "finished", 4.0)]
+
+
+def test_run_records_and_report_files(spark, tmp_path):
+    (tmp_path / "runs").mkdir()
+    for name, text in (("one.json", '{"rate": 5,\n "worker": 1}'), ("two.json", '{"rate": 7, "worker": 2}')):
+        (tmp_path / "runs" / name).write_text(text)
+    assert sorted((r.source, r.rate) for r in logs.read_runs(spark, f"{tmp_path}/runs/*.json").collect()) == [("one.json", 5), ("two.json", 7)]
+    rows = spark.createDataFrame([("e1", "c", "p99", 1.5, 1.0, None, 3, "dropped")], "experiment string, cell string, metric string, median double, min double, max double, n int, more string")
+    logs.export_report(rows, f"{tmp_path}/report")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/report").collect()] == [("e1", "c", "p99", "1.5", "1.0", None, "3")]
+    assert logs.to_markdown(rows.select("cell", "median", "max")) == "| cell | median | max |\n|---|---|---|\n| c | 1.5 |  |"
+
+
+def test_anomaly_pool_and_replay(spark):
+    rows = [(f"s{k}", "test" if k % 2 else "val", int(k % 3 == 0)) for k in range(30)]
+    df = spark.createDataFrame(rows, "session_id string, split string, label int")
+    one = [r.session_id for r in logs.anomaly_pool(df, 3, 1).collect()]
+    fits = {i for i, s, y in rows if s == "test" and y}
+    assert len(one) == 3 and {*one} <= fits and one == [r.session_id for r in logs.anomaly_pool(df.repartition(5), 3, 1).collect()]
+    assert {r.session_id for r in logs.anomaly_pool(df, 99, 2).collect()} == fits
+
+
+def test_time_falls_back_on_the_watermark(spark):
+    rows = spark.createDataFrame([("081109 203518 x", 5), ("bad", 7), ("bad", None)], "line string, mark long")
+    got = [r[0] for r in rows.select(S.time_or_watermark(F.col("line"), F.col("mark"))).collect()]
+    assert got == [(9 + 31 * 11 + 372 * 8) * 86400 + 20 * 3600 + 35 * 60 + 18, 7, 0]
