@@ -75,14 +75,28 @@ def recovery_seconds(series: DataFrame, spike_end: str = "spike_end", base: str
     return rows.filter(F.col("_later") <= F.greatest(F.lit(1000.0), F.col(base))).groupBy("run").agg(F.min(F.col("t") - F.col(spike_end)).alias("recovery_s"))
 
 
-def _spread(rows: DataFrame, low: Column, high: Column, width: float, name: str = "_bin") -> DataFrame:
-    return rows.withColumn(name, F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+#: A bin of each level is so many times as wide as one of the level below.
+STEP = 4
+
+
+def _level(low: Column, high: Column, width: float) -> Column:
+    """The level whose bins a span covers at most ``STEP`` + 1 of."""
+    return F.greatest(F.lit(0), F.ceil(F.log(float(STEP), F.greatest((high - low) / (width * STEP), F.lit(1e-9))))).cast("int")
 
 
 def range_join(points: DataFrame, spans: DataFrame, t: str, low: str, high: str, on: list[str], width: float = 10.0) -> DataFrame:
-    """Points inside closed spans of the same ``on``: an equi-join on bins of time, then the exact condition."""
-    binned = points.withColumn("_bin", F.floor(F.col(t) / width))
-    return binned.join(_spread(spans, F.col(low), F.col(high), width), [*on, "_bin"]).filter((F.col(t) >= F.col(low)) & (F.col(t) <= F.col(high))).drop("_bin")
+    """Points inside closed spans of the same ``on``: an equi-join on bins of time, then the exact condition.
+
+    Long spans take wide bins, so that a span of any length makes a few rows; points stand in a bin of each level that spans have.
+    """
+    leveled = spans.withColumn("_level", _level(F.col(low), F.col(high), width))
+    wide = lambda level: width * F.pow(F.lit(float(STEP)), level)
+    bins = F.sequence(F.floor(F.col(low) / wide(F.col("_level"))), F.floor(F.col(high) / wide(F.col("_level"))))
+    placed = leveled.filter(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(bins))
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect() if r[0] is not None)  # some twenty at most
+    each = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col(t) / (width * STEP**k)).alias("_bin")) for k in levels or [0]])
+    binned = points.withColumn("_at", F.explode(each)).select(*points.columns, "_at._level", "_at._bin")
+    return binned.join(placed, [*on, "_level", "_bin"]).filter((F.col(t) >= F.col(low)) & (F.col(t) <= F.col(high))).drop("_level", "_bin")
 
 
 def windowed_p99(alerts: DataFrame, segments: DataFrame) -> DataFrame:
@@ -121,19 +135,29 @@ def interval_features(samples: DataFrame, pauses: DataFrame, spans: DataFrame) -
     wide = spans.select("run", "nth", "low", "until", (F.col("low") - 0.5).alias("_low"), (F.col("until") + 0.5).alias("_high"))
     near = range_join(samples, wide, "t", "_low", "_high", ["run"]).groupBy("run", "nth").agg(
         F.count("*").alias("n"), F.max("other_cpu").alias("cpu_max"), F.max("busy").alias("busy_max"), F.min("freq").alias("freq_min"))
-    paused = _spread(pauses.withColumn("_start", F.col("t") - F.col("ms") / 1000), F.col("_start"), F.col("t"), 10.0)
-    hit = paused.join(_spread(spans.select("run", "nth", "low", "until"), F.col("low"), F.col("until"), 10.0), ["run", "_bin"])
-    hit = hit.filter((F.col("low") <= F.col("t")) & (F.col("_start") <= F.col("until"))).groupBy("run", "nth").agg(F.max("ms").alias("pause_max"))
+    # Two spans meet where one of them begins inside the other.
+    stops = pauses.select("run", (F.col("t") - F.col("ms") / 1000).alias("_start"), F.col("t").alias("_stop"), "ms")
+    begun = range_join(stops, spans.select("run", "nth", "low", "until"), "_start", "low", "until", ["run"]).select("run", "nth", "ms")
+    inside = range_join(spans.select("run", "nth", "low"), stops, "low", "_start", "_stop", ["run"]).select("run", "nth", "ms")
+    hit = begun.unionByName(inside).groupBy("run", "nth").agg(F.max("ms").alias("pause_max"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return spans.select("run", "nth").join(near, ["run", "nth"], "left").join(hit, ["run", "nth"], "left").select("run", "nth", F.coalesce("n", F.lit(0)).alias("n"), *map(zero, ("cpu_max", "busy_max", "freq_min", "pause_max")))
 
 
+#: Bins that a row is exploded to at a time.
+BLOCK = 10_000
+
+
 def normal_bins(runs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(run, t): one-second bins [t, t + 1] from a second after each run's start to its end that touch no span [low, until]."""
-    bins = runs.withColumn("k", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("end") - F.col("start")).cast("int"))), lambda k: F.col("start") + k + 1 <= F.col("end"))))
-    bins = bins.select("run", (F.col("start") + F.col("k")).alias("t"))
-    busy = _spread(spans.select("run", "low", "until"), F.col("low") - 1, F.col("until"), 10.0)
-    taken = bins.withColumn("_bin", F.floor(F.col("t") / 10.0)).join(busy, ["run", "_bin"]).filter((F.col("low") <= F.col("t") + 1) & (F.col("until") >= F.col("t"))).select("run", "t").distinct()
+    """(run, t): one-second bins [t, t + 1] from a second after each run's start to its end that touch no span [low, until].
+
+    Runs are first cut into blocks of bins, which are dealt out, so that a long run is not one task's.
+    """
+    n = F.floor(F.col("end") - F.col("start")).cast("long")
+    blocks = runs.withColumn("_n", n).filter("_n >= 1").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / BLOCK)))).repartition("run", "_block")
+    k = F.explode(F.sequence(F.greatest(F.lit(1), F.col("_block") * BLOCK), F.least(F.col("_n"), F.col("_block") * BLOCK + BLOCK - 1)))
+    bins = blocks.withColumn("k", k).filter(F.col("start") + F.col("k") + 1 <= F.col("end")).select("run", (F.col("start") + F.col("k")).alias("t"))
+    taken = range_join(bins, spans.select("run", (F.col("low") - 1).alias("_low"), "until"), "t", "_low", "until", ["run"]).select("run", "t").distinct()
     return bins.join(taken, ["run", "t"], "left_anti")
 
 

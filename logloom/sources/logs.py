@@ -5,7 +5,7 @@ from collections import deque
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -15,10 +15,25 @@ from ..operators.ranking import quantiles
 from ..session import cut
 
 
+def valid_text(value: Column) -> Column:
+    """``value`` without the bytes that are part of no UTF-8 character; a U+FFFD that was written stays."""
+    mark = "\U0010fffe"  # stands for written ones in lines with other bytes, where this noncharacter would become one
+    cleaned = F.replace(F.make_valid_utf8(F.replace(value, F.lit("\ufffd"), F.lit(mark))), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.replace(cleaned, F.lit(mark), F.lit("\ufffd")))
+
+
 def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
-    """(line_id, line): lines in file order; bytes that are no UTF-8 are dropped; the first ``max_lines`` if given."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.regexp_replace("value", "\ufffd", "").alias("line"))
-    return raw if max_lines is None else raw.orderBy("line_id").limit(max_lines)
+    """(line_id, line): lines numbered from 0 in the order of files by path and of lines in them; the first ``max_lines`` if given.
+
+    A first pass counts the lines of every split of a file; their running sum tells where each split's numbers begin.
+    """
+    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    raw = spark.read.text(path).select("value", *[c.alias(n) for n, c in at.items()])
+    splits = raw.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    offsets = cut(splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    lines = raw.join(offsets, ["_file", "_block"]).select((F.col("_id") + F.col("_shift")).alias("line_id"), valid_text(F.col("value")).alias("line"))
+    return lines if max_lines is None else lines.filter(F.col("line_id") < max_lines)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

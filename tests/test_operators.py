@@ -495,3 +495,46 @@ def test_time_falls_back_on_the_watermark(spark):
     rows = spark.createDataFrame([("081109 203518 x", 5), ("bad", 7), ("bad", None)], "line string, mark long")
     got = [r[0] for r in rows.select(S.time_or_watermark(F.col("line"), F.col("mark"))).collect()]
     assert got == [(9 + 31 * 11 + 372 * 8) * 86400 + 20 * 3600 + 35 * 60 + 18, 7, 0]
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    """Two files in many splits; bytes that are no UTF-8 go, a written U+FFFD stays, also beside them."""
+    (tmp_path / "logs").mkdir()
+    want = []
+    for name, n in (("b.log", 700), ("a.log", 900), ("c.log", 1)):
+        (tmp_path / "logs" / name).write_bytes(b"".join(f"{name} line {k} {'x' * (k % 50)}\n".encode() for k in range(n)))
+    for name, n in (("a.log", 900), ("b.log", 700), ("c.log", 1)):
+        want += [f"{name} line {k} {'x' * (k % 50)}" for k in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        lines = logs.read_lines(spark, f"{tmp_path}/logs")
+        got = {r.line_id: r.line for r in lines.collect()}
+        assert lines.rdd.getNumPartitions() > 8 and got == dict(enumerate(want))
+        assert sorted(r.line_id for r in logs.read_lines(spark, f"{tmp_path}/logs", 905).collect()) == [*range(905)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "odd.log").write_bytes(b"good \xef\xbf\xbd\nbad \xff\xfe here\nboth \xef\xbf\xbd \xc3(\n\n\xe4\xb8\xad\n")
+    assert [r.line for r in logs.read_lines(spark, f"{tmp_path}/odd.log").orderBy("line_id").collect()] == ["good \ufffd", "bad  here", "both \ufffd (", "", "中"]
+
+
+def test_spans_of_any_length_make_few_rows(spark):
+    """Points in spans from no length to ten million seconds, against all pairs."""
+    rng = random.Random(4)
+    spans = [(f"r{k % 2}", k, low, low + rng.choice([0, 1, 30, 4000, 10**7])) for k, low in enumerate(rng.uniform(-1e5, 1e5) for _ in range(60))] + [("r0", 99, 5.0, 4.0)]
+    points = [(f"r{k % 2}", k, rng.uniform(-1e5, 1.2e7) if k % 2 else rng.uniform(-1e5, 1e5)) for k in range(300)] + [("r0", 900, spans[0][2]), ("r0", 901, spans[0][3])]
+    a, b = spark.createDataFrame(points, "run string, p int, t double"), spark.createDataFrame(spans, "run string, nth int, low double, high double")
+    joined = perf.range_join(a, b, "t", "low", "high", ["run"])
+    assert sorted((r.p, r.nth) for r in joined.collect()) == sorted((p, n) for run, p, t in points for g, n, low, high in spans if run == g and low <= t <= high)
+    one = spark.createDataFrame([("r", 0.0, 1e7)], "run string, low double, high double")
+    level = one.select(perf._level(F.col("low"), F.col("high"), 10.0)).first()[0]
+    assert 1e7 / (10 * perf.STEP**level) <= perf.STEP
+
+
+def test_bins_of_a_long_run(spark, monkeypatch):
+    monkeypatch.setattr(perf, "BLOCK", 7)
+    runs = spark.createDataFrame([("a", 0.5, 60.9), ("b", 0.0, 0.5), ("c", 10.0, 12.0)], "run string, start double, end double")
+    spans = spark.createDataFrame([("a", 10.2, 12.4), ("a", 30.0, 30.0)], "run string, low double, until double")
+    got = sorted(map(tuple, perf.normal_bins(runs, spans).select("run", "t").collect()))
+    want = [("a", 0.5 + k) for k in range(1, 60) if 0.5 + k + 1 <= 60.9 and not any(low <= 0.5 + k + 1 and until >= 0.5 + k for low, until in ((10.2, 12.4), (30.0, 30.0)))]
+    assert got == sorted([*want, ("c", 11.0)])
