@@ -224,6 +224,26 @@ def alert_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run", "session_key", "arrival", r6("ingest_lag_ms").alias("ingest_lag_ms"))
 
 
+@query(duck("SELECT run, session_key, arrival, round((ingested_ns - nullif(t_send_ns, 0)) / 1e6, 6) AS ingest_lag_ms FROM (SELECT *, row_number() OVER (PARTITION BY run, session_key ORDER BY arrival) AS rn FROM alerts) WHERE rn = 1", "alerts"))
+def alert_store(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds after three batches of alerts, in order of arrival, of which the second came twice."""
+    alerts, path = view(spark, d, "alerts"), f"{shared_path(spark)}/store"
+    write = logs.store_batch(store.insert_alerts, path, "ingest", ["run", "session_key"])
+    last = alerts.agg(F.max("arrival")).first()[0] or 0
+    part = F.least(F.lit(2), F.floor(F.col("arrival") * 3 / (last + 1)))
+    for k in (0, 1, 1, 2):
+        write(alerts.filter(part == k), k)
+    return logs.read_store(spark, path, alerts.withColumn("ingest_lag_ms", F.lit(0.0)).schema).select("run", "session_key", "arrival", r6("ingest_lag_ms").alias("ingest_lag_ms"))
+
+
+@query(duck("SELECT session_key AS key, concat('r9:', session_key) AS id, kind, score, CAST(threshold AS VARCHAR) IS NOT NULL AS has_threshold FROM alerts", "alerts"))
+def alert_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts as the messages that are sent, read again by the decoder."""
+    alerts = view(spark, d, "alerts").select("session_key", "kind", "score", "threshold")
+    good, _ = logs.decode_alerts(logs.encode_alerts(detect.payload(alerts, "r9", "pca")))
+    return good.select("key", "id", F.col("v")["kind"].alias("kind"), "score", F.col("v")["threshold"].isNotNull().alias("has_threshold"))
+
+
 @query(duck("SELECT run, worker, created_ns FROM (SELECT *, max(created_ns) OVER () AS newest FROM (SELECT run, CAST(id % 4 AS INT) AS worker, created_ns FROM alerts)) WHERE created_ns >= newest - 21600000000000", "alerts"))
 def metric_retention(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "alerts").select("run", (F.col("id") % 4).cast("int").alias("worker"), F.col("created_ns").alias("ts_ns"), "id")
@@ -759,6 +779,58 @@ def normal_bins(spark: SparkSession, d: str) -> DataFrame:
     return perf.normal_bins(runs, cut(perf.excursions(rows)))
 
 
+_FREE = """r AS (SELECT run, min(t) AS s, max(t) AS e FROM slow GROUP BY run), bins AS (SELECT run, s + k AS t FROM r, (SELECT unnest(range(1, 1000000)) AS k) WHERE s + k + 1 <= e),
+free AS (SELECT run, t FROM bins b WHERE NOT EXISTS (SELECT 1 FROM wins w WHERE w.run = b.run AND w.low <= b.t + 1 AND w.until >= b.t)),
+spans AS (SELECT 'slow' AS sort, run, low, until FROM wins UNION ALL SELECT 'normal', run, t, t + 1 FROM free),
+seen AS (SELECT sort, s.run, low, until, coalesce(max(other_cpu), 0) AS cpu_max, coalesce(min(freq), 0) AS freq_min FROM spans s LEFT JOIN probes p ON p.run = s.run AND p.t BETWEEN low - 0.5 AND until + 0.5 GROUP BY ALL),
+halted AS (SELECT sort, s.run, low, until, coalesce(max(o.ms), 0) AS pause_max FROM spans s LEFT JOIN stops o ON o.run = s.run AND low <= o.t AND o.t - o.ms / 1000 <= until GROUP BY ALL)"""
+
+
+def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Features of the bins without slow alerts and of the clusters of slow ones."""
+    rows = view(spark, d, "slow")
+    probes, stops = _probes(spark, d)
+    wins = cut(perf.excursions(rows))
+    free = perf.normal_bins(rows.groupBy("run").agg(F.min("t").alias("start"), F.max("t").alias("end")), wins)
+    free = cut(free.select("run", (F.col("t") * 4).cast("long").alias("nth"), F.col("t").alias("low"), (F.col("t") + 1).alias("until")))
+    return cut(perf.interval_features(probes, stops, free)), cut(perf.interval_features(probes, stops, wins))
+
+
+@query(duck(f"""WITH {_WINS}, {_PROBES}, {_STOPS}, {_FREE}, f AS (SELECT sort, unnest(['cpu_max', 'freq_min']) AS feature, unnest([cpu_max, freq_min]) AS v FROM seen UNION ALL SELECT sort, 'pause_max', pause_max FROM halted)
+SELECT feature, round(quantile_cont(v, 0.5) FILTER (sort = 'normal'), 6) AS p50, round(quantile_cont(v, 0.95) FILTER (sort = 'normal'), 6) AS p95, round(quantile_cont(v, 0.99) FILTER (sort = 'normal'), 6) AS p99,
+round(quantile_cont(v, 0.5) FILTER (sort = 'slow'), 6) AS slow_median, round(max(v) FILTER (sort = 'slow'), 6) AS slow_max FROM f GROUP BY feature""", "slow"))
+def window_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Processor, frequency and pauses in normal seconds against those in clusters of slow alerts."""
+    normal, slow = _windows(spark, d)
+    out = perf.compare_windows(normal, slow, ["cpu_max", "freq_min", "pause_max"])
+    return out.select("feature", *[r6(c).alias(c) for c in ("p50", "p95", "p99", "slow_median", "slow_max")])
+
+
+@query(duck(f"""WITH {_WINS}, {_PROBES}, {_STOPS}, {_FREE} SELECT count(*) FILTER (sort = 'slow') AS slow, count(*) FILTER (sort = 'slow' AND pause_max > 0) AS slow_paused,
+round(count(*) FILTER (sort = 'slow' AND pause_max > 0) / nullif(count(*) FILTER (sort = 'slow'), 0), 6) AS slow_share, count(*) FILTER (sort = 'normal') AS normal, count(*) FILTER (sort = 'normal' AND pause_max > 0) AS normal_paused,
+round(count(*) FILTER (sort = 'normal' AND pause_max > 0) / nullif(count(*) FILTER (sort = 'normal'), 0), 6) AS normal_share FROM halted""", "slow"))
+def overlap_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How many clusters of slow alerts, and how many normal seconds, overlap a pause."""
+    normal, slow = _windows(spark, d)
+    return perf.overlap_shares(normal, slow).withColumns({c: r6(c) for c in ("slow_share", "normal_share")})
+
+
+@query(duck(f"WITH {_WINS} SELECT run, nth, n, round(m1, 6) AS engine_update_mean, round(m2, 6) AS scoring_mean FROM (SELECT run, nth, count(*) AS n, avg(ms / 4) AS m1, avg(ms % 50) AS m2 FROM isl GROUP BY run, nth)", "slow"))
+def excursion_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Means of two stages in each cluster of slow alerts."""
+    rows = view(spark, d, "slow").withColumns({"engine_update": F.col("ms") / 4, "scoring": F.col("ms") % 50})
+    return perf.excursions(rows).select("run", "nth", "n", r6("engine_update_mean").alias("engine_update_mean"), r6("scoring_mean").alias("scoring_mean"))
+
+
+@query(duck("""WITH c AS (SELECT CAST(offered / 1000 AS INT) AS workers, median(achieved) AS median, min(achieved) AS min, max(achieved) AS max, count(achieved) AS n FROM sweep GROUP BY 1),
+b AS (SELECT median AS base FROM c WHERE workers = 1)
+SELECT workers, round(median, 6) AS median, min, max, n, round(median / base, 6) AS speedup, round(median / base / workers, 6) AS efficiency FROM c, b""", "sweep"))
+def worker_scaling(spark: SparkSession, d: str) -> DataFrame:
+    """Rates reached at each number of workers against one worker."""
+    rows = view(spark, d, "sweep").withColumn("workers", (F.col("offered") / 1000).cast("int"))
+    return perf.scaling(rows, "achieved").select("workers", r6("median").alias("median"), "min", "max", "n", r6("speedup").alias("speedup"), r6("efficiency").alias("efficiency"))
+
+
 @query(duck("""WITH ends AS (SELECT run, CAST(floor(max(t) / 300) AS BIGINT) AS final FROM slow GROUP BY run),
 seg AS (SELECT run, s AS segment, s * 300.0 AS low, s * 300.0 + 200.0 AS high FROM (SELECT run, unnest(range(final + 1)) AS s FROM ends))
 SELECT a.run, segment, count(*) AS n, round(quantile_cont(ms, 0.99), 6) AS p99 FROM slow a JOIN seg ON seg.run = a.run AND t BETWEEN low AND high GROUP BY ALL""", "slow"))

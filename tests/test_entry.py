@@ -46,6 +46,45 @@ def test_stream_alerts_once_and_as_in_batch(spark):
         assert got == {("odd", "incremental"), ("short", "deadline")}
 
 
+def test_stream_equals_sessions_one_after_the_other(spark):
+    """Alerts of random sessions, also on both sides of their age, as plain Python gives them with the watermark of each batch."""
+    import random
+
+    import numpy as np
+
+    model = detectors.PCADetector()
+    model.columns, model.mean, model.loadings = {1: 0, 2: 1, 3: 2}, np.array([0.9, 0.1, 0.0]), np.array([[1.0, 0.0, 0.0]])
+    scorer = detect.Scorer({1: 1.0, 2: 1.3, 3: 2.0}, model, threshold=0.45, age_s=30, snap_threshold=0.3)
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        t, odd = rng.randrange(1000, 3000), rng.random() < 0.5
+        for _ in range(rng.randint(1, 12)):
+            rows.append((f"s{k}", rng.choice([1, 1, 2, 3] if odd else [1, 1, 1, 2]), t))
+            t += rng.choice([0, 1, 5, 40])
+    events = spark.createDataFrame(rows, "key string, col int, log_t long").withColumn("event_time", F.timestamp_seconds("log_t"))
+    parts = [[(r.key, r.col, r.log_t) for r in p.collect()] for p in base.in_order(events, 4)]
+    held, want, mark = {}, {}, 0
+
+    def judge(key):
+        session = held[key]
+        alert = session.judge(scorer, 5, mark)
+        if alert:
+            want[key] = (alert[0], round(alert[1], 9), sum(n for n, _ in session.lines.values()))
+
+    for part in parts:
+        for key in sorted({r[0] for r in part}):
+            mine = [r for r in part if r[0] == key]
+            held.setdefault(key, detect.Session()).add(np.array([r[1] for r in mine]), np.array([float(r[2]) for r in mine]), np.full(len(mine), np.nan), 30)
+            judge(key)
+        mark = max(mark, (max(r[2] for r in part) - 10) * 1000)  # the next batch, without rows, goes by it
+        for key, session in held.items():
+            if not session.alerted and (session.due(30) or mark + 1) <= mark:
+                judge(key)
+    got = {r.session_key: (r.kind, round(r.score, 9), r.n_lines) for r in base.run_stream(events, scorer, 5, "10 seconds").collect()}
+    assert got == want and {k for k, _, _ in want.values()} == {"incremental", "deadline"}
+
+
 def test_state_ends_with_its_sessions(spark, tmp_path):
     """Three waves of sessions: the state holds the last ones alone, an ended key begins anew, an alerted one stays silent until then."""
     model = detectors.PCADetector()
