@@ -37,8 +37,8 @@ from .shared import cut, steady
 PLACE_BITS, BLOCK_LINKS = 13, 2_000_000
 BLOCK = 1 << PLACE_BITS
 ID_BITS = 20
-#: Words in either half of an encoder's memo.
-MEMO = 250_000
+#: Words in either half of an encoder's memo, and pairs of A's tokens and steps of its automaton that are remembered.
+MEMO, PAIRS, MOVES = 200_000, 400_000, 400_000
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _INDEX = {"block": T.LongType(), "place": T.IntegerType(), **{c: T.LongType() for c in COUNTS}, "groups_sha256": T.StringType(),
@@ -81,6 +81,7 @@ class Aligner:
     """Both encoders, and the decimal numbers of their ids with what may follow them."""
 
     def __init__(self, vocab: Vocabulary, pieces: Pieces):
+        vocab.pairs_at_most, vocab.moves_at_most = PAIRS, MOVES
         self.encode_a, self.encode_b = _Encoder(vocab, MEMO), Encoder(pieces, MEMO)
         self.encode_a.special, self.encode_a.le = None, {}  # special tokens' strings are plain text
         self.n_a, self.n_b = len(vocab.text), len(pieces.text)

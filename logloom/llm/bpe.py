@@ -66,6 +66,7 @@ class Vocabulary:
             if self._merge_all(self.text[k]) == [k]:  # else no text is ever encoded as k
                 self.tokens[self.text[k]] = k
         self.size, self.le = [*map(len, self.text)], [k.to_bytes(4, "little") for k in range(len(self.text))]
+        self.pairs_at_most, self.moves_at_most = PAIRS, MOVES
         self.pairs: dict[int, bool] = {}
         self.moves: dict[int, int] = {}
         self._automaton()
@@ -104,7 +105,7 @@ class Vocabulary:
                 # At equal rank the leftmost merge comes first: one inside a before, one inside b after.
                 if rank is not None and rank < x_until and rank <= y_until:
                     known = False
-        if len(self.pairs) > PAIRS:
+        if len(self.pairs) > self.pairs_at_most:
             self.pairs.clear()
         self.pairs[a << 20 | b] = known
         return known
@@ -112,7 +113,7 @@ class Vocabulary:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Each word's ids, as little-endian 32-bit integers."""
         moves, ends, pairs, compatible, size, le, out = self.moves, self.ends, self.pairs, self.compatible, self.size, self.le, {}
-        if len(moves) > MOVES:
+        if len(moves) > self.moves_at_most:
             moves.clear()
         deep = 1 + max(map(len, words), default=0)
         last, states, path = [0] * deep, [0] * deep, b""  # of every prefix of the path

@@ -6,8 +6,8 @@ these two. So no text is merged as a whole. An Aho-Corasick automaton of all pie
 left to right the longest piece that fits its predecessor is taken, then shorter ones, and where none fits the last piece is given
 back and its end is marked in a bitfield as a place that no encoding passes. Each place is marked once, so the work is linear.
 
-Where no piece crosses the border between a character and the mark of a space, texts are cut into words there and each distinct
-word is encoded once for a task's memo; models with pieces across such borders are encoded text by text. Nothing is shuffled;
+Where no piece of the model crosses the border between a character and the mark of a space, or between letters and other characters, texts
+are cut into words there and each distinct word is encoded once for a task's memo; models with pieces across such borders are encoded text by text. Nothing is shuffled;
 memory is bounded by the vocabulary, one slice of texts and memos of fixed size.
 
 Models must have one mark before the text, keep white space, change no characters and have byte pieces; others are refused. Null
@@ -35,11 +35,15 @@ MARK = "▁"
 #: What a model has to give back as it is.
 PROBE = "  ﬁ ½  A\u030a x "
 #: Words in either half of a task's memo, and the power of two of the pairs of pieces whose fit a task remembers.
-MEMO_WORDS, PAIRS = 150_000, 20
+MEMO_WORDS, PAIRS = 250_000, 20
 #: Characters of words that are cut side by side: so many, and the word that goes beyond them.
 SIDE = 400_000
 
 
+def kind(char: str) -> str:
+    return "mark" if char == MARK else "letter" if char.isalpha() else "other"
+
+
 class Pieces:
     """A merge-type model's pieces, scores and ids; a few MB of fixed size, broadcast to the tasks.
 
@@ -73,7 +77,13 @@ class Pieces:
             raise ValueError("the model has no byte pieces")
         self.unknown, self.end = model.unk_id(), model.eos_id()
         self.bytes_of = {k: b for b, k in enumerate(self.byte_ids)}
-        self.whole_words = not any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:]))
+        # Texts fall apart where no piece goes on: before a mark that follows another character, and between letters and what is none.
+        inside = {(kind(a), kind(b)) for p in self.ids for a, b in zip(p, p[1:])}
+        apart = not {("letter", "mark"), ("other", "mark")} & inside
+        letters = apart and not {("letter", "other"), ("other", "letter")} & inside
+        numerals = "".join(sorted({c for p in self.ids for c in p if re.fullmatch(r"[^\W\d_]", c) and not c.isalpha()}))
+        letter = rf"[^\W\d_{numerals}]"  # of the characters in pieces just the letters; how others are sorted makes no difference
+        self.words = (f"{MARK}*(?:{letter}+|(?:(?!{letter})[^{MARK}])+)|{MARK}+" if letters else f"{MARK}+[^{MARK}]*") if apart else "(?s:.+)"
         reached = {p for p in self.ids if self.merge(p) == [p]}
         for p in self.ids.keys() - reached:
             if model.encode(p.removeprefix(MARK), out_type=str) == [p]:
@@ -129,7 +139,7 @@ class Encoder:
         self.fitting = np.zeros(1 << PAIRS, bool)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words = re.compile(f"{MARK}+[^{MARK}]*" if pieces.whole_words else "(?s:.+)")
+        self.words = re.compile(pieces.words)
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the joined text of each two units gives just these two; a table of fixed size remembers pairs."""
