@@ -266,13 +266,18 @@ def _utf8(raw: bytes) -> str:
 
 def decoded(ids: Iterable[int], pieces: Pieces) -> str:
     """The text of ``ids``: control pieces are nothing and end a run of byte pieces, one mark before the text goes."""
-    runs: list[list[int]] = [[]]
-    for k in ids:
-        if k in pieces.control:
-            runs.append([])
-        else:
-            runs[-1].append(k)
-    raw = [b"".join([pieces.text[k] for k in run]) for run in runs if run]
+    ids = list(ids)
+    if ids and ids[-1] in pieces.control:
+        ids.pop()
+    runs: list[list[int]] = [ids]
+    if not pieces.control.isdisjoint(ids):
+        runs = [[]]
+        for k in ids:
+            if k in pieces.control:
+                runs.append([])
+            else:
+                runs[-1].append(k)
+    raw = [b"".join(map(pieces.text.__getitem__, run)) for run in runs if run]
     first = next((run[0] for run in runs if run), None)
     if first is not None and first not in pieces.bytes_of and first != pieces.unknown:
         raw[0] = raw[0].removeprefix(b" ")
