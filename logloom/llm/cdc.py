@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, steady
+from .shared import cut, free, steady
 
 WINDOW, BITS, LEAST, MOST, RUN = 32, 5, 16, 128, 100
 
@@ -119,17 +119,21 @@ def _runs(pieces: list[tuple[int, int]], data: bytes) -> list[tuple[int, int]]:
 
 
 def dedupe(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``kept``, the text without its copied runs, ``spans``, the runs removed, and ``shared``, all runs with copies."""
+    """``docs`` with ``kept``, the text without its copied runs, ``spans``, the runs removed, and ``shared``, all runs with copies.
+
+    Columns of those names are replaced; any others stay.
+    """
     added = {"kept": T.StringType(), "spans": T.ArrayType(T.ArrayType(T.IntegerType())), "shared": T.ArrayType(T.ArrayType(T.IntegerType()))}
     names = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(*x) for x in added.items()])
-    keyed = docs.select(*names, F.struct(F.col(id_col).alias("id"), _key(id_col, text_col)).alias("_key"))
-    joined = keyed.join(copies(docs, text_col, id_col).withColumnsRenamed({"key": "_key", "found": "_found"}), "_key", "left").drop("_key")
+    key_col, found_col = free("_key", names), free("_found", names)
+    keyed = docs.select(*names, F.struct(F.col(id_col).alias("id"), _key(id_col, text_col)).alias(key_col))
+    joined = keyed.join(copies(docs, text_col, id_col).withColumnsRenamed({"key": key_col, "found": found_col}), key_col, "left").drop(key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, spans, shared = [], [], []
-            for text, found in zip(batch.column(text_col), batch.column("_found")):
+            for text, found in zip(batch.column(text_col), batch.column(found_col)):
                 found = found.as_py()
                 if not found:
                     kept.append(text.as_py())

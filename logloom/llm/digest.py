@@ -12,7 +12,7 @@ A null text counts as empty. Null ids sort last; neighbours with equal ids are o
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free
 
 #: Rows of a range of ids in which neighbours are sought at once, and the most quantiles that ids are cut at.
 RANGE_ROWS, COARSE = 2000, 1000
@@ -68,6 +68,7 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) ->
     Ids are cut into ranges by quantiles and, between two of these, into even steps, about ``RANGE_ROWS`` rows each. The first
     row of a range is also sent to the range before it, so that rows are shuffled once, by range.
     """
+    range_col, guest_col = free("_range", rows.columns), free("_guest", rows.columns)
     n = rows.count()
     coarse = max(1, min(COARSE, n // RANGE_ROWS))
     marks = rows.select(F.percentile_approx(id_col, [k / coarse for k in range(coarse + 1)], 100_000)).first()[0] or [0]
@@ -75,9 +76,9 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) ->
     at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(id_col)))
     low, high = (F.element_at(F.array(*map(F.lit, bounds)), F.greatest(F.lit(1), F.least(at + k, F.lit(len(bounds))))) for k in (0, 1))
     step = F.floor((F.col(id_col) - low) / F.greatest(high - low, F.lit(1)) * steps)
-    ranged = rows.withColumn("_range", F.when(F.col(id_col).isNull(), F.struct(F.lit(-1).alias("c"), F.lit(0).cast("bigint").alias("s"))).otherwise(F.struct(at.alias("c"), F.coalesce(step, F.lit(0)).cast("bigint").alias("s"))))
+    ranged = rows.withColumn(range_col, F.when(F.col(id_col).isNull(), F.struct(F.lit(-1).alias("c"), F.lit(0).cast("bigint").alias("s"))).otherwise(F.struct(at.alias("c"), F.coalesce(step, F.lit(0)).cast("bigint").alias("s"))))
 
-    tops = cut(ranged.groupBy("_range").agg(F.max(F.struct(F.col(id_col).alias("id"), F.bitwise_not(tie_col).alias("tie"))).alias("top")))
+    tops = cut(ranged.groupBy(F.col(range_col).alias("_range")).agg(F.max(F.struct(F.col(id_col).alias("id"), F.bitwise_not(tie_col).alias("tie"))).alias("top")))
     firsts = tops.groupBy(F.col("_range.c").alias("c")).agg(F.max("_range").alias("_range"))
     # The range before another one: inside a quantile by its steps, across quantiles (COARSE rows at most) by their last steps.
     lasts = tops.groupBy(F.col("_range.c").alias("c")).agg(F.min("_range").alias("low"))
@@ -85,9 +86,11 @@ def with_next(rows: DataFrame, columns: list[str], id_col: str, tie_col: str) ->
     inside = tops.select("_range", "top", F.lead("_range").over(Window.partitionBy("_range.c").orderBy("_range.s")).alias("before"))
     heads = cut(inside.join(across, "_range", "left").select("top", F.coalesce("before", "over", "bottom").alias("to")))
 
-    joined = ranged.join(heads, F.col(id_col).eqNullSafe(F.col("top.id")) & (F.col(tie_col) == F.bitwise_not("top.tie")))
-    guests = joined.select(*rows.columns, F.col("to").alias("_range"), F.lit(1).alias("_guest"))
-    every = ranged.withColumn("_guest", F.lit(0)).unionByName(guests)
-    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last(id_col), tie_col)
+    head_col = free("_head", rows.columns)
+    heads = heads.select(F.struct("top", "to").alias(head_col))
+    joined = ranged.join(heads, F.col(id_col).eqNullSafe(F.col(f"{head_col}.top.id")) & (F.col(tie_col) == F.bitwise_not(f"{head_col}.top.tie")))
+    guests = joined.select(*rows.columns, F.col(f"{head_col}.to").alias(range_col), F.lit(1).alias(guest_col))
+    every = ranged.withColumn(guest_col, F.lit(0)).unionByName(guests)
+    order = Window.partitionBy(range_col).orderBy(guest_col, F.desc_nulls_last(id_col), tie_col)
     led = every.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return led.filter("_guest = 0").drop("_guest", "_range")
+    return led.filter(F.col(guest_col) == 0).drop(guest_col, range_col)

@@ -97,8 +97,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """
     keep = [c for c in docs.columns if c not in ("source_size", "target", "taken", "draws", *(() if measured else ("size",)))]
     size = F.col("size") if measured else F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")
-    sized = docs.select(*keep, *(() if measured else (size,)))
-    facts = sized.select(F.col(source_col).alias("source"), "size", F.xxhash64(id_col, "size", F.lit(seed)).alias("h"), F.xxhash64(id_col, "size", F.lit(seed + 1)).alias("h2"))
+    # The input travels as one column, so that none of its names can meet those used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    sized = docs.select(row, F.col(source_col).alias("source"), F.col(id_col).alias("id"), size)
+    hashes = {"h": F.xxhash64("id", "size", F.lit(seed)), "h2": F.xxhash64("id", "size", F.lit(seed + 1))}
+    facts = sized.withColumns(hashes).select("source", "size", "h", "h2")
     facts = cut(facts)
     plan = cut(targets(facts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(BLOCK_WORDS)), F.col("all") / BLOCKS))).cast("bigint")))
@@ -122,15 +125,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     dealt = taken.join(upto, ["rank", "block", "turn"], "left").join(ends, "rank").select("rank", "block", F.struct("turn", shard.alias("shard"), F.coalesce("upto", F.lit(ALL)).alias("upto")).alias("draw"))
     dealt = cut(dealt.groupBy("rank", "block").agg(F.sort_array(F.collect_list("draw")).alias("dealt")))
 
-    placed = sized.withColumns({"_h": F.xxhash64(id_col, "size", F.lit(seed)), "_h2": F.xxhash64(id_col, "size", F.lit(seed + 1))}).alias("d")
-    placed = placed.join(plan.select("source", "rank", "source_size", "target", "blocks").alias("p"), F.expr(f"d.`{source_col}` <=> p.source")).select("d.*", "p.rank", "p.source_size", "p.target", F.pmod("_h", "blocks").alias("block"))
+    placed = sized.withColumns(hashes).alias("d")
+    placed = placed.join(plan.select("source", "rank", "source_size", "target", "blocks").alias("p"), F.expr("d.source <=> p.source")).select("d.row", "d.size", "d.h2", "p.rank", "p.source_size", "p.target", F.pmod("h", "blocks").alias("block"))
     drawn = placed.join(dealt, ["rank", "block"], "left")
-    mine = F.transform(F.filter("dealt", lambda x: (F.col("_h2") <= x["upto"]) & (F.col("size") > 0)), lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64("_h2", x["turn"], F.lit(seed + 3)).alias("place")))
+    mine = F.transform(F.filter("dealt", lambda x: (F.col("h2") <= x["upto"]) & (F.col("size") > 0)), lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64("h2", x["turn"], F.lit(seed + 3)).alias("place")))
     out = drawn.withColumn("draws", F.coalesce(mine, F.array().cast("array<struct<shard:int,place:bigint>>")))
-    return out.select(*[F.col(f"`{c}`") for c in [*keep, *(() if measured else ("size",))]], "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
+    return out.select("row.*", *(() if measured else ("size",)), "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 
 def shards(mixed: DataFrame) -> DataFrame:
-    """The rows of the mix itself, a row for each draw, dealt to their shards and shuffled inside each."""
-    rows = mixed.withColumn("draw", F.explode("draws")).select("*", "draw.shard", "draw.place").drop("draw", "draws")
-    return rows.repartition("shard").sortWithinPartitions("shard", "place")
+    """The rows of the mix itself, a row for each draw, dealt to their shards and shuffled inside each.
+
+    Adds or replaces: shard, place.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c not in ("draws", "shard", "place")]).alias("row")
+    rows = mixed.select(row, F.explode("draws").alias("draw")).repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place")
+    return rows.select("row.*", "draw.shard", "draw.place")

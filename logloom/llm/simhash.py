@@ -9,8 +9,11 @@ any two rows still meet. Links then become components by alternating large and s
 
 For a similarity of shingle sets instead of a budget, ``similar_links`` takes 128 bits, of which a share of
 ``acos(2 s / (1 + s)) / pi`` differs at similarity s. No exact choice of buckets reaches that many bits, so buckets are equal
-random bits instead, in as many tables as leave a pair of similarity s apart with a chance of ``LOST``. Its links are
-candidates, to be compared by their sets.
+random bits instead, out of ``WIDTH``, in as many tables as leave a pair of similarity s apart with a chance of ``LOST``, at
+every number of rows. The number of differing bits varies from pair to pair, so that chance is the mean over its binomial
+distribution; more bits to draw from let it vary less and need fewer tables. The 64 and 128 bits compared in a bucket turn away
+``FAR`` of such pairs each. Sets of fewer than some 20 shingles can differ in a larger share of bits than the formula says, and
+are missed more often. Links are candidates, to be compared by their sets.
 
 A null text counts as empty; texts without words have the fingerprint 0, which links like any other. Equal fingerprints are
 joined once, whatever their number. A null id takes part; a component's id is its smallest id that is not null.
@@ -34,8 +37,12 @@ BUCKET = 4096
 DENSE = 1024
 #: Node pairs that are taken down together, and rows whose buckets are joined together; they bound a task's memory.
 FRONTIER, TOGETHER = 1 << 17, 100_000
-#: The chance that a pair just at the similarity shares no bucket, and rows of a bucket of random bits on average.
-LOST, MEAN = 0.001, 32
+#: The chances that a pair just at the similarity shares no bucket, and that it has too many differing bits for its bucket's test.
+LOST, FAR = 0.007, 0.001
+#: Rows of a bucket of random bits on average, and bits of the fingerprints that these are drawn from.
+MEAN, WIDTH = 64, 512
+#: The columns of a wide fingerprint, 64 bits each.
+LANES = [f"f{k}" for k in range(WIDTH // 64)]
 #: Rows whose equal buckets are linked before the shuffle.
 LOCAL = 50_000
 
@@ -84,19 +91,31 @@ def node_of(x: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes(), 7)).view(np.int64))
 
 
+def _majorities(hashes: np.ndarray) -> np.ndarray:
+    """``WIDTH`` bits as signed numbers: each says what over half of the hashes have in a bit of one of their remixes."""
+    bits = np.zeros(WIDTH, np.int64)
+    for at in range(0, len(hashes), 4096):
+        lanes = [hashes[at : at + 4096]]
+        while len(lanes) < len(LANES):
+            lanes.append(_mixed(lanes[-1]))
+        part = np.column_stack(lanes).astype("<u8").view(np.uint8)
+        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")
+
+
 def wide_fingerprints(docs: DataFrame, words: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(``id_col``, node, a, b LONG): each text's set of shingles, hashed, and the 128 bits of its SimHash over that set."""
+    """(``id_col``, node, ``LANES`` LONG): each text's set of shingles, hashed, and the bits of its SimHash over that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1):
+            nodes, bits = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(LANES)), np.int64)
+            for k, t in enumerate(batch.column(1)):
                 x = shingles(t.as_py(), words)
-                out.append((node_of(x), _majority(x), _majority(_mixed(x))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3))], [id_col, "node", "a", "b"])
+                nodes[k], bits[k] = node_of(x), _majorities(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *(pa.array(c) for c in bits.T.copy())], [id_col, "node", *LANES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {kind}, node bigint, a bigint, b bigint")
+    return docs.select(id_col, text_col).mapInArrow(steady(run), f"`{id_col}` {kind}, node bigint, " + ", ".join(f"{c} bigint" for c in LANES))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -244,24 +263,46 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
     return found.distinct()
 
 
-def _random_tables(n: int, apart: float) -> list[tuple[int, int]]:
-    """Masks over 128 bits: so many that two rows of which a share of ``apart`` bits differs agree in one, save for a chance of LOST."""
+def _differing(bits: int, apart: float) -> np.ndarray:
+    """The binomial chances of 0 to ``bits`` differing bits."""
+    log_of = lambda k: math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(apart) + (bits - k) * math.log(1 - apart)
+    return np.exp([log_of(k) for k in range(bits + 1)])
+
+
+def _within(bits: int, apart: float) -> int:
+    """How many of ``bits`` may differ, so that a chance of FAR at most is beyond."""
+    return int(np.flatnonzero(1 - np.cumsum(_differing(bits, apart)) <= FAR)[0])
+
+
+def _random_tables(n: int, apart: float) -> np.ndarray:
+    """Places of WIDTH bits, a row for each table: two rows with a chance of ``apart`` for each bit agree in one table, save for a chance of LOST."""
     bits = max(8, math.ceil(math.log2(max(1, n) / MEAN)))
-    tables = math.ceil(math.log(LOST) / math.log(1 - (1 - apart) ** bits))
-    rng = np.random.default_rng(1)
-    masks = [sum(1 << int(b) for b in rng.choice(128, bits, replace=False)) for _ in range(tables)]
-    return [(m & ((1 << 64) - 1), m >> 64) for m in masks]
+    differ = np.arange(WIDTH + 1)
+    agree = np.prod([np.maximum(0, WIDTH - differ - j) / (WIDTH - j) for j in range(bits)], axis=0)  # in a table, by differing bits
+    chance, tables = _differing(WIDTH, apart), 1
+    while chance @ (1 - agree) ** tables > LOST:
+        tables += 1
+    rng, each = np.random.default_rng(1), WIDTH // bits
+    turns = [rng.permutation(WIDTH)[: each * bits].reshape(each, bits) for _ in range(-(-tables // each))]
+    return np.concatenate(turns)[:tables]
+
+
+def _masks(tables: np.ndarray) -> np.ndarray:
+    """The bits of each table as a mask for each lane."""
+    masks = np.zeros((len(tables), len(LANES)), np.uint64)
+    for mask, places in zip(masks, tables):
+        np.bitwise_or.at(mask, places // 64, np.uint64(1) << (places % 64).astype(np.uint64))
+    return masks
 
 
 def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(u LONG, v LONG): links between the rows of ``nodes`` (node, a, b) whose sets may have the Jaccard ``similarity``.
+    """(u LONG, v LONG): links between the rows of ``nodes`` (node, ``LANES``) whose sets may have the Jaccard ``similarity``.
 
     Of rows that a task has linked before the shuffle, one stands for all in a bucket, so that no bucket grows with a group.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    masks = _random_tables(nodes.count(), apart)
-    within = lambda bits: math.floor(bits * apart + 3.1 * math.sqrt(bits * apart * (1 - apart)))
-    budget, both = within(64), within(128)
+    masks = _masks(_random_tables(nodes.count(), apart))
+    budget, both = _within(64, apart), _within(128, apart)
     names = ["key", "node", "a", "b", "u", "v"]
 
     def forest_rows(node: np.ndarray, root: np.ndarray) -> list[pa.Array]:
@@ -274,11 +315,15 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, LOCAL):
-                node, a, b = (batch.column(k).slice(at, LOCAL).to_numpy(zero_copy_only=False) for k in range(3))
-                a, b = a.view(np.uint64), b.view(np.uint64)
+                node, *lanes = (c.slice(at, LOCAL).to_numpy(zero_copy_only=False) for c in batch.columns)
+                lanes = [c.view(np.uint64) for c in lanes]
+                a, b = lanes[:2]
                 forest = _Forest(len(node))
-                for nth, (p, q) in enumerate(masks):
-                    key = _mixed(_mixed((a & np.uint64(p)) + np.uint64(nth + 1)) ^ (b & np.uint64(q)))
+                for nth, mask in enumerate(masks):
+                    key = np.full(len(node), nth + 1, np.uint64)
+                    for lane, bits in zip(lanes, mask):
+                        if bits:
+                            key = _mixed(key ^ (lane & bits))
                     order = np.argsort(key, kind="stable")
                     sort = key[order]
                     new = np.concatenate([[True], sort[1:] != sort[:-1]])
@@ -311,7 +356,7 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
                 yield linked.pop()
         yield from linked
 
-    made = nodes.select("node", "a", "b").mapInArrow(steady(spread), "key bigint, node bigint, a bigint, b bigint, u bigint, v bigint")
+    made = nodes.select("node", *LANES).mapInArrow(steady(spread), "key bigint, node bigint, a bigint, b bigint, u bigint, v bigint")
     return made.repartition(F.coalesce("key", "u")).sortWithinPartitions("key").mapInArrow(steady(join), "u bigint, v bigint").distinct()
 
 

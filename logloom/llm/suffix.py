@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, steady
+from .shared import cut, free, steady
 
 WIDTH, GRAM, GROUP = 200, 32, 4000
 STEPS = (42, 10, 1)
@@ -346,14 +346,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
     added = {"kept": T.BinaryType(), "removed": T.ArrayType(T.ArrayType(T.IntegerType()))}
     names = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(*x) for x in added.items()])
-    keyed = docs.select(*names, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("_key"))
-    spans = repeated_spans(keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text")), width)
-    joined = keyed.join(spans.withColumnsRenamed({"key": "_key", "spans": "_spans"}), "_key", "left").drop("_key")
+    key_col, spans_col = free("_key", names), free("_spans", names)
+    keyed = docs.select(*names, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias(key_col))
+    spans = repeated_spans(keyed.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")), width)
+    joined = keyed.join(spans.withColumnsRenamed({"key": key_col, "spans": spans_col}), key_col, "left").drop(key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed = [], []
-            for text, spans in zip(batch.column(text_col), batch.column("_spans")):
+            for text, spans in zip(batch.column(text_col), batch.column(spans_col)):
                 data, runs = (text.as_py() or "").encode(), []
                 pieces = sorted((x["start"] + a, x["start"] + b + width - 1) for x in spans.as_py() or () for a, b in zip(x["ranges"][::2], x["ranges"][1::2]))
                 for a, b in pieces:

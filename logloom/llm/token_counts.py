@@ -7,6 +7,7 @@ words are encoded, and only the sums above their blocks change.
 
 Trees travel as their leaves: two 32-bit integers a word, its characters and its tokens. Special tokens' strings count as
 ordinary text. A null text counts as empty, and null edits as none. Positions outside the text are moved to its nearest end.
+Null ids and repeated rows are rows like any others; no rows give no rows.
 """
 
 from collections.abc import Iterator
@@ -143,11 +144,20 @@ def _edited(batches: Batches, vocab: Vocabulary, text_col: str, edits_col: str)
         yield batch
 
 
+def _forgetting(batches: Batches, vocab: Vocabulary, names: list[str]) -> Batches:
+    """The columns ``names`` of ``batches``; what ``vocab`` remembered goes with the task."""
+    try:
+        for batch in batches:
+            yield batch.select(names)
+    finally:
+        vocab.forget()
+
+
 def build(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``leaves``, the tree of each whole text, and n_tokens."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(docs, **_BUILT)
-    return docs.mapInArrow(steady(lambda batches: (b.select(schema.names) for b in _built(batches, vocab.value, text_col))), schema)
+    return docs.mapInArrow(steady(lambda batches: _forgetting(_built(batches, vocab.value, text_col), vocab.value, schema.names)), schema)
 
 
 def apply(built: DataFrame, tokenizer_path: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -158,7 +168,7 @@ def apply(built: DataFrame, tokenizer_path: str, text_col: str = "text", edits_c
     """
     vocab = built.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(built, **_EDITED)
-    return built.mapInArrow(steady(lambda batches: (b.select(schema.names) for b in _edited(batches, vocab.value, text_col, edits_col))), schema)
+    return built.mapInArrow(steady(lambda batches: _forgetting(_edited(batches, vocab.value, text_col, edits_col), vocab.value, schema.names)), schema)
 
 
 def build_and_apply(docs: DataFrame, tokenizer_path: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -167,13 +177,12 @@ def build_and_apply(docs: DataFrame, tokenizer_path: str, text_col: str = "text"
     schema = _schema(docs, **_EDITED)
 
     def run(batches: Batches) -> Batches:
-        for batch in _edited(_built(batches, vocab.value, text_col), vocab.value, text_col, edits_col):
-            yield batch.select(schema.names)
+        return _forgetting(_edited(_built(batches, vocab.value, text_col), vocab.value, text_col, edits_col), vocab.value, schema.names)
 
     return docs.mapInArrow(steady(run), schema)
 
 
 def with_edits(built: DataFrame, edits: DataFrame, id_col: str = "doc_id", order_col: str = "nth") -> DataFrame:
-    """``built`` with the rows of ``edits`` (``id_col``, ``order_col``, at, cut, put) of its id gathered in ``edits``."""
+    """``built`` with the rows of ``edits`` (``id_col``, ``order_col``, at, cut, put) of its id gathered in ``edits``, which is added or replaced."""
     listed = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(order_col, "at", "cut", "put"))).alias("e"))
-    return built.join(listed.select(id_col, F.transform("e", lambda e: F.struct(e["at"].alias("at"), e["cut"].alias("cut"), e["put"].alias("put"))).alias("edits")), id_col, "left")
+    return built.drop("edits").join(listed.select(id_col, F.transform("e", lambda e: F.struct(e["at"].alias("at"), e["cut"].alias("cut"), e["put"].alias("put"))).alias("edits")), id_col, "left")

@@ -29,6 +29,8 @@ from .shared import cut, steady
 LABELLED = 20_000
 #: Standard errors that evidence must exceed.
 Z = 1.64
+#: Toxic documents that a piece of evidence must be in. One is taken out of its own evidence in learning, so one alone shows nothing.
+LEAST = 2
 #: Lengths of the beginnings of words that are evidence of their own.
 STEMS = (4, 5, 6, 7)
 TOP = 5
@@ -145,6 +147,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"words": {}, "weights": {}}
 
+    def forget(self) -> None:
+        """Drops what was remembered, at the end of a task: a broadcast model outlives it in the worker."""
+        self.words, self.weights = {}, {}
+
     def _word(self, token: str) -> tuple[str, ...]:
         """The restored words of a token."""
         core = token.strip(_EDGE)
@@ -236,21 +242,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text_co
                 found = {p for w in shared.value.tokens(text or "") for p in Model.pieces(w)}
                 (toxic if label else other).update(found)
             names = [*toxic.keys() | other.keys()]
+            shared.value.forget()
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([other[x] for x in names], pa.int64())], ["piece", "toxic", "other"])
 
     many = dict(train.groupBy("_label").count().collect())
     model.classes = many.get(1, 0), many.get(0, 0)
     if not all(model.classes):
         return model
-    least = 3 if model.classes[0] >= 30 else 1
     odds = F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) + log((model.classes[1] + 1) / (model.classes[0] + 1)) - Z * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     pieces = train.mapInArrow(steady(count), "piece string, toxic bigint, other bigint").groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    model.facts = {p: (a, b) for p, a, b in pieces.filter((F.col("toxic") >= least) & (odds > 0)).collect()}
+    model.facts = {p: (a, b) for p, a, b in pieces.filter((F.col("toxic") >= LEAST) & (odds > 0)).collect()}
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [shared.value.evidence(t or "", y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            shared.value.forget()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     got = train.mapInArrow(steady(measure), "x array<double>, y int").collect()
@@ -265,9 +272,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([shared.value.score(t.as_py() or "") for t in batch.column(text_col)], pa.float64())
-            columns = {n: batch.column(n) for n in batch.schema.names} | {score_col: scores}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        try:
+            for batch in batches:
+                scores = pa.array([shared.value.score(t.as_py() or "") for t in batch.column(text_col)], pa.float64())
+                columns = {n: batch.column(n) for n in batch.schema.names} | {score_col: scores}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        finally:
+            shared.value.forget()
 
     return docs.mapInArrow(steady(run), schema)
