@@ -11,7 +11,8 @@ have other documents each, so that the ones of a pair's bitmap add up over block
 The counts then go back to the blocks that hold the pair, and its postings give every document its links' counts.
 
 A block is bounded by documents and links, and no pair has more than one row a block, so no key grows with its frequency. What is
-shuffled are planes once, and pair numbers. Broadcast are both vocabularies, a few MB of fixed size.
+shuffled are planes once, and pair numbers. Broadcast are both vocabularies, a few MB of fixed size. What tasks find out about pairs of
+tokens stays with them for the worker's next tasks, ``PAIRS`` and ``MOVES`` entries at most and a table of fixed size; words do not.
 
 Texts that are null, empty, or that the tokens do not give back (B cannot tell U+2581 from a space) have no tokens and zeros. Null and repeated ids
 are rows like others. An empty table gives no rows. Columns of the input that are named like new ones are refused.
@@ -53,13 +54,16 @@ class Aligned:
         self.a, self.b = (np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in (a, b))
         end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])  # no token is empty, so both grow
         self.doc_a, self.doc_b = np.repeat(np.arange(len(a)), n_a), np.repeat(np.arange(len(b)), n_b)
-        ends = np.intersect1d(end_a, end_b, assume_unique=True)
-        self.group_a, self.group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-        first = np.searchsorted(end_b, end_a - size_a[self.a], side="right")
-        many = np.searchsorted(end_b, end_a - 1, side="right") - first + 1
+        ends_a, ends_b = np.zeros((2, 1 + int(end_a[-1]) if len(end_a) else 1), bool)
+        ends_a[end_a], ends_b[end_b] = True, True
+        closed = np.cumsum(ends_a & ends_b, dtype=np.int32)  # groups that end at a byte or before it
+        self.group_a, self.group_b = (closed[e] - (ends_a & ends_b)[e] for e in (end_a, end_b))
+        done = np.cumsum(ends_b, dtype=np.int32)  # tokens of B that end there
+        first = done[end_a - size_a[self.a]].astype(np.int64)
+        many = done[end_a - 1] - first + 1
         inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         self.link_a, self.link_b = np.repeat(np.arange(len(many)), many), np.repeat(first, many) + inside
-        group_doc = np.zeros(len(ends), np.int64)
+        group_doc = np.zeros(int(closed[-1]), np.int64)
         group_doc[self.group_a] = self.doc_a
         count = lambda of: np.bincount(of, minlength=len(a))
         self.counts = n_a, n_b, count(group_doc), count(self.doc_a[self.link_a])
@@ -82,7 +86,7 @@ class Aligner:
 
     def __init__(self, vocab: Vocabulary, pieces: Pieces):
         vocab.pairs_at_most, vocab.moves_at_most = PAIRS, MOVES
-        self.encode_a, self.encode_b = _Encoder(vocab, MEMO), Encoder(pieces, MEMO)
+        self.encode_a, self.encode_b = _Encoder(vocab, MEMO), Encoder(pieces, MEMO, keep=True)
         self.encode_a.special, self.encode_a.le = None, {}  # special tokens' strings are plain text
         self.n_a, self.n_b = len(vocab.text), len(pieces.text)
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (vocab.text, pieces.text))
@@ -101,8 +105,9 @@ class Aligner:
         """Each text's groups, ``a1,a2|b1;a3|b2,b3``."""
         last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in (x.group_a, x.group_b))
         named = np.empty(len(x.a) + len(x.b), np.int64)  # tokens of A before those of B, group by group
-        named[np.arange(len(x.a)) + np.searchsorted(x.group_b, x.group_a)] = x.a + self.n_a * last_a
-        named[np.arange(len(x.b)) + np.searchsorted(x.group_a, x.group_b, side="right")] = 2 * self.n_a + x.b + self.n_b * last_b
+        upto_a, upto_b = (np.append(0, np.cumsum(np.bincount(g))) for g in (x.group_a, x.group_b))  # tokens of the groups before each
+        named[np.arange(len(x.a)) + upto_b[x.group_a]] = x.a + self.n_a * last_a
+        named[np.arange(len(x.b)) + upto_a[x.group_b + 1]] = 2 * self.n_a + x.b + self.n_b * last_b
         out, at = [], 0
         for n in (x.counts[0] + x.counts[1]).tolist():
             out.append(b"".join(map(self.numbers.__getitem__, named[at : at + n].tolist()))[:-1])
@@ -182,26 +187,23 @@ def index(docs: DataFrame, tokenizer_path: str, model_path: str, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(vocab.value, pieces.value)
         block, place, links, found = TaskContext.get().partitionId() << 32, 0, 0, []
-        try:
-            for batch in batches:
-                for part in slices(batch, text_col):
-                    if place + part.num_rows > BLOCK or links > BLOCK_LINKS:
-                        if links:
-                            yield from filled(_postings(found, block))
-                        block, place, links, found = block + 1, 0, 0, []
-                    x = aligner.align(part.column(text_col).to_pylist())
-                    n = part.num_rows
-                    digests = [hashlib.sha256(g).hexdigest() if g else "" for g in aligner.groups(x)]
-                    rows = dict(zip(names, map(part.column, names))) | {"block": pa.array(np.full(n, block)), "place": pa.array(np.arange(place, place + n, dtype=np.int32))}
-                    rows |= {c: pa.array(v.astype(np.int64)) for c, v in zip(COUNTS, x.counts)} | {"groups_sha256": pa.array(digests, pa.string())}
-                    yield from filled(pa.RecordBatch.from_pydict(rows))
-                    if len(x.a):
-                        found.append(x.keys(np.arange(place, place + n)))
-                    place, links = place + n, links + int(x.counts[3].sum())
-            if links:
-                yield from filled(_postings(found, block))
-        finally:
-            vocab.value.forget()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                if place + part.num_rows > BLOCK or links > BLOCK_LINKS:
+                    if links:
+                        yield from filled(_postings(found, block))
+                    block, place, links, found = block + 1, 0, 0, []
+                x = aligner.align(part.column(text_col).to_pylist())
+                n = part.num_rows
+                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in aligner.groups(x)]
+                rows = dict(zip(names, map(part.column, names))) | {"block": pa.array(np.full(n, block)), "place": pa.array(np.arange(place, place + n, dtype=np.int32))}
+                rows |= {c: pa.array(v.astype(np.int64)) for c, v in zip(COUNTS, x.counts)} | {"groups_sha256": pa.array(digests, pa.string())}
+                yield from filled(pa.RecordBatch.from_pydict(rows))
+                if len(x.a):
+                    found.append(x.keys(np.arange(place, place + n)))
+                place, links = place + n, links + int(x.counts[3].sum())
+        if links:
+            yield from filled(_postings(found, block))
 
     types = {f.name: to_arrow_type(f.dataType) for f in schema}
 

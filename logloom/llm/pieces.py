@@ -97,6 +97,8 @@ class Pieces:
         begins = lambda u: next((self.number[u[:n]] for n in range(len(u) - 1, 0, -1) if u[:n] in self.number), -1)
         self.shorter = np.array([*map(begins, self.units), -1], np.int32)
         self.lengths = np.array([*map(len, self.units), 1], np.int32)
+        #: The table of pairs that the tasks of a worker share, once an encoder keeps it.
+        self.table: tuple[np.ndarray, np.ndarray] | None = None
 
     def merge(self, text: str) -> list[str]:
         """``text`` merged step by step, as the model defines it; for pieces and pairs of them, whose length is bounded."""
@@ -123,9 +125,12 @@ class Pieces:
 
 
 class Encoder:
-    """Texts to ids, a slice at a time. The memo of words has a young and an old half; words that come back stay."""
+    """Texts to ids, a slice at a time. The memo of words has a young and an old half; words that come back stay.
 
-    def __init__(self, pieces: Pieces, memo: int = MEMO_WORDS):
+    With ``keep`` the table of pairs, 9 bytes each, stays with ``pieces`` for the worker's next tasks.
+    """
+
+    def __init__(self, pieces: Pieces, memo: int = MEMO_WORDS, keep: bool = False):
         self.pieces, self.automaton, self.memo = pieces, pieces.automaton(), memo
         self.other = len(pieces.units)  # any character that no unit has: it merges with nothing
         self.single = np.full(0x110000, self.other, np.int32)
@@ -135,8 +140,9 @@ class Encoder:
         #: The id of each unit that is a piece; characters that are none have no single id.
         self.first_id = np.array([pieces.ids.get(u, 0) for u in pieces.units] + [0], np.int32)
         self.n_ids = np.array([int(u in pieces.ids) for u in pieces.units] + [0], np.int64)
-        self.keys = np.full(1 << PAIRS, -1, np.int64)
-        self.fitting = np.zeros(1 << PAIRS, bool)
+        self.keys, self.fitting = pieces.table or (np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool))
+        if keep:
+            pieces.table = self.keys, self.fitting
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words = re.compile(pieces.words)
