@@ -538,3 +538,12 @@ def test_bins_of_a_long_run(spark, monkeypatch):
     got = sorted(map(tuple, perf.normal_bins(runs, spans).select("run", "t").collect()))
     want = [("a", 0.5 + k) for k in range(1, 60) if 0.5 + k + 1 <= 60.9 and not any(low <= 0.5 + k + 1 and until >= 0.5 + k for low, until in ((10.2, 12.4), (30.0, 30.0)))]
     assert got == sorted([*want, ("c", 11.0)])
+
+
+def test_consecutive_windows_of_lines_that_share_a_number(spark):
+    """As SQL's running sum has it: peers lie in the island that stands after all of them, apart from the lines before."""
+    rows = [(1, 0, 0), (1, 10, 0), (2, 20, 1), (2, 3700, 0), (3, 3800, 0), (4, 30, 0), (5, 40, 1)]
+    lines = spark.createDataFrame(rows, "line_id long, ts long, label int").repartition(3)
+    got = sessions.windowed_sessions(lines, 3600, 1, "consecutive").collect()
+    # The second number opens window 1 after window 0 has gone on: its line of window 0 is no longer with the first two.
+    assert sorted((r.session_id, r.label, r.n) for r in got) == [("w0", 0, 2), ("w0", 1, 1), ("w0", 1, 2), ("w1", 0, 2)]
