@@ -158,6 +158,19 @@ def test_pause_lines(spark):
     assert sorted((round(r.t, 3), r.ms, r.kind) for r in got) == [(1704164645.678, 1.25, "gc:Young"), (1704164645.678, 2.5, "safepoint:Cleanup")]
 
 
+def test_pause_lines_of_one_time_and_repeated_rows(spark, tmp_path):
+    """Lines that share a time are matched once each, not with all the others."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678_000)
+    ids = [*range(4000), 4, 4]
+    spark.createDataFrame([(k, at, 1, "click", 1.0, "{}") for k in ids], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    out = base.QUERIES["pause_lines"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, out.select("id", "t", "ms", "kind").collect())) == sorted(con.sql(f"SELECT id, t, ms, kind FROM ({base.SQL['pause_lines']})").fetchall())
+
+
 def test_finalise_and_summary(spark):
     scores = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.2)], "session_id string, score double")
     snaps = spark.createDataFrame([("b", 0.8), ("c", 0.0)], "session_id string, score double")
