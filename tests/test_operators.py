@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -547,3 +548,43 @@ def test_consecutive_windows_of_lines_that_share_a_number(spark):
     got = sessions.windowed_sessions(lines, 3600, 1, "consecutive").collect()
     # The second number opens window 1 after window 0 has gone on: its line of window 0 is no longer with the first two.
     assert sorted((r.session_id, r.label, r.n) for r in got) == [("w0", 0, 2), ("w0", 1, 1), ("w0", 1, 2), ("w1", 0, 2)]
+
+
+def test_forest_does_not_cut_at_last_bits(spark):
+    """Weights that differ by the order of their sums alone grow the same trees."""
+    rows = [(f"s{k}", c, 0.1 * (k % 3 + 1) + 0.2 * c) for k in range(60) for c in range(3)]
+    forests = []
+    for noise in (0.0, 1e-16):
+        moved = [(s, c, w + noise * ((int(s[1:]) // 3 + c) % 3)) for s, c, w in rows]
+        forests.append(detectors.IForestDetector(n_estimators=4).fit(spark.createDataFrame(moved, "session_id string, col int, w double")).trees)
+    assert all(np.array_equal(a, b) for s, t in zip(*forests) for a, b in zip(s, t))
+
+
+@pytest.mark.parametrize("similarity", [0.0, 0.4, 0.7, 1.0, 1.1])
+def test_templates_near_a_term_are_all_that_can_win(monkeypatch, similarity):
+    """A leaf that looks only at templates near a term, from the first on, ends as one that looks at all."""
+    rng = random.Random(3)
+    terms = [["<*>" if rng.random() < 0.1 else f"w{int(rng.paretovariate(0.7))}" for _ in range(7)] for _ in range(400)]
+    found, looked = [], []
+    near = templates.Leaf._near
+    monkeypatch.setattr(templates.Leaf, "_near", lambda self, codes: looked.append((self.n, got := near(self, codes))) or got)
+    for few in (10**9, 0):
+        monkeypatch.setattr(templates, "FEW", few)
+        leaf = templates.Leaf(7, similarity)
+        looked.clear()
+        for term in terms:
+            leaf.add(term)
+        found.append(leaf.templates())
+    assert found[0] == found[1]
+    assert similarity == 0 or sum(len(got) for _, got in looked) < sum(n for n, _ in looked)
+
+
+def test_grid_masks_lines_once(spark, monkeypatch):
+    from logloom.plans import anomaly
+
+    rows = spark.createDataFrame([(f"s{k}", k * 5 + j, f"h {'abcde'[j]} {'x' if k % 10 == 9 else 'y'} z") for k in range(40) for j in range(5)], "session_id string, line_id long, line string")
+    sess = spark.createDataFrame([(f"s{k}", int(k % 10 == 9), "train" if k < 20 else "test") for k in range(40) if k % 10 != 9 or k >= 20], "session_id string, label int, split string")
+    calls, counted = [], anomaly.features.message_counts
+    monkeypatch.setattr(anomaly.features, "message_counts", lambda *a: calls.append(1) or counted(*a))
+    got = anomaly.grid(rows, sess, {"parser": ["regex", "drain"], "weighting": ["binary"]}, header_tokens=1).collect()
+    assert len(calls) == 1 and [(r.tp + r.fn, r.fp + r.tn) for r in got] == [(2, 18), (2, 18)]
