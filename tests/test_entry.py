@@ -258,3 +258,12 @@ def test_early_rules_and_selection(spark):
     assert [(r.age, r.kind) for r in got if r.selected] == [min((r.age, r.kind) for r in fits)]
     ages = spark.createDataFrame([(5, 0.5), (10, 0.9), (10, 0.95), (20, 1.0), (1, None)], "age int, val_f1 double")
     assert metrics.shortest_age(ages, 0.91).first() == (10, 0.95) and metrics.shortest_age(ages, 2.0).count() == 0
+
+
+def test_training_masks_each_line_once(spark, sf, monkeypatch):
+    calls, mask = [], base.S.mask
+    monkeypatch.setattr(base.S, "mask", lambda text: calls.append(1) or mask(text))
+    typed, _, model, scores = base._trained(spark, sf)
+    assert len(calls) == 1
+    assert typed.count() == base._rows(spark, sf).count() and scores.count() == typed.select("session_id").distinct().count()
+    assert typed.filter("col > 0").count() > 0 and model.meta["n_columns"] > 0
