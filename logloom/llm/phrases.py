@@ -31,6 +31,8 @@ SEPARATORS = b".,;:!?\n\v\f\r"
 WORD_BITS, MOST_WORDS = 21, 3
 #: Phrases of a container, phrases of a trie, words that a task numbers and words that are looked at together.
 BURST, PHRASES, WORDS, TOGETHER = 1 << 14, 1_000_000, 400_000, 1_000_000
+#: Rows, or bytes of text, whose phrases are added up before they go into the trie.
+ROWS_BYTES = 5_000, 8_000_000
 #: Bits of the filters that a pass leaves for the next one: 8 MB each.
 FILTER_BITS = 1 << 26
 #: Into so many parts the candidates of a language are dealt before its best are ranked.
@@ -212,7 +214,7 @@ def runs(docs: DataFrame, n: int, frequent: Filter | None = None, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(n, shared.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", *ROWS_BYTES):
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                     by_lang.setdefault(lang, []).append((text or "").encode())
