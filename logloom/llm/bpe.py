@@ -11,6 +11,7 @@ Null text counts as empty, and empty text has no ids. The special token's string
 
 import json
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,21 @@ PAIRS, MOVES = 150_000, 150_000
 TOGETHER, BYTES = 500, 2_000_000
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a task holds at most: words of a half of its memo, pairs, steps, and texts and bytes that are encoded together."""
+
+    memo: int = MEMO_WORDS
+    pairs: int = PAIRS
+    moves: int = MOVES
+    rows: int = TOGETHER
+    most: int = BYTES
+
+
+#: For a worker that has run other stages before, as the pipeline's has.
+SMALL = Limits(MEMO_WORDS // 2, PAIRS // 2, MOVES // 2, TOGETHER // 2, BYTES // 2)
+
+
 def byte_chars() -> dict[str, int]:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -225,24 +241,25 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 Batches = Iterator[pa.RecordBatch]
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Batches:
-    """The batch in parts of at most ``TOGETHER`` rows and about ``BYTES`` bytes of text."""
+def slices(batch: pa.RecordBatch, text_col: str, rows: int = TOGETHER, most: int = BYTES) -> Batches:
+    """The batch in parts of at most ``rows`` rows and about ``most`` bytes of text."""
     sizes = np.fromiter((len(t.as_buffer() or b"") if t.is_valid else 0 for t in batch.column(text_col)), np.int64, batch.num_rows)
     at, size = 0, 0
     for k, n in enumerate(sizes.tolist()):
         size += n
-        if k + 1 - at == TOGETHER or size > BYTES:
+        if k + 1 - at == rows or size > most:
             yield batch.slice(at, k + 1 - at)
             at, size = k + 1, 0
     if at < batch.num_rows:
         yield batch.slice(at)
 
 
-def _encoded(batches: Batches, vocab: Vocabulary, text_col: str, ids_col: str) -> Batches:
-    encoder = _Encoder(vocab)
+def _encoded(batches: Batches, vocab: Vocabulary, text_col: str, ids_col: str, limits: Limits = Limits()) -> Batches:
+    vocab.pairs_at_most, vocab.moves_at_most = limits.pairs, limits.moves
+    encoder = _Encoder(vocab, limits.memo)
     try:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, limits.rows, limits.most):
                 ids = encoder.encode([t or "" for t in part.column(text_col).to_pylist()])
                 yield _with_column(part, ids_col, pa.array(ids, pa.binary()))
     finally:
@@ -299,7 +316,7 @@ def checked(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_co
     schema = _schema(docs.drop(text_col), **{ids_col: T.BinaryType(), same_col: T.BooleanType()})
 
     def run(batches: Batches) -> Batches:
-        for batch in _encoded(batches, vocab.value, text_col, ids_col):
+        for batch in _encoded(batches, vocab.value, text_col, ids_col, SMALL):
             same = [x == (t or "") for x, t in zip(_texts(batch.column(ids_col), vocab.value.text), batch.column(text_col).to_pylist())]
             yield _with_column(batch, same_col, pa.array(same, pa.bool_())).select(schema.names)
 

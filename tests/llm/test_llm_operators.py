@@ -465,3 +465,15 @@ def test_repeats_removed(docs, none, monkeypatch, group):
         assert bytes(kept) == bytes(b for b, c in zip(d, covered) if not c)
         assert len(removed) == sum(1 for x in bytes(covered).split(b"\0") if x)
     assert suffix.remove_repeats(none).count() == 0
+
+
+def test_small_limits_give_the_same_ids():
+    """The pipeline's smaller memo and batches, used up many times, change no ids."""
+    import pyarrow as pa
+
+    from logloom.llm import bpe
+    from logloom.llm.queries import TOKENIZER
+
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"word{k * j} x{j}é" for j in range(9)) for k in range(300)] + [None, ""]})
+    ids = lambda limits: [x for b in bpe._encoded(iter([batch]), bpe.Vocabulary(TOKENIZER), "text", "ids", limits) for x in b.column("ids").to_pylist()]
+    assert bpe.SMALL.memo < bpe.MEMO_WORDS and ids(bpe.SMALL) == ids(bpe.Limits()) == ids(bpe.Limits(50, 20, 20, 3, 200))
