@@ -133,6 +133,15 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left << np.uint64(7) | left >> np.uint64(57)) ^ right
 
 
+def split(text: bytes) -> pa.Array:
+    """The words of ``text`` between ASCII white space, as bytes; no object is made for any of them."""
+    text = text.strip()
+    if not text:
+        return pa.array([], pa.large_binary())
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text)])
+    return pc.ascii_split_whitespace(whole).flatten().view(pa.large_binary())
+
+
 class Counter:
     """Counts the phrases of ``n`` words of a task's texts."""
 
@@ -146,11 +155,12 @@ class Counter:
         self.words: list[tuple[str, bytes]] = []
         self.hashes = np.zeros(0, np.uint64)
 
-    def _number(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Numbers over all languages, and 0 for ends of pieces."""
+    def _number(self, lang: str, words: pa.Array) -> np.ndarray:
+        """Numbers over all languages, and 0 for ends of pieces; each distinct word is looked up once."""
         own = self.numbers.setdefault(lang, _Numbers({_END: 0}))
-        before = len(own)
-        local = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+        before, told = len(own), words.dictionary_encode()
+        distinct = told.dictionary.to_pylist()
+        local = np.fromiter(map(own.__getitem__, distinct), np.int64, len(distinct))[told.indices.to_numpy()]
         if not hasattr(own, "places"):
             own.places = np.zeros(1, np.int64)
         if len(own) > before:
@@ -163,7 +173,7 @@ class Counter:
         return own.places[local]
 
     def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words = _END.join(texts).translate(_FOLD).replace(_END, b" \xff ").split()
+        words = split(_END.join(texts).translate(_FOLD).replace(_END, b" \xff "))
         n = self.n
         for k in range(0, len(words), TOGETHER):
             ids = self._number(lang, words[k : k + TOGETHER + n - 1])
@@ -237,15 +247,16 @@ def word(k: int, phrase: str = "phrase") -> Column:
 
 
 def filter_of(frequent: DataFrame, n: int) -> Filter:
-    """The bit filter of merged phrases of ``n`` words, one or two; gathered as at most ``FILTER_BITS`` bits."""
+    """The bit filter of merged phrases of ``n`` words, one or two; gathered as Arrow columns of at most ``FILTER_BITS`` bits and their places,
+    without an object for any row."""
     at = F.xxhash64("lang", word(0))
     if n == 2:
         at = F.shiftleft(at, 7).bitwiseXOR(F.shiftrightunsigned(at, 57)).bitwiseXOR(F.xxhash64("lang", word(1)))
     bits = frequent.select(at.bitwiseAND(FILTER_BITS - 1).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
-    rows = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    rows = bits.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return Filter(words)
 
 

@@ -1,12 +1,15 @@
 """Collocations against DuckDB's and plain Python's counts."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from logloom.llm import phrases
 from logloom.llm.queries import OP13_SQL, op13_phrases
 
@@ -105,3 +108,21 @@ def test_runs_of_a_counter_at_any_bound(monkeypatch, bounds):
                 w = [x for x in w if x]
                 want.update((lang, " ".join(w[i : i + n])) for i in range(len(w) - n + 1))
         assert got == want
+
+
+def test_filter_makes_no_objects_of_rows(spark):
+    """The driver holds the filter and a few arrays of numbers, however many phrases are frequent."""
+    words = spark.range(250_000).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), "id").alias("phrase"), F.lit(10).alias("n"))
+    tracemalloc.start()
+    try:
+        found = phrases.filter_of(words, 1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 240_000 < np.bitwise_count(found.words).sum() <= 250_000
+    assert peak < 40_000_000
+
+
+def test_words_are_split_as_bytes_are():
+    for text in (b"", b" \t ", b" a", b"a \xff ", b"  a\t\tb\xff c\x1c\x1f\xc2\xa0d \x00 e\n"):
+        assert phrases.split(text).to_pylist() == text.split()
