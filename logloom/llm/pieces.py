@@ -305,10 +305,32 @@ def _encoded(batches: Batches, pieces: Pieces, text_col: str, ids_col: str, with
             yield _with_column(part, ids_col, lists(ids, end))
 
 
+def texts_of(ids: pa.ListArray, pieces: Pieces) -> list[str]:
+    """``decoded`` of every list, null or empty: "". The pieces' bytes are looked up for all lists at once; only lists that control pieces part
+    go id by id."""
+    sizes = ids.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+    held = np.flatnonzero(sizes)
+    last = np.zeros(len(flat), bool)
+    last[at[held + 1] - 1] = True
+    # A control piece is nothing, but one before the end parts two runs, each of which is decoded by itself.
+    parted = np.zeros(len(sizes), bool)
+    parted[np.searchsorted(at, np.flatnonzero(np.isin(flat, [*pieces.control]) & ~last), side="right") - 1] = True
+    _, ends, raw = pa.array(pieces.text, pa.large_binary()).take(pa.array(flat)).buffers()
+    ends, raw = np.frombuffer(ends, np.int64)[at].tolist() if len(flat) else [0] * len(at), memoryview(raw or b"")
+    first = np.full(len(sizes), -1, np.int64)
+    first[held] = flat[at[held]]
+    marked = ~np.isin(first, [-1, pieces.unknown, *pieces.bytes_of])
+    out = []
+    for k, (some, mark) in enumerate(zip(parted.tolist(), marked.tolist())):
+        text = bytes(raw[ends[k] : ends[k + 1]])
+        out.append(decoded(flat[at[k] : at[k + 1]].tolist(), pieces) if some else _utf8(text.removeprefix(b" ") if mark else text))
+    return out
+
+
 def _decoded(batches: Batches, pieces: Pieces, ids_col: str, text_col: str) -> Batches:
     for batch in batches:
-        texts = [decoded(x or (), pieces) for x in batch.column(ids_col).to_pylist()]
-        yield _with_column(batch, text_col, pa.array(texts, pa.string()))
+        yield _with_column(batch, text_col, pa.array(texts_of(batch.column(ids_col), pieces), pa.string()))
 
 
 _IDS = T.ArrayType(T.IntegerType())

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
@@ -51,6 +52,22 @@ def test_decode_any_ids(model, library):
         assert pieces.decoded(some, model) == library.decode(some), some
 
 
+def test_decode_lists_together(model, library, monkeypatch):
+    """Lists are decoded together as they are one by one; those that no control piece parts are not taken apart."""
+    rng, slow, one = random.Random(7), [], pieces.decoded
+    ids = [0, 1, 2, 3, 131, 200, 229, 259, 264, 28705, 28713]
+    some = [[rng.choice(ids) if rng.random() < 0.5 else rng.randrange(32000) for _ in range(rng.randint(0, 7))] for _ in range(2000)]
+    some += [[2], [2, 2], [1, 2], [259, 2], [28705, 28705, 2], [229, 2], [0, 2]]
+    plain = [library.encode(drawn(model, rng, k % 4), add_eos=True) for k in range(400)]
+    monkeypatch.setattr(pieces, "decoded", lambda x, p: slow.append(x) or one(x, p))
+    lists = [None, [], *some, *plain, None]
+    got = pieces.texts_of(pa.array(lists, pa.list_(pa.int32())), model)
+    assert got == ["" if x is None else library.decode(x) for x in lists]
+    assert slow and not [x for x in slow if not model.control & {*x[:-1]}]
+    assert pieces.texts_of(pa.array(lists, pa.list_(pa.int32())).slice(5, 60), model) == got[5:65]
+    assert pieces.texts_of(pa.array([None, []], pa.list_(pa.int32())), model) == ["", ""] and pieces.texts_of(pa.array([], pa.list_(pa.int32())), model) == []
+
+
 def test_fit_is_remembered_in_a_bounded_table(model):
     """With a table of two places nearly every pair is forgotten and merged again."""
     small, large = pieces.Encoder(model), pieces.Encoder(model)
