@@ -10,7 +10,7 @@ Null text counts as empty, and empty text has no ids. The special token's string
 """
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MEMO_WORDS = 100_000
 #: Pairs of tokens whose compatibility a task remembers, and steps of the automaton; the id of a token has 20 bits at most.
 PAIRS, MOVES = 150_000, 150_000
+#: Tokens whose edges a task remembers, on either side.
+EDGES = 20_000
 #: Texts that are encoded together: so many, or so many bytes and the text that goes beyond them.
 TOGETHER, BYTES = 500, 2_000_000
 
@@ -85,23 +87,29 @@ class Vocabulary:
         self.pairs_at_most, self.moves_at_most = PAIRS, MOVES
         self.pairs: dict[int, bool] = {}
         self.moves: dict[int, int] = {}
+        self.edges: dict[int, list[tuple[int, float]]] = {}
         self._automaton()
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": {}, "moves": {}}
+        return self.__dict__ | {"pairs": {}, "moves": {}, "edges": {}}
 
     def forget(self) -> None:
         """Drops what was remembered, at the end of a task: the vocabulary itself outlives it in the worker."""
-        self.pairs, self.moves = {}, {}
+        self.pairs, self.moves, self.edges = {}, {}, {}
 
     def _edges(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens at one edge while ``token`` is being merged, each with the rank of the merge that ends it."""
-        out, until = [], float("inf")
-        while True:
+        key = token << 2 | side
+        if (known := self.edges.get(key)) is not None:
+            return known
+        out, until, made = [(token, float("inf"))], 0, self.made
+        while token in made:
+            until, token = made[token][0], made[token][side]
             out.append((token, until))
-            if token not in self.made:
-                return out
-            until, token = self.made[token][0], self.made[token][side]
+        if len(self.edges) > EDGES:
+            self.edges.clear()
+        self.edges[key] = out
+        return out
 
     def _merge_all(self, word: bytes) -> list[int]:
         ids, ranked = [self.single[bytes([b])] for b in word], self.ranked
@@ -114,25 +122,45 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` leaves just these two: no merge fits across the border at its time."""
-        merges, lefts, known = self.merges, self._edges(b, 1), True
-        for x, x_until in self._edges(a, 2):
-            for y, y_until in lefts:
-                rank = merges.get((x, y))
-                # At equal rank the leftmost merge comes first: one inside a before, one inside b after.
-                if rank is not None and rank < x_until and rank <= y_until:
-                    known = False
+        known = not self._crossed(a, b)
         if len(self.pairs) > self.pairs_at_most:
             self.pairs.clear()
         self.pairs[a << 20 | b] = known
         return known
 
+    def _crossed(self, a: int, b: int) -> bool:
+        get, lefts = self.merges.get, self._edges(b, 1)
+        for x, x_until in self._edges(a, 2):
+            for y, y_until in lefts:
+                rank = get((x, y))
+                # At equal rank the leftmost merge comes first: one inside a before, one inside b after.
+                if rank is not None and rank < x_until and rank <= y_until:
+                    return True
+        return False
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Each word's ids, as little-endian 32-bit integers."""
-        moves, ends, pairs, compatible, size, le, out = self.moves, self.ends, self.pairs, self.compatible, self.size, self.le, {}
+        size, le, out = self.size, self.le, {}
+        for word, last, _ in self._walk(words):
+            ids, depth = [], len(word)
+            while depth:
+                token = last[depth]
+                ids.append(le[token])
+                depth -= size[token]
+            out[word] = b"".join(ids[::-1])
+        return out
+
+    def count_words(self, words: Iterable[bytes]) -> dict[bytes, int]:
+        """How many ids each word has: prefixes carry their numbers, so that no word is walked back."""
+        return {word: many[len(word)] for word, _, many in self._walk(words)}
+
+    def _walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
+        """Each word with the last token and the number of tokens of all its prefixes, in lists that the next word changes."""
+        moves, ends, pairs, compatible = self.moves, self.ends, self.pairs, self.compatible
         if len(moves) > self.moves_at_most:
             moves.clear()
         deep = 1 + max(map(len, words), default=0)
-        last, states, path = [0] * deep, [0] * deep, b""  # of every prefix of the path
+        last, many, states, path = [0] * deep, [0] * deep, [0] * deep, b""  # of every prefix of the path
         for word in sorted(words):  # the order in which a depth-first walk of the trie meets its words
             shared = 0
             for x, y in zip(path, word):
@@ -156,14 +184,10 @@ class Vocabulary:
                         if not fits:
                             continue
                     last[depth] = token
+                    many[depth] = many[start] + 1
                     break
-            path, ids = word, []
-            while depth:
-                token = last[depth]
-                ids.append(le[token])
-                depth -= size[token]
-            out[word] = b"".join(ids[::-1])
-        return out
+            path = word
+            yield word, last, many
 
     def _move(self, state: int, byte: int) -> int:
         """Where ``byte`` leads in the automaton of all tokens: to the longest suffix read that begins a token."""
@@ -200,12 +224,15 @@ class Vocabulary:
 _WORDS = regex.compile(PATTERN)
 
 class _Encoder:
-    """Texts to ids, a batch at a time. The memo of words has a young and an old half; words that come back stay."""
+    """Texts to ids, a batch at a time. The memo of words has a young and an old half; words that come back stay.
+
+    With ``told``, ``vocab.count_words``, the memo holds that of each word instead of its ids.
+    """
 
-    def __init__(self, vocab: Vocabulary, memo: int = MEMO_WORDS):
-        self.vocab, self.memo = vocab, memo
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, vocab: Vocabulary, memo: int = MEMO_WORDS, told: Callable[[Iterable[bytes]], dict] | None = None):
+        self.vocab, self.memo, self.told = vocab, memo, told or vocab.encode_words
+        self.young: dict = {}
+        self.old: dict = {}
         names = "|".join(regex.escape(s) for s in sorted(vocab.specials, key=len, reverse=True))
         self.special = regex.compile(f"({names})") if names else None
         self.le = {s: vocab.le[k] for s, k in vocab.specials.items()}
@@ -214,11 +241,12 @@ class _Encoder:
         if len(self.young) + len(words) > self.memo:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        words = [w for w in words if w not in young]
-        young.update([(w, old[w]) for w in words if w in old])
-        new = {w: w.encode() for w in words if w not in young}
-        ids = self.vocab.encode_words(new.values())
-        young.update([(w, ids[raw]) for w, raw in new.items()])
+        if not (words := words.difference(young)):
+            return
+        back = [w for w in words if w in old]
+        young.update([(w, old[w]) for w in back])
+        told = self.told([w.encode() for w in words.difference(back)])
+        young.update([(raw.decode(), x) for raw, x in told.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts, every = [], set()

@@ -76,14 +76,14 @@ class _Counter:
     """Token counts of words by the trie encoder."""
 
     def __init__(self, vocab: Vocabulary):
-        self.encoder = _Encoder(vocab)
+        self.encoder = _Encoder(vocab, told=vocab.count_words)
 
     def counts(self, texts: list[list[str]]) -> list[list[int]]:
         every: set[str] = set()
         every.update(*texts)
         self.encoder.learn(every)
-        ids = self.encoder.young.__getitem__
-        return [[n // 4 for n in map(len, map(ids, words))] for words in texts]
+        many = self.encoder.young.__getitem__
+        return [[*map(many, words)] for words in texts]
 
     def edit(self, text: str, tree: Tree, at: int, cut: int, put: str) -> tuple[str, int]:
         """The edited text and how many words were encoded anew; the tree follows."""
@@ -115,8 +115,7 @@ _BUILT = {"leaves": T.BinaryType(), "n_tokens": T.LongType()}
 _EDITED = {"edited": T.StringType(), "leaves": T.BinaryType(), "n_tokens_before": T.LongType(), "n_tokens": T.LongType(), "n_words": T.LongType(), "n_reencoded": T.LongType()}
 
 
-def _built(batches: Batches, vocab: Vocabulary, text_col: str) -> Batches:
-    counter = _Counter(vocab)
+def _built(batches: Batches, counter: _Counter, text_col: str) -> Batches:
     for batch in batches:
         for part in slices(batch, text_col):
             words = [_WORDS.findall(t or "") for t in part.column(text_col).to_pylist()]
@@ -126,8 +125,7 @@ def _built(batches: Batches, vocab: Vocabulary, text_col: str) -> Batches:
             yield _with_column(part, "n_tokens", pa.array([*map(sum, counts)], pa.int64()))
 
 
-def _edited(batches: Batches, vocab: Vocabulary, text_col: str, edits_col: str) -> Batches:
-    counter = _Counter(vocab)
+def _edited(batches: Batches, counter: _Counter, text_col: str, edits_col: str) -> Batches:
     for batch in batches:
         out = {k: [] for k in _EDITED}
         for text, leaves, edits in zip(*(batch.column(c).to_pylist() for c in (text_col, "leaves", edits_col))):
@@ -157,7 +155,7 @@ def build(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataF
     """``docs`` with ``leaves``, the tree of each whole text, and n_tokens."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(docs, **_BUILT)
-    return docs.mapInArrow(steady(lambda batches: _forgetting(_built(batches, vocab.value, text_col), vocab.value, schema.names)), schema)
+    return docs.mapInArrow(steady(lambda batches: _forgetting(_built(batches, _Counter(vocab.value), text_col), vocab.value, schema.names)), schema)
 
 
 def apply(built: DataFrame, tokenizer_path: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -168,7 +166,7 @@ def apply(built: DataFrame, tokenizer_path: str, text_col: str = "text", edits_c
     """
     vocab = built.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path))
     schema = _schema(built, **_EDITED)
-    return built.mapInArrow(steady(lambda batches: _forgetting(_edited(batches, vocab.value, text_col, edits_col), vocab.value, schema.names)), schema)
+    return built.mapInArrow(steady(lambda batches: _forgetting(_edited(batches, _Counter(vocab.value), text_col, edits_col), vocab.value, schema.names)), schema)
 
 
 def build_and_apply(docs: DataFrame, tokenizer_path: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -177,7 +175,8 @@ def build_and_apply(docs: DataFrame, tokenizer_path: str, text_col: str = "text"
     schema = _schema(docs, **_EDITED)
 
     def run(batches: Batches) -> Batches:
-        return _forgetting(_edited(_built(batches, vocab.value, text_col), vocab.value, text_col, edits_col), vocab.value, schema.names)
+        counter = _Counter(vocab.value)  # edits find the words of their texts in its memo
+        return _forgetting(_edited(_built(batches, counter, text_col), counter, text_col, edits_col), vocab.value, schema.names)
 
     return docs.mapInArrow(steady(run), schema)
 
