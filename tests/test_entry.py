@@ -232,6 +232,18 @@ def test_drift_policies_fit_and_score(spark):
     assert all(r.tp + r.fn == 1 and r.fp + r.tn == 9 for r in got.values())
 
 
+def test_drift_study_reads_columns_once_for_each_model_and_chunk(spark, monkeypatch):
+    from logloom.plans import anomaly
+
+    calls, made = [], anomaly.features.to_columns
+    monkeypatch.setattr(anomaly.features, "to_columns", lambda counts, columns: calls.append(1) or made(counts, columns))
+    rows, sess = _study(spark)
+    counts = rows.groupBy("session_id", "term").agg(F.count("*").alias("cnt"), F.min("line_id").alias("first_line"))
+    anomaly.drift_study(counts, sess.withColumn("chunk", F.when(F.col("chunk") > 0, 1).otherwise(F.col("chunk"))), window=1, trigger=0.2)
+    # Fits: static, and two for chunk 1. Scores: validation, static on both chunks, two fits on chunk 1.
+    assert len(calls) == 3 + 1 + 2 + 2
+
+
 def test_early_rules_and_selection(spark):
     from logloom.operators import metrics
     from logloom.plans import anomaly
