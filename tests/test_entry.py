@@ -279,3 +279,14 @@ def test_training_masks_each_line_once(spark, sf, monkeypatch):
     assert len(calls) == 1
     assert typed.count() == base._rows(spark, sf).count() and scores.count() == typed.select("session_id").distinct().count()
     assert typed.filter("col > 0").count() > 0 and model.meta["n_columns"] > 0
+
+
+def test_consecutive_windows_of_lines_without_a_number_or_type(spark, tmp_path):
+    """Lines of no user come last, as in SQL, and a missing type is no error."""
+    con, name = duckdb.connect(), "window_sessions_consecutive"
+    path = f"{tmp_path}/events.parquet"
+    con.sql(f"""COPY (SELECT * REPLACE (CASE WHEN event_id % 7 <> 3 THEN user_id END AS user_id, CASE WHEN event_id % 5 <> 1 THEN event_type END AS event_type)
+      FROM '/root/testdata/sf0.001/events.parquet') TO '{path}'""")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    got = sorted(map(str, map(tuple, base.QUERIES[name](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(str, con.sql(base.SQL[name]).fetchall()))
