@@ -588,3 +588,23 @@ def test_grid_masks_lines_once(spark, monkeypatch):
     monkeypatch.setattr(anomaly.features, "message_counts", lambda *a: calls.append(1) or counted(*a))
     got = anomaly.grid(rows, sess, {"parser": ["regex", "drain"], "weighting": ["binary"]}, header_tokens=1).collect()
     assert len(calls) == 1 and [(r.tp + r.fn, r.fp + r.tn) for r in got] == [(2, 18), (2, 18)]
+
+
+def test_fits_read_all_sessions(spark, monkeypatch):
+    """Of 26,000, with 40 rare columns of one session each: the models know all columns, and PCA's means and axes are those of all rows."""
+    import numpy as np
+
+    every = spark.range(26_000).select(F.concat(F.lit("s"), "id").alias("session_id"), F.when(F.col("id") % 650 == 7, F.lit(0)).otherwise(1).alias("rare"), "id")
+    rare = every.filter("rare = 0").select("session_id", (2 + F.floor(F.col("id") / 650)).cast("int").alias("col"), F.lit(1.0).alias("w"))
+    vectors = every.select("session_id", F.lit(0).alias("col"), (F.col("id") % 10 / 10).alias("w")).union(every.filter("id % 3 = 0").select("session_id", F.lit(1), F.lit(0.5))).union(rare)
+    monkeypatch.setattr(detectors, "CELLS", 5000)  # a few rows at a time
+    model = detectors.PCADetector(variance=0.7).fit(vectors)
+    assert sorted(model.columns) == list(range(42))
+    x = np.zeros((26_000, 42))
+    k = np.arange(26_000)
+    x[:, 0], x[::3, 1] = k % 10 / 10, 0.5
+    x[k[k % 650 == 7], 2 + k[k % 650 == 7] // 650] = 1
+    assert model.mean == pytest.approx(x.mean(axis=0))
+    values, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.abs(model.loadings @ axes[:, ::-1][:, : len(model.loadings)]) == pytest.approx(np.eye(len(model.loadings)), abs=1e-6)
+    assert sorted(detectors.AEDetector(max_iter=1).fit(vectors).columns) == list(range(42))
