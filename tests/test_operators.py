@@ -608,3 +608,28 @@ def test_fits_read_all_sessions(spark, monkeypatch):
     values, axes = np.linalg.eigh(np.cov(x.T, bias=True))
     assert np.abs(model.loadings @ axes[:, ::-1][:, : len(model.loadings)]) == pytest.approx(np.eye(len(model.loadings)), abs=1e-6)
     assert sorted(detectors.AEDetector(max_iter=1).fit(vectors).columns) == list(range(42))
+
+
+def test_early_thresholds_are_the_best_of_all_scores(spark):
+    """Of 1,700 distinct scores of the validation split none is passed over."""
+    import random
+
+    from logloom.plans import anomaly
+
+    sessions_ = spark.createDataFrame([(f"s{k}", int(k >= 40 and random.Random(k).random() < k / 1800), "train" if k < 40 else "val") for k in range(1740)], "session_id string, label int, split string")
+    lines = spark.range(1740).selectExpr("concat('s', id) AS session_id", "explode(concat(array_repeat(1, cast(1 + id % 45 AS int)), array_repeat(2, cast(1 + id div 45 AS int)))) AS col")
+    seq = lines.selectExpr("session_id", "col", "0L AS dt", "0L AS pos")
+    detector = detectors.PCADetector()
+    model = anomaly.AnomalyModel("regex", 4, spark.createDataFrame([("a", 1), ("b", 2)], "term string, col int"), None, None, detector)
+    scores = sessions_.select("session_id", F.lit(0.0).alias("score"))
+    early = anomaly.attach_early(model, seq, sessions_, scores, 10, max_components=1, variance=0.1)
+    _, fitted, vectors = anomaly._fit_snapshot(model, seq, sessions_, 10, "pca", max_components=1, variance=0.1)
+    held = [(r.score, r.label) for r in fitted.score(vectors).join(sessions_.filter("split = 'val'"), "session_id").collect()]
+    assert len({s for s, _ in held}) > 800
+
+    def f1(least):
+        tp, fp, p = sum(s > least - 1e-12 and y for s, y in held), sum(s > least - 1e-12 and not y for s, y in held), sum(y for _, y in held)
+        return 2 * tp / (tp + fp + p)
+
+    assert f1(early.threshold) == max(f1(s) for s, _ in held)
+    assert early.detector.mean == pytest.approx(fitted.mean)
