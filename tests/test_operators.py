@@ -592,8 +592,6 @@ def test_grid_masks_lines_once(spark, monkeypatch):
 
 def test_fits_read_all_sessions(spark, monkeypatch):
     """Of 26,000, with 40 rare columns of one session each: the models know all columns, and PCA's means and axes are those of all rows."""
-    import numpy as np
-
     every = spark.range(26_000).select(F.concat(F.lit("s"), "id").alias("session_id"), F.when(F.col("id") % 650 == 7, F.lit(0)).otherwise(1).alias("rare"), "id")
     rare = every.filter("rare = 0").select("session_id", (2 + F.floor(F.col("id") / 650)).cast("int").alias("col"), F.lit(1.0).alias("w"))
     vectors = every.select("session_id", F.lit(0).alias("col"), (F.col("id") % 10 / 10).alias("w")).union(every.filter("id % 3 = 0").select("session_id", F.lit(1), F.lit(0.5))).union(rare)
@@ -612,8 +610,6 @@ def test_fits_read_all_sessions(spark, monkeypatch):
 
 def test_early_thresholds_are_the_best_of_all_scores(spark):
     """Of 1,700 distinct scores of the validation split none is passed over."""
-    import random
-
     from logloom.plans import anomaly
 
     sessions_ = spark.createDataFrame([(f"s{k}", int(k >= 40 and random.Random(k).random() < k / 1800), "train" if k < 40 else "val") for k in range(1740)], "session_id string, label int, split string")
@@ -633,3 +629,23 @@ def test_early_thresholds_are_the_best_of_all_scores(spark):
 
     assert f1(early.threshold) == max(f1(s) for s, _ in held)
     assert early.detector.mean == pytest.approx(fitted.mean)
+
+
+def test_grid_fits_on_all_train_sessions(spark):
+    """Of 24,000 sessions, 30 with a message of their own in place of one: every cell's model and threshold know them, as a fit on all rows does."""
+    from logloom.plans import anomaly
+    from logloom.session import cut
+
+    every = spark.range(24_400).withColumn("session_id", F.concat(F.lit("s"), "id"))
+    term = F.when(F.col("id") % 800 == 3, F.concat(F.lit("rare "), F.chr(97 + F.floor(F.col("id") / 800)), F.lit(" q"))).otherwise(F.lit("often seen z"))
+    counts = every.filter("id < 24000 OR id % 2 = 0").select("session_id", term.alias("term"), F.col("id").alias("first_line"), F.lit(1).cast("long").alias("cnt")).union(
+        every.filter("id % 4 <> 3").select("session_id", F.lit("other words y"), F.col("id"), (1 + F.col("id") % 3)))
+    sess = every.select("session_id", (F.col("id") >= 24_200).cast("int").alias("label"), F.when(F.col("id") < 24_000, "train").otherwise("test").alias("split"))
+    counts = cut(counts)
+    for parser in ("regex", "drain"):
+        model = anomaly.train_counts(counts, sess, parser, "pca", similarity=0.9)
+        assert sorted(model.detector.columns) == list(range(1, 33))
+        x = anomaly.features.tfidf(model.column_counts(counts), model.idf).join(sess.filter("split = 'train'"), "session_id").groupBy("col").agg((F.sum("w") / 24_000).alias("m")).collect()
+        means = {r.col: r.m for r in x}
+        assert model.detector.mean == pytest.approx(np.array([means[c] for c in model.detector.columns]))
+        assert model.meta["n_train"] == 24_000
